@@ -69,6 +69,20 @@ def col(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def runs(text: bytes, marks: bytearray) -> list[tuple[int, int, int, int]]:
+    """Runs of marked words (of ALNUM_TABLE): first and last word, and the code-point range [start, end) of the original text."""
+    import numpy as np
+
+    raw = np.frombuffer(text, np.uint8)
+    inside = np.frombuffer(text.translate(ALNUM_TABLE), np.uint8) != 32
+    edge = np.diff(np.concatenate(([0], inside.view(np.int8), [0])))
+    at = np.concatenate(([0], np.cumsum((raw & 0xC0) != 0x80)))  # code points before each byte
+    starts, ends = at[np.flatnonzero(edge == 1)], at[np.flatnonzero(edge == -1)]
+    hit = np.diff(np.concatenate(([0], np.frombuffer(marks, np.int8), [0])))
+    ranges = zip(np.flatnonzero(hit == 1), np.flatnonzero(hit == -1) - 1, strict=True)
+    return [(int(a), int(b), int(starts[a]), int(ends[b])) for a, b in ranges]
+
+
 def annotate(
     df: DataFrame,
     make: Callable[[], Callable[[list[bytes | None]], list[tuple]]],

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .decontaminate import decontaminate
 from .near_dedup import near_duplicates
+from .toxicity import score_toxicity, train_toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,9 +57,19 @@ def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=4)
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    model = train_toxicity(docs, table(spark, sf_dir, "labels").where(~held_out))
+    scored = score_toxicity(docs, model, carry=["doc_id"])
+    c = F.col("toxicity")
+    return scored.select("doc_id", held_out.alias("held_out"), c.score.alias("score"), (c.score >= 0.5).cast("int").alias("predicted"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_decontaminate": op5_decontaminate,
     "op8_near_dedup": op8_near_dedup,
+    "op9_toxicity": op9_toxicity,
 }
 
 ORACLES: dict[str, str] = {
