@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .decontaminate import decontaminate
+from .mixing import mix, training_order
 from .near_dedup import near_duplicates
 from .toxicity import score_toxicity, train_toxicity
 
@@ -66,12 +67,42 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), c.score.alias("score"), (c.score >= 0.5).cast("int").alias("predicted"))
 
 
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = training_order(mix(table(spark, sf_dir, "documents"), carry=["doc_id"]))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", (F.round("position", 6) + 0.0).alias("position"))
+
+
+OP10_SQL = r"""
+WITH d AS (SELECT doc_id, source, md5(doc_id::VARCHAR) AS turn,
+             len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
+s AS (SELECT source, sum(size)::DOUBLE AS n, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS rank FROM d GROUP BY source),
+w AS (SELECT *, CASE rank % 3 WHEN 0 THEN 3.0 WHEN 1 THEN 1.0 ELSE 2.0 END::DOUBLE AS weight, 2 * n AS cap FROM s),
+p AS (SELECT *, row_number() OVER (ORDER BY cap / weight, rank) AS k, 1.5 * sum(n) OVER () - coalesce(sum(cap) OVER o, 0) AS rest,
+             sum(weight) OVER () - coalesce(sum(weight) OVER o, 0) AS w_rest
+      FROM w WINDOW o AS (ORDER BY cap / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+level AS (SELECT arg_min(rest / w_rest, k) FILTER (rest / w_rest * weight <= cap) AS l FROM p),
+t AS (SELECT source, n, rank, least(cap, weight * (SELECT l FROM level)) AS target FROM w),
+x AS (SELECT doc_id, size, n, rank, target, floor(target)::BIGINT AS words,
+        coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY turn, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
+      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+y AS (SELECT *, greatest(0, least(size, words - start)) AS a, greatest(0, least(size, words - start - n::BIGINT)) AS b,
+        CASE WHEN words > 0 THEN start::DOUBLE / words ELSE 0 END AS f FROM x)
+SELECT doc_id, size, n::BIGINT AS source_size, target, (a + b)::BIGINT AS taken,
+  CASE WHEN a > 0 THEN round(CASE rank % 3 WHEN 1 THEN least(f, 1.0)
+    WHEN 0 THEN CASE WHEN f <= 0.625 THEN (sqrt(greatest(2.25 - 2 * f, 0)) - 1.5) / -1 ELSE 0.5 + (sqrt(greatest(1 - 2 * (f - 0.625), 0)) - 1) / -1 END
+    ELSE CASE WHEN f <= 0.375 THEN sqrt(0.25 + 2 * f) - 0.5 ELSE 0.5 + sqrt(1 + 2 * (f - 0.375)) - 1 END END, 6) + 0.0 END AS position
+FROM y
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_decontaminate": op5_decontaminate,
     "op8_near_dedup": op8_near_dedup,
     "op9_toxicity": op9_toxicity,
+    "op10_mixing": op10_mixing,
 }
 
 ORACLES: dict[str, str] = {
     "op5_decontaminate": OP5_SQL,
+    "op10_mixing": OP10_SQL,
 }
