@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .decontaminate import decontaminate
 from .mixing import mix, training_order
 from .near_dedup import near_duplicates
+from .quality import judge_quality
 from .sharding import hilbert_shards
 from .toxicity import score_toxicity, train_toxicity
 
@@ -18,6 +19,33 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_quality(table(spark, sf_dir, "documents"), carry=["doc_id"])
+
+
+OP4_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w,
+        list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
+g AS (SELECT doc_id, i, concat_ws(' ', w[i], w[i+1], w[i+2]) AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM w)),
+rep AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM g) WHERE n > 1),
+pos AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i+1, i+2]) AS p FROM rep) GROUP BY doc_id),
+b AS (SELECT w.doc_id, t, lines, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
+        len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
+        coalesce(pos.n, 0)::BIGINT AS n_repeat_words FROM w LEFT JOIN pos USING (doc_id)),
+f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM b)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT (base_failed OR n_symbols * 10 > n_words OR word_chars < n_words * 2 OR word_chars > n_words * 12
+    OR n_dup_lines * 10 > len(lines) * 3
+    OR len(regexp_extract_all(t, '!')) * 5 > n_words
+    OR len(regexp_extract_all(t, '[A-Z]')) * 2 > word_chars
+    OR len(regexp_extract_all(t, '[0-9\x21-\x2F\x3A-\x40\x5B-\x60\x7B-\x7E]')) * 10 > word_chars * 4
+    OR len(list_filter(lines, lambda x: regexp_matches(x, '^[\x20\x09-\x0D]*[-*\x{2022}]'))) * 10 > len(lines) * 9
+    OR len(list_filter(lines, lambda x: regexp_matches(x, '([.][.][.]|\x{2026})[\x20\x09-\x0D]*$'))) * 10 > len(lines) * 3) AS kept
+FROM f
+"""
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), carry=["doc_id"])
     c = F.col("contamination")
@@ -103,6 +131,7 @@ FROM y
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_quality": op4_quality,
     "op5_decontaminate": op5_decontaminate,
     "op6_sharding": op6_sharding,
     "op8_near_dedup": op8_near_dedup,
@@ -111,6 +140,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op4_quality": OP4_SQL,
     "op5_decontaminate": OP5_SQL,
     "op10_mixing": OP10_SQL,
 }
