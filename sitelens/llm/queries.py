@@ -14,6 +14,7 @@ from .quality import judge_quality
 from .sharding import hilbert_shards
 from .toxicity import score_toxicity, train_toxicity
 from .url_filters import UrlRule, judge_urls
+from .warc import read_warc, write_warc
 
 URL_RULES = (
     UrlRule("allow", "org/"),
@@ -28,6 +29,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = write_warc(table(spark, sf_dir, "pages"))
+    number = lambda c: F.col(c).try_cast("long").alias("page_id" if c == "record_id" else c)
+    return read_warc(index).select(number("record_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to"))
+
+
+OP1_SQL = r"""
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+d AS (SELECT page_id, octet_length(b)::BIGINT AS payload_bytes, sha1(b) AS h, max(page_id) OVER (PARTITION BY b) AS r FROM p),
+q AS (SELECT *, list_transform(range(8), lambda i: ('0x' || substr(h, 1 + 5 * i, 5))::INT) AS v FROM d)
+SELECT page_id, payload_bytes,
+  array_to_string(flatten(list_transform(v, lambda x: list_transform([15, 10, 5, 0], lambda s: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((x >> s) & 31), 1)))), '') AS payload_digest,
+  CASE WHEN page_id = r THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id = r THEN NULL ELSE r END AS refers_to
+FROM q
+"""
+
+
 def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"), URL_RULES, carry=["page_id"]).select("page_id", "host", "path", "rule", "verdict")
 
@@ -174,6 +192,7 @@ FROM y
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc": op1_warc,
     "op2_url_filters": op2_url_filters,
     "op4_quality": op4_quality,
     "op5_decontaminate": op5_decontaminate,
@@ -184,6 +203,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_warc": OP1_SQL,
     "op2_url_filters": OP2_SQL,
     "op4_quality": OP4_SQL,
     "op5_decontaminate": OP5_SQL,
