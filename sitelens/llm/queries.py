@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .decontaminate import decontaminate
+from .licenses import scan_licenses
 from .mixing import mix, training_order
 from .near_dedup import near_duplicates
 from .quality import judge_quality
@@ -150,6 +151,13 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve")
 
 
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = F.col("license")
+    joined = lambda name: F.array_join(c.getField(name), ",").alias(name)
+    found = scan_licenses(table(spark, sf_dir, "documents"), carry=["doc_id"])
+    return found.select("doc_id", c.n_words.alias("n_words"), c.n_base.alias("n_base"), c.first_word.alias("first_word"), c.last_word.alias("last_word"), joined("base_labels"), joined("labels"), c.score.alias("score"))
+
+
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=4)
 
@@ -197,6 +205,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality": op4_quality,
     "op5_decontaminate": op5_decontaminate,
     "op6_sharding": op6_sharding,
+    "op7_licenses": op7_licenses,
     "op8_near_dedup": op8_near_dedup,
     "op9_toxicity": op9_toxicity,
     "op10_mixing": op10_mixing,
