@@ -13,6 +13,7 @@ from .mixing import mix, training_order
 from .near_dedup import near_duplicates
 from .quality import judge_quality
 from .sharding import hilbert_shards
+from .token_counts import count_tokens
 from .toxicity import score_toxicity, train_toxicity
 from .url_filters import UrlRule, judge_urls
 from .warc import read_warc, write_warc
@@ -81,6 +82,10 @@ FROM m LEFT JOIN rank6 ON m.host = rank6.host
     for k in range(1, 7)))
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(table(spark, sf_dir, "documents"))
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_quality(table(spark, sf_dir, "documents"), carry=["doc_id"])
 
@@ -202,6 +207,7 @@ FROM y
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_url_filters": op2_url_filters,
+    "op3_token_counts": op3_token_counts,
     "op4_quality": op4_quality,
     "op5_decontaminate": op5_decontaminate,
     "op6_sharding": op6_sharding,
