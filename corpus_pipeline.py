@@ -1,28 +1,66 @@
-"""The corpus pipeline: stages over ``documents``, each written and read again before the next."""
+"""The corpus pipeline: stages over ``documents``, each written and read again before the next.
+
+Each stage works on all that its predecessor kept. All but the last return the columns of ``documents``; the last adds
+the shard and the slot in it. An empty table passes through every stage.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from sitelens.llm.common import cut
+from sitelens.llm.decontaminate import decontaminate
+from sitelens.llm.mixing import mixed_documents
 from sitelens.llm.near_dedup import drop_near_duplicates
+from sitelens.llm.sharding import hilbert_shards
+from sitelens.llm.toxicity import score_toxicity, train_toxicity
+
+SHARDS = 24
+TOXIC = 0.5
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose toxicity score reaches 0.5 go."""
+    model = train_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return score_toxicity(docs, model, out="__toxicity").where(F.col("__toxicity.score") < TOXIC).drop("__toxicity")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays."""
+    """One document of each near-duplicate group stays, that with the least id."""
     return drop_near_duplicates(docs)
 
 
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a window of a benchmark item go."""
+    found = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), out="__contamination")
+    return found.where(F.col("__contamination.n_hit") == 0).drop("__contamination")
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources are brought to their target weights: a document stands as often as the mix takes it, in training order."""
+    return mixed_documents(docs)
+
+
+def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All rows are dealt to SHARDS shards along a Hilbert curve of language, source and size."""
+    return hilbert_shards(docs, SHARDS).select(*docs.columns, "shard", "slot")
+
+
 STAGES = [
+    ("toxicity", toxicity),
     ("near_dedup", near_dedup),
+    ("decontamination", decontamination),
+    ("mixing", mixing),
+    ("sharding", sharding),
 ]
 
-#: The stages score, cluster and sort; SQL has no form for them. tests/llm holds brute-force versions.
+#: A trained score, MinHash groups and range orders have no SQL form; tests/llm holds the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
+    for name, stage in STAGES[:-1]:
         docs = cut(stage(spark, docs, sf_dir), name)
-    return docs
+    return STAGES[-1][1](spark, docs, sf_dir)
