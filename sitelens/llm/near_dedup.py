@@ -4,7 +4,7 @@ Each text becomes the set of its word shingles, hashed to 64 bits. One permutati
 keeps each bin's least value; an empty bin borrows from the first full bin in an order of its own (optimal
 densification), so short texts keep independent bins. Bands of bins make buckets. In a bucket only a few pivots are
 compared with the rest (a star), never all pairs; what the pivots join is one component and needs no further
-comparison. Buckets that still hold several components get four times as many pivots in the next round, until none is
+comparison. Buckets that still hold several components get eight times as many pivots in the next round, until none is
 left: no candidate pair is given up, and no bucket is capped. Links are confirmed on full shingle sets.
 """
 
@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import hashlib
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,23 +23,13 @@ BANDS, ROWS = 32, 5
 #: of 0.8 over 160 bins it lies six standard deviations below the mean.
 SKETCH_SLACK = 0.19
 SALTS = 64
+#: Pivots of a bucket in the first round, and how many times as many each next round has.
+PIVOTS, MORE = 4, 8
 CHUNK = 1000
 _SLICE = 1 << 20
 _SEED = 0x9E3779B97F4A7C15
 
 
-class _WordHashes(dict):
-    """Word to 64-bit hash; forgets all when it has grown large."""
-
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        if len(self) > 500_000:
-            self.clear()
-        self[word] = h = xxhash.xxh64_intdigest(word, 7)
-        return h
-
-
 def _mix(x):
     import numpy as np
 
@@ -50,40 +40,67 @@ def _mix(x):
     return x ^ (x >> np.uint64(31))
 
 
-def shingle_set(text: bytes | None, k: int, words: dict):
+class WordHasher:
+    """64-bit hashes of the words of normalised bytes, all words at once: a word's polynomial is a difference of prefix sums."""
+
+    BASE = 0x9E3779B97F4A7C15
+
+    def __init__(self):
+        import numpy as np
+
+        self.bytes = np.random.default_rng(2024).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        self.up = self.down = np.ones(1, np.uint64)
+
+    def __call__(self, clean: bytes):
+        import numpy as np
+
+        b = np.frombuffer(clean, np.uint8)
+        n = len(b)
+        if n >= len(self.up):
+            power = lambda x: np.multiply.accumulate(np.concatenate((np.ones(1, np.uint64), np.full(2 * n, x, np.uint64))))
+            self.up, self.down = power(np.uint64(self.BASE)), power(np.uint64(pow(self.BASE, -1, 1 << 64)))
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(self.bytes[b] * self.up[:n], out=sums[1:])
+        edge = np.ones(n + 2, bool)
+        np.equal(b, 32, out=edge[1:-1])
+        edge = np.flatnonzero(edge[1:] != edge[:-1])
+        begin, end = edge[0::2], edge[1::2]
+        return _mix((sums[end] - sums[begin]) * self.down[begin])
+
+
+def shingle_set(text: bytes | None, k: int, hasher: WordHasher):
     """(sorted distinct 64-bit shingle hashes, 16-byte key of the word sequence or None). Fewer than k words: one shingle of all."""
     import numpy as np
 
     clean = (text or b"").translate(BLANK_TABLE)
     digest = hashlib.blake2b(digest_size=16)
-    parts, carry, at, seen = [], [], 0, False
+    parts, carry, at, seen = [], np.empty(0, np.uint64), 0, False
     while at < len(clean):
         end = len(clean) if at + _SLICE >= len(clean) else clean.find(b" ", at + _SLICE)
         end = len(clean) if end < 0 else end
-        got = clean[at:end].split()
+        words = hasher(clean[at:end])
         at = end
-        if not got:
+        if not len(words):
             continue
-        digest.update(b" ".join(got) + b" ")
+        digest.update(words.tobytes())
         seen = True
-        h = carry + [words[w] for w in got]
-        if len(h) >= k:
-            a = np.array(h, dtype=np.uint64)
-            n = len(a) - k + 1
+        h = np.concatenate((carry, words)) if len(carry) else words
+        n = len(h) - k + 1
+        if n > 0:
             s = np.zeros(n, dtype=np.uint64)
             for i in range(k):
-                s = s * np.uint64(_SEED) + a[i : i + n]
-            parts.append(np.unique(_mix(s)))
-            carry = h[-(k - 1) :] if k > 1 else []
-        else:
-            carry = h
+                s = s * np.uint64(_SEED) + h[i : i + n]
+            parts.append(_mix(s))
+        carry = h[max(0, len(h) - k + 1) :]
     if not seen:
         return np.empty(0, np.uint64), None
     if not parts:
-        short = hashlib.blake2b(b"short", digest_size=8)
-        short.update(digest.digest())
-        return np.frombuffer(short.digest(), dtype=np.uint64), digest.digest()
-    return (parts[0] if len(parts) == 1 else np.unique(np.concatenate(parts))), digest.digest()
+        short = hashlib.blake2b(digest.digest(), digest_size=8, key=b"short").digest()
+        return np.frombuffer(short, dtype=np.uint64), digest.digest()
+    s = np.sort(parts[0] if len(parts) == 1 else np.concatenate(parts))
+    fresh = np.ones(len(s), bool)
+    np.not_equal(s[1:], s[:-1], out=fresh[1:])
+    return s[fresh], digest.digest()
 
 
 class Sketcher:
@@ -99,27 +116,34 @@ class Sketcher:
         self.band_seed = rng.integers(1, 1 << 63, bands, dtype=np.uint64)
 
     def bins(self, hashes):
+        """One value a bin, for sorted distinct ``hashes``."""
         import numpy as np
 
         at = ((hashes >> np.uint64(32)) * np.uint64(self.k)) >> np.uint64(32)
-        first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))  # hashes are sorted: the first of a bin is its least
+        first = np.ones(len(at), bool)
+        np.not_equal(at[1:], at[:-1], out=first[1:])  # the first of a bin is its least
         full = at[first].astype(np.int64)
         out = np.zeros(self.k, np.uint64)
         out[full] = hashes[first]
         if len(full) < self.k:
-            empty = np.setdiff1d(np.arange(self.k), full, assume_unique=True)
-            out[empty] = out[full[self.order[np.ix_(empty, full)].argmin(axis=1)]]
-        return _mix(out)
-
-    def __call__(self, hashes):
-        """(band keys int64, one byte of each bin)."""
+            empty = np.ones(self.k, bool)
+            empty[full] = False
+            empty = np.flatnonzero(empty)
+            out[empty] = out[full[self.order[empty][:, full].argmin(axis=1)]]
+        return out
+
+    def __call__(self, sets):
+        """For each set: (band keys, one byte of each bin)."""
         import numpy as np
 
-        bins = self.bins(hashes)
-        key = np.array(self.band_seed)
+        if not sets:
+            return []
+        bins = _mix(np.stack([self.bins(s) for s in sets]))
+        key = np.tile(self.band_seed, (len(sets), 1))
         for i in range(self.rows):
-            key = _mix(key ^ bins[i :: self.rows][: self.bands])
-        return key.view(np.int64).tolist(), (bins & np.uint64(255)).astype(np.uint8).tobytes()
+            key = _mix(key ^ bins[:, i :: self.rows])
+        low = (bins & np.uint64(255)).astype(np.uint8)
+        return [(k, b.tobytes()) for k, b in zip(key.view(np.int64).tolist(), low, strict=True)]
 
 
 _SKETCH = T.StructType(
@@ -135,14 +159,12 @@ _SET = T.StructType([T.StructField("node", T.BinaryType()), T.StructField("hashe
 
 def _sketched(docs: DataFrame, id_col: str, text_col: str, k: int, bands: int, rows: int) -> DataFrame:
     def make():
-        words, sketch = _WordHashes(), Sketcher(bands, rows)
+        hasher, sketch = WordHasher(), Sketcher(bands, rows)
 
         def run(texts):
-            out = []
-            for t in texts:
-                s, node = shingle_set(t, k, words)
-                out.append((None, 0, None, None) if node is None else (node, len(s), *sketch(s)))
-            return out
+            sets = [shingle_set(t, k, hasher) for t in texts]
+            made = iter(sketch([s for s, node in sets if node is not None]))
+            return [(None, 0, None, None) if node is None else (node, len(s), *next(made)) for s, node in sets]
 
         return run
 
@@ -153,10 +175,10 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, k: int, wanted: DataFrame
     """(node, hashes) of the nodes in ``wanted`` (node, doc_id), computed from their texts again."""
 
     def make():
-        words = _WordHashes()
+        hasher = WordHasher()
 
         def run(texts):
-            return [(n, s.tobytes()) for s, n in (shingle_set(t, k, words) for t in texts)]
+            return [(n, s.tobytes()) for s, n in (shingle_set(t, k, hasher) for t in texts)]
 
         return run
 
@@ -196,7 +218,7 @@ def _confirmed(edges: DataFrame, sets: DataFrame, num: int, den: int) -> DataFra
         "pivot", F.pmod(F.xxhash64("node"), F.ceil(F.col("degree") / CHUNK)).alias("chunk"), F.lit(1).alias("turn"), "node"
     )
     pivots = members.select("pivot", "chunk").distinct().select("pivot", "chunk", F.lit(0).alias("turn"), F.col("pivot").alias("node"))
-    rows = cut(members.unionByName(pivots), "stars").join(sets, "node").repartition("pivot", "chunk").sortWithinPartitions("pivot", "chunk", "turn")
+    rows = members.unionByName(pivots).join(sets, "node").repartition("pivot", "chunk").sortWithinPartitions("pivot", "chunk", "turn")
 
     def run(batches):
         import numpy as np
@@ -220,24 +242,39 @@ def _confirmed(edges: DataFrame, sets: DataFrame, num: int, den: int) -> DataFra
     return rows.select("pivot", "turn", "node", "hashes").mapInArrow(run, "pivot binary, node binary")
 
 
-def connected(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+def connected(edges: DataFrame) -> DataFrame:
     """(node, label): the least node reachable, for every end of ``edges`` (pivot, node).
 
-    Least labels spread over the edges and then jump to their label's label, so that long chains halve at each turn.
-    Every turn is written to the shared folder; all joins shuffle plain tables, so hot hubs can be split.
+    Least labels spread over the edges and jump to their label's label, so that long chains halve at each turn. Both
+    tables of a turn are written to the shared folder; its joins shuffle plain tables, so hot hubs can be split.
     """
     ab = cut(edges.select(F.col("pivot").alias("u"), F.col("node").alias("v")).union(edges.select("node", "pivot")), "links")
-    labels = cut(ab.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("label")).withColumnRenamed("u", "node"), "labels")
+    labels = cut(ab.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("v")).select("node", F.least("v", "node").alias("label")), "labels")
     while True:
         near = cut(ab.join(labels, ab.v == labels.node).groupBy("u").agg(F.min("label").alias("least")), "near")
-        step = labels.join(near, labels.node == near.u).select("node", F.col("label").alias("old"), F.least("label", "least").alias("label"))
         hop = labels.select(F.col("node").alias("at"), F.col("label").alias("far"))
-        moved = cut(cut(step, "step").join(hop, F.col("label") == F.col("at"), "left").select("node", "old", F.least("label", "far").alias("label")), "moved")
+        moved = labels.join(near, labels.node == near.u).join(hop, F.col("label") == F.col("at"), "left")
+        moved = cut(moved.select("node", F.col("label").alias("old"), F.least("label", "least", "far").alias("label")), "moved")
         labels = moved.select("node", "label")
         if moved.where("label <> old").isEmpty():
             return labels
 
 
+def _joined(labels: DataFrame | None, edges: DataFrame) -> DataFrame:
+    """``labels`` brought up to date with new edges, which count as edges between the components they touch."""
+    if labels is None:
+        return connected(edges)
+    p, n = (labels.select(F.col("node").alias(f"{x}_node"), F.col("label").alias(x)) for x in ("p", "n"))
+    between = edges.join(p, F.col("pivot") == F.col("p_node"), "left").join(n, F.col("node") == F.col("n_node"), "left")
+    between = cut(between.select(F.coalesce("p", "pivot").alias("pivot"), F.coalesce("n", "node").alias("node")).where("pivot <> node").distinct(), "between")
+    if between.isEmpty():
+        return labels
+    to = connected(between).select(F.col("node").alias("old"), F.col("label").alias("new"))
+    moved = labels.join(to, F.col("label") == F.col("old"), "left").select("node", F.coalesce("new", "label").alias("label"))
+    fresh = to.join(labels, F.col("old") == F.col("node"), "left_anti").select(F.col("old").alias("node"), F.col("new").alias("label"))
+    return cut(moved.unionByName(fresh), "labels")
+
+
 def near_duplicates(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -262,38 +299,37 @@ def near_duplicates(
     slim = made.select("doc_id", "node", "n_shingles")
     reps = cut(made.where("node is not null").dropDuplicates(["node"]), "reps")
     banded = reps.select("node", "n_shingles", F.explode("bands").alias("key"))
-    shared = cut(banded.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "shared")
-    # order: which members become pivots first, the same in every bucket so that a group meets in few stars
-    live = cut(banded.join(shared, "key").select("key", "node", "n_shingles", F.xxhash64("node").alias("turn")).distinct(), "members")
-    labels, edges, sets, pivots = None, None, None, 1
+    shared = cut(banded.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "shared")
+    live = cut(banded.join(shared, "key").select("key", "node", "n_shingles", "n", F.col("node").alias("label")).distinct(), "shared_members")
+    # who becomes a pivot first: the nodes that meet most others, alike in every bucket, so that a group meets in few stars
+    weight = live.groupBy(F.col("node").alias("at")).agg((-F.sum("n")).alias("turn"))
+    live = cut(live.join(weight, F.col("node") == F.col("at")).select("key", "node", "n_shingles", "turn", "label"), "members")
+    labels, sets, pivots = None, None, PIVOTS
     ids = reps.select("node", "doc_id")
+    close = F.least("n_shingles", "n_pivot") * den >= F.greatest("n_shingles", "n_pivot") * num
     while not live.isEmpty():
-        salted = live.withColumn("salt", F.pmod(F.col("turn"), F.lit(SALTS)))
-        first = lambda keys, df: df.withColumn("rank", F.row_number().over(_by(keys))).where(F.col("rank") <= pivots).drop("rank")  # noqa: E731, B023
-        if pivots == 1:
-            chosen = salted.groupBy("key", "salt").agg(F.min_by(F.struct("node", "n_shingles", "turn", *(["label"] if labels is not None else [])), F.struct("turn", "node")).alias("p"))
-            chosen = chosen.groupBy("key").agg(F.min_by("p", F.struct("p.turn", "p.node")).alias("p")).select("key", "p.*")
-        else:
-            chosen = first(["key"], first(["key", "salt"], salted)).drop("salt")
-        chosen = cut(chosen.select("key", F.col("node").alias("pivot"), F.col("n_shingles").alias("n_pivot"), F.col("turn").alias("pivot_turn"), *([F.col("label").alias("pivot_label")] if labels is not None else [])), "pivots")
-        star = live.join(chosen, "key").where("node <> pivot")
+        # the first ``pivots`` members of each bucket, of each of its salted parts first
+        salted = live.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)))
+        chosen = cut(_first(["key"], _first(["key", "salt"], salted, pivots), pivots).select(
+            "key", F.col("node").alias("pivot"), F.col("n_shingles").alias("n_pivot"), F.col("label").alias("pivot_label")), "pivots")
+        star = live.join(chosen, "key").where((F.col("label") != F.col("pivot_label")) & close).select("pivot", "node").distinct()
+        found = cut(_alike(star, reps, share), "alike")
+        if not found.isEmpty():
+            ends = found.select("node").union(found.select("pivot")).distinct()
+            missing = cut((ends if sets is None else ends.join(sets.select("node"), "node", "left_anti")).join(ids, "node"), "wanted")
+            more = cut(_sets(docs, id_col, text_col, shingle, missing), "sets")
+            sets = more if sets is None else sets.unionByName(more)
+            new = cut(_confirmed(found, sets, num, den), "edges")
+            if not new.isEmpty():
+                labels = _joined(labels, new)
+        # pivots are done with; buckets whose other members are one component are too
+        rest = live.join(chosen.select("key", F.col("pivot").alias("node")), ["key", "node"], "left_anti")
         if labels is not None:
-            star = star.where("label <> pivot_label")
-        near = F.least("n_shingles", "n_pivot") * den >= F.greatest("n_shingles", "n_pivot") * num
-        found = cut(_alike(star.where(near).select("pivot", "node").distinct(), reps, share), "alike")
-        ends = found.select("node").union(found.select("pivot")).distinct()
-        missing = ends if sets is None else ends.join(sets.select("node"), "node", "left_anti")
-        more = cut(_sets(docs, id_col, text_col, shingle, cut(missing.join(ids, "node"), "wanted")), "sets")
-        sets = more if sets is None else sets.unionByName(more)
-        new = cut(_confirmed(found, sets, num, den), "edges")
-        edges = new if edges is None else edges.unionByName(new)
-        labels = connected(edges)
-        rest = live.drop("label").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        used = chosen.select("key", F.col("pivot").alias("node"))
-        rest = cut(cut(rest, "labelled").join(used, ["key", "node"], "left_anti"), "rest")
+            rest = rest.drop("label").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        rest = cut(rest.select(*live.columns), "rest")
         open_ = cut(rest.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("z")).where("a <> z").select("key"), "open")
-        live = cut(rest.join(open_, "key"), "members")
-        pivots *= 4
+        live = cut(rest.join(open_, "key").select(*live.columns), "members")
+        pivots *= MORE
     if labels is None:
         placed = slim.withColumn("label", F.col("node"))
     else:
@@ -308,10 +344,10 @@ def near_duplicates(
     )
 
 
-def _by(keys):
-    from pyspark.sql import Window
-
-    return Window.partitionBy(*keys).orderBy("turn", "node")
+def _first(keys: list[str], df: DataFrame, n: int) -> DataFrame:
+    """The first ``n`` rows of each group."""
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy("turn", "node"))
+    return df.withColumn("rank", rank).where(F.col("rank") <= n).drop("rank")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:

@@ -163,17 +163,16 @@ class Tagger:
 
 def _distinct(rows: list[tuple[bytes, int]]) -> list[tuple[bytes, int]]:
     """Without near copies, which would make all their words look alike in label."""
-    from .near_dedup import Sketcher, _WordHashes, shingle_set
-
-    words, sketch, seen, out = _WordHashes(), Sketcher(16, 4), set(), []
-    for text, y in rows:
-        s, node = shingle_set(text, 3, words)
-        if node is None:
-            continue
-        keys = sketch(s)[0]
-        if seen.isdisjoint(enumerate(keys)):
+    from .near_dedup import Sketcher, WordHasher, shingle_set
+
+    hasher = WordHasher()
+    sets = [(shingle_set(text, 3, hasher)[0], text, y) for text, y in rows]
+    sets = [x for x in sets if len(x[0])]
+    seen, out = set(), []
+    for (keys, _), (_, text, y) in zip(Sketcher(16, 4)([s for s, _, _ in sets]), sets, strict=True):
+        if seen.isdisjoint(keys):
             out.append((text, y))
-        seen.update(enumerate(keys))
+        seen.update(keys)
     return out
 
 
