@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,8 +15,6 @@ MAX_URL, MAX_HOST, MAX_LABEL = 2000, 253, 63
 
 def idna(host: Column) -> Column:
     """Punycode of hosts with non-ASCII characters, null if there is none; ASCII hosts stay in the JVM."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def encode(hosts: pd.Series) -> pd.Series:
         def one(h):

@@ -53,7 +53,7 @@ TEMPLATES = {
 
 def clean_list(items: Column, most: int = 100) -> Column:
     """Trimmed, blanks dropped, case-insensitively distinct with the first spelling kept; null if an item is too long."""
-    kept = F.filter(F.transform(items, F.trim), lambda x: x != "")
+    kept = F.filter(F.transform(items, lambda x: F.trim(x)), lambda x: x != "")
     first = F.filter(kept, lambda x, i: F.array_position(F.transform(kept, F.lower), F.lower(x)) == i + 1)
     return F.when(~F.exists(first, lambda x: F.length(x) > most), first)
 

@@ -62,7 +62,7 @@ def emails_deobfuscated(df: DataFrame, text: Column, *keep: str) -> DataFrame:
     """Addresses written with [at] and [dot] or the like, put together again."""
     parts = F.arrays_zip(*[F.regexp_extract_all(text, F.lit(OBFUSCATED), i).alias(n) for i, n in ((1, "l"), (2, "d"), (3, "t"))])
     d = df.select(*keep, F.posexplode(parts).alias("pos", "x"))
-    d = d.select(*keep, "pos", validate_email(F.concat(F.col("x").getField("0"), F.lit("@"), F.col("x").getField("1"), F.lit("."), F.col("x").getField("2"))).alias("e"))
+    d = d.select(*keep, "pos", validate_email(F.concat(F.col("x.l"), F.lit("@"), F.col("x.d"), F.lit("."), F.col("x.t"))).alias("e"))
     return d.where("e is not null").select(*keep, "pos", "e.*")
 
 
@@ -242,7 +242,7 @@ def upsert_contacts(old: DataFrame, new: DataFrame, key: str = "contact_key") ->
 def best_contact_by_type(contacts: DataFrame, types: tuple[str, ...], site: str = "site") -> DataFrame:
     """Per site the first active contact by type priority, primary flag, confidence and recency."""
     rank = F.coalesce(F.nullif(F.array_position(F.array(*[F.lit(t) for t in types]), F.col("contact_type")), F.lit(0)), F.lit(99))
-    order = F.struct(rank.alias("r"), (~F.col("is_primary")).alias("p"), (-F.col("confidence")).alias("c"), (-F.unix_micros("seen_at")).alias("t"))
+    order = F.struct(rank.alias("r"), (~F.col("is_primary")).alias("p"), (-F.col("confidence")).alias("c"), (-F.unix_micros(F.col("seen_at").cast("timestamp"))).alias("t"))
     row = F.struct(*contacts.columns)
     return contacts.where("is_active and email is not null").groupBy(site).agg(F.min_by(row, order).alias("r")).select("r.*")
 

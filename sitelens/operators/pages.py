@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -120,8 +121,6 @@ _LD = T.StructType([T.StructField(n, T.ArrayType(T.StringType())) for n in ("typ
 
 def jsonld(html: Column) -> Column:
     """Struct (types, dates, emails), sorted and distinct, of the JSON-LD blocks; broken blocks are passed over."""
-    import pandas as pd
-
     @F.pandas_udf(_LD)
     def read(blocks: pd.Series) -> pd.DataFrame:
         import json

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,8 +54,6 @@ def vocab_fingerprint() -> str:
 
 def normalize_text(c: Column) -> Column:
     """NFKC, lower case, other than word characters as one space. ASCII stays in the JVM."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def nfkc(s: pd.Series) -> pd.Series:
         return s.str.normalize("NFKC")
@@ -98,7 +97,11 @@ def site_evidence(signals: DataFrame, language: str | None = None, market: str |
         "market_language": one(F.lower("html_language").contains(language.lower()), "language") if language else F.array().cast("array<string>"),
         "market_location": one(F.exists(foot, lambda t: F.lower(t).contains(market.lower())), "location") if market else F.array().cast("array<string>"),
     }
-    pairs = F.flatten(F.array(*[F.transform(terms, lambda t, k=k: F.struct(F.lit(k).alias("kind"), t.alias("term"))) for k, terms in found.items()]))
+
+    def named(kind: str, terms: Column) -> Column:
+        return F.transform(terms, lambda t: F.struct(F.lit(kind).alias("kind"), t.alias("term")))
+
+    pairs = F.flatten(F.array(*[named(kind, terms) for kind, terms in found.items()]))
     return signals.select("site", "page_seq", "page_type", F.explode(pairs).alias("e")).select("site", "page_seq", "page_type", "e.kind", "e.term")
 
 
@@ -108,7 +111,7 @@ def v2_scores(evidence: DataFrame, sites: DataFrame, market: str | None = None)
     Terms are reduced to (site, kind, term) first, so a site with very many pages is summed before it is gathered; what is
     gathered per site is bounded by the vocabulary.
     """
-    first = evidence.groupBy("site", "kind", "term").agg(F.min_by("page_type", "page_seq").alias("page_type"), F.count(F.lit(1)).alias("n"), F.max(F.col("page_type") != "primary").alias("elsewhere"))
+    first = evidence.groupBy("site", "kind", "term").agg(F.min_by("page_type", "page_seq").alias("page_type"), F.count(F.lit(1)).cast("int").alias("n"), F.max(F.col("page_type") != "primary").alias("elsewhere"))
     k = lambda name: F.col("kind") == name
     gaming = F.col("kind").isin("gaming_identity", "gaming_navigation", "gaming_article")
     terms = lambda name: F.collect_set(F.when(k(name), F.col("term"))).alias(name)
