@@ -4,6 +4,7 @@ import glob
 import os
 
 import duckdb
+import pandas as pd
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 SF = "/root/testdata/sf0.001"
@@ -19,12 +20,12 @@ def connect(sf=SF):
 
 
 def plain(v):
-    if v is None or v != v:
+    if hasattr(v, "tolist"):
+        v = v.tolist()
+    if v is None or v is pd.NA or v is pd.NaT or (isinstance(v, float) and v != v):
         return "None"
     if isinstance(v, bool):
         return str(v)
-    if hasattr(v, "tolist"):
-        v = v.tolist()
     if isinstance(v, (int, float)):
         return repr(float(v))
     return str(v)
