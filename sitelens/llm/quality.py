@@ -42,7 +42,7 @@ def _share(text: Column, pattern: str) -> Column:
 RULES = (
     Rule("symbols", lambda text, b: b.n_symbols * 10 > b.n_words),
     Rule("word_length", lambda text, b: (b.word_chars < b.n_words * 2) | (b.word_chars > b.n_words * 12)),
-    Rule("duplicate_lines", lambda text, b: b.n_dup_lines * 10 > F.size(_lines(text)) * 3),
+    Rule("duplicate_lines", lambda text, b: b.n_dup_lines * 2 > F.size(_lines(text))),
     Rule("exclamations", lambda text, b: (F.length(text) - F.length(F.translate(text, "!", ""))) * 5 > b.n_words),
     Rule("capitals", lambda text, b: _share(text, "[A-Z]") * 2 > b.word_chars),
     Rule("letters", lambda text, b: _share(text, r"[0-9\x21-\x2F\x3A-\x40\x5B-\x60\x7B-\x7E]") * 10 > b.word_chars * 4),

@@ -103,7 +103,7 @@ b AS (SELECT w.doc_id, t, lines, len(w)::BIGINT AS n_words, coalesce(list_sum(li
 f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM b)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT (base_failed OR n_symbols * 10 > n_words OR word_chars < n_words * 2 OR word_chars > n_words * 12
-    OR n_dup_lines * 10 > len(lines) * 3
+    OR n_dup_lines * 2 > len(lines)
     OR len(regexp_extract_all(t, '!')) * 5 > n_words
     OR len(regexp_extract_all(t, '[A-Z]')) * 2 > word_chars
     OR len(regexp_extract_all(t, '[0-9\x21-\x2F\x3A-\x40\x5B-\x60\x7B-\x7E]')) * 10 > word_chars * 4
