@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import col
+from .common import col, cut, let
 
 BITS = 4
 ACCURACY = 10_000
@@ -68,15 +68,15 @@ def ordered_number(c: Column) -> Column:
     return F.coalesce(F.conv(head, 16, 10).cast("double"), F.lit(-1.0))
 
 
-def quantised(df: DataFrame, dims: dict[str, Column], bits: int = BITS) -> list[Column]:
-    """A cell number for each dimension: in how many of 2**bits - 1 cut points it lies above. The cut points divide the
-    dimension's distinct values evenly; they are a constant number of values from one aggregation."""
+def curve_of(df: DataFrame, dims: dict[str, Column], bits: int = BITS) -> Column:
+    """Each row's place on the curve. A dimension's cell is how many of 2**bits - 1 cut points it lies above. The cut
+    points divide the dimension's distinct values evenly; they are a constant number of values from one aggregation."""
     marks = [i / (1 << bits) for i in range(1, 1 << bits)]
-    out = []
-    for c in dims.values():
-        cuts = df.select(c.alias("v")).distinct().agg(F.percentile_approx("v", marks, ACCURACY)).first()[0] or []
-        out.append(sum((F.when(c > F.lit(float(x)), 1).otherwise(0) for x in cuts), F.lit(0)))
-    return out
+    cuts = [df.select(c.alias("v")).distinct().agg(F.percentile_approx("v", marks, ACCURACY)).first()[0] or [] for c in dims.values()]
+    cell = lambda v, at: sum((F.when(v > F.lit(float(x)), 1).otherwise(0) for x in at), F.lit(0))
+    cells = lambda d: F.struct(*[cell(d.getField(n), at).alias(n) for n, at in zip(dims, cuts, strict=True)])
+    # each step is bound before the next uses it many times
+    return let(F.struct(*[c.alias(n) for n, c in dims.items()]), lambda d: let(cells(d), lambda c: hilbert_index([c.getField(n) for n in dims], bits)))
 
 
 def hilbert_shards(
@@ -101,18 +101,18 @@ def hilbert_shards(
     raw = F.coalesce(col(text_col), F.lit(""))
     size = F.octet_length(raw).cast("long") + 8
     dims = dims or {"lang": ordered_number(col("lang")), "source": ordered_number(col("source")), "size": F.floor(F.log2(size)).cast("double")}
-    curve = hilbert_index(quantised(docs, dims, bits), bits)
+    curve = curve_of(docs, dims, bits)
     turn = F.md5(F.coalesce(col(id_col).cast("string"), F.lit("")).cast("binary"))
     rows = docs.select(
         F.struct(*[col(c).alias(c) for c in keep]).alias("row"), size.alias("size"), F.crc32(raw.cast("binary")).alias("text_crc32"), curve.alias("curve"), turn.alias("turn")
     ).withColumn("sub", F.substring("turn", 1, 2))
-    counts = docs.select(curve.alias("c"), F.substring(turn, 1, 2).alias("b")).groupBy("c", "b").agg(F.count(F.lit(1)).alias("n"))
+    counts = cut(docs.select(curve.alias("c"), F.substring(turn, 1, 2).alias("b")).groupBy("c", "b").agg(F.count(F.lit(1)).alias("n")), "runs")
     # at most 2**(bits * dims) cells and 256 runs in each, whatever the input
     in_cell = F.coalesce(F.sum("n").over(Window.partitionBy("c").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     cells = counts.groupBy("c").agg(F.sum("n").alias("cell_n"))
     before = F.coalesce(F.sum("cell_n").over(Window.orderBy("c").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     cells = cells.select(F.col("c").alias("cell"), before.alias("cell_before"))
-    total = docs.count()
+    total = counts.agg(F.sum("n")).first()[0] or 0
     runs = counts.withColumn("in_cell", in_cell).join(cells, F.col("c") == F.col("cell")).select("c", "b", (F.col("in_cell") + F.col("cell_before")).alias("before"))
     own = F.row_number().over(Window.partitionBy("curve", "sub").orderBy("turn", "text_crc32", "size")) - 1
     placed = rows.join(runs, (F.col("curve") == F.col("c")) & (F.col("sub") == F.col("b"))).withColumn("rank", (F.col("before") + own).cast("long"))
