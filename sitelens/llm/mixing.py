@@ -145,9 +145,10 @@ def mix(
 
 def training_order(mixed: DataFrame, parts: int | None = None) -> DataFrame:
     """Range-sorted by training position; documents that are not taken come last."""
-    order = F.col("position").asc_nulls_last()
-    ranged = mixed.repartitionByRange(parts, order) if parts else mixed.repartitionByRange(order)
-    return ranged.sortWithinPartitions(order)
+    spread = F.xxhash64(F.struct(*[col(c) for c, kind in mixed.dtypes if not kind.startswith(("map", "variant"))]))  # many rows may share a position
+    order = (F.col("position").asc_nulls_last(), spread)
+    ranged = mixed.repartitionByRange(parts, *order) if parts else mixed.repartitionByRange(*order)
+    return ranged.sortWithinPartitions(*order)
 
 
 def mixed_documents(docs: DataFrame, **how) -> DataFrame:
