@@ -19,20 +19,20 @@ WEB = "web struct<results array<struct<url string, title string, description str
 
 
 def read_seeds(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(SEED_SCHEMA).csv(path, header=True)
+    return spark.read.schema(SEED_SCHEMA).csv(path, header=True, escape='"')
 
 
 def read_manual_traffic(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(TRAFFIC_SCHEMA).csv(path, header=True)
+    return spark.read.schema(TRAFFIC_SCHEMA).csv(path, header=True, escape='"')
 
 
 def read_labels(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(rows, broken rows) of a labelled CSV; the header must be LABEL_COLUMNS."""
-    head = tuple(spark.read.csv(path, header=True).columns)
+    head = tuple(spark.read.csv(path, header=True, escape='"').columns)
     if head != LABEL_COLUMNS:
         raise ValueError(f"header is {head}")
     schema = ", ".join(f"{c} string" for c in LABEL_COLUMNS) + ", _broken string"
-    d = spark.read.schema(schema).csv(path, header=True, mode="PERMISSIVE", columnNameOfCorruptRecord="_broken", multiLine=True)
+    d = spark.read.schema(schema).csv(path, header=True, escape='"', mode="PERMISSIVE", columnNameOfCorruptRecord="_broken", multiLine=True)
     return d.where("_broken is null").drop("_broken"), d.where("_broken is not null")
 
 

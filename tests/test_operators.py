@@ -133,7 +133,7 @@ def test_outcomes(spark):
 
 def test_sources(spark, tmp_path):
     (tmp_path / "seeds.csv").write_text('target_market,publication_name,website_url,category\nJP,"A, ""B""",https://a.com,news\n')
-    assert io.read_seeds(spark, str(tmp_path / "seeds.csv")).first().publication_name.startswith('A, ')
+    assert io.read_seeds(spark, str(tmp_path / "seeds.csv")).first().publication_name == 'A, "B"'
     head = ",".join(io.LABEL_COLUMNS)
     (tmp_path / "labels.csv").write_text(head + "\n" + ",".join("x" * 15) + "\n" + "a,b\n")
     good, bad = io.read_labels(spark, str(tmp_path / "labels.csv"))
