@@ -4,8 +4,9 @@ Each text becomes the set of its word shingles, hashed to 64 bits. One permutati
 keeps each bin's least value; an empty bin borrows from the first full bin in an order of its own (optimal
 densification), so short texts keep independent bins. Bands of bins make buckets. In a bucket only a few pivots are
 compared with the rest (a star), never all pairs; what the pivots join is one component and needs no further
-comparison. Buckets that still hold several components get eight times as many pivots in the next round, until none is
-left: no candidate pair is given up, and no bucket is capped. Links are confirmed on full shingle sets.
+comparison. In buckets that still hold several components, the other members pass each other in bounded blocks, so that
+no candidate pair is given up, no bucket is capped, and nothing but links is written. Links are confirmed on full
+shingle sets.
 """
 
 from __future__ import annotations
@@ -19,13 +20,15 @@ from pyspark.sql import types as T
 from .common import BLANK_TABLE, annotate, cut
 
 BANDS, ROWS = 32, 5
-#: Pairs whose sketches agree in fewer bins than this share are dropped before their texts are fetched. At a similarity
-#: of 0.8 over 160 bins it lies six standard deviations below the mean.
-SKETCH_SLACK = 0.19
+#: Pairs whose sketches agree in fewer bins than the threshold less this are dropped before their texts are compared. At a
+#: similarity of 0.8 over 160 bins it is 4.6 standard deviations, which a pair misses as rarely as all its bands.
+SKETCH_SLACK = 0.145
 SALTS = 64
-#: Pivots of a bucket in the first round, and how many times as many each next round has.
-PIVOTS, MORE = 4, 8
+#: Pivots of a bucket's star; members and bytes of shingles in a block of the buckets that stars leave open.
+PIVOTS, BLOCK, BLOCK_BYTES = 4, 256, 32 << 20
 CHUNK = 1000
+#: As many wanted ids, of 24 bytes each, are broadcast to the texts at most.
+FEW = 500_000
 _SLICE = 1 << 20
 _SEED = 0x9E3779B97F4A7C15
 
@@ -183,6 +186,8 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, k: int, wanted: DataFrame
         return run
 
     ids = wanted.select(F.col("doc_id").alias("wanted_id"), F.col("node").alias("wanted_node"))
+    if wanted.count() <= FEW:  # else texts are shuffled by id
+        ids = F.broadcast(ids)
     found = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(ids, F.col("doc_id").eqNullSafe(F.col("wanted_id")))
     return annotate(found, make, _SET, "made", "text", ["wanted_node"]).where("made.node = wanted_node").select("made.*").dropDuplicates(["node"])
 
@@ -300,36 +305,35 @@ def near_duplicates(
     reps = cut(made.where("node is not null").dropDuplicates(["node"]), "reps")
     banded = reps.select("node", "n_shingles", F.explode("bands").alias("key"))
     shared = cut(banded.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "shared")
-    live = cut(banded.join(shared, "key").select("key", "node", "n_shingles", "n", F.col("node").alias("label")).distinct(), "shared_members")
+    live = cut(banded.join(shared, "key").select("key", "node", "n_shingles", "n").distinct(), "shared_members")
     # who becomes a pivot first: the nodes that meet most others, alike in every bucket, so that a group meets in few stars
     weight = live.groupBy(F.col("node").alias("at")).agg((-F.sum("n")).alias("turn"))
-    live = cut(live.join(weight, F.col("node") == F.col("at")).select("key", "node", "n_shingles", "turn", "label"), "members")
-    labels, sets, pivots = None, None, PIVOTS
+    live = cut(live.join(weight, F.col("node") == F.col("at")).select("key", "node", "n_shingles", "turn"), "members")
     ids = reps.select("node", "doc_id")
+    fetch = lambda nodes: cut(_sets(docs, id_col, text_col, shingle, cut(nodes.join(ids, "node"), "wanted")), "sets")
+    # stars: the first members of each bucket, of each of its salted parts first, against all of it
+    salted = live.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)))
+    chosen = cut(_first(["key"], _first(["key", "salt"], salted, PIVOTS), PIVOTS).select("key", F.col("node").alias("pivot"), F.col("n_shingles").alias("n_pivot")), "pivots")
     close = F.least("n_shingles", "n_pivot") * den >= F.greatest("n_shingles", "n_pivot") * num
-    while not live.isEmpty():
-        # the first ``pivots`` members of each bucket, of each of its salted parts first
-        salted = live.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)))
-        chosen = cut(_first(["key"], _first(["key", "salt"], salted, pivots), pivots).select(
-            "key", F.col("node").alias("pivot"), F.col("n_shingles").alias("n_pivot"), F.col("label").alias("pivot_label")), "pivots")
-        star = live.join(chosen, "key").where((F.col("label") != F.col("pivot_label")) & close).select("pivot", "node").distinct()
-        found = cut(_alike(star, reps, share), "alike")
-        if not found.isEmpty():
-            ends = found.select("node").union(found.select("pivot")).distinct()
-            missing = cut((ends if sets is None else ends.join(sets.select("node"), "node", "left_anti")).join(ids, "node"), "wanted")
-            more = cut(_sets(docs, id_col, text_col, shingle, missing), "sets")
-            sets = more if sets is None else sets.unionByName(more)
-            new = cut(_confirmed(found, sets, num, den), "edges")
-            if not new.isEmpty():
-                labels = _joined(labels, new)
-        # pivots are done with; buckets whose other members are one component are too
-        rest = live.join(chosen.select("key", F.col("pivot").alias("node")), ["key", "node"], "left_anti")
-        if labels is not None:
-            rest = rest.drop("label").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        rest = cut(rest.select(*live.columns), "rest")
-        open_ = cut(rest.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("z")).where("a <> z").select("key"), "open")
-        live = cut(rest.join(open_, "key").select(*live.columns), "members")
-        pivots *= MORE
+    star = live.join(chosen, "key").where((F.col("node") != F.col("pivot")) & close).select("pivot", "node").distinct()
+    found = cut(_alike(star, reps, share), "alike")
+    labels, sets = None, None
+    if not found.isEmpty():
+        sets = fetch(found.select("node").union(found.select("pivot")).distinct())
+        new = cut(_confirmed(found, sets, num, den), "edges")
+        labels = None if new.isEmpty() else _joined(labels, new)
+    # blocks: pivots are done with, and so are buckets whose other members are one component
+    rest = live.join(chosen.select("key", F.col("pivot").alias("node")), ["key", "node"], "left_anti").select("key", "node", "n_shingles")
+    rest = rest.withColumn("label", F.col("node")) if labels is None else rest.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    rest = cut(rest.select("key", "node", "n_shingles", "label"), "rest")
+    split = rest.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("z"), F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("held")).where("a <> z")
+    rest = cut(rest.join(cut(split.select("key", "n", "held"), "open"), "key"), "members")
+    if not rest.isEmpty():
+        nodes = rest.select("node").distinct()
+        more = fetch(nodes if sets is None else nodes.join(sets.select("node"), "node", "left_anti"))
+        new = cut(_compared(rest, reps, more if sets is None else sets.unionByName(more), share, num, den), "edges")
+        if not new.isEmpty():
+            labels = _joined(labels, new)
     if labels is None:
         placed = slim.withColumn("label", F.col("node"))
     else:
@@ -344,6 +348,56 @@ def near_duplicates(
     )
 
 
+def _compared(members: DataFrame, reps: DataFrame, sets: DataFrame, share: float, num: int, den: int) -> DataFrame:
+    """Links (pivot, node) among the members (key, node, n_shingles, label, n, held) of each bucket, of different labels.
+
+    A bucket's members are dealt to blocks, bounded in number and bytes; every member passes each block once and is
+    compared with it in memory, so that no pair is written but a link. A pair that meets in several buckets is compared
+    in that of its first common band alone.
+    """
+    blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("held") * 8 / BLOCK_BYTES)).cast("int")
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    rows = members.withColumn("blocks", blocks).withColumn("own", own).join(reps.select("node", "bands", "sketch"), "node").join(sets, "node")
+    names = ("key", "block", "turn", "node", "label", "bands", "sketch", "hashes")
+    turns = F.when(F.col("block") == F.col("own"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(1)))
+    rows = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("turn", F.explode(turns)).select(*names)
+    rows = rows.repartition("key", "block").sortWithinPartitions("key", "block", "turn")
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        at, held = None, []
+        nodes = labels = bands = sketches = sizes = None
+        for batch in batches:
+            out_p, out_n = [], []
+            for key, block, turn, node, label, own, sketch, h in zip(*(batch.column(c) for c in names), strict=True):
+                key, block, node, label = key.as_py(), block.as_py(), node.as_py(), label.as_py()
+                own, sketch, h = own.values.to_numpy(), np.frombuffer(sketch.as_py(), np.uint8), np.frombuffer(h.as_py(), np.uint64)
+                if (key, block) != at:
+                    at, held, nodes = (key, block), [], None
+                if turn.as_py() == 0:
+                    held.append((node, label, own, sketch, h))
+                    continue
+                if nodes is None:
+                    nodes, labels, bands, sketches = ([x[i] for x in held] for i in range(4))
+                    bands, sketches, sizes = np.stack(bands), np.stack(sketches), np.array([len(x[4]) for x in held])
+                same = bands == own
+                first = same[np.arange(len(held)), same.argmax(axis=1)] & (own[same.argmax(axis=1)] == key)
+                near = np.minimum(sizes, len(h)) * den >= np.maximum(sizes, len(h)) * num
+                for i in np.flatnonzero(first & near & ((sketches == sketch).mean(axis=1) >= share)):
+                    if nodes[i] < node and labels[i] != label:
+                        base = held[i][4]
+                        where = np.searchsorted(base, h)
+                        both = int((base[np.minimum(where, len(base) - 1)] == h).sum())
+                        if den * both >= num * (len(base) + len(h) - both):
+                            out_p.append(nodes[i])
+                            out_n.append(node)
+            yield pa.RecordBatch.from_arrays([pa.array(out_p, pa.binary()), pa.array(out_n, pa.binary())], names=["pivot", "node"])
+
+    return rows.mapInArrow(run, "pivot binary, node binary")
+
+
 def _first(keys: list[str], df: DataFrame, n: int) -> DataFrame:
     """The first ``n`` rows of each group."""
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy("turn", "node"))
@@ -351,7 +405,10 @@ def _first(keys: list[str], df: DataFrame, n: int) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The documents kept by ``near_duplicates``, with all their columns; of rows that repeat id and text one stays."""
-    keep = near_duplicates(docs, id_col, text_col, **how).where("kept").select(F.col("doc_id").alias("__kept_id")).distinct()
-    kept = docs.join(keep, F.col(id_col).eqNullSafe(F.col("__kept_id"))).drop("__kept_id")
-    return kept.dropDuplicates([id_col, text_col])
+    """The documents kept by ``near_duplicates``, with all their columns; of rows that repeat id and text one stays. Rows without an id stay if one of them is kept."""
+    keep = cut(near_duplicates(docs, id_col, text_col, **how).where("kept").select(F.col("doc_id").alias("__kept_id")).distinct(), "kept")
+    # a plain join deals texts out by id once, and the last step needs no other order; nulls don't join by it
+    kept = docs.join(keep, F.col(id_col) == F.col("__kept_id"))
+    nulls = docs.where(F.col(id_col).isNull()).join(keep.where("__kept_id is null"), F.col(id_col).eqNullSafe(F.col("__kept_id")))
+    once = lambda df: df.drop("__kept_id").dropDuplicates([id_col, text_col])
+    return once(kept).unionByName(once(nulls))
