@@ -51,19 +51,34 @@ RULES = (
 )
 
 
+#: Low bits that hold a window's place beside the high bits of its hash.
+_PLACE = 28
+
+
 def _repeated(words: Column) -> Column:
-    """Words inside 3-word windows that occur twice or more: sort the windows, keep those equal to a neighbour, count the positions they cover."""
+    """Words inside 3-word windows that occur twice or more.
+
+    A window is one number: hash bits, then its place. Sorted, equal windows are neighbours; words are compared where
+    hash bits agree, so hashes decide nothing alone. Texts in which no hash repeats are done after one look.
+    """
     at = lambda a, i: F.get(a, i)
-    windows = F.transform(
-        F.sequence(F.lit(0), F.size(words) - 3),
-        lambda i: F.struct(F.concat_ws(" ", at(words, i), at(words, i + 1), at(words, i + 2)).alias("g"), i.alias("i")),
-    )
-    twice = let(
-        F.sort_array(windows),
-        lambda s: F.filter(s, lambda x, i: x.g.eqNullSafe(at(s, i - 1).getField("g")) | x.g.eqNullSafe(at(s, i + 1).getField("g"))),
-    )
-    covered = F.flatten(F.transform(twice, lambda x: F.array(x.i, x.i + 1, x.i + 2)))
-    return F.when(F.size(words) < 3, 0).otherwise(F.size(F.array_distinct(covered)))
+    hashes = F.transform(F.sequence(F.lit(0), F.size(words) - 3), lambda i: F.xxhash64(at(words, i), at(words, i + 1), at(words, i + 2)))
+    mask = F.lit((1 << _PLACE) - 1)
+
+    def places(h: Column) -> Column:
+        packed = F.transform(h, lambda x, i: F.shiftleft(F.shiftright(x, _PLACE), _PLACE).bitwiseOR(i.cast("long")))
+        place = lambda x: x.bitwiseAND(mask).cast("int")
+
+        def equal(x: Column, y: Column) -> Column:
+            same = F.shiftright(x, _PLACE) == F.shiftright(y, _PLACE)
+            own = lambda k: at(words, place(x) + k) == at(words, place(y) + k)
+            return F.coalesce(F.when(same, own(0) & own(1) & own(2)), F.lit(False))
+
+        twice = let(F.sort_array(packed), lambda s: F.filter(s, lambda x, i: equal(x, at(s, i - 1)) | equal(x, at(s, i + 1))))
+        return F.array_distinct(F.flatten(F.transform(twice, lambda x: F.array(place(x), place(x) + 1, place(x) + 2))))
+
+    counted = let(hashes, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), 0).otherwise(F.size(places(h))))
+    return F.when(F.size(words) < 3, 0).otherwise(counted)
 
 
 def base_counts(text: Column) -> Column:
