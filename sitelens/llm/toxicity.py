@@ -20,10 +20,12 @@ from pyspark.sql import types as T
 from .common import ALNUM_TABLE, annotate, runs
 
 #: Bounds of the training sample: rows of either class, and bytes of one training text. Scoring reads every text whole.
-MAX_TOXIC, MAX_CLEAN, MAX_TRAIN_BYTES = 1500, 6000, 64 << 10
+MAX_TOXIC, MAX_CLEAN, MAX_TRAIN_BYTES = 1000, 3000, 64 << 10
+#: Rows of either class from which the chain's weights are learnt; which features tell is learnt from all.
+CHAIN_ROWS = 400
 #: A feature marks tokens if its G statistic and its odds ratio reach these.
 MIN_G, MIN_ODDS = 20.0, 8.0
-STEPS, RATE, DECAY = 60, 0.3, 1e-3
+STEPS, RATE, DECAY = 30, 0.4, 1e-3
 LIMIT = 15.0
 
 RESULT = T.StructType(
@@ -208,15 +210,10 @@ def fit(rows: list[tuple[bytes, int]], share: float | None = None) -> Model:
             if 2 * (a * log(a / ea) + (b * log(b / eb) if b else 0)) >= MIN_G:
                 telling.add(f)
     index = {f: i for i, f in enumerate(sorted(telling))}
-    # the chain learns from all toxic and as many clean rows
-    train, clean = [], 0
-    for words, y in split:
-        if words and (y or clean < n1):
-            train.append((words, y))
-            clean += not y
+    train = [[(words, y) for words, y in split if words and y == side][:CHAIN_ROWS] for side in (0, 1)]
     token_of, feat_of, label, bounds = [], [], [], [0]
     own: dict[bytes, list[int]] = {}  # of a word: its telling features
-    for words, y in train:
+    for words, y in train[0] + train[1]:
         for w in words:
             if (ids := own.get(w)) is None:
                 ids = own[w] = [index[f] for f in features(w) if f in index]
