@@ -58,7 +58,7 @@ class _Emissions(dict):
         self.model = model
 
     def __missing__(self, word: bytes) -> float:
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         get = self.model.weights.get
         v = self.model.bias + sum(get(f, 0.0) for f in features(word))
@@ -140,18 +140,23 @@ class Tagger:
     def __init__(self, model: Model):
         self.model, self.emit = model, _Emissions(model)
 
-    def __call__(self, texts: Sequence[bytes | None]) -> list[tuple]:
+    def summaries(self, texts: Sequence[bytes | None]):
+        """(summary rows, marginals of all tokens, bounds of the texts in them)."""
         import numpy as np
 
         emit, phi, bounds = self.emit, [], [0]
         for t in texts:
             phi += [emit[w] for w in (t or b"").translate(ALNUM_TABLE).split()]
             bounds.append(len(phi))
-        bounds = np.array(bounds)
-        p = np.zeros(0)
+        bounds, p = np.array(bounds), np.zeros(0)
         if len(phi):
             p = marginals(np.array(phi), np.unique(bounds[:-1][np.diff(bounds) > 0]), self.model.chain)[0]
-        x = summary(p, bounds)
+        return summary(p, bounds), p, bounds
+
+    def __call__(self, texts: Sequence[bytes | None]) -> list[tuple]:
+        import numpy as np
+
+        x, p, bounds = self.summaries(texts)
         score = 1 / (1 + np.exp(-np.clip(x @ np.array(self.model.logit), -30, 30)))
         hot = p >= 0.5
         out = []
@@ -187,20 +192,25 @@ def fit(rows: list[tuple[bytes, int]], share: float | None = None) -> Model:
     n0 = len(rows) - n1
     if not n1 or not n0:
         return Model(logit=(5.0 if n1 else -5.0, 0.0, 0.0, 0.0))
-    split = [(t.translate(ALNUM_TABLE).split(), y) for t, y in rows]
+    # texts are split anew in each pass and what is remembered of words is bounded, to keep the driver small
+    words_of = lambda t: t.translate(ALNUM_TABLE).split()
     df = {0: Counter(), 1: Counter()}
     memo: dict[bytes, list[str]] = {}
     # clean rows need only the features that some toxic rows have
-    for side, known in ((1, None), (0, df[1])):
+    for side in (1, 0):
         memo.clear()
-        for words, y in split:
+        for text, y in rows:
             if y == side:
                 own = set()
-                for w in set(words):
+                for w in set(words_of(text)):
                     if (fs := memo.get(w)) is None:
-                        fs = memo[w] = features(w) if known is None else [f for f in features(w) if known[f] >= 3]
+                        if len(memo) > 30_000:
+                            memo.clear()
+                        fs = memo[w] = features(w) if side else [f for f in features(w) if f in df[1]]
                     own.update(fs)
                 df[side].update(own)
+        if side:
+            df[1] = Counter({f: n for f, n in df[1].items() if n >= 3})
     telling = set()
     for f, a in df[1].items():
         b = df[0][f]
@@ -210,11 +220,13 @@ def fit(rows: list[tuple[bytes, int]], share: float | None = None) -> Model:
             if 2 * (a * log(a / ea) + (b * log(b / eb) if b else 0)) >= MIN_G:
                 telling.add(f)
     index = {f: i for i, f in enumerate(sorted(telling))}
-    train = [[(words, y) for words, y in split if words and y == side][:CHAIN_ROWS] for side in (0, 1)]
+    df.clear()
+    memo.clear()
+    train = [[(text, y) for text, y in rows if y == side and words_of(text)][:CHAIN_ROWS] for side in (0, 1)]
     token_of, feat_of, label, bounds = [], [], [], [0]
     own: dict[bytes, list[int]] = {}  # of a word: its telling features
-    for words, y in train[0] + train[1]:
-        for w in words:
+    for text, y in train[0] + train[1]:
+        for w in words_of(text):
             if (ids := own.get(w)) is None:
                 ids = own[w] = [index[f] for f in features(w) if f in index]
             if ids:
@@ -255,14 +267,10 @@ def fit(rows: list[tuple[bytes, int]], share: float | None = None) -> Model:
         theta[k + 1 :] = np.clip(theta[k + 1 :], -6, 6)
     model = Model({f: float(theta[i]) for f, i in index.items()}, float(theta[k]), (1.0, *map(float, np.exp(theta[k + 1 : k + 5]))))
     # documents: weighted logistic regression over all rows
-    emit = _Emissions(model)
-    phi, bounds = [], [0]
-    for words, _ in split:
-        phi += [emit[w] for w in words]
-        bounds.append(len(phi))
-    bounds = np.array(bounds)
-    p = marginals(np.array(phi), np.unique(bounds[:-1][np.diff(bounds) > 0]), model.chain)[0] if phi else np.zeros(0)
-    x, y = summary(p, bounds), np.array([y for _, y in split], float)
+    tagger, parts = Tagger(model), []
+    for i in range(0, len(rows), 100):
+        parts.append(tagger.summaries([t for t, _ in rows[i : i + 100]])[0])
+    x, y = np.concatenate(parts), np.array([y for _, y in rows], float)
     share = n1 / (n0 + n1) if share is None else min(max(share, 0.01), 0.99)
     weight = np.where(y == 1, share / n1, (1 - share) / n0) * len(y)
     model.logit = tuple(map(float, _logistic(x, y, weight)))
