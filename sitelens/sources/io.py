@@ -33,7 +33,8 @@ def read_labels(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
         raise ValueError(f"header is {head}")
     schema = ", ".join(f"{c} string" for c in LABEL_COLUMNS) + ", _broken string"
     d = spark.read.schema(schema).csv(path, header=True, escape='"', mode="PERMISSIVE", columnNameOfCorruptRecord="_broken", multiLine=True)
-    return d.where("_broken is null").drop("_broken"), d.where("_broken is not null")
+    read = F.length(F.concat_ws("", *LABEL_COLUMNS)) >= 0  # Spark refuses plans that read nothing but the broken lines
+    return d.where("_broken is null").where(read).drop("_broken"), d.where("_broken is not null").where(read)
 
 
 def search_hits_organic(responses: DataFrame, json: str = "body") -> DataFrame:
