@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 
 from .common import col, cut, let, lower_ascii
 
-DAMPING, TURNS = 0.85, 6
+DAMPING = 0.85
+#: Relative width of the bounds on a host's rank at which iteration stops, and by which distrust must exceed trust.
+TOLERANCE = 1e-9
 SALTS = 64
 LINK = r"""(?is)<a\s[^>]*?href\s*=\s*["']?([a-z][a-z0-9+.-]*://[^"'\s>]+)"""
 
@@ -73,24 +75,66 @@ def site_edges(hosts: DataFrame) -> DataFrame:
     return up.unionByName(up.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
 
 
-def propagate(hosts: DataFrame, edges: DataFrame, damping: float = DAMPING, turns: int = TURNS) -> DataFrame:
+def propagate(hosts: DataFrame, edges: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
     """(host, trust, distrust) from ``hosts`` (host, good, bad: seed masses that sum to 1 each) over ``edges`` (src, dst, weight).
 
     Both ranks move in one join a turn: trust from src to dst by src's out-weights, distrust from dst to src by dst's
     in-weights. What ends at a host without edges is lost. Tables are written between turns; joins shuffle plain tables, so hubs can be split.
+
+    A rank is a sum of terms, a turn adds one. Turns go on until every host's rank is known to a relative ``tolerance``,
+    so a chain of n links takes n turns at least. See ``_rest`` for the bounds.
     """
     out, into = (edges.groupBy(F.col(c).alias("h")).agg(F.sum("weight").alias("all")) for c in ("src", "dst"))
     trust = edges.join(cut(out, "out"), F.col("src") == F.col("h")).select(F.col("src").alias("from"), F.col("dst").alias("to"), (F.col("weight") / F.col("all")).alias("t"), F.lit(0.0).alias("d"))
     doubt = edges.join(cut(into, "into"), F.col("dst") == F.col("h")).select(F.col("dst").alias("from"), F.col("src").alias("to"), F.lit(0.0).alias("t"), (F.col("weight") / F.col("all")).alias("d"))
     moves = cut(trust.unionByName(doubt).groupBy("from", "to").agg(F.sum("t").alias("t"), F.sum("d").alias("d")), "moves")
-    ranks = cut(hosts.select("host", "good", "bad", F.col("good").alias("trust"), F.col("bad").alias("distrust")), "ranks")
     if moves.isEmpty():
-        return ranks.select("host", "trust", "distrust")
-    for _ in range(turns):
-        came = moves.join(ranks, F.col("from") == F.col("host")).groupBy("to").agg(F.sum(F.col("trust") * F.col("t")).alias("t"), F.sum(F.col("distrust") * F.col("d")).alias("d"))
-        next_ = lambda seed, x: (F.col(seed) * (1 - damping) + F.coalesce(F.col(x), F.lit(0.0)) * damping)
-        ranks = cut(ranks.join(came, F.col("host") == F.col("to"), "left").select("host", "good", "bad", next_("good", "t").alias("trust"), next_("bad", "d").alias("distrust")), "ranks")
-    return ranks.select("host", "trust", "distrust")
+        return cut(hosts.select("host", F.col("good").alias("trust"), F.col("bad").alias("distrust")), "ranks")
+    first = {"trust": F.col("good") * (1 - damping), "distrust": F.col("bad") * (1 - damping)}
+    ranks = cut(hosts.select("host", *[x for r, seed in first.items() for x in (seed.alias(r), F.lit(0.0).alias(f"{r}0"), F.lit(0.0).alias(f"{r}1"), seed.alias(f"{r}2"))]), "ranks")
+    while True:
+        came = moves.join(ranks, F.col("from") == F.col("host")).groupBy("to").agg(*[F.sum(F.col(f"{r}2") * F.col(w)).alias(f"{r}_in") for r, w in (("trust", "t"), ("distrust", "d"))])
+        term = lambda r: F.coalesce(F.col(f"{r}_in"), F.lit(0.0)) * damping
+        step = lambda r: ((F.col(r) + term(r)).alias(r), F.col(f"{r}1").alias(f"{r}0"), F.col(f"{r}2").alias(f"{r}1"), term(r).alias(f"{r}2"))
+        ranks = cut(ranks.join(came, F.col("host") == F.col("to"), "left").select("host", *step("trust"), *step("distrust")), "ranks")
+        rest = _rest(ranks, list(first), damping, tolerance)
+        if None not in rest.values():
+            return ranks.select("host", *[(F.col(r) + (F.col(f"{r}1") + F.col(f"{r}2")) * more).alias(r) for r, more in rest.items()])
+
+
+def _rest(ranks: DataFrame, names: Sequence[str], damping: float, tolerance: float) -> dict[str, float | None]:
+    """What all later terms of each rank add, as a multiple of the last two; None while that is not known to ``tolerance``.
+
+    A term is a fixed map, without negative weights, of the one before. So if no host's last term is above a times its
+    term two turns ago, nor below b times, this holds for all later turns: what is left lies between b / (1 - b) and
+    a / (1 - a) times the last two terms. Where terms keep coming to hosts that had none two turns ago (long chains,
+    longer cycles), no host gets more than all hosts' last terms together still pass on, and once a turn reaches no new
+    host none will.
+    """
+    made = []
+    for r in names:
+        all_, old, last, new = (F.col(f"{r}{k}") for k in ("", 0, 1, 2))
+        made += [
+            F.max(F.when(new > 0, F.when(old > 0, new / old).otherwise(F.lit(float("inf"))))).alias(f"{r}_a"),
+            F.min(F.when(old > 0, new / old)).alias(f"{r}_b"),
+            F.max(F.when(all_ > 0, (last + new) / all_)).alias(f"{r}_step"),
+            F.sum(new).alias(f"{r}_mass"),
+            F.min(F.when(all_ > 0, all_)).alias(f"{r}_least"),
+            F.count_if((new > 0) & (new == all_)).alias(f"{r}_fresh"),
+        ]
+    seen, rest = ranks.agg(*made).first(), {}
+    for r in names:
+        a, b, step, mass, least, fresh = (seen[f"{r}_{k}"] for k in ("a", "b", "step", "mass", "least", "fresh"))
+        rest[r] = None
+        if a is None:  # the last term is empty, and so are all to come
+            rest[r] = 0.0
+        elif a < 1:
+            low, high = b / (1 - b), a / (1 - a)
+            if (high - low) * step <= tolerance:
+                rest[r] = (low + high) / 2
+        elif not fresh and mass * damping / (1 - damping) <= tolerance * least:
+            rest[r] = 0.0
+    return rest
 
 
 def judge_urls(
@@ -121,8 +165,8 @@ def judge_urls(
     hosts = seeds.select("host", mass("a", sums[0]).alias("good"), mass("b", sums[1]).alias("bad"))
     edges = cut(host_edges(pages, url_col, html_col).unionByName(site_edges(hosts)), "edges")
     ranks = propagate(hosts, edges)
-    # a sum of many doubles may differ in its last digits with the order of its parts; compare what is left of them
-    bad = F.round(F.col("distrust"), 12) > F.round(F.col("trust") * threshold, 12)
+    # ranks are known to a relative tolerance, however small they are: equal ones must not block
+    bad = F.col("distrust") > F.col("trust") * threshold * (1 + TOLERANCE)
     salts = F.array(*[F.lit(i) for i in range(SALTS)])
     verdicts = ranks.select(F.col("host").alias("h"), F.when(bad, "block").otherwise("allow").alias("of_host"), F.explode(salts).alias("s"))
     rows = pages.select(F.struct(*[col(c).alias(c) for c in keep]).alias("row"), ruled.alias("u"), F.pmod(F.xxhash64(col(url_col), F.octet_length(col(html_col))), F.lit(SALTS)).cast("int").alias("salt"))

@@ -113,6 +113,35 @@ def test_urls_spread_over_links(spark):
     assert U.judge_urls(p.where("false"), rules).count() == 0 and U.judge_urls(p, []).count() == len(rows)
 
 
+def test_distrust_has_no_horizon(spark):
+    """Hosts many links from a blocked one, and hosts whose distrust is below 1e-12."""
+    link = lambda h: f'<a href="https://{h}/">x</a>'
+    chain = [(i, f"https://c{i}.net/", link(f"c{i - 1}.net") if i > 1 else link("seed.bad")) for i in range(1, 11)]
+    rows = [(0, "https://seed.bad/", ""), *chain, (30, "https://fine.org/", link("kin.net")), (31, "https://kin.net/", "")]
+    rules = [U.UrlRule("allow", "org/"), U.UrlRule("block", "bad/")]
+    got = {r.page_id: r.verdict for r in U.judge_urls(spark.createDataFrame(rows, "page_id int, url string, html string"), rules).collect()}
+    assert {i for i, v in got.items() if v == "allow"} == {30, 31}
+    many = spark.range(100_000).selectExpr("concat('https://h', id, '.bad/') as url", "'' as html")
+    hubs = spark.range(4000).selectExpr("concat('https://', if(id < 2000, 'f', 'g'), id % 2000, '.net/') as url", """concat('<a href="https://', if(id < 2000, 'h0.bad', 'f0.net'), '/">') as html""")
+    far = U.judge_urls(many.unionByName(hubs), rules).where("by = 'graph'").groupBy("verdict").count().collect()
+    assert [(r.verdict, r["count"]) for r in far] == [("block", 4000)]
+
+
+def test_ranks_are_the_fixed_point(spark):
+    """A parent domain with hosts of unequal weight, whose terms swing to and fro, against the linear system."""
+    import numpy as np
+
+    hosts = spark.createDataFrame([("p", 0.25, 0.0), ("a", 0.75, 0.1), ("b", 0.0, 0.9)], "host string, good double, bad double")
+    edges = [("p", "a", 1), ("a", "p", 1), ("p", "b", 3), ("b", "p", 3)]
+    got = {r.host: r for r in U.propagate(hosts, spark.createDataFrame(edges, "src string, dst string, weight long")).collect()}
+    m = np.zeros((3, 3))
+    for s, d, w in edges:
+        m["pab".index(d), "pab".index(s)] = w / sum(x[2] for x in edges if x[0] == s)
+    for name, seed in (("trust", [0.25, 0.75, 0.0]), ("distrust", [0.0, 0.1, 0.9])):
+        want = np.linalg.solve(np.eye(3) - U.DAMPING * m, (1 - U.DAMPING) * np.array(seed))
+        assert np.allclose([got[h][name] for h in "pab"], want, rtol=1e-9, atol=0)
+
+
 @pytest.mark.skipif(not os.path.exists(K.TOKENIZER), reason="no tokenizer files")
 @pytest.mark.parametrize("block", [K.BLOCK_BYTES, 64])
 def test_token_counts(spark, docs, none, block):
