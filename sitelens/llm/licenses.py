@@ -1,7 +1,7 @@
 """License scans with a positional index of rare licence words.
 
 Licence notices are templates with postings word -> (template, position). Document frequencies of the templates' words
-come from the whole corpus. In each file the licence words of highest IDF are looked up; postings whose relative
+come from the whole corpus. In each file all rare licence words are looked up; postings whose relative
 positions agree make a candidate, whose mandatory key phrases are then verified in place, and which is scored by the
 IDF-weighted share of its words that stand where they should.
 """
@@ -23,8 +23,8 @@ from .common import ALNUM_TABLE, annotate
 PHRASES = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
 #: A word in more than this share of the files is no rare word, unless it is among its template's two rarest.
 COMMON = 0.1
-#: Licence words of highest IDF that are looked up for a file, words a template may be shifted by insertions, least score.
-LOOKUPS, SLACK, LEAST = 24, 3, 0.5
+#: Words a template may be shifted by insertions, least score.
+SLACK, LEAST = 3, 0.5
 BASE_SCORE = 0.5
 
 
@@ -112,13 +112,11 @@ class Scanner:
 
     def notices_in(self, words: list[bytes]) -> dict[str, float]:
         """label -> best score."""
-        present = self.rare.intersection(words)
-        if not present:
+        if self.rare.isdisjoint(words):
             return {}
-        top = set(sorted(present, key=lambda w: (-self.idf[w], w))[:LOOKUPS])
         votes: dict[int, dict[int, set[bytes]]] = defaultdict(lambda: defaultdict(set))
         for i, w in enumerate(words):
-            if w in top:
+            if w in self.rare:
                 for t, pos in self.postings[w]:
                     votes[t][i - pos].add(w)
         found: dict[str, float] = {}

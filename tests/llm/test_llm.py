@@ -246,6 +246,18 @@ def test_licenses(docs, none):
     assert L.scan_licenses(none).count() == 0
 
 
+def test_licenses_beside_long_notices(spark):
+    """Each short notice is found beside the two long ones, whose words are rarer, though a third of the files hold it."""
+    long = [n.text for n in L.NOTICES if len(n.text) > 100]
+    assert len(long) == 2
+    rows = [(n.label, ". ".join([*long, n.text])) for n in L.NOTICES]
+    rows += [("cc-by-4.0", "Licensed under CC BY 4.0")] * 60 + [("", f"some prose {i}") for i in range(100)]
+    got = L.scan_licenses(spark.createDataFrame(rows, "own string, text string")).collect()
+    for r in got:
+        want = {"bsd", "mit", r.own} if r.text.startswith(long[0]) else {r.own} - {""}
+        assert want <= set(r.license.labels) and r.license.score == (1.0 if want else 0.0)
+
+
 def components(rows, k):
     sets = []
     for i, t, *_ in rows:
