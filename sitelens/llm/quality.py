@@ -58,8 +58,9 @@ _PLACE = 28
 def _repeated(words: Column) -> Column:
     """Words inside 3-word windows that occur twice or more.
 
-    A window is one number: hash bits, then its place. Sorted, equal windows are neighbours; words are compared where
-    hash bits agree, so hashes decide nothing alone. Texts in which no hash repeats are done after one look.
+    A window is one number: hash bits, then its place. Sorted, windows of equal bits are neighbours. If neighbours of
+    equal bits are always equal in words too, all of them repeat. Else different windows share bits and may lie between
+    equal ones, so all windows that share bits are sorted by their words. Texts in which no hash repeats are done after one look.
     """
     at = lambda a, i: F.get(a, i)
     hashes = F.transform(F.sequence(F.lit(0), F.size(words) - 3), lambda i: F.xxhash64(at(words, i), at(words, i + 1), at(words, i + 2)))
@@ -69,12 +70,22 @@ def _repeated(words: Column) -> Column:
         packed = F.transform(h, lambda x, i: F.shiftleft(F.shiftright(x, _PLACE), _PLACE).bitwiseOR(i.cast("long")))
         place = lambda x: x.bitwiseAND(mask).cast("int")
 
-        def equal(x: Column, y: Column) -> Column:
-            same = F.shiftright(x, _PLACE) == F.shiftright(y, _PLACE)
-            own = lambda k: at(words, place(x) + k) == at(words, place(y) + k)
-            return F.coalesce(F.when(same, own(0) & own(1) & own(2)), F.lit(False))
+        true = lambda c: F.coalesce(c, F.lit(False))
+        bits = lambda x, y: F.shiftright(x, _PLACE) == F.shiftright(y, _PLACE)
+        own = lambda x, y, k: at(words, place(x) + k) == at(words, place(y) + k)
 
-        twice = let(F.sort_array(packed), lambda s: F.filter(s, lambda x, i: equal(x, at(s, i - 1)) | equal(x, at(s, i + 1))))
+        def by_words(shared: Column) -> Column:
+            window = lambda x: F.struct(*[at(words, place(x) + k).alias(f"w{k}") for k in range(3)])
+            listed = F.sort_array(F.transform(shared, lambda x: F.struct(window(x).alias("w"), x.alias("x"))))
+            equal = lambda a, b: true(a.getField("w") == b.getField("w"))
+            return F.transform(let(listed, lambda s: F.filter(s, lambda a, i: equal(a, at(s, i - 1)) | equal(a, at(s, i + 1)))), lambda a: a.getField("x"))
+
+        def repeats(shared: Column) -> Column:
+            other = F.filter(shared, lambda x, i: true(bits(x, at(shared, i + 1)) & ~(own(x, at(shared, i + 1), 0) & own(x, at(shared, i + 1), 1) & own(x, at(shared, i + 1), 2))))
+            return F.when(F.size(other) == 0, shared).otherwise(by_words(shared))
+
+        shared = let(F.sort_array(packed), lambda s: F.filter(s, lambda x, i: true(bits(x, at(s, i - 1))) | true(bits(x, at(s, i + 1)))))
+        twice = let(shared, repeats)
         return F.array_distinct(F.flatten(F.transform(twice, lambda x: F.array(place(x), place(x) + 1, place(x) + 2))))
 
     counted = let(hashes, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), 0).otherwise(F.size(places(h))))

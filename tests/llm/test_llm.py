@@ -178,6 +178,20 @@ def test_quality(docs, none):
     assert sorted(r.name for r in order) == sorted(r.name for r in Q.RULES)
 
 
+def test_quality_of_windows_that_share_hash_bits(spark):
+    """Two different windows whose packed hash bits are the same, in turns."""
+    pairs = [("k1092150 m n", "k2791467 m n"), ("k2407391 m n", "k2813512 m n")]
+    texts = [" x ".join(f"{w} {i}" for i, w in enumerate(t)) for a, b in pairs for t in ((a, b, a), (a, b, a, b), (b, a, a, b, b), (a, b))]
+    t = spark.createDataFrame([(x,) for x in texts], "text string")
+    bits = [F.shiftright(F.xxhash64(*map(F.lit, w.split())), Q._PLACE) for p in pairs for w in p]
+    h = spark.range(1).select(*[x.alias(str(i)) for i, x in enumerate(bits)]).first()
+    assert h[0] == h[1] and h[2] == h[3]
+    for r in Q.judge_quality(t).collect():
+        w = blank(r.text)
+        grams = collections.Counter(zip(w, w[1:], w[2:]))
+        assert r.n_repeat_words == len({p for i in range(len(w) - 2) if grams[w[i], w[i + 1], w[i + 2]] > 1 for p in (i, i + 1, i + 2)})
+
+
 @pytest.mark.parametrize("block_bytes", [1 << 20, 40])
 def test_decontaminate(spark, docs, none, block_bytes):
     items = [(1, " ".join(f"W{i}" for i in range(5, 17))), (2, "one, two"), (2, "one, two"), (3, None), (4, "..."), (None, "w40 w41 w42 w43 w44 w45 w46 w47 w48 w49"), (5, " ".join(f"w{i}" for i in range(10, 22)))]
