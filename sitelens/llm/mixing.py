@@ -110,6 +110,12 @@ def mix(
     """
     made = ("size", "source_size", "target", "taken", "copies", "position")
     keep = [c for c in (carry if carry is not None else docs.columns) if c.lower() not in made]
+    placed = _placed(docs, keep, id_col, text_col, source_col, weights, share, most, schedules, times)
+    return placed.select(*[F.col("row").getField(c).alias(c) for c in keep], *made[:-1], F.get("positions", F.lit(0)).alias("position"))
+
+
+def _placed(docs: DataFrame, keep: Sequence[str], id_col: str, text_col: str, source_col: str, weights, share, most, schedules, times) -> DataFrame:
+    """(row, size, source_size, target, taken, copies, positions): ``positions`` has the training time of each round's copy, null where nothing is taken."""
     inner = docs.select(
         F.struct(*[col(c).alias(c) for c in keep]).alias("row"),
         col(source_col).alias("source"),
@@ -131,15 +137,15 @@ def mix(
     parts = [F.greatest(F.lit(0), F.least(F.col("size"), F.col("words") - F.col("start") - F.col("source_size") * k)) for k in range(rounds)]
     taken = sum(parts[1:], parts[0])
     copies = sum((F.when(p > 0, 1).otherwise(0) for p in parts[1:]), F.when(parts[0] > 0, 1).otherwise(0))
-    time = _demand_time(F.col("start").cast("double"), F.col("words").cast("double"), F.col("rank") % len(schedules), schedules, times)
+    time = lambda k: _demand_time((F.col("start") + F.col("source_size") * k).cast("double"), F.col("words").cast("double"), F.col("rank") % len(schedules), schedules, times)
     return placed.select(
-        *[F.col("row").getField(c).alias(c) for c in keep],
+        "row",
         "size",
         "source_size",
         F.col("target").cast("double").alias("target"),
         taken.cast("long").alias("taken"),
         copies.cast("int").alias("copies"),
-        F.when(parts[0] > 0, time).alias("position"),
+        F.array(*[F.when(p > 0, time(k)) for k, p in enumerate(parts)]).alias("positions"),
     )
 
 
@@ -151,10 +157,19 @@ def training_order(mixed: DataFrame, parts: int | None = None) -> DataFrame:
     return ranged.sortWithinPartitions(*order)
 
 
-def mixed_documents(docs: DataFrame, **how) -> DataFrame:
-    """The documents as the mix takes them: a row for each copy, in range order of training position, with the columns of ``docs``."""
+def mixed_documents(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+    weights: Sequence[int] = (3, 1, 2),
+    share: float = 1.5,
+    most: float = 2.0,
+    schedules: Sequence[Sequence[float]] = SCHEDULES,
+    times: Sequence[float] = TIMES,
+) -> DataFrame:
+    """The documents as the mix takes them: a row for each copy, in range order of the copy's own training position, with the columns of ``docs``."""
     names = docs.columns
-    packed = docs.select(F.struct(*[col(c) for c in names]).alias("__doc"), *[col(c) for c in names if c in (how.get("id_col", "doc_id"), how.get("text_col", "text"), how.get("source_col", "source"))])
-    taken = mix(packed, carry=["__doc"], **how).where("copies > 0")
-    each = training_order(taken).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    return each.select(*[F.col("__doc").getField(c).alias(c) for c in names])
+    placed = _placed(docs, names, id_col, text_col, source_col, weights, share, most, schedules, times)
+    each = placed.select("row", F.explode(F.filter("positions", lambda x: x.isNotNull())).alias("position"))
+    return training_order(each).select(*[F.col("row").getField(c).alias(c) for c in names])

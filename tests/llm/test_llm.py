@@ -404,6 +404,18 @@ def test_mix(docs, none):
     assert out.columns == docs.columns and out.count() == sum(r.copies for r in got)
 
 
+def test_mixed_copies_have_their_own_position(spark):
+    """A source at twice its size is taken once in the first half of its words and once in the second, by an even schedule."""
+    rows = [(i, f"w{i} w w w", s) for i in range(40) for s in ("a", "b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    even = dict(schedules=((1.0, 1.0, 1.0),), weights=(1, 1), share=2.0)
+    got = [(r.source, r.doc_id) for r in M.mixed_documents(docs, **even).collect()]
+    assert len(got) == 160
+    for s in "ab":
+        turn = sorted(range(40), key=lambda i: hashlib.md5(str(i).encode()).hexdigest())
+        assert [i for x, i in got if x == s] == turn + turn
+
+
 def test_pipeline_stages_and_empty_table(spark, docs, tmp_path):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near_dedup", "decontamination", "mixing", "sharding"]
     d = docs.drop("Toxicity")
