@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -39,9 +39,12 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``; one of this machine's only where that setting is absent, as in tests."""
+    """A new folder below ``spark.checkpoint.dir``. Only a local master may lack that setting, as in tests; it then gets a folder of this machine."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         root = "file://" + tempfile.mkdtemp(prefix="sitelens-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/sitelens-{uuid.uuid4().hex}"
@@ -53,9 +56,70 @@ def cut(df: DataFrame, name: str = "table") -> DataFrame:
     This cuts lineage with a copy that outlives executors. A join whose sides are both cut tables shuffles both, so that
     adaptive execution can split a hot key, which it cannot do over an aggregate that is already dealt out by that key.
     """
-    path = f"{shared_folder(df.sparkSession)}/{name}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    folder = shared_folder(df.sparkSession)
+    df.write.option("compression", "zstd").parquet(f"{folder}/{name}")
+    table = df.sparkSession.read.schema(df.schema).parquet(f"{folder}/{name}")
+    table.shared_folder = folder
+    return table
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete the files of tables that ``cut`` made and that nothing will read again."""
+    for t in tables:
+        folder = getattr(t, "shared_folder", None)
+        if folder:
+            spark = t.sparkSession
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def task_count(spark: SparkSession, groups: int, size: int, task_bytes: int = 256 << 20) -> int:
+    """Tasks for ``groups`` pieces of work of ``size`` bytes in all: a few a core while they are small, else one for ``task_bytes``."""
+    return max(1, min(groups, max(4 * spark.sparkContext.defaultParallelism, -(-size // task_bytes))))
+
+
+#: A key with more rows than this, or than the MOST_HOT-th part of all rows, is hot; so there are at most MOST_HOT hot keys.
+HOT_ROWS, MOST_HOT = 100_000, 10_000
+
+
+def join_split(rows: DataFrame, table: DataFrame, key: str, count: str, spread: Column) -> DataFrame:
+    """Left join of ``rows`` with ``table`` by ``key``; ``table`` has a row a key and, in ``count``, how many rows hold it.
+
+    Hot keys are dealt to parts by ``spread`` on the side of the rows and copied to each part in the table. Which keys
+    are hot is broadcast, MOST_HOT rows at most. The key is taken from ``rows``; ``count`` is dropped.
+    """
+    total = table.agg(F.sum(count)).first()[0] or 0
+    hot = max(HOT_ROWS, -(-total // MOST_HOT))
+    parts = F.ceil(F.col(count) / hot).cast("int")
+    heavy = table.where(F.col(count) > hot).select(F.col(key).alias("__hot"), parts.alias("__parts"))
+    dealt = rows.join(F.broadcast(heavy), F.col(key) == F.col("__hot"), "left").withColumn("__part", F.pmod(spread, F.coalesce("__parts", F.lit(1))).cast("int")).drop("__hot", "__parts")
+    copies = table.withColumn("__copy", F.explode(F.sequence(F.lit(0), F.greatest(parts, F.lit(1)) - 1))).drop(count).withColumnRenamed(key, "__key")
+    return dealt.join(copies, (F.col(key) == F.col("__key")) & (F.col("__part") == F.col("__copy")), "left").drop("__key", "__part", "__copy")
+
+
+#: Runs into which hot groups are cut have about this many rows, or the MOST_RUNS-th part of all rows if that is more.
+RUN_ROWS, MOST_RUNS = 4096, 100_000
+
+
+def run_count(n: Column, total: int) -> Column:
+    """Runs for a group of ``n`` of ``total`` rows; at most MOST_RUNS more than there are groups."""
+    return F.greatest(F.ceil(n / max(RUN_ROWS, -(-total // MOST_RUNS))), F.lit(1)).cast("long")
+
+
+def run_of(turn: Column, runs: Column) -> Column:
+    """The run, from 0, of a row whose hash is ``turn`` (in hex digits): equal ranges of hashes, in their order."""
+    return F.shiftright(F.conv(F.substring(turn, 1, 8), 16, 10).cast("long") * runs, 32).cast("int")
+
+
+def ranked(values: DataFrame, by: str, parts: int = 16) -> DataFrame:
+    """``values`` with their ``rank`` from 0 in the order of ``by``, null last. Each task ranks a range; only the ranges' counts are summed in one place."""
+    order = col(by).asc_nulls_last()
+    ranged = cut(values.repartitionByRange(parts, order).withColumn("part", F.spark_partition_id()), "ranged")
+    counts = ranged.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    base = counts.select(F.col("part").alias("p"), F.coalesce(before, F.lit(0)).alias("base"))
+    own = F.row_number().over(Window.partitionBy("part").orderBy(order)) - 1
+    return ranged.withColumn("own", own).join(base, F.col("part") == F.col("p")).select(*[col(c) for c in values.columns], (F.col("own") + F.col("base")).alias("rank"))
 
 
 def without(df: DataFrame, *names: str) -> list[str]:

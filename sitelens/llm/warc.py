@@ -16,12 +16,11 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, cut, shared_folder
+from .common import col, cut, join_split, shared_folder, task_count
 
 ARCHIVE_BYTES = 1 << 30
 WINDOW_BYTES = 8 << 20
 GAP_BYTES = 64 << 10
-SALTS = 64
 
 INDEX = "archive string, offset long, length long, record_id string, url string, payload_digest string, record_type string"
 RECORD = "record_id string, url string, record_type string, payload_digest string, payload_bytes long, refers_to string, payload binary, archive string, offset long, length long"
@@ -70,15 +69,14 @@ def parse_record(raw: bytes) -> tuple[dict[str, str], bytes]:
 def originals(pages: DataFrame, id_col: str, payload_col: str) -> DataFrame:
     """``pages`` with ``__original``: the largest id among rows of equal payload.
 
-    Groups may hold any share of the rows: they are split by a salt, reduced within it, then across salts, and the result
-    goes back to each salted part.
+    Digests are counted first, combined before they are shuffled. Only those that repeat are joined back, and hot ones,
+    which may hold any share of the rows, in parts.
     """
     payload = F.coalesce(col(payload_col).cast("binary"), F.lit(b""))
-    keyed = pages.withColumn("__key", F.sha2(payload, 256)).withColumn("__salt", F.pmod(F.xxhash64(col(id_col)), F.lit(SALTS)).cast("int"))
-    part = keyed.groupBy("__key", "__salt").agg(F.max(col(id_col)).alias("m"))
-    whole = part.groupBy("__key").agg(F.max("m").alias("__original"), F.collect_list("__salt").alias("salts"))
-    whole = whole.select("__key", "__original", F.explode("salts").alias("__salt"))
-    return keyed.join(whole, ["__key", "__salt"]).drop("__key", "__salt")
+    keyed = pages.withColumn("__digest", F.sha2(payload, 256))
+    whole = keyed.groupBy("__digest").agg(F.max(col(id_col)).alias("__max"), F.count(F.lit(1)).alias("__n")).where("__n > 1")
+    both = join_split(keyed, cut(whole.withColumn("__twice", F.lit(True)), "repeated"), "__digest", "__n", F.xxhash64(col(id_col)))
+    return both.withColumn("__original", F.when(F.col("__twice"), F.col("__max")).otherwise(col(id_col))).drop("__digest", "__max", "__twice")
 
 
 def write_warc(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", folder: str | None = None) -> DataFrame:
@@ -141,10 +139,14 @@ def coalesced(ranges: list[tuple[int, int]], gap: int) -> list[tuple[int, int, l
 def read_warc(selected: DataFrame, window_bytes: int = WINDOW_BYTES, gap_bytes: int = GAP_BYTES) -> DataFrame:
     """Records (RECORD columns) of the index rows in ``selected`` (archive, offset, length).
 
-    Ranges are grouped by windows of ``window_bytes`` of an archive, so a group is bounded by its bytes. A range named
-    twice is read once and returned once. A response whose payload does not match its digest raises an error.
+    Ranges are grouped by windows of ``window_bytes`` of an archive, so a group is bounded by its bytes; the bytes to read
+    set the number of tasks. A range named twice is read once and returned once. No selected rows give no records.
+    Records without URL or refers-to field have nulls there; ids and URLs come back as strings. A response whose payload
+    does not match its digest raises an error.
     """
     window = F.floor(F.col("offset") / window_bytes)
+    work = selected.agg(F.count_distinct("archive", window), F.sum("length")).first()
+    tasks = task_count(selected.sparkSession, work[0], work[1] or 0)
     reads = selected.groupBy("archive", window.alias("window")).agg(F.sort_array(F.collect_set(F.struct("offset", "length"))).alias("ranges"))
 
     def run(batches) -> Iterator:
@@ -172,4 +174,4 @@ def read_warc(selected: DataFrame, window_bytes: int = WINDOW_BYTES, gap_bytes:
                         names = [x.split()[0] for x in RECORD.split(", ")]
                         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*made, strict=True), kinds, strict=True)], names=names)
 
-    return reads.select("archive", "ranges").mapInArrow(run, RECORD)
+    return reads.select("archive", "ranges").repartition(tasks).mapInArrow(run, RECORD)
