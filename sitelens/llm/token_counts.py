@@ -11,12 +11,13 @@ no reader of byte ranges; tables are read and written by Spark alone.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import col, cut, shared_folder
+from .common import col, cut, shared_folder, task_count
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: Splits text before merges; the pattern belongs to the vocabulary file.
@@ -25,29 +26,52 @@ BLOCK_BYTES = 4 << 20
 RUN_BLOCKS = 1024
 FILE_BYTES = 1 << 30
 WIDTH = 2
+#: Runs of the pattern's \\s this long are cut out, as the tokenizer's pattern engine overflows on very long ones.
+LONG_BLANK = 4096
+_SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_LONG_RUN = re.compile(f"(?<![{_SPACE}])[{_SPACE}]{{{LONG_BLANK},}}")
 
 
-def load_encoding(path: str):
-    """(tokenizer, end-of-document id). The id follows the vocabulary's, so no text yields it."""
+def vocabulary(path: str) -> bytes:
+    """The vocabulary file, read on the driver and shipped with the job, so that executors need no copy of it."""
+    with open(path, "rb") as f:
+        return f.read()
+
+
+def load_encoding(data: bytes):
+    """(tokenizer, end-of-document id) of a vocabulary. The id follows the vocabulary's, so no text yields it."""
     import base64
 
     import tiktoken
 
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
+    ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in data.splitlines() if line.strip())}
     eod = max(ranks.values()) + 1
     if eod >= 1 << 8 * WIDTH:
         raise ValueError("the vocabulary does not fit the token files' width")
     return tiktoken.Encoding("flat", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}), eod
 
 
+def token_ids(enc, text: str) -> list[int]:
+    """The ids of ``text``. The pattern takes a blank run before other characters as one piece but for its last blank,
+    and a run at the end whole; long runs are cut there and merged as one piece."""
+    ids, at = [], 0
+    for run in _LONG_RUN.finditer(text):
+        end = run.end() if run.end() == len(text) else run.end() - 1
+        ids += enc.encode_ordinary(text[at : run.start()])
+        ids += enc._encode_single_piece(text[run.start() : end])
+        at = end
+    return ids + enc.encode_ordinary(text[at:]) if at else enc.encode_ordinary(text)
+
+
 def write_token_files(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = TOKENIZER, folder: str | None = None) -> tuple[DataFrame, int]:
     """(manifest, end-of-document id). The manifest has a row a document: file, ordinal within it, doc_id.
 
     Null and empty texts are documents without tokens. Files of tasks that failed have no manifest rows and are not read.
     """
     folder = folder or shared_folder(docs.sparkSession) + "/tokens"
-    eod = load_encoding(tokenizer)[1]
+    data = vocabulary(tokenizer)
+    eod = load_encoding(data)[1]
+    held = docs.sparkSession.sparkContext.broadcast(data)
     rows = docs.select(col(id_col).alias("doc_id"), col(text_col).cast("string").alias("text"))
     schema = rows.select(F.lit("").alias("file"), F.lit(0).cast("long").alias("ordinal"), "doc_id").schema
 
@@ -60,7 +84,7 @@ def write_token_files(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
         system, root = fs.FileSystem.from_uri(folder)
         system.create_dir(root, recursive=True)
-        enc, eod = load_encoding(tokenizer)
+        enc, eod = load_encoding(held.value)
         out, name, at, n = None, None, 0, 0
         for batch in batches:
             files, ordinals = [], []
@@ -70,7 +94,7 @@ def write_token_files(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                         out.close()
                     name, at, n = f"{folder}/{uuid.uuid4().hex}.u16", 0, 0
                     out = system.open_output_stream(f"{root}/{name.rpartition('/')[2]}", compression=None)
-                ids = np.array([*enc.encode_ordinary(text.as_py() or ""), eod], dtype="<u2").tobytes()
+                ids = np.array([*token_ids(enc, text.as_py() or ""), eod], dtype="<u2").tobytes()
                 out.write(ids)
                 files.append(name)
                 ordinals.append(n)
@@ -121,7 +145,9 @@ def separator_scan(spark: SparkSession, files: DataFrame, eod: int, block_bytes:
                 ends = np.flatnonzero(tokens == eod) + base
                 yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip((uri, block, last, base, len(tokens), ends.tolist()), (pa.string(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.list_(pa.int64())), strict=True)], names=names)
 
-    spread = files.repartition(F.col("file")).mapInArrow(blocks, "file string, block long, last boolean").repartition(F.xxhash64("file", "block"))
+    listed = cut(files.mapInArrow(blocks, "file string, block long, last boolean"), "listed")
+    n_blocks = listed.count()
+    spread = listed.repartition(task_count(spark, n_blocks, n_blocks * block_bytes))
     found = cut(spread.mapInArrow(scan, "file string, block long, last boolean, base long, size long, ends array<long>"), "blocks")
     found = found.withColumn("run", F.floor(F.col("block") / RUN_BLOCKS))
     # prefix scan: separators before, and the last one before; first over runs of blocks, then within a run
@@ -149,7 +175,8 @@ def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(doc_id, n_tokens) a document row: tokenise to flat files, scan them for separators, join the manifest.
 
     Null and empty texts have 0 tokens. Repeated rows are separate documents; null ids stay null. An empty table gives
-    an empty result. Other columns are not read.
+    an empty result. Other columns are not read. Texts are tokenised whole, however long a word or a run of blanks is.
+    The vocabulary file is read on the driver and broadcast (one MB or so).
     """
     manifest, eod = write_token_files(docs, id_col, text_col, tokenizer)
     counted = separator_scan(docs.sparkSession, manifest.select("file").distinct(), eod, block_bytes)

@@ -145,7 +145,7 @@ def test_ranks_are_the_fixed_point(spark):
 @pytest.mark.skipif(not os.path.exists(K.TOKENIZER), reason="no tokenizer files")
 @pytest.mark.parametrize("block", [K.BLOCK_BYTES, 64])
 def test_token_counts(spark, docs, none, block):
-    enc, _ = K.load_encoding(K.TOKENIZER)
+    enc, _ = K.load_encoding(K.vocabulary(K.TOKENIZER))
     want = sorted((str(i), len(enc.encode_ordinary(t or ""))) for i, t, *_ in ROWS)
     assert sorted((str(r.doc_id), r.n_tokens) for r in K.count_tokens(docs, block_bytes=block).collect()) == want
     assert K.count_tokens(none).count() == 0
