@@ -52,34 +52,38 @@ def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"), URL_RULES, carry=["page_id"]).select("page_id", "host", "path", "rule", "verdict")
 
 
-#: The graph of the tables: no page links to another host, so hosts and their parent domains make the edges.
+#: Ranks as sums of 300 terms, of which the last are below 1e-21 of the first.
 OP2_SQL = r"""
-WITH p AS (
+WITH RECURSIVE p AS (
   SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
          regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path, html FROM pages),
 r(rule, verdict, h, q) AS (VALUES ('org/', 'allow', 'org', '/'), ('example.org/es/', 'block', 'example.org', '/es/'),
   ('example.org/en/1', 'block', 'example.org', '/en/1'), ('com/fr/', 'allow', 'com', '/fr/'), ('com/de/', 'block', 'com', '/de/')),
-m AS (SELECT page_id, any_value(host) AS host, any_value(path) AS path, arg_max(rule, length(rule)) AS rule, arg_max(verdict, length(rule)) AS verdict
-      FROM (SELECT p.page_id, host, path, rule, verdict FROM p LEFT JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, q)) GROUP BY page_id),
-s AS (SELECT host, count(*) FILTER (verdict = 'allow') / count(*) AS a, count(*) FILTER (verdict = 'block') / count(*) AS b FROM m WHERE host <> '' GROUP BY host),
+links AS (
+  SELECT host, dst, dpath, count(*)::DOUBLE AS n FROM (
+    SELECT DISTINCT page_id, host, translate(regexp_extract(u, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS dst,
+      regexp_extract(u, '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS dpath
+    FROM (SELECT page_id, host, unnest(regexp_extract_all(html, '(?is)<a\s[^>]*?href\s*=\s*["'']?([a-z][a-z0-9+.-]*://[^"''\s>]+)', 1)) AS u FROM p))
+  WHERE host <> '' AND dst <> '' AND host <> dst GROUP BY ALL),
+u AS (SELECT host, path, arg_max(rule, length(rule)) AS rule, arg_max(verdict, length(rule)) AS verdict
+      FROM (SELECT host, path FROM p UNION SELECT dst, dpath FROM links) LEFT JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, q) GROUP BY host, path),
+known AS (SELECT host, path, 1.0::DOUBLE AS n FROM p UNION ALL SELECT dst, dpath, n FROM links WHERE dst NOT IN (SELECT host FROM p)),
+s AS (SELECT host, coalesce(sum(n) FILTER (verdict = 'allow'), 0) / sum(n) AS a, coalesce(sum(n) FILTER (verdict = 'block'), 0) / sum(n) AS b
+      FROM known JOIN u USING (host, path) WHERE host <> '' GROUP BY host),
 hosts AS (SELECT host, coalesce(a / nullif(sum(a) OVER (), 0), 0) AS good, coalesce(b / nullif(sum(b) OVER (), 0), 0) AS bad FROM s),
 near AS (SELECT c.host, arg_max(x.host, length(x.host)) AS parent FROM hosts c JOIN hosts x ON ends_with(c.host, '.' || x.host) GROUP BY c.host),
-links AS (SELECT host AS src, dst, count(*)::DOUBLE AS weight FROM (
-    SELECT DISTINCT page_id, host, translate(regexp_extract(u, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS dst
-    FROM (SELECT page_id, host, unnest(regexp_extract_all(coalesce(html, ''), '(?is)<a\s[^>]*?href\s*=\s*["'']?([a-z][a-z0-9+.-]*://[^"''\s>]+)', 1)) AS u FROM p))
-  WHERE host <> '' AND dst <> '' AND host <> dst GROUP BY ALL),
-e AS (SELECT * FROM links UNION ALL SELECT host, parent, 1 FROM near UNION ALL SELECT parent, host, 1 FROM near),
+e AS (SELECT host AS src, dst, sum(n) AS weight FROM links GROUP BY ALL UNION ALL SELECT host, parent, 1 FROM near UNION ALL SELECT parent, host, 1 FROM near),
 mv AS (SELECT f, g, sum(t) AS t, sum(d) AS d FROM (
     SELECT src AS f, dst AS g, weight / sum(weight) OVER (PARTITION BY src) AS t, 0.0 AS d FROM e
     UNION ALL SELECT dst, src, 0.0, weight / sum(weight) OVER (PARTITION BY dst) FROM e) GROUP BY f, g),
-rank0 AS (SELECT host, good, bad, good AS trust, bad AS distrust FROM hosts),
-RANKS
-SELECT page_id, m.host, path, rule, coalesce(verdict, CASE WHEN round(distrust, 12) > round(trust, 12) THEN 'block' WHEN trust IS NULL THEN 'block' ELSE 'allow' END) AS verdict
-FROM m LEFT JOIN rank6 ON m.host = rank6.host
-""".replace("RANKS", ",\n".join(
-    f"rank{k} AS (SELECT host, good, bad, good * (1 - 0.85) + coalesce(t, 0) * 0.85 AS trust, bad * (1 - 0.85) + coalesce(d, 0) * 0.85 AS distrust FROM rank{k - 1} "
-    f"LEFT JOIN (SELECT g, sum(trust * t) AS t, sum(distrust * d) AS d FROM mv JOIN rank{k - 1} ON f = host GROUP BY g) ON g = host)"
-    for k in range(1, 7)))
+terms AS (
+  SELECT 0 AS k, host, good * 0.15::DOUBLE AS t, bad * 0.15::DOUBLE AS d FROM hosts
+  UNION ALL
+  SELECT k + 1, g, sum(x.t * mv.t) * 0.85::DOUBLE, sum(x.d * mv.d) * 0.85::DOUBLE FROM terms x JOIN mv ON x.host = f WHERE k < 300 GROUP BY k, g),
+ranks AS (SELECT host, sum(t) AS trust, sum(d) AS distrust FROM terms GROUP BY host)
+SELECT page_id, p.host, p.path, rule, coalesce(verdict, CASE WHEN distrust <= trust * (1 + 1e-9) THEN 'allow' ELSE 'block' END) AS verdict
+FROM p JOIN u USING (host, path) LEFT JOIN ranks ON p.host = ranks.host
+"""
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,8 @@
 
 Rules decide the urls they fit. For the rest, trust spreads from hosts whose pages rules allow along links (personalised
 PageRank), and distrust from hosts whose pages rules block against the links' direction (who links to bad hosts is
-suspect). A host whose distrust exceeds its trust is blocked.
+suspect). Hosts without a page of their own, as most of a blocklist, are known by the urls that link to them. A host
+whose distrust exceeds its trust is blocked.
 """
 
 from __future__ import annotations
@@ -13,12 +14,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, cut, let, lower_ascii
+from .common import col, cut, discard, join_split, let, lower_ascii
 
 DAMPING = 0.85
 #: Relative width of the bounds on a host's rank at which iteration stops, and by which distrust must exceed trust.
 TOLERANCE = 1e-9
-SALTS = 64
 LINK = r"""(?is)<a\s[^>]*?href\s*=\s*["']?([a-z][a-z0-9+.-]*://[^"'\s>]+)"""
 
 
@@ -59,10 +59,19 @@ def matching_rule(host: Column, path: Column, rules: Sequence[UrlRule]) -> Colum
     return found
 
 
-def host_edges(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
-    """(src, dst, weight): links between different hosts, counted by page."""
-    links = pages.select(host_of(col(url_col)).alias("src"), F.explode(F.array_distinct(F.transform(F.regexp_extract_all(F.coalesce(col(html_col), F.lit("")), F.lit(LINK), 1), host_of))).alias("dst"))
-    return links.where("src <> '' and dst <> '' and src <> dst").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("weight"))
+def page_links(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
+    """(src, dst, path): the distinct urls on other hosts that each page links to, by host and path. Pages that repeat count each."""
+    target = lambda u: F.struct(host_of(u).alias("dst"), path_of(u).alias("path"))
+    found = F.regexp_extract_all(F.coalesce(col(html_col), F.lit("")), F.lit(LINK), 1)
+    links = pages.select(host_of(col(url_col)).alias("src"), F.explode(F.array_distinct(F.transform(found, target))).alias("u"))
+    return links.select("src", "u.dst", "u.path").where("src <> '' and dst <> '' and src <> dst")
+
+
+def seed_shares(urls: DataFrame, rules: Sequence[UrlRule]) -> DataFrame:
+    """(host, n, a, b) of ``urls`` (host, path, n): how many there are, and the shares of them that rules allow and block."""
+    ruled = urls.select("host", "n", matching_rule(F.col("host"), F.col("path"), rules).getField("verdict").alias("verdict")).where("host <> ''")
+    share = lambda v: F.coalesce(F.sum(F.when(F.col("verdict") == v, F.col("n"))), F.lit(0)) / F.sum("n")
+    return ruled.groupBy("host").agg(F.sum("n").alias("n"), share("allow").alias("a"), share("block").alias("b"))
 
 
 def site_edges(hosts: DataFrame) -> DataFrame:
@@ -96,7 +105,9 @@ def propagate(hosts: DataFrame, edges: DataFrame, damping: float = DAMPING, tole
         came = moves.join(ranks, F.col("from") == F.col("host")).groupBy("to").agg(*[F.sum(F.col(f"{r}2") * F.col(w)).alias(f"{r}_in") for r, w in (("trust", "t"), ("distrust", "d"))])
         term = lambda r: F.coalesce(F.col(f"{r}_in"), F.lit(0.0)) * damping
         step = lambda r: ((F.col(r) + term(r)).alias(r), F.col(f"{r}1").alias(f"{r}0"), F.col(f"{r}2").alias(f"{r}1"), term(r).alias(f"{r}2"))
-        ranks = cut(ranks.join(came, F.col("host") == F.col("to"), "left").select("host", *step("trust"), *step("distrust")), "ranks")
+        before = ranks
+        ranks = cut(before.join(came, F.col("host") == F.col("to"), "left").select("host", *step("trust"), *step("distrust")), "ranks")
+        discard(before)
         rest = _rest(ranks, list(first), damping, tolerance)
         if None not in rest.values():
             return ranks.select("host", *[(F.col(r) + (F.col(f"{r}1") + F.col(f"{r}2")) * more).alias(r) for r, more in rest.items()])
@@ -148,30 +159,31 @@ def judge_urls(
     """The ``carry`` columns (default: all) and host, path, rule, verdict, by ("rule" or "graph").
 
     The longest rule that fits decides; else the host's verdict: block if distrust > threshold * trust, else allow. A
-    host is a seed by the share of its pages that rules allow and block. A url that is null or lacks ``://`` has an empty
-    host and path, fits no rule and is blocked, for no host vouches for it. Null html has no links. Repeated rows get
-    equal verdicts; an empty table gives an empty one. Result columns replace input columns of the same names.
-    Pages are joined with host verdicts by host; a host with very many pages is split by a salt.
+    host is a seed by the shares of its pages that rules allow and block; a host without pages, by those of the links
+    to it. A url that is null or lacks ``://`` has an empty host and path, fits no rule and is blocked, for no host
+    vouches for it. Null html has no links. Repeated rows get equal verdicts; an empty table gives an empty one. Result
+    columns replace input columns of the same names. Pages are joined with host verdicts by host, those of hot hosts in parts.
     """
     made = ("host", "path", "rule", "verdict", "by")
     keep = [c for c in (carry if carry is not None else pages.columns) if c.lower() not in made]
     host, path = host_of(col(url_col)), path_of(col(url_col))
     ruled = let(F.struct(host.alias("host"), path.alias("path")), lambda u: F.struct(u.host.alias("host"), u.path.alias("path"), matching_rule(u.host, u.path, rules).alias("r")))
-    seeds = pages.select(ruled.alias("u")).select("u.host", "u.r.verdict").where("host <> ''")
-    seeds = seeds.groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("verdict") == "allow").alias("a"), F.count_if(F.col("verdict") == "block").alias("b"))
-    seeds = cut(seeds.select("host", (F.col("a") / F.col("n")).alias("a"), (F.col("b") / F.col("n")).alias("b")), "hosts")
+    own = cut(seed_shares(pages.select(ruled.alias("u")).select("u.host", "u.path", F.lit(1).alias("n")), rules), "crawled")
+    links = cut(page_links(pages, url_col, html_col).groupBy("src", "dst", "path").agg(F.count(F.lit(1)).alias("n")), "links")
+    crawled = own.select(F.col("host").alias("dst"))
+    uncrawled = seed_shares(links.join(crawled, "dst", "left_anti").select(F.col("dst").alias("host"), "path", "n"), rules)
+    seeds = cut(own.unionByName(uncrawled.withColumn("n", F.lit(0).cast("long"))), "hosts")
     sums = seeds.agg(F.sum("a"), F.sum("b")).first()
     mass = lambda c, s: F.col(c) / F.lit(float(s)) if s else F.lit(0.0)
     hosts = seeds.select("host", mass("a", sums[0]).alias("good"), mass("b", sums[1]).alias("bad"))
-    edges = cut(host_edges(pages, url_col, html_col).unionByName(site_edges(hosts)), "edges")
-    ranks = propagate(hosts, edges)
+    edges = cut(links.groupBy("src", "dst").agg(F.sum("n").alias("weight")).unionByName(site_edges(hosts)), "edges")
     # ranks are known to a relative tolerance, however small they are: equal ones must not block
     bad = F.col("distrust") > F.col("trust") * threshold * (1 + TOLERANCE)
-    salts = F.array(*[F.lit(i) for i in range(SALTS)])
-    verdicts = ranks.select(F.col("host").alias("h"), F.when(bad, "block").otherwise("allow").alias("of_host"), F.explode(salts).alias("s"))
-    rows = pages.select(F.struct(*[col(c).alias(c) for c in keep]).alias("row"), ruled.alias("u"), F.pmod(F.xxhash64(col(url_col), F.octet_length(col(html_col))), F.lit(SALTS)).cast("int").alias("salt"))
-    rows = rows.select("row", "u.host", "u.path", "u.r", "salt")
-    both = rows.join(verdicts, (F.col("host") == F.col("h")) & (F.col("salt") == F.col("s")), "left")
+    ranks = propagate(hosts, edges).select("host", F.when(bad, "block").otherwise("allow").alias("of_host"))
+    verdicts = cut(ranks.join(seeds.select("host", "n").where("n > 0"), "host"), "verdicts")
+    rows = pages.select(F.struct(*[col(c).alias(c) for c in keep]).alias("row"), ruled.alias("u"), F.xxhash64(col(url_col), F.octet_length(col(html_col))).alias("spread"))
+    rows = rows.select("row", "u.host", "u.path", "u.r", "spread")
+    both = join_split(rows, verdicts, "host", "n", F.col("spread"))
     return both.select(
         *[F.col("row").getField(c).alias(c) for c in keep],
         "host",
