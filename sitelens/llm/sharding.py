@@ -4,8 +4,8 @@ Metadata dimensions are quantised to a few bits each, the cell's index on the Hi
 the curve is cut into runs of equal row counts. Neighbours on the curve are close in every dimension, so each shard
 spans a narrow range of all of them and readers can skip files by the minima and maxima of any.
 
-Rows are ordered by (curve index, MD5 of the id). The first two hex digits of the MD5 cut each cell, hot ones
-included, into 256 runs. Only the counts of these runs are summed; rows are dealt out once, by run.
+Rows are ordered by (curve index, MD5 of the id). Cells are counted first; equal ranges of MD5s cut a hot one into as
+many runs as its rows ask for. Only the counts of these runs are summed; rows are dealt out once, by run.
 """
 
 from __future__ import annotations
@@ -15,10 +15,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import col, cut, let
+from .common import col, cut, let, ranked, run_count, run_of
 
 BITS = 4
-ACCURACY = 10_000
 
 
 def hilbert_tables(n: int) -> tuple[list[int], list[int]]:
@@ -62,18 +61,20 @@ def hilbert_index(cells: Sequence[Column], bits: int = BITS) -> Column:
     return F.aggregate(F.array(*[F.lit(b) for b in range(bits - 1, -1, -1)]), zero, step, lambda acc: acc.getField("h"))
 
 
-def ordered_number(c: Column) -> Column:
-    """A number that orders strings as their first six bytes do; null below all."""
-    head = F.rpad(F.hex(F.substring(F.encode(c.cast("string"), "UTF-8"), 1, 6)), 12, "0")
-    return F.coalesce(F.conv(head, 16, 10).cast("double"), F.lit(-1.0))
+def cut_points(df: DataFrame, value: Column, cells: int) -> list:
+    """For i from 1 to ``cells`` - 1 the value at i / ``cells`` of the way through the distinct values in order, null left out; none if there are no values."""
+    values = cut(ranked(df.select(value.alias("v")).where("v is not null").distinct(), "v"), "values")
+    n = values.count()
+    wanted = [i * n // cells for i in range(1, cells)]
+    at = {r["rank"]: r.v for r in values.where(F.col("rank").isin(wanted)).collect()} if n else {}
+    return [at[r] for r in wanted] if n else []
 
 
 def curve_of(df: DataFrame, dims: dict[str, Column], bits: int = BITS) -> Column:
-    """Each row's place on the curve. A dimension's cell is how many of 2**bits - 1 cut points it lies above. The cut
-    points divide the dimension's distinct values evenly; they are a constant number of values from one aggregation."""
-    marks = [i / (1 << bits) for i in range(1, 1 << bits)]
-    cuts = [df.select(c.alias("v")).distinct().agg(F.percentile_approx("v", marks, ACCURACY)).first()[0] or [] for c in dims.values()]
-    cell = lambda v, at: sum((F.when(v > F.lit(float(x)), 1).otherwise(0) for x in at), F.lit(0))
+    """Each row's place on the curve. A dimension's cell is how many of its 2**bits - 1 cut points it reaches, so that
+    distinct values are spread evenly over all cells and few of them have cells of their own; null reaches none."""
+    cuts = [cut_points(df, c, 1 << bits) for c in dims.values()]
+    cell = lambda v, at: sum((F.when(v >= F.lit(x), 1).otherwise(0) for x in at), F.lit(0))
     cells = lambda d: F.struct(*[cell(d.getField(n), at).alias(n) for n, at in zip(dims, cuts, strict=True)])
     # each step is bound before the next uses it many times
     return let(F.struct(*[c.alias(n) for n, c in dims.items()]), lambda d: let(cells(d), lambda c: hilbert_index([c.getField(n) for n in dims], bits)))
@@ -90,9 +91,9 @@ def hilbert_shards(
 ) -> DataFrame:
     """The ``carry`` columns (default: all) and size, text_crc32, curve, shard, slot: rows of all shards are at most one apart.
 
-    ``dims`` maps names to numeric columns; the default is language, source (both in string order) and log2 of the size.
+    ``dims`` maps names to columns of any type that has an order; the default is language, source and log2 of the size.
     size is the text's UTF-8 bytes (null: none) plus 8; text_crc32 is of those bytes. slot numbers a shard's rows from 0
-    along the curve. Null dimensions lie below all others; null ids come first in their cell; rows alike in id, checksum
+    along the curve. Null dimensions lie in the lowest cell; null ids come first in their cell; rows alike in id, checksum
     and size may take each other's slots. With fewer rows than shards some shards stay empty. An empty table gives an
     empty result. Result columns replace input columns of the same names.
     """
@@ -100,20 +101,20 @@ def hilbert_shards(
     keep = [c for c in (carry if carry is not None else docs.columns) if c.lower() not in made]
     raw = F.coalesce(col(text_col), F.lit(""))
     size = F.octet_length(raw).cast("long") + 8
-    dims = dims or {"lang": ordered_number(col("lang")), "source": ordered_number(col("source")), "size": F.floor(F.log2(size)).cast("double")}
+    dims = dims or {"lang": col("lang").cast("string"), "source": col("source").cast("string"), "size": F.floor(F.log2(size))}
     curve = curve_of(docs, dims, bits)
     turn = F.md5(F.coalesce(col(id_col).cast("string"), F.lit("")).cast("binary"))
-    rows = docs.select(
-        F.struct(*[col(c).alias(c) for c in keep]).alias("row"), size.alias("size"), F.crc32(raw.cast("binary")).alias("text_crc32"), curve.alias("curve"), turn.alias("turn")
-    ).withColumn("sub", F.substring("turn", 1, 2))
-    counts = cut(docs.select(curve.alias("c"), F.substring(turn, 1, 2).alias("b")).groupBy("c", "b").agg(F.count(F.lit(1)).alias("n")), "runs")
-    # at most 2**(bits * dims) cells and 256 runs in each, whatever the input
+    # at most 2**(bits * dims) cells, whatever the input
+    cells = cut(docs.groupBy(curve.alias("cell")).agg(F.count(F.lit(1)).alias("cell_n")), "cells")
+    total = cells.agg(F.sum("cell_n")).first()[0] or 0
+    many = cells.select("cell", run_count(F.col("cell_n"), total).alias("runs")).where("runs > 1")
+    dealt = lambda df: df.join(F.broadcast(many), F.col("curve") == F.col("cell"), "left").withColumn("sub", run_of(F.col("turn"), F.coalesce("runs", F.lit(1)))).drop("cell", "runs")
+    rows = dealt(docs.select(F.struct(*[col(c).alias(c) for c in keep]).alias("row"), size.alias("size"), F.crc32(raw.cast("binary")).alias("text_crc32"), curve.alias("curve"), turn.alias("turn")))
+    counts = cut(dealt(docs.select(curve.alias("curve"), turn.alias("turn"))).groupBy(F.col("curve").alias("c"), F.col("sub").alias("b")).agg(F.count(F.lit(1)).alias("n")), "runs")
     in_cell = F.coalesce(F.sum("n").over(Window.partitionBy("c").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    cells = counts.groupBy("c").agg(F.sum("n").alias("cell_n"))
-    before = F.coalesce(F.sum("cell_n").over(Window.orderBy("c").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    cells = cells.select(F.col("c").alias("cell"), before.alias("cell_before"))
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    runs = counts.withColumn("in_cell", in_cell).join(cells, F.col("c") == F.col("cell")).select("c", "b", (F.col("in_cell") + F.col("cell_before")).alias("before"))
+    before = F.coalesce(F.sum("cell_n").over(Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed_cells = cells.select("cell", before.alias("cell_before"))
+    runs = counts.withColumn("in_cell", in_cell).join(placed_cells, F.col("c") == F.col("cell")).select("c", "b", (F.col("in_cell") + F.col("cell_before")).alias("before"))
     own = F.row_number().over(Window.partitionBy("curve", "sub").orderBy("turn", "text_crc32", "size")) - 1
     placed = rows.join(runs, (F.col("curve") == F.col("c")) & (F.col("sub") == F.col("b"))).withColumn("rank", (F.col("before") + own).cast("long"))
     n = F.lit(max(total, 1))
@@ -125,5 +126,9 @@ def hilbert_shards(
 
 
 def write_shards(sharded: DataFrame, path: str, shards: int) -> None:
-    """One directory a shard, its rows along the curve; each shard is written by one task of its own."""
+    """One directory a shard, its rows along the curve; each shard is written by one task of its own.
+
+    Null, repeated and clashing columns are written as they are; shards without rows have no directory, and an empty
+    table writes none.
+    """
     sharded.repartition(shards, "shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
