@@ -5,8 +5,8 @@ Over training time a source's weight follows a schedule; the integral of the sch
 its cumulative demand. A document's copy is needed when the demand reaches the words that stand before it, so inverting
 the demand gives the copy's training position, and a range sort by position gives the training order.
 
-Documents are dealt out within a source by a hash of their id: its first two hex digits cut every source, hot ones
-included, into 256 runs, which are summed before anything is joined or ordered.
+Documents are dealt out within a source by a hash of their id. Sources are counted first; equal ranges of hashes cut a
+hot one into as many runs as its rows ask for, and runs are summed before anything is joined or ordered.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BLANKS, col, cut, without
+from .common import col, cut, ranked, run_count, run_of
 
 #: Relative weight at training times 0, 1/2 and 1, by weight class: the first kind fades, the second stays, the third grows.
 SCHEDULES = ((1.5, 1.0, 0.5), (1.0, 1.0, 1.0), (0.5, 1.0, 1.5))
@@ -29,17 +29,6 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.length(F.translate(blanks_then_words, " \t\n\x0b\x0c\r", "")), F.lit(0)).cast("long")
 
 
-def ranked_sources(sizes: DataFrame, parts: int = 16) -> DataFrame:
-    """(source, source_size, rank from 0) by code point, null last. Each task ranks a range of sources; only the ranges' counts are summed in one place."""
-    order = F.col("source").asc_nulls_last()
-    ranged = cut(sizes.repartitionByRange(parts, order).withColumn("part", F.spark_partition_id()), "sources")
-    counts = ranged.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
-    before = F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
-    base = counts.select(F.col("part").alias("p"), F.coalesce(before, F.lit(0)).alias("base"))
-    own = F.row_number().over(Window.partitionBy("part").orderBy(order)) - 1
-    return ranged.withColumn("own", own).join(base, F.col("part") == F.col("p")).select("source", "source_size", (F.col("own") + F.col("base")).alias("rank"))
-
-
 def with_targets(sources: DataFrame, weights: Sequence[int], share: float, most: float) -> DataFrame:
     """Adds weight and target: share of all words by weight, none above ``most`` times its size, the excess dealt out again.
 
@@ -116,15 +105,20 @@ def mix(
 
 def _placed(docs: DataFrame, keep: Sequence[str], id_col: str, text_col: str, source_col: str, weights, share, most, schedules, times) -> DataFrame:
     """(row, size, source_size, target, taken, copies, positions): ``positions`` has the training time of each round's copy, null where nothing is taken."""
+    counts = cut(docs.groupBy(col(source_col).alias("source")).agg(F.count(F.lit(1)).alias("n")), "counts")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    # sources of one run are left out, so no more than MOST_RUNS are broadcast
+    hot = counts.select(F.col("source").alias("hot"), run_count(F.col("n"), total).alias("runs")).where("runs > 1")
     inner = docs.select(
         F.struct(*[col(c).alias(c) for c in keep]).alias("row"),
         col(source_col).alias("source"),
         F.md5(F.coalesce(col(id_col).cast("string"), F.lit("")).cast("binary")).alias("turn"),
         word_count(col(text_col)).alias("size"),
-    ).withColumn("sub", F.substring("turn", 1, 2))
+    ).join(F.broadcast(hot), F.col("source").eqNullSafe(F.col("hot")), "left")
+    inner = inner.withColumn("sub", run_of(F.col("turn"), F.coalesce("runs", F.lit(1)))).drop("hot", "runs")
     runs = cut(inner.groupBy("source", "sub").agg(F.sum("size").alias("run_size")), "runs")
     sizes = runs.groupBy("source").agg(F.sum("run_size").alias("source_size"))
-    sources = cut(with_targets(ranked_sources(sizes), weights, share, most), "targets")
+    sources = cut(with_targets(ranked(sizes, "source"), weights, share, most), "targets")
     before = F.sum("run_size").over(Window.partitionBy("source").orderBy("sub").rowsBetween(Window.unboundedPreceding, -1))
     runs = runs.withColumn("before", F.coalesce(before, F.lit(0)))
     named = sources.select(F.col("source").alias("s"), "source_size", "rank", "target")
@@ -150,7 +144,7 @@ def _placed(docs: DataFrame, keep: Sequence[str], id_col: str, text_col: str, so
 
 
 def training_order(mixed: DataFrame, parts: int | None = None) -> DataFrame:
-    """Range-sorted by training position; documents that are not taken come last."""
+    """Range-sorted by training position; documents that are not taken (null positions) come last, ties lie in the order of a hash of the row. An empty table stays one."""
     spread = F.xxhash64(F.struct(*[col(c) for c, kind in mixed.dtypes if not kind.startswith(("map", "variant"))]))  # many rows may share a position
     order = (F.col("position").asc_nulls_last(), spread)
     ranged = mixed.repartitionByRange(parts, *order) if parts else mixed.repartitionByRange(*order)
@@ -168,7 +162,10 @@ def mixed_documents(
     schedules: Sequence[Sequence[float]] = SCHEDULES,
     times: Sequence[float] = TIMES,
 ) -> DataFrame:
-    """The documents as the mix takes them: a row for each copy, in range order of the copy's own training position, with the columns of ``docs``."""
+    """The documents as the mix takes them: a row for each copy, in range order of the copy's own training position, with the columns of ``docs``.
+
+    Nulls, ties, repeated rows and an empty table are as in ``mix``; null and empty texts are not taken, so they go.
+    """
     names = docs.columns
     placed = _placed(docs, names, id_col, text_col, source_col, weights, share, most, schedules, times)
     each = placed.select("row", F.explode(F.filter("positions", lambda x: x.isNotNull())).alias("position"))
