@@ -12,20 +12,22 @@ shingle sets.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BLANK_TABLE, annotate, cut
+from .common import BLANK_TABLE, annotate, cut, discard
 
 BANDS, ROWS = 32, 5
 #: Pairs whose sketches agree in fewer bins than the threshold less this are dropped before their texts are compared. At a
 #: similarity of 0.8 over 160 bins it is 4.6 standard deviations, which a pair misses as rarely as all its bands.
 SKETCH_SLACK = 0.145
 SALTS = 64
-#: Pivots of a bucket's star; members and bytes of shingles in a block of the buckets that stars leave open.
-PIVOTS, BLOCK, BLOCK_BYTES = 4, 256, 32 << 20
+#: Pivots of a bucket's star. In buckets that stars leave open: members and bytes of shingles in a block that is held,
+#: and members that pass it in one group.
+PIVOTS, BLOCK, BLOCK_BYTES, PASSING = 4, 1024, 32 << 20, 1024
 CHUNK = 1000
 #: As many wanted ids, of 24 bytes each, are broadcast to the texts at most.
 FEW = 500_000
@@ -43,32 +45,24 @@ def _mix(x):
     return x ^ (x >> np.uint64(31))
 
 
-class WordHasher:
-    """64-bit hashes of the words of normalised bytes, all words at once: a word's polynomial is a difference of prefix sums."""
+class WordHasher(dict):
+    """64-bit keyed BLAKE2 hashes of words, which no choice of words makes collide. Of frequent words they are remembered."""
 
-    BASE = 0x9E3779B97F4A7C15
+    KEY = b"word"
+    MOST, LONGEST = 300_000, 64
 
-    def __init__(self):
-        import numpy as np
-
-        self.bytes = np.random.default_rng(2024).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        self.up = self.down = np.ones(1, np.uint64)
+    def __missing__(self, word: bytes) -> int:
+        h = int.from_bytes(hashlib.blake2b(word, digest_size=8, key=self.KEY).digest(), "little")
+        if len(word) <= self.LONGEST:
+            if len(self) >= self.MOST:
+                self.clear()
+            self[word] = h
+        return h
 
-    def __call__(self, clean: bytes):
+    def all(self, words: list[bytes]):
         import numpy as np
 
-        b = np.frombuffer(clean, np.uint8)
-        n = len(b)
-        if n >= len(self.up):
-            power = lambda x: np.multiply.accumulate(np.concatenate((np.ones(1, np.uint64), np.full(2 * n, x, np.uint64))))
-            self.up, self.down = power(np.uint64(self.BASE)), power(np.uint64(pow(self.BASE, -1, 1 << 64)))
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(self.bytes[b] * self.up[:n], out=sums[1:])
-        edge = np.ones(n + 2, bool)
-        np.equal(b, 32, out=edge[1:-1])
-        edge = np.flatnonzero(edge[1:] != edge[:-1])
-        begin, end = edge[0::2], edge[1::2]
-        return _mix((sums[end] - sums[begin]) * self.down[begin])
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
 def shingle_set(text: bytes | None, k: int, hasher: WordHasher):
@@ -81,13 +75,13 @@ def shingle_set(text: bytes | None, k: int, hasher: WordHasher):
     while at < len(clean):
         end = len(clean) if at + _SLICE >= len(clean) else clean.find(b" ", at + _SLICE)
         end = len(clean) if end < 0 else end
-        words = hasher(clean[at:end])
+        words = clean[at:end].split()
         at = end
-        if not len(words):
+        if not words:
             continue
-        digest.update(words.tobytes())
+        digest.update(b" ".join(words) + b" ")
         seen = True
-        h = np.concatenate((carry, words)) if len(carry) else words
+        h = np.concatenate((carry, hasher.all(words)))
         n = len(h) - k + 1
         if n > 0:
             s = np.zeros(n, dtype=np.uint64)
@@ -254,15 +248,18 @@ def connected(edges: DataFrame) -> DataFrame:
     tables of a turn are written to the shared folder; its joins shuffle plain tables, so hot hubs can be split.
     """
     ab = cut(edges.select(F.col("pivot").alias("u"), F.col("node").alias("v")).union(edges.select("node", "pivot")), "links")
-    labels = cut(ab.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("v")).select("node", F.least("v", "node").alias("label")), "labels")
+    table = cut(ab.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("v")).select("node", F.least("v", "node").alias("label")), "labels")
     while True:
+        labels = table.select("node", "label")
         near = cut(ab.join(labels, ab.v == labels.node).groupBy("u").agg(F.min("label").alias("least")), "near")
         hop = labels.select(F.col("node").alias("at"), F.col("label").alias("far"))
         moved = labels.join(near, labels.node == near.u).join(hop, F.col("label") == F.col("at"), "left")
         moved = cut(moved.select("node", F.col("label").alias("old"), F.least("label", "least", "far").alias("label")), "moved")
-        labels = moved.select("node", "label")
+        discard(near, table)
+        table = moved
         if moved.where("label <> old").isEmpty():
-            return labels
+            discard(ab)
+            return moved.select("node", "label")
 
 
 def _joined(labels: DataFrame | None, edges: DataFrame) -> DataFrame:
@@ -300,38 +297,39 @@ def near_duplicates(
     Other columns are not read. A pair at the threshold misses every band with probability 3e-6.
     """
     share = num / den - SKETCH_SLACK
-    made = cut(_sketched(docs, id_col, text_col, shingle, bands, rows), "sketched")
+    old: list[DataFrame] = []
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        old.append(cut(df, name))
+        return old[-1]
+
+    made = keep(_sketched(docs, id_col, text_col, shingle, bands, rows), "sketched")
     slim = made.select("doc_id", "node", "n_shingles")
-    reps = cut(made.where("node is not null").dropDuplicates(["node"]), "reps")
-    banded = reps.select("node", "n_shingles", F.explode("bands").alias("key"))
-    shared = cut(banded.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "shared")
-    live = cut(banded.join(shared, "key").select("key", "node", "n_shingles", "n").distinct(), "shared_members")
-    # who becomes a pivot first: the nodes that meet most others, alike in every bucket, so that a group meets in few stars
-    weight = live.groupBy(F.col("node").alias("at")).agg((-F.sum("n")).alias("turn"))
-    live = cut(live.join(weight, F.col("node") == F.col("at")).select("key", "node", "n_shingles", "turn"), "members")
+    reps = keep(made.where("node is not null").dropDuplicates(["node"]), "reps")
+    live = _shared_members(reps, keep)
     ids = reps.select("node", "doc_id")
-    fetch = lambda nodes: cut(_sets(docs, id_col, text_col, shingle, cut(nodes.join(ids, "node"), "wanted")), "sets")
+    fetch = lambda nodes: keep(_sets(docs, id_col, text_col, shingle, keep(nodes.join(ids, "node"), "wanted")), "sets")
     # stars: the first members of each bucket, of each of its salted parts first, against all of it
     salted = live.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)))
-    chosen = cut(_first(["key"], _first(["key", "salt"], salted, PIVOTS), PIVOTS).select("key", F.col("node").alias("pivot"), F.col("n_shingles").alias("n_pivot")), "pivots")
+    chosen = keep(_first(["key"], _first(["key", "salt"], salted, PIVOTS), PIVOTS).select("key", F.col("node").alias("pivot"), F.col("n_shingles").alias("n_pivot")), "pivots")
     close = F.least("n_shingles", "n_pivot") * den >= F.greatest("n_shingles", "n_pivot") * num
     star = live.join(chosen, "key").where((F.col("node") != F.col("pivot")) & close).select("pivot", "node").distinct()
-    found = cut(_alike(star, reps, share), "alike")
+    found = keep(_alike(star, reps, share), "alike")
     labels, sets = None, None
     if not found.isEmpty():
         sets = fetch(found.select("node").union(found.select("pivot")).distinct())
-        new = cut(_confirmed(found, sets, num, den), "edges")
+        new = keep(_confirmed(found, sets, num, den), "edges")
         labels = None if new.isEmpty() else _joined(labels, new)
     # blocks: pivots are done with, and so are buckets whose other members are one component
     rest = live.join(chosen.select("key", F.col("pivot").alias("node")), ["key", "node"], "left_anti").select("key", "node", "n_shingles")
     rest = rest.withColumn("label", F.col("node")) if labels is None else rest.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    rest = cut(rest.select("key", "node", "n_shingles", "label"), "rest")
+    rest = keep(rest.select("key", "node", "n_shingles", "label"), "rest")
     split = rest.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("z"), F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("held")).where("a <> z")
-    rest = cut(rest.join(cut(split.select("key", "n", "held"), "open"), "key"), "members")
+    rest = keep(rest.join(keep(split.select("key", "n", "held"), "open"), "key"), "members")
     if not rest.isEmpty():
         nodes = rest.select("node").distinct()
         more = fetch(nodes if sets is None else nodes.join(sets.select("node"), "node", "left_anti"))
-        new = cut(_compared(rest, reps, more if sets is None else sets.unionByName(more), share, num, den), "edges")
+        new = keep(_compared(rest, reps, more if sets is None else sets.unionByName(more), share, num, den), "edges")
         if not new.isEmpty():
             labels = _joined(labels, new)
     if labels is None:
@@ -339,6 +337,7 @@ def near_duplicates(
     else:
         placed = slim.join(labels, "node", "left").select("doc_id", "node", "n_shingles", F.coalesce("label", "node").alias("label"))
     placed = cut(placed, "placed")
+    discard(*old)
     least = cut(placed.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("least")), "least")
     component = F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("least"))
     return (
@@ -348,20 +347,36 @@ def near_duplicates(
     )
 
 
+def _shared_members(reps: DataFrame, keep: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """(key, node, n_shingles, turn): the members of buckets that hold two nodes or more, and who becomes a pivot first:
+    the nodes that meet most others, alike in every bucket, so that a group meets in few stars."""
+    banded = reps.select("node", "n_shingles", F.explode("bands").alias("key"))
+    shared = keep(banded.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "shared")
+    live = keep(banded.join(shared, "key").select("key", "node", "n_shingles", "n").distinct(), "shared_members")
+    weight = live.groupBy(F.col("node").alias("at")).agg((-F.sum("n")).alias("turn"))
+    return keep(live.join(weight, F.col("node") == F.col("at")).select("key", "node", "n_shingles", "turn"), "members")
+
+
 def _compared(members: DataFrame, reps: DataFrame, sets: DataFrame, share: float, num: int, den: int) -> DataFrame:
     """Links (pivot, node) among the members (key, node, n_shingles, label, n, held) of each bucket, of different labels.
 
-    A bucket's members are dealt to blocks, bounded in number and bytes; every member passes each block once and is
-    compared with it in memory, so that no pair is written but a link. A pair that meets in several buckets is compared
-    in that of its first common band alone.
+    A bucket's members are dealt to blocks, bounded in number and bytes, and anew to parts. A part passes a block in a
+    group of its own, where each member is compared with the block in memory, so that no pair is written but a link. A
+    member passes its own block and those before it, so that two blocks meet once. A pair that meets in several buckets
+    is compared in that of its first common band alone.
     """
     blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("held") * 8 / BLOCK_BYTES)).cast("int")
-    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    rows = members.withColumn("blocks", blocks).withColumn("own", own).join(reps.select("node", "bands", "sketch"), "node").join(sets, "node")
-    names = ("key", "block", "turn", "node", "label", "bands", "sketch", "hashes")
-    turns = F.when(F.col("block") == F.col("own"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(1)))
-    rows = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("turn", F.explode(turns)).select(*names)
-    rows = rows.repartition("key", "block").sortWithinPartitions("key", "block", "turn")
+    parts = F.ceil(F.col("n") / PASSING).cast("int")
+    dealt = members.withColumn("own", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("parts", parts)
+    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("node", F.lit(1)), F.col("parts")).cast("int"))
+    rows = dealt.join(reps.select("node", "bands", "sketch"), "node").join(sets, "node")
+    names = ("key", "block", "part", "turn", "node", "label", "bands", "sketch", "hashes", "within")
+    place = lambda block, part, turn: F.struct(block.alias("block"), part.alias("part"), F.lit(turn).alias("turn"))
+    held = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: place(F.col("own"), p, 0))
+    passing = F.transform(F.sequence(F.lit(0), F.col("own")), lambda b: place(b, F.col("part"), 1))
+    rows = rows.withColumn("at", F.explode(F.concat(held, passing))).withColumn("within", F.col("at.block") == F.col("own"))
+    rows = rows.select("key", "at.block", "at.part", "at.turn", *names[4:])
+    rows = rows.repartition("key", "block", "part").sortWithinPartitions("key", "block", "part", "turn")
 
     def run(batches):
         import numpy as np
@@ -371,14 +386,17 @@ def _compared(members: DataFrame, reps: DataFrame, sets: DataFrame, share: float
         nodes = labels = bands = sketches = sizes = None
         for batch in batches:
             out_p, out_n = [], []
-            for key, block, turn, node, label, own, sketch, h in zip(*(batch.column(c) for c in names), strict=True):
-                key, block, node, label = key.as_py(), block.as_py(), node.as_py(), label.as_py()
+            for key, block, part, turn, node, label, own, sketch, h, within in zip(*(batch.column(c) for c in names), strict=True):
+                key, node, label, within = key.as_py(), node.as_py(), label.as_py(), within.as_py()
+                group = key, block.as_py(), part.as_py()
                 own, sketch, h = own.values.to_numpy(), np.frombuffer(sketch.as_py(), np.uint8), np.frombuffer(h.as_py(), np.uint64)
-                if (key, block) != at:
-                    at, held, nodes = (key, block), [], None
+                if group != at:
+                    at, held, nodes = group, [], None
                 if turn.as_py() == 0:
                     held.append((node, label, own, sketch, h))
                     continue
+                if not held:
+                    continue
                 if nodes is None:
                     nodes, labels, bands, sketches = ([x[i] for x in held] for i in range(4))
                     bands, sketches, sizes = np.stack(bands), np.stack(sketches), np.array([len(x[4]) for x in held])
@@ -386,7 +404,7 @@ def _compared(members: DataFrame, reps: DataFrame, sets: DataFrame, share: float
                 first = same[np.arange(len(held)), same.argmax(axis=1)] & (own[same.argmax(axis=1)] == key)
                 near = np.minimum(sizes, len(h)) * den >= np.maximum(sizes, len(h)) * num
                 for i in np.flatnonzero(first & near & ((sketches == sketch).mean(axis=1) >= share)):
-                    if nodes[i] < node and labels[i] != label:
+                    if labels[i] != label and (nodes[i] < node or not within):
                         base = held[i][4]
                         where = np.searchsorted(base, h)
                         both = int((base[np.minimum(where, len(base) - 1)] == h).sum())
@@ -405,7 +423,11 @@ def _first(keys: list[str], df: DataFrame, n: int) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The documents kept by ``near_duplicates``, with all their columns; of rows that repeat id and text one stays. Rows without an id stay if one of them is kept."""
+    """The documents kept by ``near_duplicates``, with all their columns.
+
+    Of rows that repeat id and text one stays. Rows without an id stay if one of them is kept. Null, empty and blank
+    texts are linked with nothing, so they stay. An empty table stays one. Other columns are carried along, whatever their names.
+    """
     keep = cut(near_duplicates(docs, id_col, text_col, **how).where("kept").select(F.col("doc_id").alias("__kept_id")).distinct(), "kept")
     # a plain join deals texts out by id once, and the last step needs no other order; nulls don't join by it
     kept = docs.join(keep, F.col(id_col) == F.col("__kept_id"))
