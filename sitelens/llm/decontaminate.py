@@ -7,17 +7,20 @@ back to code-point offsets of the original text.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ALNUM_TABLE, annotate, col, cut, runs
+from .common import ALNUM_TABLE, annotate, col, cut, discard, lower_ascii, runs
 
 WINDOW = 10
-#: Bytes of benchmark text in one automaton. A larger benchmark is scanned in blocks of items, each against all texts.
-BLOCK_BYTES = 2 << 20
+#: Bytes of benchmark text in one automaton. A larger benchmark is taken in blocks of items, one after the other against
+#: CHUNK_BYTES of texts.
+BLOCK_BYTES, CHUNK_BYTES = 2 << 20, 64 << 20
+#: Java pattern of what lies between words, once A-Z are lower-cased.
+_BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 RESULT = T.StructType(
     [
@@ -48,20 +51,59 @@ class Windows:
         if self.some:
             self.found.make_automaton()
 
-    def scan(self, text: bytes | None) -> tuple:
-        words = (text or b"").translate(ALNUM_TABLE).split()
+    def mark(self, words: list[bytes], marks: bytearray | None) -> tuple[bytearray | None, set[str]]:
+        """``marks`` of the words, made when there is a first hit, and the items with windows in them."""
         get = self.ids.get
-        ids = tuple([get(w, 0) for w in words])
-        marks, owners = None, set()
+        ids, owners = tuple([get(w, 0) for w in words]), set()
         if self.some and any(ids):
             for end, (n, who) in self.found.iter(ids):
                 if marks is None:
                     marks = bytearray(len(words))
                 marks[end - n + 1 : end + 1] = b"\1" * n
                 owners |= who
-        if marks is None:
-            return len(words), 0, [], []
-        return len(words), marks.count(1), runs(text, marks), sorted(owners)
+        return marks, owners
+
+
+def _split(text: bytes | None) -> list[bytes]:
+    return (text or b"").translate(ALNUM_TABLE).split()
+
+
+def _result(text: bytes | None, n: int, marks: bytearray | None, owners: set[str]) -> tuple:
+    return (n, 0, [], []) if marks is None else (n, marks.count(1), runs(text, marks), sorted(owners))
+
+
+def scan_once(windows: Windows, texts: Sequence[bytes | None]) -> list[tuple]:
+    out = []
+    for t in texts:
+        words = _split(t)
+        out.append(_result(t, len(words), *windows.mark(words, None)))
+    return out
+
+
+def scan_blocks(blocks: Sequence[Callable[[], Windows]], texts: Sequence[bytes | None]) -> list[tuple]:
+    """As ``scan_once``, over the windows of all blocks; only one automaton is held at a time."""
+    marks: list[bytearray | None] = [None] * len(texts)
+    owners: list[set[str]] = [set() for _ in texts]
+    sizes = [0] * len(texts)
+    for make in blocks:
+        windows = make()
+        for i, t in enumerate(texts):
+            words = _split(t)
+            sizes[i] = len(words)
+            marks[i], own = windows.mark(words, marks[i])
+            owners[i] |= own
+    return [_result(*x) for x in zip(texts, sizes, marks, owners, strict=True)]
+
+
+def item_pieces(items: DataFrame, window: int, block_bytes: int) -> DataFrame:
+    """(item, text): distinct items, those of more than ``block_bytes`` cut into pieces that overlap by all but one word of a window."""
+    items = items.where("text is not null").distinct()
+    words = F.filter(F.split(lower_ascii(F.col("text")), _BETWEEN), lambda w: w != "")
+    step = max(1, block_bytes // 64)
+    starts = F.sequence(F.lit(1), F.greatest(F.size("words") - window + 1, F.lit(1)), F.lit(step))
+    big = F.octet_length("text") > block_bytes
+    cuts = items.where(big).select("item", words.alias("words")).select("item", F.explode(F.transform(starts, lambda i: F.array_join(F.slice("words", i, step + window - 1), " "))).alias("text"))
+    return items.where(~big).unionByName(cuts.distinct())
 
 
 def decontaminate(
@@ -80,54 +122,29 @@ def decontaminate(
 
     Words are runs of letters, digits and non-ASCII characters, A-Z lower-cased. Every ``window`` consecutive words of a
     benchmark field (question, answer) is a window; a field of fewer words is one window; one without words has none.
-    Each text is scanned whole. A null or empty text has no words and no hits. Items without an id mark words but are
-    not listed; repeated items count once. An empty benchmark hits nothing. A column called ``out`` is replaced.
-    The benchmark is taken in blocks of about ``block_bytes`` of its text, so what is broadcast has a fixed bound.
+    Each text is scanned whole and read once. A null or empty text has no words and no hits. Items without an id mark
+    words but are not listed; repeated items count once, before they are taken in. An empty benchmark hits nothing; an
+    empty table gives an empty one. A column called ``out`` is replaced. The benchmark is taken in blocks of about
+    ``block_bytes`` of its text, each fetched and broadcast by itself; tasks hold the automaton of one block at a time.
     """
     spark = docs.sparkSession
     parts = [benchmark.select(col(item_col).cast("string").alias("item"), col(f).cast("string").alias("text")) for f in fields]
     items = parts[0]
     for p in parts[1:]:
         items = items.unionByName(p)
-    items = items.where("text is not null")
+    items = cut(item_pieces(items, window, block_bytes), "items")
     n_bytes = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-n_bytes // block_bytes))
     items = items.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(blocks)))
-    result = docs
-    for block in range(blocks):
-        held = spark.sparkContext.broadcast([(r.item, r.text.encode()) for r in items.where(F.col("block") == block).collect()])
-
-        def make(held=held):
-            windows = Windows(held.value, window)
-            return lambda texts: [windows.scan(t) for t in texts]
-
-        if block == 0:
-            keep = None if carry is None or blocks == 1 else list(dict.fromkeys([*carry, text_col]))
-            result = annotate(docs, make, RESULT, out, text_col, carry if blocks == 1 else keep)
-        else:
-            more = annotate(cut(result, "scanned"), make, RESULT, "__more", text_col)
-            result = more.withColumn(out, _merged(f"`{out}`")).drop("__more")
-    if carry is not None and blocks > 1:
-        result = result.select(*[col(c) for c in carry], col(out))
-    return result
-
-
-def _merged(out: str):
-    """The struct for two blocks together; runs that overlap or touch become one."""
-    return F.expr(
-        f"""transform(array(aggregate(
-                array_sort(concat({out}.hits, __more.hits)),
-                slice({out}.hits, 1, 0),
-                (done, x) -> if(size(done) > 0 and x.first_word <= element_at(done, -1).last_word + 1,
-                    concat(slice(done, 1, size(done) - 1), array(named_struct(
-                        'first_word', element_at(done, -1).first_word,
-                        'last_word', greatest(element_at(done, -1).last_word, x.last_word),
-                        'start', element_at(done, -1).start,
-                        'end', greatest(element_at(done, -1).end, x.end)))),
-                    concat(done, array(x))))),
-            h -> named_struct(
-                'n_words', {out}.n_words,
-                'n_hit', aggregate(h, 0L, (n, x) -> n + x.last_word - x.first_word + 1),
-                'hits', h,
-                'items', array_sort(array_union({out}.items, __more.items))))[0]"""
-    )
+    dealt = items if blocks == 1 else cut(items.repartition("block").sortWithinPartitions("block"), "blocks")
+    held = [spark.sparkContext.broadcast([(r.item, r.text.encode()) for r in dealt.where(F.col("block") == b).collect()]) for b in range(blocks)]
+    discard(items, dealt)
+
+    def make():
+        if len(held) == 1:
+            windows = Windows(held[0].value, window)
+            return lambda texts: scan_once(windows, texts)
+
+        return lambda texts: scan_blocks([lambda b=b: Windows(b.value, window) for b in held], texts)
+
+    return annotate(docs, make, RESULT, out, text_col, carry, chunk_bytes=(8 << 20) if blocks == 1 else CHUNK_BYTES)
