@@ -17,11 +17,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ALNUM_TABLE, annotate, runs
+from .common import ALNUM_TABLE, annotate, cut, discard, runs
 
-#: Bounds of the training sample: rows of either class, and bytes of one training text. Scoring reads every text whole.
+#: Default bounds of the training sample: toxic rows, clean rows, and bytes of one training text. Scoring reads every text whole.
 MAX_TOXIC, MAX_CLEAN, MAX_TRAIN_BYTES = 1000, 3000, 64 << 10
-#: Rows of either class from which the chain's weights are learnt; which features tell is learnt from all.
+#: Default bound of the rows of either class from which the chain's weights are learnt; which features tell, and the
+#: documents' score, are learnt from the whole sample.
 CHAIN_ROWS = 400
 #: A feature marks tokens if its G statistic and its odds ratio reach these.
 MIN_G, MIN_ODDS = 20.0, 8.0
@@ -183,8 +184,9 @@ def _distinct(rows: list[tuple[bytes, int]]) -> list[tuple[bytes, int]]:
     return out
 
 
-def fit(rows: list[tuple[bytes, int]], share: float | None = None) -> Model:
-    """A model from (text, label) rows. share: of toxic rows in the corpus, to which scores are calibrated. Without both labels: scores near the one there is."""
+def fit(rows: list[tuple[bytes, int]], share: float | None = None, chain_rows: int = CHAIN_ROWS) -> Model:
+    """A model from (text, label) rows. share: of toxic rows in the corpus, to which scores are calibrated. Without both
+    labels: scores near the one there is. The chain learns from the first ``chain_rows`` rows of either label."""
     import numpy as np
 
     rows = _distinct(rows)
@@ -222,7 +224,7 @@ def fit(rows: list[tuple[bytes, int]], share: float | None = None) -> Model:
     index = {f: i for i, f in enumerate(sorted(telling))}
     df.clear()
     memo.clear()
-    train = [[(text, y) for text, y in rows if y == side and words_of(text)][:CHAIN_ROWS] for side in (0, 1)]
+    train = [[(text, y) for text, y in rows if y == side and words_of(text)][:chain_rows] for side in (0, 1)]
     token_of, feat_of, label, bounds = [], [], [], [0]
     own: dict[bytes, list[int]] = {}  # of a word: its telling features
     for text, y in train[0] + train[1]:
@@ -297,17 +299,26 @@ def _logistic(x, y, weight):
     return beta
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> tuple[list[tuple[bytes, int]], float | None]:
-    """Texts of at most MAX_TOXIC and MAX_CLEAN labelled ids, those whose hashes come first, and the share of toxic labels among all."""
+def training_rows(
+    docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, max_toxic: int, max_clean: int, max_bytes: int
+) -> tuple[list[tuple[bytes, int]], float | None]:
+    """(rows, share of toxic labels among all). At most ``max_toxic`` and ``max_clean`` labelled ids, those whose hashes
+    come first; of their rows, whose ids may repeat, as many again at most, none over ``max_bytes`` long."""
     marked = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("wanted")).agg((F.max(label_col) > 0).cast("int").alias("y"))
     count = dict(marked.groupBy("y").count().collect())
     if not count:
         return [], None
     order = (F.xxhash64("wanted"), F.col("wanted"))
-    chosen = marked.where("y = 1").orderBy(*order).limit(MAX_TOXIC).union(marked.where("y = 0").orderBy(*order).limit(MAX_CLEAN))
-    both = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), F.col("id") == F.col("wanted"))
-    rows = sorted((r.id, r.text, r.y) for r in both.where(F.octet_length("text") <= MAX_TRAIN_BYTES).select("id", "text", "y").collect())
-    return [(text.encode(), y) for _, text, y in rows], count.get(1, 0) / sum(count.values())
+    most = {1: max_toxic, 0: max_clean}
+    first = lambda y: marked.where(F.col("y") == y).orderBy(*order).limit(most[y])
+    both = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(first(1).union(first(0))), F.col("id") == F.col("wanted"))
+    both = cut(both.where(F.octet_length("text") <= max_bytes).select("id", "text", "y"), "labelled")
+    rows = []
+    for y in (0, 1):
+        chosen = both.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id", F.xxhash64("text"), "text").limit(most[y])
+        rows += sorted((r.id, r.text, r.y) for r in chosen.collect())
+    discard(both)
+    return [(text.encode(), y) for _, text, y in sorted(rows)], count.get(1, 0) / sum(count.values())
 
 
 def score_toxicity(
@@ -327,6 +338,22 @@ def score_toxicity(
     return annotate(docs, lambda: Tagger(held.value), RESULT, out, text_col, carry)
 
 
-def train_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
-    """A model from labelled documents; ``labels`` holds only the rows it may learn from. Rows without id or label are left out; of several labels for an id the highest holds."""
-    return fit(*training_rows(docs, labels, id_col, text_col, label_col))
+def train_toxicity(
+    docs: DataFrame,
+    labels: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    label_col: str = "toxic",
+    max_toxic: int = MAX_TOXIC,
+    max_clean: int = MAX_CLEAN,
+    max_bytes: int = MAX_TRAIN_BYTES,
+    chain_rows: int = CHAIN_ROWS,
+) -> Model:
+    """A model from labelled documents; ``labels`` holds only the rows it may learn from.
+
+    It learns from a bounded sample: at most ``max_toxic`` and ``max_clean`` rows, those whose ids' hashes come first, of
+    texts of at most ``max_bytes``, the chain's weights from ``chain_rows`` of either label. The bounds hold for rows that
+    repeat an id too. Rows without id, text or label are left out; of several labels for an id the highest holds. Without
+    labels, or without rows for them, every score is near 0. Other columns are not read.
+    """
+    return fit(*training_rows(docs, labels, id_col, text_col, label_col, max_toxic, max_clean, max_bytes), chain_rows=chain_rows)
