@@ -37,8 +37,9 @@ class Notice:
     keys: tuple[str, ...]
 
 
-#: The customary short notices of public licences.
+#: The customary notices of public licences.
 NOTICES = (
+    Notice("agpl-3.0", "This work is licensed under the GNU Affero General Public License, version 3", ("gnu affero general public license", "version 3")),
     Notice("apache-2.0", "Licensed under the Apache License, Version 2.0", ("apache license version 2 0",)),
     Notice("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", ("redistribution and use in source and binary forms",)),
     Notice("bsd", "Released under the BSD License", ("bsd license",)),
@@ -46,11 +47,29 @@ NOTICES = (
     Notice("cc-by-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License", ("creative commons attribution 4 0",)),
     Notice("cc-by-nc-4.0", "Licensed under CC BY-NC 4.0", ("cc by nc 4 0",)),
     Notice("cc-by-sa-4.0", "Licensed under CC BY-SA 4.0", ("cc by sa 4 0",)),
+    Notice("cc0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work", ("waived all copyright and related or neighboring rights",)),
+    Notice("cc0-1.0", "This work is dedicated to the public domain under CC0 1.0 Universal", ("cc0 1 0",)),
+    Notice("epl-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0", ("eclipse public license 2 0",)),
     Notice("gpl-2.0", "This work is licensed under the GNU General Public License, version 2", ("gnu general public license", "version 2")),
     Notice("gpl-3.0", "This work is licensed under the GNU General Public License, version 3", ("gnu general public license", "version 3")),
+    Notice("gpl-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version", ("gnu general public license as published", "version 3 of the license")),
+    Notice("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies", ("permission to use copy modify and or distribute this software", "notice appear in all copies")),
+    Notice("lgpl-2.1", "This work is licensed under the GNU Lesser General Public License, version 2.1", ("gnu lesser general public license", "version 2 1")),
+    Notice("lgpl-3.0", "This work is licensed under the GNU Lesser General Public License, version 3", ("gnu lesser general public license", "version 3")),
     Notice("mit", "Released under the MIT License", ("mit license",)),
     Notice("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", ("permission is hereby granted free of charge",)),
+    Notice(
+        "mit",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the "
+        "Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to "
+        "permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all "
+        "copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES "
+        "OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, "
+        "WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+        ("permission is hereby granted free of charge", "shall be included in all copies or substantial portions"),
+    ),
     Notice("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0", ("mozilla public license",)),
+    Notice("unlicense", "This is free and unencumbered software released into the public domain", ("free and unencumbered software",)),
 )
 
 RESULT = T.StructType(
@@ -160,7 +179,9 @@ def scan_licenses(
     greatest start; null without any), base_labels, labels (with those of notices; sorted), score.
 
     Words are runs of letters, digits and non-ASCII characters, A-Z lower-cased; texts are read whole. Null and empty
-    texts have no words, no labels and score 0. score is the best notice's, BASE_SCORE if there are only base phrases.
+    texts have no words, no labels and score 0. A notice is looked at where one of its rare words stands exactly in its
+    place and two do within SLACK words; it is found there if its key phrases are, and LEAST of its weight stands within
+    SLACK words of its place. Rare words: those in few files, and each template's two rarest. score is the best notice's, BASE_SCORE if there are only base phrases.
     Repeated rows get equal results; an empty table gives an empty one. A column called ``out`` is replaced.
     """
     vocabulary = {w for n in notices for w in _words(n.text)}
