@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -24,10 +24,17 @@ BLOCKLIST = (
     ("blocked_domain", ("medium.com",)),
 )
 
-#: Public suffixes of more than one label that the bundled table knows; single labels are always suffixes.
+#: Public suffixes by a compact rule: one of these labels below a two-letter country, but for flat ones, is a suffix of two labels.
+REGISTRY_LABELS = ("ac", "co", "com", "edu", "gob", "gouv", "gov", "go", "mil", "ne", "net", "nom", "or", "org")
+FLAT_COUNTRIES = ("be", "ch", "cz", "de", "dk", "eu", "fi", "li", "lu", "nl", "sk")
+#: Names reserved for other use; no site is registered below them.
+RESERVED = ("example", "internal", "invalid", "local", "localhost", "test")
+#: Rules beside them, as public suffix lists write them: a suffix, ``*.`` for any label below one, ``!`` for what is none after all.
 SUFFIXES = (
-    "co.uk", "org.uk", "ac.uk", "gov.uk", "co.jp", "ne.jp", "or.jp", "ac.jp", "go.jp", "com.au", "net.au", "org.au",
-    "co.nz", "com.br", "com.mx", "co.kr", "co.in", "com.cn", "com.tw", "com.hk", "com.sg", "co.za", "com.tr", "com.ar",
+    "ad.jp", "ed.jp", "gr.jp", "lg.jp", "*.kawasaki.jp", "!city.kawasaki.jp", "*.kobe.jp", "!city.kobe.jp", "*.nagoya.jp", "!city.nagoya.jp",
+    "*.sapporo.jp", "!city.sapporo.jp", "*.yokohama.jp", "!city.yokohama.jp", "ltd.uk", "me.uk", "nhs.uk", "plc.uk", "police.uk", "*.sch.uk",
+    "asn.au", "id.au", "gen.nz", "geek.nz", "govt.nz", "iwi.nz", "school.nz", "firm.in", "gen.in", "ind.in", "re.kr", "pe.kr", "idv.tw", "idv.hk",
+    "law.za", "web.za", "web.id", "my.id", "sch.id", "blog.br", "art.br", "*.ck", "!www.ck", "*.bd", "*.np", "*.mm", "*.er", "*.fk", "*.kh", "*.pg",
 )
 
 MULTITENANT = ("substack.com", "wordpress.com", "blogspot.com")
@@ -43,14 +50,6 @@ def present(*items: Column) -> Column:
     return F.array_compact(F.array(*items))
 
 
-def any_of(c: Column, values: Sequence[str]) -> Column:
-    return c.isin(*values)
-
-
-def strings(values: Sequence[str]) -> Column:
-    return F.array(*[F.lit(v) for v in values])
-
-
 def clean_text(c: Column, most: int = 500) -> Column:
     """Whitespace runs as one space, trimmed, cut to ``most`` characters; empty becomes null."""
     return F.nullif(F.substring(F.trim(F.regexp_replace(c, r"(?U)\s+", " ")), 1, most), F.lit(""))

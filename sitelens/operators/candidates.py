@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -93,9 +93,9 @@ def generate_queries(jobs: DataFrame) -> DataFrame:
     return paged.where("seq <= most").select("job_id", F.col("seq").cast("long").alias("seq"), F.col("text").alias("query_text"), "category", F.col("template").alias("template_name"), "page")
 
 
-def split_candidates(hits: DataFrame, multitenant: Sequence[str] = MULTITENANT) -> tuple[DataFrame, DataFrame]:
-    """(accepted, rejected) of ``hits`` by URL rules and blocklist; both keep all columns."""
-    d = with_site(hits, multitenant=multitenant)
+def split_candidates(hits: DataFrame, multitenant: Sequence[str] = MULTITENANT, suffixes: Sequence[str] | None = None, extra_blocks: Iterable[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """(accepted, rejected) of ``hits`` by URL rules and blocklist; both keep all columns. ``suffixes``: as ``suffix_size`` takes them."""
+    d = with_site(hits, multitenant=multitenant, suffixes=suffixes, extra_blocks=extra_blocks)
     return d.where("reason is null").drop("reason"), d.where("reason is not null")
 
 
@@ -103,22 +103,23 @@ def dedup_candidates(accepted: DataFrame) -> DataFrame:
     """``accepted`` with ``kept`` and ``kept_url``: one row of each canonical_key is kept.
 
     The first by seq is kept, unless it is http and a later row with its query_text and position is https, which then
-    replaces it. kept_url is the URL that was kept when the row arrived. Two aggregates over the key and one join by
-    it, so a site with very many hits is reduced before it is dealt out.
+    replaces it. kept_url is the URL that was kept when the row arrived. Rows are aggregated by key, query_text and
+    position, those by key, so a site with very many hits is reduced before it is dealt out; then rows are joined once.
     """
-    https = F.col("normalized_url").startswith("https:")
-    first = accepted.groupBy("canonical_key").agg(F.min_by(F.struct("seq", "normalized_url", "query_text", "position"), "seq").alias("f"))
-    same = (F.col("query_text") == F.col("f.query_text")) & (F.col("position") == F.col("f.position")) & (F.col("seq") > F.col("f.seq")) & https & F.col("f.normalized_url").startswith("http:")
-    over = accepted.join(first, "canonical_key").where(same).groupBy("canonical_key").agg(F.min_by(F.struct("seq", "normalized_url"), "seq").alias("o"))
-    d = accepted.join(first, "canonical_key").join(over, "canonical_key", "left")
+    row = F.struct("seq", "normalized_url")
+    places = accepted.groupBy("canonical_key", "query_text", "position").agg(
+        F.min_by(row, "seq").alias("f"), F.min_by(row, F.when(F.col("normalized_url").startswith("https:"), F.col("seq"))).alias("o")
+    )
+    sites = places.groupBy("canonical_key").agg(F.min_by(F.struct("f", "o"), "f.seq").alias("s")).select("canonical_key", "s.f", F.when(F.col("s.f.normalized_url").startswith("http:"), F.col("s.o")).alias("o"))
+    d = accepted.join(sites, "canonical_key")
     kept = F.col("seq") == F.coalesce("o.seq", "f.seq")
     at = F.when(F.col("o").isNotNull() & (F.col("seq") >= F.col("o.seq")), F.col("o.normalized_url")).otherwise(F.col("f.normalized_url"))
     return d.select(*accepted.columns, kept.alias("kept"), at.alias("kept_url"))
 
 
-def candidate_counts(hits: DataFrame, multitenant: Sequence[str] = MULTITENANT) -> DataFrame:
+def candidate_counts(hits: DataFrame, multitenant: Sequence[str] = MULTITENANT, suffixes: Sequence[str] | None = None) -> DataFrame:
     """One row: accepted, rejected, duplicates."""
-    d = with_site(hits, multitenant=multitenant)
+    d = with_site(hits, multitenant=multitenant, suffixes=suffixes)
     return d.agg(
         F.count_if(F.col("reason").isNull()).alias("accepted"),
         F.count_if(F.col("reason").isNotNull()).alias("rejected"),

@@ -47,12 +47,13 @@ parts AS (
 named AS (
   SELECT *, regexp_extract(host, '([^.]+[.][^.]+)$', 1) AS registered_domain,
     nullif(regexp_replace(regexp_replace(host, '[.]?[^.]+[.][^.]+$', ''), '^www([.]|$)', ''), '') AS subdomain,
-    array_to_string(list_transform(list_filter(string_split(query, '&'), lambda kv: kv <> '' AND lower(split_part(kv, '=', 1)) NOT IN
-      ('utm_source', 'utm_medium', 'utm_campaign', 'utm_term', 'utm_content', 'utm_id', 'gclid', 'dclid', 'fbclid', 'msclkid', 'mc_cid', 'mc_eid')),
-      lambda kv: CASE WHEN kv LIKE '%=%' THEN kv ELSE kv || '=' END), '&') AS q FROM parts),
+    array_to_string(list_transform(list_filter(list_transform(list_filter(string_split(query, '&'), lambda kv: kv <> ''),
+        lambda kv: {k: url_decode(replace(split_part(kv, '=', 1), '+', ' ')), v: CASE WHEN contains(kv, '=') THEN url_decode(replace(kv[instr(kv, '=') + 1:], '+', ' ')) ELSE '' END}),
+      lambda x: lower(x.k) NOT IN ('utm_source', 'utm_medium', 'utm_campaign', 'utm_term', 'utm_content', 'utm_id', 'gclid', 'dclid', 'fbclid', 'msclkid', 'mc_cid', 'mc_eid')),
+      lambda x: replace(url_encode(x.k), '%20', '+') || '=' || replace(url_encode(x.v), '%20', '+')), '&') AS q FROM parts),
 norm AS (
   SELECT *, concat_ws('.', subdomain, registered_domain) AS site,
-    scheme || '://' || concat_ws('.', subdomain, registered_domain) || CASE WHEN path = '' THEN '/' ELSE path END || CASE WHEN q = '' THEN '' ELSE '?' || q END AS normalized_url,
+    scheme || '://' || concat_ws('.', subdomain, registered_domain) || CASE WHEN path = '' THEN '/' ELSE replace(replace(url_encode(path), '%2F', '/'), '%25', '%') END || CASE WHEN q = '' THEN '' ELSE '?' || q END AS normalized_url,
     scheme || '://' || concat_ws('.', subdomain, registered_domain) || '/' AS homepage_url FROM named),
 accepted AS (SELECT *, site AS canonical_key FROM norm WHERE reason IS NULL)
 """
