@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.lists import let
 from ..functions.urls import absolute_url, registered_domain, url_parts
-from .pages import all_of, anchors, attribute, inner_text
+from .pages import all_of, anchors, attribute, entities, inner_text, jsonld_contacts
 
 #: Patterns of addresses, roles and categories, in order of priority.
 EMAIL = r"^[a-zA-Z0-9._%+-]{1,64}@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}$"
@@ -26,6 +26,7 @@ CATEGORIES = (
     ("support", r"(?i)\b(support|help|service)\b"),
     ("general", r"(?i)\b(contact|info|hello|enquiries|inquiries|hi)\b"),
 )
+#: Free mail hosts, words of contact forms and of others, and kinds of links with their points.
 FREE_MAIL = ("gmail.com", "yahoo.com", "hotmail.com", "outlook.com", "icloud.com", "aol.com", "protonmail.com")
 FORM_WORDS = ("message", "contact", "email", "inquiry", "subject", "body")
 FORM_REJECTS = ("login", "password", "sign up", "register", "search", "comment", "newsletter", "checkout", "subscribe")
@@ -68,12 +69,42 @@ def emails_deobfuscated(df: DataFrame, text: Column, *keep: str) -> DataFrame:
 
 def emails_mailto(pages: DataFrame, html: Column, *keep: str) -> DataFrame:
     """Addresses of mailto anchors, with the anchor's text."""
-    links = F.filter(anchors(html), lambda a: F.lower(a.href).startswith("mailto:"))
+    links = F.filter(anchors(html, None), lambda a: F.lower(a.href).startswith("mailto:"))
     d = pages.select(*keep, F.posexplode(links).alias("pos", "a"))
     d = d.select(*keep, "pos", F.col("a.text").alias("nearby_text"), validate_email(F.regexp_replace(F.substring(F.col("a.href"), 8, 1000), r"\?.*$", "")).alias("e"))
     return d.where("e is not null").select(*keep, "pos", "nearby_text", "e.*")
 
 
+def emails_in_elements(pages: DataFrame, html: Column, *keep: str) -> DataFrame:
+    """Addresses in the text of p, div, span, li and td elements, plain and written out; elements without an at sign are passed over.
+
+    An element's text ends where the next of these elements begins or ends, so nested texts are read once.
+    """
+    bare = F.regexp_replace(F.coalesce(html, F.lit("")), r"(?is)<(script|style)(?:\s[^>]*)?>.*?</\1>|<!--.*?-->", " ")
+    parts = F.split(bare, r"(?i)</?(?:p|div|span|li|td)(?:\s[^>]*)?>")
+    texts = F.filter(F.transform(parts, lambda x: F.trim(F.regexp_replace(entities(F.regexp_replace(x, r"<[^>]*>", " ")), r"\s+", " "))), lambda t: F.lower(t).rlike(r"@|\[at\]|\(at\)"))
+    d = pages.select(*keep, F.posexplode(texts).alias("element", "_text"))
+    both = emails_in_text(d, F.col("_text"), *keep, "element").unionByName(emails_deobfuscated(d, F.col("_text"), *keep, "element"))
+    return both.dropDuplicates([*keep, "element", "normalized_email"]).drop("pos")
+
+
+def emails_jsonld(pages: DataFrame, html: Column, *keep: str) -> DataFrame:
+    """Addresses of ContactPoint and Organization objects in JSON-LD, with their contact type as nearby_text and confidence 0.9."""
+    d = pages.select(*keep, F.when(F.coalesce(html, F.lit("")).contains("ld+json"), jsonld_contacts(html)).alias("_c"))
+    d = d.select(*keep, F.posexplode("_c").alias("pos", "c")).select(*keep, "pos", F.substring("c.kind", 1, 500).alias("nearby_text"), validate_email(F.col("c.email")).alias("e"))
+    return d.where("e is not null").select(*keep, "pos", "nearby_text", "e.*", F.lit(0.9).alias("confidence"), F.lit("json_ld").alias("extraction_method"))
+
+
+def contact_run_totals(sites: DataFrame) -> DataFrame:
+    """One row over ``sites`` (success, n_contacts, n_forms): processed, with contacts or forms, contacts, forms, failed."""
+    some = F.col("success") & ((F.col("n_contacts") > 0) | (F.col("n_forms") > 0))
+    none = lambda c: F.coalesce(c, F.lit(0))
+    return sites.agg(
+        F.count(F.lit(1)).alias("sites_processed"), F.count_if(some).alias("sites_with_contacts"), none(F.sum("n_contacts")).alias("contacts_found"), none(F.sum("n_forms")).alias("forms_found"),
+        F.count_if(~F.col("success")).alias("failed_count"),
+    )
+
+
 def emails_simple(html: Column) -> Column:
     """Struct (advertising, contact): of the addresses anywhere in ``html``, the last with ad, sales or sponsor, and the first other, else the first."""
     found = F.array_distinct(F.regexp_extract_all(html, F.lit(r"([a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,})"), 1))
@@ -110,7 +141,7 @@ def merge_contacts(raw: DataFrame) -> DataFrame:
 
 
 def rank_contact(merged: DataFrame, domain: Column, primary_type: Column) -> DataFrame:
-    """``merged`` with rank_score from 0 to 100."""
+    """``merged`` with rank_score from 0 to 100. ``displayed`` gives the order in which contacts are shown."""
     mail = F.split_part("normalized_email", F.lit("@"), F.lit(2))
     yes = lambda c: F.coalesce(c, F.lit(False)).cast("int")
     near = F.when((mail == domain) | mail.endswith(F.concat(F.lit("."), domain)), 20).when(mail.isin(*FREE_MAIL), -20).otherwise(-10)
@@ -121,6 +152,11 @@ def rank_contact(merged: DataFrame, domain: Column, primary_type: Column) -> Dat
     return merged.withColumn("rank_score", F.greatest(F.lit(0), F.least(F.lit(100), score)).cast("int"))
 
 
+def displayed(ranked: DataFrame, site: str = "site") -> DataFrame:
+    """``ranked`` with ``display`` from 1 in each site: by rank_score, then address."""
+    return ranked.withColumn("display", F.row_number().over(Window.partitionBy(site).orderBy(F.col("rank_score").desc(), "normalized_email")))
+
+
 def best_contact(ranked: DataFrame, site: str = "site") -> DataFrame:
     row = F.struct(*ranked.columns)
     return ranked.groupBy(site).agg(F.min_by(row, F.struct((-F.col("rank_score")).alias("s"), "normalized_email")).alias("b")).select("b.*")
@@ -200,13 +236,15 @@ def robots_rules(robots: DataFrame, agent: str) -> DataFrame:
 
 
 def robots_filter(urls: DataFrame, robots: DataFrame, agent: str, on_error: bool = False) -> DataFrame:
-    """``urls`` (host, path, ...) with allowed. ``robots``: host, status_code, body. 404 and 410 allow, 401 and 403 deny, 429 and 5xx are ``on_error``; the first rule in file order whose path begins the URL's decides; an empty Disallow allows."""
+    """``urls`` (host, path, ...) with allowed. ``robots``: host, status_code, body. 404 and 410 allow, 401 and 403 deny, 429, 5xx and other failures are ``on_error``. A robots file that came from another host than it was asked of
+    (``final_host``, if there is such a column) denies. The first rule in file order whose path begins the URL's decides; an empty Disallow allows."""
     rules = robots_rules(robots.where("status_code = 200"), agent)
     keys = urls.select("host", "path").distinct()
     first = keys.join(rules.withColumnRenamed("path", "rule"), "host").where("rule <> '' and startswith(path, rule)").groupBy("host", "path").agg(F.min_by("allow", "seq").alias("allow"))
-    d = urls.join(robots.select("host", "status_code"), "host", "left").join(first, ["host", "path"], "left")
+    moved = F.coalesce(F.lower("final_host") != F.lower("host"), F.lit(False)) if "final_host" in robots.columns else F.lit(False)
+    d = urls.join(robots.select("host", "status_code", moved.alias("_moved")), "host", "left").join(first, ["host", "path"], "left")
     s = F.col("status_code")
-    verdict = F.when(s.isNull() | s.isin(404, 410), True).when(s.isin(401, 403), False).when((s == 429) | (s >= 500), on_error).otherwise(F.coalesce("allow", F.lit(True)))
+    verdict = F.when(s.isNull() | s.isin(404, 410), True).when(s.isin(401, 403) | ((s == 200) & F.col("_moved")), False).when(s == 200, F.coalesce("allow", F.lit(True))).otherwise(on_error)
     return d.select(*urls.columns, verdict.alias("allowed"))
 
 
@@ -226,10 +264,21 @@ def social_and_pages(html: Column, base: Column) -> Column:
             last(lambda x: x.href.rlike(r"(twitter|//x)\.com") & ~x.href.rlike("intent/tweet|share")).alias("x"),
             last(lambda x: x.href.contains("youtube.com")).alias("youtube"),
             first("contact").alias("contact_page"),
-            first("media.?kit").alias("media_kit"),
+            first("media.?kit|advertise|sponsor").alias("media_kit"),
         )
 
-    return let(anchors(html), pick)
+    return let(anchors(html, None), pick)
+
+
+def upsert_counts(old: DataFrame, new: DataFrame, key: str = "contact_key") -> DataFrame:
+    """One row: contacts of ``new`` that were created and that were there already, each key once."""
+    d = new.select(key).distinct().join(old.select(key, F.lit(True).alias("_old")).distinct(), key, "left")
+    return d.agg(F.count_if(F.col("_old").isNull()).alias("created"), F.count_if(F.col("_old").isNotNull()).alias("reused"))
+
+
+def contact_key(email: Column, form_url: Column) -> Column:
+    """The key of a contact: its address in lower case, or its form's URL."""
+    return F.when(F.coalesce(email, F.lit("")) != "", F.concat(F.lit("email:"), F.lower(email))).when(F.coalesce(form_url, F.lit("")) != "", F.concat(F.lit("form:"), form_url))
 
 
 def upsert_contacts(old: DataFrame, new: DataFrame, key: str = "contact_key") -> DataFrame:

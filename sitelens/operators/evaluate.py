@@ -113,9 +113,25 @@ def threshold_sweep(preds: DataFrame, grid: DataFrame, policy: str = "5C") -> Da
     )
 
 
-def select_config(metrics: DataFrame) -> DataFrame:
-    """The best configuration: fewest false positives, then recall, F1, coverage, lowest id."""
-    return metrics.orderBy(F.col("fp"), F.col("recall").desc(), F.col("f1").desc(), F.col("coverage").desc(), "config_id").limit(1)
+def select_config(metrics: DataFrame, policy: str = "5", grid: DataFrame | None = None) -> DataFrame:
+    """The best configuration under a policy, the lowest id on a tie.
+
+    "5": fewest false positives, recall, F1, coverage. "5B": no false positives at recall 0.5 and coverage 0.6, at most one,
+    then recall, F1, coverage, least sum of thresholds. "5C": at most one false positive, recall 0.5, coverage 0.6, then
+    fewest false positives, recall, coverage, F1, least sum of thresholds. ``grid`` has the thresholds of 5B and 5C.
+    """
+    c, yes = F.col, lambda x: x.cast("int").desc()
+    fewest, most = c("fp").asc(), lambda n: c(n).desc()
+    if policy == "5":
+        return metrics.orderBy(fewest, most("recall"), most("f1"), most("coverage"), "config_id").limit(1)
+    names = ["verified_threshold", "gaming_minimum", "media_minimum", "technical_minimum", *(["market_minimum"] if policy == "5B" else [])]
+    total = sum((c(n) for n in names[1:]), c(names[0]))
+    d = metrics.join(F.broadcast(grid.select("config_id", total.alias("_sum"))), "config_id")  # a parameter set
+    if policy == "5B":
+        order = [yes((c("fp") == 0) & (c("recall") >= 0.5) & (c("coverage") >= 0.6)), yes(c("fp") <= 1), most("recall"), most("f1"), most("coverage")]
+    else:
+        order = [yes(c("fp") <= 1), yes(c("recall") >= 0.5), yes(c("coverage") >= 0.6), fewest, most("recall"), most("coverage"), most("f1")]
+    return d.orderBy(*order, "_sum", "config_id").limit(1).drop("_sum")
 
 
 def error_slices(preds: DataFrame) -> DataFrame:
@@ -141,11 +157,29 @@ def failure_histogram(log: DataFrame, scope: str) -> DataFrame:
     return log.where(~F.col("success")).groupBy(scope, "category").agg(F.count(F.lit(1)).alias("n"))
 
 
+#: Columns that a tuned or scored feature table may have; labels and reviews are not among them.
+FEATURES = (
+    "domain", "dataset_split", "predicted_status", "gaming_score", "media_score", "market_score", "activity_score", "technical_score", "contextual_deductions",
+    "total_score", "hard_rejection_rule", "hard_rejection_confidence", "decision_override", "usable",
+)
+
+
 def leakage(dev: DataFrame, test: DataFrame, key: str = "domain") -> DataFrame:
     """Keys in both sets; must be empty."""
     return dev.select(key).intersect(test.select(key))
 
 
+def tuning_rows(rows: DataFrame, split: str = "dataset_split", key: str = "domain") -> DataFrame:
+    """Rows that may be used for tuning: those of the development split whose key no test row has."""
+    test = rows.where(F.col(split) == "test").select(key).distinct()
+    return rows.where(F.col(split) == "development").join(test, key, "left_anti").select(*rows.columns)
+
+
+def feature_columns(rows: DataFrame, allowed: Sequence[str] = FEATURES) -> DataFrame:
+    """Only the columns on the list, so that no label reaches a score."""
+    return rows.select(*[c for c in rows.columns if c in allowed])
+
+
 def abstention_audit(preds: DataFrame, minimums: dict[str, int], verified: int) -> DataFrame:
     """Undecided rows with the minimums they miss, their distance to the threshold and the first cause."""
     missing = present(*[F.when(F.col(k) < v, k) for k, v in minimums.items()])
@@ -184,18 +218,40 @@ def label_summary(labels: DataFrame, dims: Sequence[str]) -> DataFrame:
     return d.agg(name.alias("dimension"), F.coalesce(*[F.col(x).cast("string") for x in dims], F.lit("all")).alias("value"), F.count(F.lit(1)).alias("n")).select("dimension", "value", "n")
 
 
-def validate_labels(labels: DataFrame) -> DataFrame:
-    """(domain, violation) for rows, and rules over the whole table with domain null."""
-    rows = present(
-        F.when(F.trim("domain") == "", "blank_domain"),
-        F.when(~F.col("domain").rlike(r"^[a-z0-9-]+(\.[a-z0-9-]+)+$"), "domain_syntax"),
-        F.when(~F.col("expected_label").isin(POSITIVE, NEGATIVE, "uncertain"), "unknown_label"),
-        F.when(~F.col("dataset_split").isin("development", "test"), "unknown_split"),
-        F.when(~F.col("homepage_url").rlike("^https?://"), "url_scheme"),
-        F.when(F.length(F.trim("label_reason")) < 10, "reason_too_short"),
-    )
-    own = labels.select("domain", F.explode(rows).alias("violation"))
-    dup = labels.groupBy("domain").count().where("count > 1").select("domain", F.lit("duplicate_domain").alias("violation"))
-    splits = labels.groupBy("dataset_split").agg(F.max(F.col("expected_label") == POSITIVE).alias("p"), F.max(F.col("expected_label") == NEGATIVE).alias("n"))
-    lacks = splits.where(~(F.col("p") & F.col("n"))).select(F.lit(None).cast("string").alias("domain"), F.concat(F.lit("one_sided_split_"), "dataset_split").alias("violation"))
-    return own.unionByName(dup).unionByName(lacks)
+#: Fixed values of the label rules.
+WEBSITE_TYPES = (
+    "gaming_publication", "general_media_gaming_section", "game_developer", "game_publisher", "gaming_retailer", "esports_organization",
+    "forum_or_community", "hardware_or_technology", "creator_or_streaming_profile", "single_game_site", "inactive_or_archived_media", "unrelated", "ambiguous",
+)
+DIFFICULT_TYPES = ("game_developer", "game_publisher", "gaming_retailer", "general_media_gaming_section", "ambiguous", "inactive_or_archived_media")
+ACTIVITY_STATUSES = ("active", "inactive", "unknown")
+FICTITIOUS = ("example.com", "localhost", "test")
+REVIEW_METHOD = "manual_public_web_review"
+
+
+def validate_labels(labels: DataFrame, split_sizes: dict[str, int] | None = None) -> DataFrame:
+    """(domain, violation): every rule that a row breaks, and, with a null domain, those that a split breaks.
+
+    Only rules whose columns are there are applied. ``split_sizes``: rows a split must have. Null counts as blank.
+    """
+    has = set(labels.columns)
+    c = lambda n: F.coalesce(F.col(n), F.lit(""))
+    canonical = F.regexp_replace(F.regexp_replace(F.lower(F.trim(c("domain"))), r"^https?://", ""), r"^www\.|/.*$", "")
+    known = {"expected_label": (POSITIVE, NEGATIVE, "uncertain"), "website_type": WEBSITE_TYPES, "activity_status": ACTIVITY_STATUSES, "dataset_split": ("development", "test"), "review_method": (REVIEW_METHOD,)}
+    rules = {f"blank_{n}": (n, F.trim(c(n)) == "") for n in ("domain", "homepage_url", "expected_label", "website_type", "label_reason", "evidence_summary", "reviewed_at", "review_method", "evidence_url_1")}
+    rules |= {f"unknown_{n}": (n, ~c(n).isin(*values)) for n, values in known.items()}
+    rules |= {f"{n}_too_short": (n, F.length(c(n)) < 10) for n in ("label_reason", "evidence_summary")}
+    rules |= {f"{n}_scheme": (n, ~c(n).startswith("http")) for n in ("homepage_url", "evidence_url_1")}
+    rules["domain_syntax"] = ("domain", ~canonical.contains(".") | canonical.contains(" "))
+    rules["fictitious_domain"] = ("domain", canonical.rlike("|".join(x.replace(".", r"\.") for x in FICTITIOUS)))
+    broken = present(*[F.when(cond, name) for name, (n, cond) in rules.items() if n in has])
+    out = labels.select("domain", F.explode(broken).alias("violation"))
+    twice = labels.groupBy(canonical.alias("domain")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    out = out.unionByName(twice.select("domain", F.lit("duplicate_domain").alias("violation")))
+    kinds = {"one_sided_split_": ~(F.max(F.col("expected_label") == POSITIVE) & F.max(F.col("expected_label") == NEGATIVE))}
+    if "website_type" in has:
+        kinds |= {"one_type_in_split_": F.min("website_type") == F.max("website_type"), "no_difficult_type_in_split_": ~F.max(F.col("website_type").isin(*DIFFICULT_TYPES))}
+    splits = labels.where(F.col("dataset_split").isin("development", "test")).groupBy("dataset_split").agg(F.count(F.lit(1)).alias("n"), *[x.alias(k) for k, x in kinds.items()])
+    found = [F.when(F.col(k), F.concat(F.lit(k), "dataset_split")) for k in kinds]
+    found += [F.when((F.col("dataset_split") == s) & (F.col("n") != n), F.lit(f"size_of_split_{s}")) for s, n in (split_sizes or {}).items()]
+    return out.unionByName(splits.select(F.lit(None).cast("string").alias("domain"), F.explode(present(*found)).alias("violation")))

@@ -48,15 +48,15 @@ def meta_content(html: Column, key: str, value: str) -> Column:
     return clean_text(attribute(F.get(tags, F.lit(0)), "content"))
 
 
-def anchors(html: Column, most: int = MAX_ANCHORS) -> Column:
-    """Array of (href, rel, text) of the first ``most`` anchors with an href."""
+def anchors(html: Column, most: int | None = MAX_ANCHORS) -> Column:
+    """Array of (href, rel, text) of the first ``most`` anchors with an href; of all if ``most`` is None."""
     tags = F.filter(all_of(html, r"(?is)(<a\s.*?</a>)"), lambda t: attribute(F.regexp_extract(t, r"(?is)^(<a[^>]*>)", 1), "href").isNotNull())
 
     def parts(t: Column) -> Column:
         head = F.regexp_extract(t, r"(?is)^(<a[^>]*>)", 1)
         return F.struct(attribute(head, "href").alias("href"), attribute(head, "rel").alias("rel"), inner_text(t).alias("text"))
 
-    return F.transform(F.slice(tags, 1, most), parts)
+    return F.transform(tags if most is None else F.slice(tags, 1, most), parts)
 
 
 def first_title(html: Column) -> Column:
@@ -152,6 +152,44 @@ def jsonld(html: Column) -> Column:
     return read(F.filter(found, lambda b: (F.trim(b) != "") & (F.length(b) <= MAX_JSONLD_CHARS)))
 
 
+MAX_CONTACT_BLOCKS, MAX_CONTACT_DEPTH = 10, 8
+
+
+def jsonld_contacts(html: Column) -> Column:
+    """Array of (email, kind) of the ContactPoint and Organization objects in the first JSON-LD blocks that can be read, in order; kind is contactType."""
+
+    @F.pandas_udf(T.ArrayType(T.StructType([T.StructField("email", T.StringType()), T.StructField("kind", T.StringType())])))
+    def read(blocks: pd.Series) -> pd.Series:
+        import json
+
+        def walk(x, depth):
+            if depth >= MAX_CONTACT_DEPTH:
+                return
+            if isinstance(x, dict):
+                if x.get("@type") in ("ContactPoint", "Organization") and isinstance(x.get("email"), str):
+                    yield x["email"], str(x.get("contactType", ""))
+                x = list(x.values())
+            for y in x if isinstance(x, list) else []:
+                yield from walk(y, depth + 1)
+
+        def contacts(own):
+            found, n = [], 0
+            for block in [] if own is None else own:
+                if n >= MAX_CONTACT_BLOCKS:
+                    break
+                try:
+                    data = json.loads(block)
+                except (ValueError, RecursionError):
+                    continue
+                n += 1
+                found += [{"email": e, "kind": k} for e, k in walk(data, 0)]
+            return found
+
+        return blocks.map(contacts)
+
+    return read(all_of(html, r"""(?is)<script[^>]*type\s*=\s*["']application/ld\+json["'][^>]*>(.*?)</script>"""))
+
+
 def page_shell_class(html: Column) -> Column:
     """challenge, js_shell or null for the body of a page."""
     t = F.lower(html)
@@ -176,6 +214,14 @@ def usable_evidence(success: Column, html: Column) -> Column:
     return F.coalesce(success & (F.length(html) > 100) & page_shell_class(html).isNull() & (F.size(challenge_flags(first_title(html))) == 0), F.lit(False))
 
 
+def failure_category(success: Column, error: Column, html: Column) -> Column:
+    """Why a page gives no usable evidence: the fetch's error, empty_html, challenge, js_shell or too_short; null if it does."""
+    body = F.coalesce(html, F.lit(""))
+    shell = F.when(F.size(challenge_flags(first_title(body))) > 0, "challenge").otherwise(page_shell_class(body))
+    bad = F.when(~F.coalesce(success, F.lit(False)), F.coalesce(error, F.lit("unknown"))).when(body == "", "empty_html").when(shell.isNotNull(), shell)
+    return bad.when(F.length(body) <= 100, "too_short")
+
+
 def assemble_site_pages(pages: DataFrame) -> DataFrame:
     """Per site: primary page (first success by page_seq, else first failure), counts of pages and of usable supporting pages.
 

@@ -35,7 +35,11 @@ def latest_by(df: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
 
 
 def website_summary(sites: DataFrame, traffic: DataFrame, contacts: DataFrame, key: str) -> DataFrame:
-    return sites.join(traffic, key, "left").join(contacts, key, "left")
+    """``sites`` with their latest traffic and best contact, and, if they have both statuses, effective_review_decision."""
+    d = sites.join(traffic, key, "left").join(contacts, key, "left")
+    if {"manual_review_status", "current_verification_status"} <= set(d.columns):
+        d = d.withColumn("effective_review_decision", review_decision(F.col("manual_review_status"), F.col("current_verification_status")))
+    return d
 
 
 def newest_rows(df: DataFrame, key: str, order: Sequence[Column], n: int = 20) -> DataFrame:
@@ -43,35 +47,70 @@ def newest_rows(df: DataFrame, key: str, order: Sequence[Column], n: int = 20) -
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col("rank") <= n)
 
 
-def job_results(jobs: DataFrame, sources: DataFrame, verifications: DataFrame, status: str | None = None) -> DataFrame:
-    """(job_id, site, status, attempt, source_count, n_queries): the sites of each job with their latest verification.
-
-    ``sources``: job_id, site, query. ``verifications``: site, attempt, verified_at, id, status.
-    """
-    mine = sources.join(jobs.select("job_id"), "job_id", "left_semi").groupBy("job_id", "site").agg(F.count(F.lit(1)).alias("source_count"), F.count_distinct("query").alias("n_queries"))
-    last = latest_by(verifications, "site", ["attempt", "verified_at", "id"]).select("site", "status", "attempt")
-    d = mine.join(last, "site", "left")
-    return d if status is None else d.where(F.col("status") == status)
+def _last_status(verifications: DataFrame) -> tuple[DataFrame, list[str]]:
+    """(latest verification of each site, of each site and job if verifications name their job; its keys)."""
+    keys = ["job_id", "site"] if "job_id" in verifications.columns else ["site"]
+    row, order = F.struct("status", "attempt"), F.struct("attempt", "verified_at", "id")
+    return verifications.groupBy(*keys).agg(F.max_by(row, order).alias("r")).select(*keys, "r.*"), keys
 
 
-def job_counters(sources: DataFrame, verifications: DataFrame, errors: DataFrame) -> DataFrame:
-    """Per job: distinct sites, sites by latest status, errors."""
-    last = latest_by(verifications, "site", ["attempt", "verified_at", "id"]).select("site", "status")
-    sites = sources.select("job_id", "site").distinct().join(last, "site", "left")
-    d = sites.groupBy("job_id").agg(F.count(F.lit(1)).alias("n_sites"), *[F.count_if(F.col("status") == s).alias(f"n_{s}") for s in ("verified", "rejected", "uncertain")])
-    e = errors.groupBy("job_id").agg(F.count(F.lit(1)).alias("n_errors"))
-    return d.join(e, "job_id", "left").withColumn("n_errors", F.coalesce("n_errors", F.lit(0)))
+def job_results(
+    jobs: DataFrame, sources: DataFrame, verifications: DataFrame, status: str | None = None, traffic: DataFrame | None = None, page: int | None = None, size: int = 50
+) -> DataFrame:
+    """(job_id, site, status, attempt, source_count, queries): the sites of each job with their latest verification.
 
-
-def job_completeness(sources: DataFrame, verifications: DataFrame, errors: DataFrame) -> DataFrame:
-    """Per job: sites with neither verification nor error, and the final status."""
+    ``sources``: job_id, site, query; queries are distinct and sorted. ``verifications``: site, attempt, verified_at, id,
+    status, and job_id if they belong to one. ``traffic`` (site, ...): latest traffic to join. ``page``: only that page in
+    the order of job and site, each row with the number of all rows.
+    """
+    mine = sources.join(jobs.select("job_id").distinct(), "job_id", "left_semi").groupBy("job_id", "site").agg(F.count(F.lit(1)).alias("source_count"), F.sort_array(F.collect_set("query")).alias("queries"))
+    last, keys = _last_status(verifications)
+    d = mine.join(last, keys, "left")
+    d = d if traffic is None else d.join(traffic, "site", "left")
+    d = d if status is None else d.where(F.col("status") == status)
+    return d if page is None else page_of(d, [F.col("job_id"), F.col("site")], page, size)
+
+
+def job_counters(
+    sources: DataFrame, verifications: DataFrame, errors: DataFrame, queries: DataFrame | None = None, contacts: DataFrame | None = None, websites: DataFrame | None = None
+) -> DataFrame:
+    """Per job: distinct sites, sites by latest status, fetched sites, errors; queries and completed ones, contacts, and sites
+    by qualification if ``queries`` (job_id, status), ``contacts`` (job_id, contact) and ``websites`` (site, qualification) are given."""
+    last, keys = _last_status(verifications)
+    sites = sources.select("job_id", "site").distinct().join(last, keys, "left")
+    s = F.col("status")
+    made = [F.count_if(s == x).alias(f"n_{x}") for x in ("verified", "rejected", "uncertain")] + [F.count_if(s.isNotNull() & (s != "fetch_failed")).alias("n_fetched")]
+    if websites is not None:
+        sites = sites.join(websites.select("site", "qualification"), "site", "left")
+        made += [F.count_if(F.col("qualification") == x).alias(f"n_{x}") for x in ("qualified", "upcoming", "traffic_missing")]
+    d = sites.groupBy("job_id").agg(F.count(F.lit(1)).alias("n_sites"), *made)
+    more = [errors.groupBy("job_id").agg(F.count(F.lit(1)).alias("n_errors"))]
+    if queries is not None:
+        more.append(queries.groupBy("job_id").agg(F.count(F.lit(1)).alias("n_queries"), F.count_if(s == "completed").alias("n_queries_completed")))
+    if contacts is not None:
+        more.append(contacts.groupBy("job_id").agg(F.count_distinct("contact").alias("n_contacts")))
+    for x in more:
+        d = d.join(x, "job_id", "left")
+    return d.fillna(0, [c for c in d.columns if c.startswith("n_")])
+
+
+def job_completeness(sources: DataFrame, verifications: DataFrame, errors: DataFrame, queries: DataFrame | None = None) -> DataFrame:
+    """Per job: sites with neither verification nor error, pending queries, errors, and the final status.
+
+    ``verifications`` and ``errors`` are those of the job's attempt, the errors terminal ones. ``queries``: job_id, status.
+    """
     sites = sources.select("job_id", "site").distinct()
-    open_ = sites.join(verifications.select("site").distinct(), "site", "left_anti").join(errors.select("job_id", "site").distinct(), ["job_id", "site"], "left_anti")
-    n = open_.groupBy("job_id").agg(F.count(F.lit(1)).alias("n_open"))
-    bad = errors.groupBy("job_id").agg(F.count(F.lit(1)).alias("n_errors"))
-    d = sites.select("job_id").distinct().join(n, "job_id", "left").join(bad, "job_id", "left").fillna(0, ["n_open", "n_errors"])
-    status = F.when(F.col("n_open") > 0, "incomplete").when(F.col("n_errors") > 0, "completed_with_errors").otherwise("completed")
-    return d.withColumn("final_status", status)
+    keys = ["job_id", "site"] if "job_id" in verifications.columns else ["site"]
+    open_ = sites.join(verifications.select(*keys).distinct(), keys, "left_anti").join(errors.select("job_id", "site").distinct(), ["job_id", "site"], "left_anti")
+    more = [open_.groupBy("job_id").agg(F.count(F.lit(1)).alias("n_open")), errors.groupBy("job_id").agg(F.count(F.lit(1)).alias("n_errors"))]
+    if queries is not None:
+        more.append(queries.groupBy("job_id").agg(F.count_if(F.col("status") == "pending").alias("n_pending")))
+    d = sites.select("job_id").distinct()
+    for x in more:
+        d = d.join(x, "job_id", "left")
+    d = d.fillna(0, [c for c in d.columns if c.startswith("n_")])
+    waiting = (F.col("n_open") > 0) | (F.col("n_pending") > 0 if queries is not None else F.lit(False))
+    return d.withColumn("final_status", F.when(waiting, "incomplete").when(F.col("n_errors") > 0, "completed_with_errors").otherwise("completed"))
 
 
 def run_summary(queries: DataFrame) -> DataFrame:
@@ -100,10 +139,14 @@ def error_rows(errors: DataFrame, stage: str) -> DataFrame:
 
 
 def ranked_export(ranked: DataFrame) -> DataFrame:
-    c = F.col
-    return ranked.select(
-        c("rank").alias("Rank"), F.coalesce("name", F.lit("Unknown")).alias("Name"), F.coalesce("website_url", F.lit("")).alias("Website"), F.coalesce("pageviews_text", F.lit("N/A")).alias("Pageviews"), c("status").alias("Status")
-    )
+    """Rank, Name, Website, Market, Category, Pageviews, Growth, Direction, Status and Notes; missing columns and values get a word for them."""
+    has = set(ranked.columns)
+    text = lambda c, empty: F.coalesce(F.col(c).cast("string"), F.lit(empty)) if c in has else F.lit(empty)
+    named = {
+        "Name": ("name", "Unknown"), "Website": ("website_url", ""), "Market": ("target_market", ""), "Category": ("category", ""), "Pageviews": ("pageviews_text", "N/A"),
+        "Growth": ("growth_rate", "N/A"), "Direction": ("direction", ""), "Status": ("status", ""), "Notes": ("notes", ""),
+    }
+    return ranked.select(F.col("rank").alias("Rank"), *[text(c, empty).alias(n) for n, (c, empty) in named.items()])
 
 
 def export_results(results: DataFrame, columns: Sequence[str], queries: str = "queries") -> DataFrame:

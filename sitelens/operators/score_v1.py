@@ -117,6 +117,17 @@ def best_page_per_site(decided: DataFrame, sites: DataFrame) -> DataFrame:
     return d.select("site", F.col("b.page_id").alias("page_id"), F.coalesce("b.verification_status", F.lit("rejected")).alias("verification_status"), F.coalesce("b.score", F.lit(0)).alias("score"))
 
 
+def with_failed_fetches(decided: DataFrame, pages: DataFrame, key: str = "page_id", success: str = "success", error: str = "error_code") -> DataFrame:
+    """One row a page of ``pages``: its decision, or, where the fetch failed, status fetch_failed, scores and confidence 0,
+    n_reasons 1 and the error as ``reason``. Pages that were fetched but have no decision get null columns."""
+    zeros = ("score", "gaming_score", "editorial_score", "activity_score", "identity_score", "negative_penalty")
+    d = pages.select(key, F.coalesce(success, F.lit(False)).alias("_ok"), F.col(error).alias("_error")).join(decided, key, "left")
+    ok = F.col("_ok")
+    made = {c: F.when(ok, F.col(c)).otherwise(0) for c in zeros if c in d.columns}
+    made |= {c: F.when(ok, F.col(c)).otherwise(v) for c, v in (("verification_status", "fetch_failed"), ("confidence", 0.0), ("n_reasons", 1), ("activity_status", "unknown")) if c in d.columns}
+    return d.withColumns(made).withColumn("reason", F.when(~ok, F.coalesce("_error", F.lit("unknown")))).drop("_ok", "_error")
+
+
 def status_counts(decided: DataFrame) -> DataFrame:
     s = F.col("verification_status")
     return decided.agg(F.count(F.lit(1)).alias("total"), *[F.count_if(s == x).alias(x) for x in ("verified", "uncertain", "rejected", "fetch_failed")])

@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import hashlib
+import unicodedata
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.lists import present
+from ..functions.lists import let, present
 
 #: Vocabulary by kind and language.
 VOCABULARY = {
@@ -48,18 +48,21 @@ def vocab_table(spark: SparkSession) -> DataFrame:
 
 
 def vocab_fingerprint() -> str:
+    """Eight hex digits of the sorted terms, repeats included, written as a list."""
     terms = sorted(t for by in VOCABULARY.values() for terms in by.values() for t in terms)
-    return hashlib.sha256("\n".join(terms).encode()).hexdigest()[:8]
+    return hashlib.sha256(str(terms).encode()).hexdigest()[:8]
 
 
 def normalize_text(c: Column) -> Column:
-    """NFKC, lower case, other than word characters as one space. ASCII stays in the JVM."""
-    @F.pandas_udf("string")
-    def nfkc(s: pd.Series) -> pd.Series:
-        return s.str.normalize("NFKC")
+    """NFKC (only where there are non-ASCII characters), lower case, other than letters, numbers and underscores as one space."""
+    nfkc = F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), c, F.lit(True))
+    return F.trim(F.regexp_replace(F.lower(F.when(c.rlike(r"[^\x00-\x7F]"), nfkc).otherwise(c)), r"[^\p{L}\p{N}_]+", " "))
 
-    composed = F.when(c.rlike(r"[^\x00-\x7F]"), nfkc(c)).otherwise(c)
-    return F.trim(F.regexp_replace(F.lower(composed), r"(?U)[^\w]+", " "))
+
+def normalize_term(term: str) -> str:
+    """``normalize_text`` of a term of the vocabulary."""
+    folded = unicodedata.normalize("NFKC", term).lower()
+    return " ".join("".join(x if x == "_" or x.isalnum() else " " for x in folded).split())
 
 
 def terms_of(*kinds: str) -> list[str]:
@@ -67,9 +70,9 @@ def terms_of(*kinds: str) -> list[str]:
 
 
 def match_terms(texts: Column, terms: list[str]) -> Column:
-    """Those of ``terms`` that some text holds as a substring; the terms are literals of the plan, the texts stay in their row."""
-    joined = F.array_join(texts, "\n")
-    return F.array_compact(F.array(*[F.when(joined.contains(t), F.lit(t)) for t in terms]))
+    """Those of ``terms`` that, normalised, some text (already normalised) holds as a substring; the terms are literals of the plan, the texts stay in their row."""
+    held = lambda t: F.array_compact(F.array(*[F.when(t.contains(normalize_term(x)), F.lit(x)) for x in terms]))
+    return let(F.array_join(texts, "\n"), held)
 
 
 def site_evidence(signals: DataFrame, language: str | None = None, market: str | None = None) -> DataFrame:
@@ -77,7 +80,7 @@ def site_evidence(signals: DataFrame, language: str | None = None, market: str |
 
     Repeats over a site's pages are left to the scores, which take a term's first page by page_seq.
     """
-    norm = lambda a: F.transform(a, lambda t: F.trim(F.regexp_replace(F.lower(t), r"(?U)[^\w]+", " ")))
+    norm = lambda a: F.transform(a, normalize_text)
     c = F.col
     title = present(c("page_title"), c("og_site_name"), c("og_title"), c("meta_description"), c("og_description"))
     nav, foot = F.concat("headings", "navigation_labels"), c("footer_text")
@@ -158,9 +161,14 @@ def v2_scores(evidence: DataFrame, sites: DataFrame, market: str | None = None)
 
 
 def v2_decision(scored: DataFrame, verified: int = 70, uncertain: int = 40, technical_minimum: int = 4, usable: Column | None = None) -> DataFrame:
-    """``scored`` with predicted_status, relevance_label and decision_override (the evidence gate). ``usable``: there was usable evidence."""
+    """``scored`` with predicted_status, relevance_label and decision_override (the evidence gate).
+
+    ``usable``: there was usable evidence. A site without it is uncertain, all its scores are 0 and its market is
+    unconfirmed, for nothing was acquired to judge.
+    """
     c = F.col
-    usable = F.lit(True) if usable is None else usable
+    scored = scored.withColumn("_usable", F.lit(True) if usable is None else F.coalesce(usable, F.lit(False)))
+    usable = c("_usable")
     strong = c("hard_rule").isNotNull() | (c("negative_confidence") == "high")
     first = F.when(strong, "rejected").when(c("total_score") >= verified, "verified").when((c("total_score") < uncertain) & (c("technical_score") >= technical_minimum), "rejected").otherwise("uncertain")
     telling = (c("n_gaming_navigation") > 0) | (c("n_gaming_article") > 1) | (c("n_editorial_navigation") > 0) | (c("n_gaming_identity") > 0) | strong
@@ -168,7 +176,11 @@ def v2_decision(scored: DataFrame, verified: int = 70, uncertain: int = 40, tech
     d = scored.withColumn("_s", first).withColumn("_g", gated)
     d = d.withColumn("predicted_status", F.when(c("_g") | ~usable, "uncertain").otherwise(c("_s"))).withColumn("decision_override", F.when(c("_g"), "insufficient_evidence"))
     label = F.when(c("predicted_status") == "verified", "gaming_media").when(c("predicted_status") == "rejected", "not_gaming_media").otherwise("uncertain")
-    return d.withColumn("relevance_label", label).drop("_s", "_g")
+    d = d.withColumn("relevance_label", label).drop("_s", "_g")
+    zeros = ("gaming_score", "media_score", "market_score", "activity_score", "technical_score", "deductions", "total_score")
+    d = d.withColumns({x: F.when(usable, c(x)).otherwise(0) for x in zeros if x in d.columns})
+    bare = {"market_status": "unconfirmed", "negative_confidence": "low", "hard_rule": None, "decision_override": None}
+    return d.withColumns({x: F.when(usable, c(x)).otherwise(F.lit(v)) for x, v in bare.items() if x in d.columns}).drop("_usable")
 
 
 def shadow_compare(v1: DataFrame, v2: DataFrame) -> DataFrame:

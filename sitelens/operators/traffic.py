@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.lists import present
 from ..functions.urls import clean_url
 
 MINIMUM_PAGEVIEWS = 1_000_000
+RANK_PARTS = 64
 
 
 def estimated_pageviews(visits: Column, per_visit: Column) -> Column:
@@ -81,18 +83,41 @@ def join_manual_traffic(seeds: DataFrame, traffic: DataFrame) -> DataFrame:
 
 
 def media_list(joined: DataFrame, minimum: float = 1e6) -> DataFrame:
-    """Seeds with estimate, presentation text and status; strictly more than ``minimum`` qualifies."""
+    """Seeds with estimate, presentation text and status; strictly more than ``minimum`` qualifies. With a category there is a
+    gaming_focus, with a target_market there are notes."""
     est = F.nullif(F.coalesce(F.col("monthly_visits") * F.col("pages_per_visit"), F.lit(0.0)), F.lit(0.0))
     status = F.when(F.coalesce(est, F.lit(0.0)) > minimum, "Qualified").otherwise("Upcoming")
-    return joined.select("*", est.alias("estimated_pageviews"), F.coalesce(est.cast("bigint").cast("string"), F.lit("Needs Verification")).alias("pageviews_text"), status.alias("status"))
+    flags = []
+    if "category" in joined.columns:
+        flags.append(F.when(F.lower("category").rlike("game|esports"), "Yes").otherwise("Partial/Unverified").alias("gaming_focus"))
+    if "target_market" in joined.columns:
+        flags.append(F.when(F.col("target_market") == "Canada", "May include global audience. Traffic might not be solely Canadian.").otherwise("").alias("notes"))
+    return joined.select("*", *flags, est.alias("estimated_pageviews"), F.coalesce(est.cast("bigint").cast("string"), F.lit("Needs Verification")).alias("pageviews_text"), status.alias("status"))
 
 
 def rank_media(df: DataFrame, order: str = "seq") -> DataFrame:
-    """Rank from 1 within each status by pageviews (missing as 0), and the direction of growth by its sign."""
+    """Rank from 1 within each status by pageviews (missing as 0), and the direction of growth by its sign.
+
+    Quantiles of the values, a constant number of them, cut each status into parts that are ranked by themselves; a
+    part's ranks begin after the rows of the parts before it, so no task sorts a whole status.
+    """
     value = F.coalesce(F.col("estimated_pageviews").try_cast("double"), F.lit(0.0))
-    w = Window.partitionBy("status").orderBy(value.desc(), F.col(order))
     growth = F.when(F.col("growth_rate").startswith("-"), "down").when(F.col("growth_rate").rlike(r"^\+?0*(\.0*)?%?$"), "flat").otherwise("up")
-    return df.withColumn("rank", F.row_number().over(w)).withColumn("direction", growth)
+    marks = [i / RANK_PARTS for i in range(1, RANK_PARTS)]
+    numeric = not isinstance(df.schema[order].dataType, T.StringType)
+    seen = df.agg(F.percentile_approx(value, marks, 10_000).alias("q"), F.percentile_approx(order if numeric else F.lit(0), marks, 10_000).alias("o")).first()
+    cuts, turns = sorted(set(seen.q or []), reverse=True), sorted(set(seen.o or [])) if numeric else []
+    # a value that is a cut has a part of its own, which quantiles of the order cut again, as any share of the rows may hold it
+    part = sum((F.when(value <= x, 1).otherwise(0) + F.when(value < x, 1).otherwise(0) for x in cuts), F.lit(0)) * (RANK_PARTS + 1)
+    tied = F.when(value.isin(*cuts), sum((F.when(F.col(order) > x, 1).otherwise(0) for x in turns), F.lit(0))).otherwise(0) if cuts else F.lit(0)
+    part = part + tied
+    d = df.withColumn("_value", value).withColumn("_part", part)
+    counts = d.groupBy("status", "_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("status").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select(F.col("status").alias("_s"), F.col("_part").alias("_p"), before.alias("_before"))
+    own = F.row_number().over(Window.partitionBy("status", "_part").orderBy(F.col("_value").desc(), F.col(order)))
+    d = d.withColumn("_own", own).join(F.broadcast(starts), F.col("status").eqNullSafe(F.col("_s")) & (F.col("_part") == F.col("_p")))
+    return d.withColumn("rank", (F.col("_own") + F.col("_before")).cast("int")).select(*[F.col(f"`{c}`") for c in df.columns], "rank", growth.alias("direction"))
 
 
 def dashboard_kpis(df: DataFrame) -> DataFrame:

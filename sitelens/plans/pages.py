@@ -1,4 +1,4 @@
-"""Queries over pages: signals and both scores."""
+"""Queries over pages: signals, terms and the comparison of both scores."""
 
 from __future__ import annotations
 
@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from ..functions.lists import clean_text
 from ..operators import pages as P
-from ..operators import score_v1 as V1
 from ..operators import score_v2 as V2
 from .inputs import table
 from .registry import query
@@ -106,66 +105,6 @@ def d13_assemble_site_pages(spark, d):
     return P.assemble_site_pages(t)
 
 
-V1_SQL = """
-WITH p AS (SELECT page_id, page_id % 3 = 0 AS a, page_id % 4 = 0 AS m, page_id % 5 = 0 AS l, html LIKE '%<title>%' AS t FROM pages),
-s AS (SELECT *, 5 AS gaming_score0,
-  CASE WHEN a THEN 20 ELSE 0 END + CASE WHEN a THEN 6 ELSE 0 END + CASE WHEN l THEN 10 ELSE 0 END AS e,
-  CASE WHEN m OR l THEN 15 ELSE 0 END AS activity_score, 2 + CASE WHEN a THEN 2 ELSE 0 END + 0 AS identity_score, 10 + CASE WHEN a THEN 10 ELSE 0 END AS negative_penalty FROM p)
-SELECT page_id, gaming_score0 AS gaming_score, least(e, 35) AS editorial_score, activity_score, identity_score, negative_penalty,
-  greatest(0, least(100, 5 + least(e, 35) + activity_score + identity_score - negative_penalty)) AS score FROM s
-"""
-
-
-@query(V1_SQL)
-def e1_v1_scores(spark, d):
-    s = V1.v1_scores(P.page_signals(enriched(spark, d)), F.lit("2024-02-01").cast("timestamp"))
-    return s.select("page_id", "gaming_score", "editorial_score", "activity_score", "identity_score", "negative_penalty", "score")
-
-
-@query("WITH v AS (" + V1_SQL + ") SELECT page_id, CASE WHEN score >= 20 THEN 'uncertain' ELSE 'rejected' END AS verification_status, score FROM v")
-def e8_v1_decision(spark, d):
-    s = V1.v1_scores(P.page_signals(enriched(spark, d)), F.lit("2024-02-01").cast("timestamp"))
-    return V1.v1_decision(s, 70, 20).select("page_id", "verification_status", "score")
-
-
-@query("WITH v AS (" + V1_SQL + """), x AS (SELECT v.*, page_id % 40 AS site, CASE WHEN score >= 20 THEN 0 ELSE 1 END AS r FROM v WHERE page_id % 40 < 35)
-SELECT i.site, p.page_id, CASE WHEN p.r = 0 THEN 'uncertain' ELSE 'rejected' END AS verification_status, coalesce(p.score, 0) AS score FROM (SELECT DISTINCT page_id % 40 AS site FROM pages) i
-LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY site ORDER BY r, score DESC, page_id) AS n FROM x) WHERE n = 1) p ON i.site = p.site""")
-def e11_best_page_per_site(spark, d):
-    s = V1.v1_decision(V1.v1_scores(P.page_signals(enriched(spark, d)), F.lit("2024-02-01").cast("timestamp")), 70, 20).withColumn("site", F.col("page_id") % 40)
-    return V1.best_page_per_site(s.where("site < 35"), table(spark, d, "pages").select((F.col("page_id") % 40).alias("site")))
-
-
-@query("WITH v AS (" + V1_SQL + ") SELECT count(*) AS total, 0 AS verified, count(*) FILTER (score >= 20) AS uncertain, count(*) FILTER (score < 20) AS rejected, 0 AS fetch_failed FROM v")
-def e12_status_counts(spark, d):
-    return V1.status_counts(V1.v1_decision(V1.v1_scores(P.page_signals(enriched(spark, d)), F.lit("2024-02-01").cast("timestamp")), 70, 20))
-
-
-def site_signals(spark, d):
-    s = P.page_signals(enriched(spark, d))
-    return s.withColumn("site", F.col("page_id") % 25).withColumn("page_seq", F.col("page_id")).withColumn("page_type", F.when(F.col("page_id") < 25, "primary").otherwise("supporting"))
-
-
-@query()
-def f4_site_evidence(spark, d):
-    e = V2.site_evidence(site_signals(spark, d), "fr", "site")
-    return e.groupBy("site", "kind", "term").agg(F.count(F.lit(1)).alias("n_pages"))
-
-
-@query()
-def f5_v2_scores(spark, d):
-    s = site_signals(spark, d)
-    out = V2.v2_scores(V2.site_evidence(s, "fr", "site"), s, "FR")
-    return out.select("site", "gaming_score", "media_score", "market_score", "market_status", "activity_score", "technical_score", "deductions", "hard_rule", "negative_confidence", "total_score")
-
-
-@query()
-def f12_v2_decision(spark, d):
-    s = site_signals(spark, d)
-    out = V2.v2_decision(V2.v2_scores(V2.site_evidence(s, "fr", "site"), s, "FR"), 58, 40)
-    return out.select("site", "total_score", "predicted_status", "relevance_label", "decision_override")
-
-
 @query("""WITH v AS (SELECT doc_id AS term_doc, lower(text) AS t FROM documents)
 SELECT term_doc AS doc_id, list_filter(['and', 'en la', 'the of', 'und'], lambda x: contains(regexp_replace(t, '[^a-z0-9à-ÿ]+', ' ', 'g'), x)) AS terms FROM v""")
 def f3_match_terms(spark, d):
