@@ -61,9 +61,19 @@ def j8_threshold_sweep(spark, d):
     return E.threshold_sweep(predictions(spark, d), grid(spark))
 
 
-@query(W + GRID_SQL + " SELECT * FROM met ORDER BY fp, recall DESC, f1 DESC, coverage DESC, config_id LIMIT 1")
+SUMS = "met.*, verified_threshold + gaming_minimum + media_minimum + technical_minimum AS s FROM met JOIN grid USING (config_id)"
+
+
+@query(W + GRID_SQL + f""" SELECT * FROM (
+  (SELECT '5' AS policy, met.* FROM met ORDER BY fp, recall DESC, f1 DESC, coverage DESC, config_id LIMIT 1)
+  UNION ALL (SELECT * EXCLUDE (s) FROM (SELECT '5B' AS policy, {SUMS}) ORDER BY (fp = 0 AND recall >= 0.5 AND coverage >= 0.6) DESC, (fp <= 1) DESC, recall DESC, f1 DESC, coverage DESC, s, config_id LIMIT 1)
+  UNION ALL (SELECT * EXCLUDE (s) FROM (SELECT '5C' AS policy, {SUMS}) ORDER BY (fp <= 1) DESC, (recall >= 0.5) DESC, (coverage >= 0.6) DESC, fp, recall DESC, coverage DESC, f1 DESC, s, config_id LIMIT 1))""")
 def j9_select_config(spark, d):
-    return E.select_config(E.threshold_sweep(predictions(spark, d), grid(spark)))
+    out, g = None, grid(spark)
+    for policy in ("5", "5B", "5C"):
+        best = E.select_config(E.threshold_sweep(predictions(spark, d), g), policy, g).withColumn("policy", F.lit(policy))
+        out = best if out is None else out.unionByName(best)
+    return out
 
 
 @query(W + """SELECT domain, expected_label, predicted_status, unnest(list_filter([CASE WHEN outcome = 'FP' THEN 'false_positive' WHEN outcome = 'FN' THEN 'false_negative' WHEN outcome = 'ABSTAIN' AND expected_label = 'gaming_media' THEN 'abstained_positive' WHEN outcome = 'ABSTAIN' THEN 'abstained_negative' END,
@@ -96,6 +106,13 @@ def j12_leakage(spark, d):
     return E.leakage(t.where("doc_id % 10 < 7"), t.where("doc_id % 10 >= 7"))
 
 
+@query("SELECT doc_id FROM documents WHERE doc_id % 10 < 7 AND n_chars NOT IN (SELECT n_chars FROM documents WHERE doc_id % 10 >= 7)")
+def j12_tuning_rows(spark, d):
+    """Development rows whose text is as long as no test row's."""
+    split = F.when(F.col("doc_id") % 10 < 7, "development").otherwise("test")
+    return E.tuning_rows(table(spark, d, "documents").select("doc_id", F.col("n_chars").alias("domain"), split.alias("dataset_split"))).select("doc_id")
+
+
 @query(W + """, u AS (SELECT domain, 58 - total_score AS distance, list_filter([CASE WHEN gaming_score < 14 THEN 'gaming_score' END, CASE WHEN media_score < 10 THEN 'media_score' END], lambda x: x IS NOT NULL) AS unmet FROM preds WHERE predicted_status = 'uncertain')
 SELECT domain, array_to_string(unmet, ',') AS unmet, distance, coalesce(unmet[1], 'below_threshold') AS cause FROM u""")
 def j13_abstention_audit(spark, d):
@@ -129,18 +146,30 @@ def j2_label_summary(spark, d):
     return E.label_summary(table(spark, d, "documents"), ["lang", "source"])
 
 
-@query("""WITH l AS (SELECT CASE WHEN doc_id % 50 = 0 THEN 'bad_domain' ELSE 'd' || doc_id % 300 || '.com' END AS domain, CASE WHEN doc_id % 40 = 0 THEN 'odd' WHEN quality = 1 THEN 'gaming_media' ELSE 'not_gaming_media' END AS label, CASE WHEN doc_id % 3 = 0 THEN 'test' ELSE 'development' END AS split FROM labels)
-SELECT domain, 'domain_syntax' AS violation FROM l WHERE domain = 'bad_domain' UNION ALL SELECT domain, 'unknown_label' FROM l WHERE label = 'odd' UNION ALL SELECT domain, 'duplicate_domain' FROM l GROUP BY domain HAVING count(*) > 1""")
+@query("""WITH l AS (SELECT doc_id AS k, CASE WHEN doc_id % 50 = 0 THEN 'bad domain' WHEN doc_id % 50 = 1 THEN 'WWW.Example.com' ELSE 'd' || doc_id % 300 || '.org' END AS domain,
+  CASE WHEN doc_id % 40 = 0 THEN 'odd' WHEN quality = 1 THEN 'gaming_media' ELSE 'not_gaming_media' END AS label, CASE WHEN doc_id % 29 = 0 THEN 'other' WHEN doc_id % 3 = 0 THEN 'test' ELSE 'development' END AS split FROM labels),
+c AS (SELECT *, regexp_replace(lower(domain), '^www[.]', '') AS canon FROM l)
+SELECT domain, 'domain_syntax' AS violation FROM l WHERE k % 50 = 0 UNION ALL SELECT domain, 'fictitious_domain' FROM l WHERE k % 50 = 1 UNION ALL SELECT domain, 'unknown_expected_label' FROM l WHERE label = 'odd'
+UNION ALL SELECT domain, 'unknown_website_type' FROM l WHERE k % 7 = 0 UNION ALL SELECT domain, 'evidence_summary_too_short' FROM l WHERE k % 11 = 0 UNION ALL SELECT domain, 'evidence_url_1_scheme' FROM l WHERE k % 13 < 2
+UNION ALL SELECT domain, 'blank_evidence_url_1' FROM l WHERE k % 13 = 0 UNION ALL SELECT domain, 'unknown_activity_status' FROM l WHERE k % 17 = 0 UNION ALL SELECT domain, 'unknown_review_method' FROM l WHERE k % 19 = 0
+UNION ALL SELECT domain, 'blank_reviewed_at' FROM l WHERE k % 23 = 0 UNION ALL SELECT domain, 'unknown_dataset_split' FROM l WHERE split = 'other' UNION ALL SELECT canon, 'duplicate_domain' FROM c GROUP BY canon HAVING count(*) > 1
+UNION ALL SELECT NULL, 'no_difficult_type_in_split_' || split FROM l WHERE split <> 'other' GROUP BY split HAVING NOT bool_or(k % 7 = 1) UNION ALL SELECT NULL, 'size_of_split_test' FROM l WHERE split = 'test' HAVING count(*) <> 15""")
 def j1_validate_labels(spark, d):
     k = F.col("doc_id")
     t = table(spark, d, "labels").select(
-        F.when(k % 50 == 0, "bad_domain").otherwise(F.concat(F.lit("d"), (k % 300).cast("string"), F.lit(".com"))).alias("domain"),
+        F.when(k % 50 == 0, "bad domain").when(k % 50 == 1, "WWW.Example.com").otherwise(F.concat(F.lit("d"), (k % 300).cast("string"), F.lit(".org"))).alias("domain"),
         F.when(k % 40 == 0, "odd").when(F.col("quality") == 1, "gaming_media").otherwise("not_gaming_media").alias("expected_label"),
-        F.when(k % 3 == 0, "test").otherwise("development").alias("dataset_split"),
+        F.when(k % 29 == 0, "other").when(k % 3 == 0, "test").otherwise("development").alias("dataset_split"),
+        F.when(k % 7 == 0, "odd_type").when(k % 7 == 1, "game_developer").otherwise("gaming_publication").alias("website_type"),
+        F.when(k % 11 == 0, "short").otherwise("long enough evidence").alias("evidence_summary"),
+        F.when(k % 13 == 0, " ").when(k % 13 == 1, "ftp://x.org").otherwise("https://x.org").alias("evidence_url_1"),
+        F.when(k % 17 == 0, "gone").otherwise("active").alias("activity_status"),
+        F.when(k % 19 == 0, "guess").otherwise("manual_public_web_review").alias("review_method"),
+        F.when(k % 23 != 0, "2024-01-01").alias("reviewed_at"),
         F.lit("https://x.com").alias("homepage_url"),
         F.lit("long enough a reason").alias("label_reason"),
     )
-    return E.validate_labels(t)
+    return E.validate_labels(t, {"test": 15})
 
 
 @query("SELECT l_orderkey, l_suppkey, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1")

@@ -97,6 +97,14 @@ def d12_usable_evidence(spark, d):
     return table(spark, d, "pages").select("page_id", P.usable_evidence(F.col("page_id") % 5 != 0, F.col("html")).alias("usable"))
 
 
+@query("""SELECT page_id, CASE WHEN page_id % 5 = 0 THEN CASE WHEN page_id % 10 = 0 THEN 'timeout' ELSE 'unknown' END WHEN page_id % 7 = 0 THEN 'empty_html' WHEN page_id % 7 = 1 THEN 'challenge' WHEN page_id % 7 = 2 THEN 'js_shell' WHEN page_id % 7 = 3 THEN 'too_short'
+  WHEN length(html) <= 100 THEN 'too_short' END AS category FROM pages""")
+def d12_failure_category(spark, d):
+    k = F.col("page_id")
+    html = F.when(k % 7 == 0, "").when(k % 7 == 1, F.concat(F.lit("<title>Just a moment...</title>"), "html")).when(k % 7 == 2, "<p>Please enable JavaScript</p>").when(k % 7 == 3, "<p>short</p>").otherwise(F.col("html"))
+    return table(spark, d, "pages").select("page_id", P.failure_category(k % 5 != 0, F.when(k % 10 == 0, "timeout"), html).alias("category"))
+
+
 @query("""WITH t AS (SELECT conv_id AS site, turn AS page_seq, length(text) > 40 AS success, length(text) > 120 AS usable FROM conversations)
 SELECT site, coalesce(min(page_seq) FILTER (success), min(page_seq)) AS primary_seq, bool_or(success) AS transport_success, count(*) AS n_pages, count(*) FILTER (usable) AS n_usable FROM t GROUP BY site""")
 def d13_assemble_site_pages(spark, d):

@@ -32,11 +32,14 @@ def i3_review_decision(spark, d):
 
 
 @query("""WITH """ + SITES + """, t AS (SELECT user_id AS id, max_by(value, (ts, event_id)) AS visits FROM events GROUP BY 1), o AS (SELECT o_custkey AS id, count(*) AS n_orders FROM orders GROUP BY 1)
-SELECT s.id, name, visits, n_orders FROM s LEFT JOIN t USING (id) LEFT JOIN o USING (id)""")
+SELECT s.id, name, visits, n_orders, CASE WHEN s.id % 4 = 0 THEN 'approved' WHEN s.id % 4 = 1 THEN 'needs_review' WHEN balance < 0 THEN 'rejected' WHEN balance > 5000 THEN 'verified' ELSE 'needs_review' END AS effective_review_decision
+FROM s LEFT JOIN t USING (id) LEFT JOIN o USING (id)""")
 def i4_website_summary(spark, d):
     e = R.latest_by(table(spark, d, "events").select(F.col("user_id").alias("id"), "ts", "event_id", F.col("value").alias("visits")), "id", ["ts", "event_id"]).select("id", "visits")
     o = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("id")).agg(F.count(F.lit(1)).alias("n_orders"))
-    return R.website_summary(registry_sites(spark, d).select("id", "name"), e, o, "id")
+    manual = F.when(F.col("id") % 4 == 0, "approved").when(F.col("id") % 4 == 1, "needs_review").otherwise("unreviewed").alias("manual_review_status")
+    auto = F.when(F.col("balance") < 0, "rejected").when(F.col("balance") > 5000, "verified").otherwise("uncertain").alias("current_verification_status")
+    return R.website_summary(registry_sites(spark, d).select("id", "name", manual, auto), e, o, "id").drop("manual_review_status", "current_verification_status")
 
 
 @query("SELECT user_id, event_id, n AS rank FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id) AS n FROM events WHERE event_type = 'error') WHERE n <= 20")
@@ -45,13 +48,17 @@ def i5_newest_errors(spark, d):
     return R.newest_rows(e, "user_id", [F.col("ts").desc(), F.col("event_id")]).select("user_id", "event_id", "rank")
 
 
-STATUS = "CASE l_linestatus WHEN 'O' THEN 'verified' ELSE CASE WHEN l_returnflag = 'R' THEN 'rejected' ELSE 'uncertain' END END"
-VERIFIED = f"last AS (SELECT site, max_by(status, (attempt, t, id)) AS status, max(attempt) AS attempt FROM (SELECT l_suppkey AS site, l_linenumber AS attempt, l_shipdate AS t, l_orderkey AS id, {STATUS} AS status FROM lineitem WHERE l_suppkey % 5 <> 0) GROUP BY site)"
+#: Every line is a source. Lines that came back or were accepted are verified too, those still under way are not.
+STATUS = "CASE WHEN l_returnflag = 'R' THEN 'rejected' WHEN l_quantity >= 25 THEN 'verified' WHEN l_quantity >= 5 THEN 'uncertain' ELSE 'fetch_failed' END"
+LINES = f"v AS (SELECT l_orderkey % 500 AS job_id, l_suppkey AS site, l_linenumber AS attempt, l_shipdate AS t, l_orderkey AS id, {STATUS} AS status FROM lineitem WHERE l_returnflag <> 'N')"
+VERIFIED = LINES + ", last AS (SELECT job_id, site, max_by(status, (attempt, t, id)) AS status, max(attempt) AS attempt FROM v GROUP BY 1, 2)"
+TRAFFIC = "tr AS (SELECT user_id % 100 AS site, max_by(value, (ts, event_id)) AS visits FROM events WHERE event_type <> 'error' GROUP BY 1)"
 
 
 def verifications(spark, d):
-    s = F.when(F.col("l_linestatus") == "O", "verified").when(F.col("l_returnflag") == "R", "rejected").otherwise("uncertain")
-    return table(spark, d, "lineitem").where("l_suppkey % 5 <> 0").select(F.col("l_suppkey").alias("site"), F.col("l_linenumber").alias("attempt"), F.col("l_shipdate").alias("verified_at"), F.col("l_orderkey").alias("id"), s.alias("status"))
+    q = F.col("l_quantity")
+    s = F.when(F.col("l_returnflag") == "R", "rejected").when(q >= 25, "verified").when(q >= 5, "uncertain").otherwise("fetch_failed")
+    return table(spark, d, "lineitem").where("l_returnflag <> 'N'").select((F.col("l_orderkey") % 500).alias("job_id"), F.col("l_suppkey").alias("site"), F.col("l_linenumber").alias("attempt"), F.col("l_shipdate").alias("verified_at"), F.col("l_orderkey").alias("id"), s.alias("status"))
 
 
 def sources(spark, d):
@@ -62,25 +69,56 @@ def errors(spark, d):
     return table(spark, d, "events").where("event_type = 'error'").select((F.col("event_id") % 500).alias("job_id"), (F.col("user_id") % 100).alias("site"))
 
 
-@query("WITH " + VERIFIED + """, m AS (SELECT l_orderkey % 500 AS job_id, l_suppkey AS site, count(*) AS source_count, count(DISTINCT l_partkey % 3) AS n_queries FROM lineitem WHERE l_orderkey % 500 < 100 GROUP BY 1, 2)
-SELECT job_id, m.site, source_count, n_queries, status, attempt FROM m LEFT JOIN last USING (site)""")
+def traffic(spark, d):
+    e = table(spark, d, "events").where("event_type <> 'error'").select((F.col("user_id") % 100).alias("site"), "ts", "event_id", F.col("value").alias("visits"))
+    return R.latest_by(e, "site", ["ts", "event_id"]).select("site", "visits")
+
+
+RESULTS = "WITH " + VERIFIED + ", " + TRAFFIC + """, m AS (SELECT l_orderkey % 500 AS job_id, l_suppkey AS site, count(*) AS source_count, array_to_string(list_sort(list(DISTINCT l_partkey % 3)), ',') AS queries FROM lineitem GROUP BY 1, 2),
+f AS (SELECT m.*, status, attempt, visits FROM m LEFT JOIN last USING (job_id, site) LEFT JOIN tr USING (site)) """
+
+
+@query(RESULTS + "SELECT * FROM f")
 def i6_job_results(spark, d):
-    jobs = table(spark, d, "orders").select((F.col("o_orderkey") % 500).alias("job_id")).distinct().where("job_id < 100")
-    return R.job_results(jobs, sources(spark, d), verifications(spark, d))
+    jobs = table(spark, d, "orders").select((F.col("o_orderkey") % 500).alias("job_id"))
+    r = R.job_results(jobs, sources(spark, d), verifications(spark, d), traffic=traffic(spark, d))
+    return r.withColumn("queries", F.array_join("queries", ","))
+
+
+@query(RESULTS + "SELECT job_id, site, source_count, status, (SELECT count(*) FROM f WHERE status = 'verified') AS total FROM f WHERE status = 'verified' ORDER BY job_id, site LIMIT 20 OFFSET 20")
+def i6_job_results_page(spark, d):
+    """The second page of 20 verified sites."""
+    jobs = table(spark, d, "orders").select((F.col("o_orderkey") % 500).alias("job_id"))
+    return R.job_results(jobs, sources(spark, d), verifications(spark, d), "verified", page=2, size=20).select("job_id", "site", "source_count", "status", "total")
+
+
+JOBS = """x AS (SELECT DISTINCT l_orderkey % 500 AS job_id, l_suppkey AS site FROM lineitem), q AS (SELECT o_orderkey % 500 AS job_id, count(*) AS n, count(*) FILTER (o_orderstatus = 'F') AS f, count(*) FILTER (o_orderstatus = 'P') AS p FROM orders GROUP BY 1)"""
+
+
+def job_queries(spark, d):
+    s = F.when(F.col("o_orderstatus") == "F", "completed").when(F.col("o_orderstatus") == "P", "pending").otherwise("failed")
+    return table(spark, d, "orders").select((F.col("o_orderkey") % 500).alias("job_id"), s.alias("status"))
 
 
-@query("WITH " + VERIFIED + """, x AS (SELECT DISTINCT l_orderkey % 500 AS job_id, l_suppkey AS site FROM lineitem), e AS (SELECT event_id % 500 AS job_id, count(*) AS n FROM events WHERE event_type = 'error' GROUP BY 1),
-g AS (SELECT job_id, count(*) AS n_sites, count(*) FILTER (status = 'verified') AS n_verified, count(*) FILTER (status = 'rejected') AS n_rejected, count(*) FILTER (status = 'uncertain') AS n_uncertain FROM x LEFT JOIN last USING (site) GROUP BY job_id)
-SELECT job_id, n_sites, n_verified, n_rejected, n_uncertain, coalesce(n, 0) AS n_errors FROM g LEFT JOIN e USING (job_id)""")
+@query("WITH " + VERIFIED + ", " + JOBS + """, e AS (SELECT event_id % 500 AS job_id, count(*) AS n FROM events WHERE event_type = 'error' GROUP BY 1), ct AS (SELECT event_id % 500 AS job_id, count(DISTINCT user_id) AS n FROM events WHERE event_type = 'signup' GROUP BY 1),
+w AS (SELECT s_suppkey AS site, CASE s_nationkey % 4 WHEN 0 THEN 'qualified' WHEN 1 THEN 'upcoming' WHEN 2 THEN 'traffic_missing' ELSE 'rejected' END AS ql FROM supplier),
+g AS (SELECT job_id, count(*) AS n_sites, count(*) FILTER (status = 'verified') AS n_verified, count(*) FILTER (status = 'rejected') AS n_rejected, count(*) FILTER (status = 'uncertain') AS n_uncertain, count(*) FILTER (status <> 'fetch_failed') AS n_fetched,
+  count(*) FILTER (ql = 'qualified') AS n_qualified, count(*) FILTER (ql = 'upcoming') AS n_upcoming, count(*) FILTER (ql = 'traffic_missing') AS n_traffic_missing FROM x LEFT JOIN last USING (job_id, site) LEFT JOIN w USING (site) GROUP BY job_id)
+SELECT g.*, coalesce(e.n, 0) AS n_errors, coalesce(q.n, 0) AS n_queries, coalesce(f, 0) AS n_queries_completed, coalesce(ct.n, 0) AS n_contacts FROM g LEFT JOIN e USING (job_id) LEFT JOIN q USING (job_id) LEFT JOIN ct USING (job_id)""")
 def i7_job_counters(spark, d):
-    return R.job_counters(sources(spark, d), verifications(spark, d), errors(spark, d))
+    contacts = table(spark, d, "events").where("event_type = 'signup'").select((F.col("event_id") % 500).alias("job_id"), F.col("user_id").alias("contact"))
+    k = F.col("s_nationkey") % 4
+    sites = table(spark, d, "supplier").select(F.col("s_suppkey").alias("site"), F.when(k == 0, "qualified").when(k == 1, "upcoming").when(k == 2, "traffic_missing").otherwise("rejected").alias("qualification"))
+    return R.job_counters(sources(spark, d), verifications(spark, d), errors(spark, d), job_queries(spark, d), contacts, sites)
 
 
-@query("""WITH x AS (SELECT DISTINCT l_orderkey % 500 AS job_id, l_suppkey AS site FROM lineitem), er AS (SELECT event_id % 500 AS job_id, user_id % 100 AS site FROM events WHERE event_type = 'error'),
-o AS (SELECT job_id, count(*) AS n FROM x WHERE site % 5 = 0 AND NOT EXISTS (SELECT 1 FROM er WHERE er.job_id = x.job_id AND er.site = x.site) GROUP BY 1), b AS (SELECT job_id, count(*) AS n FROM er GROUP BY 1), j AS (SELECT DISTINCT job_id FROM x)
-SELECT job_id, coalesce(o.n, 0) AS n_open, coalesce(b.n, 0) AS n_errors, CASE WHEN o.n > 0 THEN 'incomplete' WHEN b.n > 0 THEN 'completed_with_errors' ELSE 'completed' END AS final_status FROM j LEFT JOIN o USING (job_id) LEFT JOIN b USING (job_id)""")
+@query("WITH " + LINES + ", " + JOBS + """, er AS (SELECT event_id % 500 AS job_id, user_id % 100 AS site FROM events WHERE event_type = 'error'),
+o AS (SELECT job_id, count(*) AS n FROM x WHERE NOT EXISTS (SELECT 1 FROM v WHERE v.job_id = x.job_id AND v.site = x.site) AND NOT EXISTS (SELECT 1 FROM er WHERE er.job_id = x.job_id AND er.site = x.site) GROUP BY 1),
+b AS (SELECT job_id, count(*) AS n FROM er GROUP BY 1), j AS (SELECT DISTINCT job_id FROM x)
+SELECT job_id, coalesce(o.n, 0) AS n_open, coalesce(b.n, 0) AS n_errors, coalesce(p, 0) AS n_pending, CASE WHEN o.n > 0 OR p > 0 THEN 'incomplete' WHEN b.n > 0 THEN 'completed_with_errors' ELSE 'completed' END AS final_status
+FROM j LEFT JOIN o USING (job_id) LEFT JOIN b USING (job_id) LEFT JOIN q USING (job_id)""")
 def i8_job_completeness(spark, d):
-    return R.job_completeness(sources(spark, d), verifications(spark, d), errors(spark, d))
+    return R.job_completeness(sources(spark, d), verifications(spark, d), errors(spark, d), job_queries(spark, d))
 
 
 @query("SELECT o_custkey AS job_id, count(*) AS n_queries, count(*) FILTER (o_orderstatus IN ('F', 'P')) AS executed, count(*) FILTER (o_orderstatus = 'P') AS failed, count(*) FILTER (o_orderstatus = 'O') AS skipped FROM orders GROUP BY 1")
@@ -106,11 +144,13 @@ def i15_filter_results(spark, d):
     return R.filter_results(registry_sites(spark, d).withColumnRenamed("category", "status"), "MACHINERY", "2").select("id", "name", "domain")
 
 
-@query("WITH " + MEDIA + """ SELECT row_number() OVER (PARTITION BY status ORDER BY coalesce(est, 0) DESC, seq) AS "Rank", publication_name AS "Name", 'https://s' || seq % 40 || '.com/' AS "Website", coalesce(est::BIGINT::VARCHAR, 'Needs Verification') AS "Pageviews", status AS "Status" FROM m""")
+@query("WITH " + MEDIA + """ SELECT row_number() OVER (PARTITION BY status ORDER BY coalesce(est, 0) DESC, seq) AS "Rank", publication_name AS "Name", 'https://s' || seq % 40 || '.com/' AS "Website", market AS "Market", category AS "Category",
+  coalesce(est::BIGINT::VARCHAR, 'Needs Verification') AS "Pageviews", coalesce(growth_rate, 'N/A') AS "Growth", CASE WHEN growth_rate LIKE '-%' THEN 'down' WHEN growth_rate = '0%' THEN 'flat' WHEN growth_rate IS NULL THEN 'up' ELSE 'up' END AS "Direction", status AS "Status",
+  CASE WHEN market = 'Canada' THEN 'May include global audience. Traffic might not be solely Canadian.' ELSE '' END AS "Notes" FROM m""")
 def i16_ranked_export(spark, d):
     from ..operators.traffic import rank_media
 
-    return R.ranked_export(rank_media(media(spark, d)).withColumnRenamed("publication_name", "name"))
+    return R.ranked_export(rank_media(media(spark, d)).withColumnRenamed("publication_name", "name").withColumn("direction", F.coalesce("direction", F.lit("up"))))
 
 
 @query("SELECT event_id, 'search' AS stage, left(repeat(event_type, 60), 255) AS error_code, left(props, 2000) AS error_message FROM events WHERE event_type = 'error'")

@@ -22,7 +22,7 @@ def site_pages(spark, d):
     """Signals of pages as ``page_signals`` gives them, with site, page_seq and page_type."""
     k, t = F.col("conv_id"), F.col("turn")
     none = F.array().cast(STRINGS)
-    phrase = lambda i: F.element_at(F.array(*[F.lit(p) for p in PHRASES]), (i % len(PHRASES) + 1).cast("int"))
+    phrase = lambda i: F.element_at(F.array(*[F.lit(p) for p in PHRASES]), (F.when(k % 5 == 0, 0).otherwise(i % len(PHRASES)) + 1).cast("int"))
     some = lambda cond, *values: F.when(cond, F.array(*[F.lit(v) if isinstance(v, str) else v for v in values])).otherwise(none)
     third = k % 3 == 0
     dates = F.when(k % 6 == 1, F.array(F.lit("2023-05-01"))).when(k % 6 == 3, F.array(F.lit("2020-01-01"), F.lit("soon"))).when(k % 2 == 0, F.array(F.concat(F.lit("2024-01-0"), (t % 3 + 1).cast("string")))).otherwise(none)
@@ -46,7 +46,7 @@ def _strings(items) -> str:
 
 
 def _pick(items, i: str) -> str:
-    return f"({_strings(items)})[({i}) % {len(PHRASES)} + 1]"
+    return f"({_strings(items)})[CASE WHEN conv_id % 5 = 0 THEN 0 ELSE ({i}) % {len(PHRASES)} END + 1]"
 
 
 PAGES = f"""pg AS (SELECT k AS site, t AS page_seq, k * 100 + t AS page_id, CASE WHEN t = 0 THEN 'primary' ELSE 'supporting' END AS page_type, text AS title,

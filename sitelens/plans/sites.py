@@ -54,6 +54,28 @@ def g3_emails_documents(spark, d):
     return C.emails_in_text(table(spark, d, "documents"), F.col("text"), "doc_id").select("doc_id", "normalized_email")
 
 
+HOST = "lower(regexp_extract(url, '^[^:]*://([^/?#]*)', 1))"
+
+
+@query(f"SELECT page_id, unnest(['ann', 'ads', 'info']) || '@' || {HOST} AS normalized_email FROM pages")
+def g3_emails_in_elements(spark, d):
+    """Every page as it is, followed by addresses of its own host in elements of several kinds."""
+    host = F.lower(F.regexp_extract("url", r"^[^:]*://([^/?#]*)", 1))
+    tail = F.concat(F.lit("<script>x@script.org</script><p>write to <b>Ann [at] "), host, F.lit("</b></p><div>ads@"), host, F.lit(" <span>(info@"), host, F.lit(")</span></div><h4>no@element.org</h4>"))
+    p = table(spark, d, "pages").select("page_id", F.concat("html", F.lit("<div>"), F.replace(tail, F.lit("Ann"), F.lit("ann"))).alias("html"))
+    return C.emails_in_elements(p, F.col("html"), "page_id").where("not endswith(normalized_email, '@element.org')").select("page_id", "normalized_email")
+
+
+@query(f"SELECT page_id, k AS nearby_text, e || '@' || {HOST} AS normalized_email FROM pages, (VALUES ('', 'press'), ('sales', 'ads')) v(k, e) WHERE page_id % 4 <> 3")
+def g5_emails_jsonld(spark, d):
+    """Every page with JSON-LD of its own host; one in four is broken."""
+    host = F.regexp_extract("url", r"^[^:]*://([^/?#]*)", 1)
+    block = F.concat(F.lit('{"@graph": [{"@type": "Organization", "email": "press@'), host, F.lit('", "contactPoint": {"@type": "ContactPoint", "contactType": "sales", "email": "ads@'), host, F.lit('"}}, {"@type": "Person", "email": "ann@'), host, F.lit('"}]'))
+    ld = F.concat(F.lit('<script type="application/ld+json">'), block, F.when(F.col("page_id") % 4 == 3, "").otherwise("}"), F.lit("</script>"))
+    p = table(spark, d, "pages").select("page_id", F.concat("html", ld).alias("html"))
+    return C.emails_jsonld(p, F.col("html"), "page_id").select("page_id", "nearby_text", "normalized_email")
+
+
 @query("SELECT doc_id, ['info', 'ann', 'ads', 'test', 'press', 'bob'][(doc_id + 1) % 6 + 1] || '@site.net' AS normalized_email FROM documents")
 def g4_emails_deobfuscated(spark, d):
     return C.emails_deobfuscated(mailed(spark, d), F.col("text"), "doc_id").where("endswith(normalized_email, '.net')").select("doc_id", "normalized_email")
@@ -155,12 +177,12 @@ def g14_select_diverse(spark, d):
 
 
 @query("""WITH p AS (SELECT page_id, regexp_extract(url, '^[^:]*://([^/?#]*)', 1) AS host, regexp_extract(url, '^[^:]*://[^/?#]*([^?#]*)', 1) AS path FROM pages), h AS (SELECT host, min(page_id) % 5 AS k FROM p GROUP BY host)
-SELECT page_id, host, path, CASE k WHEN 0 THEN true WHEN 1 THEN false WHEN 2 THEN false WHEN 3 THEN NOT (path LIKE '/fr/%') ELSE path LIKE '/en/%' OR NOT path LIKE '/e%' END AS allowed FROM p JOIN h USING (host)""")
+SELECT page_id, host, path, CASE WHEN k > 2 AND length(host) % 4 = 0 THEN false ELSE CASE k WHEN 0 THEN true WHEN 1 THEN false WHEN 2 THEN false WHEN 3 THEN NOT (path LIKE '/fr/%') ELSE path LIKE '/en/%' OR NOT path LIKE '/e%' END END AS allowed FROM p JOIN h USING (host)""")
 def g15_robots_filter(spark, d):
     p = table(spark, d, "pages").select("page_id", F.regexp_extract("url", r"^[^:]*://([^/?#]*)", 1).alias("host"), F.regexp_extract("url", r"^[^:]*://[^/?#]*([^?#]*)", 1).alias("path"))
     k = F.col("k")
     body = F.when(k == 3, "User-agent: *\nDisallow: /\n\nUser-agent: Lens\nDisallow: /fr/ # french\n").otherwise("User-agent: other\nDisallow: /\n\nUser-agent: *\nDisallow:\nAllow: /en/\nDisallow: /e\n")
-    robots = p.groupBy("host").agg((F.min("page_id") % 5).alias("k")).select("host", F.when(k == 0, 404).when(k == 1, 403).when(k == 2, 503).otherwise(200).alias("status_code"), body.alias("body"))
+    robots = p.groupBy("host").agg((F.min("page_id") % 5).alias("k")).select("host", F.when(k == 0, 404).when(k == 1, 403).when(k == 2, 503).otherwise(200).alias("status_code"), body.alias("body"), F.when(F.length("host") % 4 == 0, F.concat(F.lit("www."), "host")).otherwise(F.col("host")).alias("final_host"))
     return C.robots_filter(p, robots, "sitelens/1.0")
 
 
@@ -185,6 +207,21 @@ def g18_upsert_contacts(spark, d):
     return C.upsert_contacts(one(0), one(1))
 
 
+@query("""WITH o AS (SELECT DISTINCT user_id AS k FROM events WHERE event_type = 'signup'), n AS (SELECT DISTINCT user_id AS k FROM events WHERE event_type <> 'signup')
+SELECT count(*) FILTER (o.k IS NULL) AS created, count(*) FILTER (o.k IS NOT NULL) AS reused FROM n LEFT JOIN o USING (k)""")
+def g18_upsert_counts(spark, d):
+    e = table(spark, d, "events").select(F.col("user_id").alias("contact_key"), "event_type")
+    return C.upsert_counts(e.where("event_type = 'signup'"), e.where("event_type <> 'signup'"))
+
+
+@query("""WITH s AS (SELECT user_id, count(*) FILTER (event_type = 'signup') AS c, count(*) FILTER (event_type = 'purchase') AS f, NOT bool_or(event_type = 'error' AND value > 150) AS ok FROM events GROUP BY 1)
+SELECT count(*) AS sites_processed, count(*) FILTER (ok AND (c > 0 OR f > 0)) AS sites_with_contacts, sum(c)::BIGINT AS contacts_found, sum(f)::BIGINT AS forms_found, count(*) FILTER (NOT ok) AS failed_count FROM s""")
+def g19_contact_run_totals(spark, d):
+    kind = F.col("event_type")
+    e = table(spark, d, "events").groupBy("user_id").agg(F.count_if(kind == "signup").alias("n_contacts"), F.count_if(kind == "purchase").alias("n_forms"), (~F.max((kind == "error") & (F.col("value") > 150))).alias("success"))
+    return C.contact_run_totals(e)
+
+
 @query("""SELECT site, event_id FROM (SELECT user_id AS site, event_id, row_number() OVER (PARTITION BY user_id ORDER BY CASE event_type WHEN 'purchase' THEN 1 WHEN 'signup' THEN 2 WHEN 'view' THEN 3 ELSE 99 END, event_id % 2, value DESC, ts DESC) AS n FROM events WHERE event_type <> 'error') WHERE n = 1""")
 def g20_best_contact_by_type(spark, d):
     c = F.col
@@ -241,18 +278,19 @@ def h6_latest_traffic(spark, d):
 
 def media(spark, d):
     c = F.col
-    seeds = table(spark, d, "supplier").select(c("s_suppkey").alias("seq"), c("s_name").alias("publication_name"), F.concat(F.lit("https://s"), (c("s_suppkey") % 40).cast("string"), F.lit(".com/")).alias("website_url"))
+    seeds = table(spark, d, "supplier").select(c("s_suppkey").alias("seq"), c("s_name").alias("publication_name"), F.concat(F.lit("https://s"), (c("s_suppkey") % 40).cast("string"), F.lit(".com/")).alias("website_url"), F.when(c("s_suppkey") % 3 == 0, "Canada").otherwise("Japan").alias("target_market"), F.when(c("s_suppkey") % 2 == 0, "Video Games").otherwise("Technology").alias("category"))
     traffic = table(spark, d, "part").select(c("p_partkey").alias("seq"), F.concat(F.lit("s"), (c("p_partkey") % 50).cast("string"), F.lit(".com")).alias("website_url"), F.when(c("p_partkey") % 6 == 0, "n/a").otherwise((c("p_size") * 100000).cast("string")).alias("monthly_visits"), F.lit("2.5").alias("pages_per_visit"), F.when(c("p_partkey") % 4 == 0, "nan").when(c("p_partkey") % 4 == 1, "-3%").otherwise("5%").alias("growth_rate"))
     return H.media_list(H.join_manual_traffic(seeds, traffic))
 
 
 MEDIA = """t AS (SELECT p_partkey % 50 AS k, arg_min(CASE WHEN p_partkey % 6 = 0 THEN 0 ELSE p_size * 100000 END, p_partkey)::DOUBLE AS v, arg_min(CASE p_partkey % 4 WHEN 0 THEN '0%' WHEN 1 THEN '-3%' ELSE '5%' END, p_partkey) AS g FROM part GROUP BY 1),
-m AS (SELECT s_suppkey AS seq, s_name AS publication_name, nullif(coalesce(v * 2.5, 0), 0) AS est, g AS growth_rate, CASE WHEN coalesce(v * 2.5, 0) > 1e6 THEN 'Qualified' ELSE 'Upcoming' END AS status FROM supplier LEFT JOIN t ON s_suppkey % 40 = k)"""
+m AS (SELECT s_suppkey AS seq, s_name AS publication_name, nullif(coalesce(v * 2.5, 0), 0) AS est, g AS growth_rate, CASE WHEN coalesce(v * 2.5, 0) > 1e6 THEN 'Qualified' ELSE 'Upcoming' END AS status,
+  CASE WHEN s_suppkey % 3 = 0 THEN 'Canada' ELSE 'Japan' END AS market, CASE WHEN s_suppkey % 2 = 0 THEN 'Video Games' ELSE 'Technology' END AS category FROM supplier LEFT JOIN t ON s_suppkey % 40 = k)"""
 
 
-@query("WITH " + MEDIA + " SELECT seq, publication_name, est AS estimated_pageviews, coalesce(est::BIGINT::VARCHAR, 'Needs Verification') AS pageviews_text, status, growth_rate FROM m")
+@query("WITH " + MEDIA + " SELECT seq, publication_name, est AS estimated_pageviews, coalesce(est::BIGINT::VARCHAR, 'Needs Verification') AS pageviews_text, status, growth_rate, CASE WHEN category = 'Video Games' THEN 'Yes' ELSE 'Partial/Unverified' END AS gaming_focus, CASE WHEN market = 'Canada' THEN 'May include global audience. Traffic might not be solely Canadian.' ELSE '' END AS notes FROM m")
 def h8_media_list(spark, d):
-    return media(spark, d).select("seq", "publication_name", "estimated_pageviews", "pageviews_text", "status", "growth_rate")
+    return media(spark, d).select("seq", "publication_name", "estimated_pageviews", "pageviews_text", "status", "growth_rate", "gaming_focus", "notes")
 
 
 @query("WITH " + MEDIA + " SELECT seq, status, row_number() OVER (PARTITION BY status ORDER BY coalesce(est, 0) DESC, seq) AS rank, CASE WHEN growth_rate LIKE '-%' THEN 'down' WHEN growth_rate = '0%' THEN 'flat' ELSE 'up' END AS direction FROM m")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SEED_SCHEMA = "target_market string, publication_name string, website_url string, category string"
@@ -55,11 +57,17 @@ def search_hits_web(responses: DataFrame, json: str = "body") -> DataFrame:
     )
 
 
-def sitemap_candidates(sitemaps: DataFrame, k: int = 2) -> DataFrame:
-    """(domain, seq, url): the first ``k`` article-like locations of each (domain, xml); locations are cut in their row, before anything is exploded."""
+def sitemap_candidates(sitemaps: DataFrame, k: int = 2, keep: Sequence[str] = ()) -> DataFrame:
+    """(domain, the ``keep`` columns, seq, url): the first ``k`` article-like locations of each (domain, xml); locations are cut in their row, before anything is exploded."""
     locs = F.regexp_extract_all("xml", F.lit(r"(?is)<loc>\s*(.*?)\s*</loc>"), 1)
     kept = F.slice(F.filter(locs, lambda u: F.lower(u).rlike("|".join(ARTICLE_WORDS))), 1, k)
-    return sitemaps.select("domain", F.posexplode(kept).alias("seq", "url"))
+    return sitemaps.select("domain", *keep, F.posexplode(kept).alias("seq", "url"))
+
+
+def first_candidates(candidates: DataFrame, k: int = 2) -> DataFrame:
+    """The first ``k`` of each domain over all its sitemap files (domain, file, seq, url), seq counted anew."""
+    w = Window.partitionBy("domain").orderBy("file", "seq")
+    return candidates.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= k).select("domain", (F.col("_n") - 1).cast("int").alias("seq"), "url")
 
 
 def media_outputs(media: DataFrame) -> dict[str, DataFrame]:
