@@ -57,13 +57,14 @@ def g3_emails_documents(spark, d):
 HOST = "lower(regexp_extract(url, '^[^:]*://([^/?#]*)', 1))"
 
 
-@query(f"SELECT page_id, unnest(['ann', 'ads', 'info']) || '@' || {HOST} AS normalized_email FROM pages")
+@query(f"""SELECT page_id, unnest(['ann', 'ads', 'info']) || '@' || {HOST} AS normalized_email FROM pages
+UNION SELECT page_id, split_part(e, '@', 1) || '@' || lower(split_part(e, '@', 2)) FROM (SELECT page_id, unnest(regexp_extract_all(html, '[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+[.][a-zA-Z]{{2,}}')) AS e FROM pages)""")
 def g3_emails_in_elements(spark, d):
     """Every page as it is, followed by addresses of its own host in elements of several kinds."""
     host = F.lower(F.regexp_extract("url", r"^[^:]*://([^/?#]*)", 1))
     tail = F.concat(F.lit("<script>x@script.org</script><p>write to <b>Ann [at] "), host, F.lit("</b></p><div>ads@"), host, F.lit(" <span>(info@"), host, F.lit(")</span></div><h4>no@element.org</h4>"))
     p = table(spark, d, "pages").select("page_id", F.concat("html", F.lit("<div>"), F.replace(tail, F.lit("Ann"), F.lit("ann"))).alias("html"))
-    return C.emails_in_elements(p, F.col("html"), "page_id").where("not endswith(normalized_email, '@element.org')").select("page_id", "normalized_email")
+    return C.emails_in_elements(p, F.col("html"), "page_id").where("not endswith(normalized_email, '@element.org')").select("page_id", "normalized_email").distinct()
 
 
 @query(f"SELECT page_id, k AS nearby_text, e || '@' || {HOST} AS normalized_email FROM pages, (VALUES ('', 'press'), ('sales', 'ads')) v(k, e) WHERE page_id % 4 <> 3")
