@@ -98,7 +98,7 @@ def join_split(rows: DataFrame, table: DataFrame, key: str, count: str, spread:
 
 
 #: Runs into which hot groups are cut have about this many rows, or the MOST_RUNS-th part of all rows if that is more.
-RUN_ROWS, MOST_RUNS = 4096, 100_000
+RUN_ROWS, MOST_RUNS = 1024, 100_000
 
 
 def run_count(n: Column, total: int) -> Column:
