@@ -1,4 +1,8 @@
-"""Discovery as a stream: each micro-batch is filtered, de-duplicated, compared with known sites and added to them."""
+"""Discovery as a stream: each micro-batch is filtered, de-duplicated and judged against known sites and earlier batches.
+
+The only thing a batch writes is its part of a log of judged candidates. The tables of sites and of sources are derived
+from the log by the batch operators, so a batch that runs again after a failure leaves nothing twice.
+"""
 
 from __future__ import annotations
 
@@ -9,34 +13,64 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.lists import MULTITENANT
-from ..operators.candidates import dedup_candidates, split_candidates
+from ..operators.candidates import dedup_candidates, insert_if_absent, split_candidates, upsert_websites
+
+SITES = "canonical_key string, name string, description string, homepage_url string"
+SOURCES = "canonical_key string, query_text string, url string, seq long"
+LOG = "canonical_key string, name string, description string, homepage_url string, query_text string, url string, seq long, outcome string"
 
-SITE_SCHEMA = "canonical_key string, homepage_url string, seq long, batch_id long"
 
+def judged_candidates(hits: DataFrame, seen: DataFrame, known: DataFrame, multitenant: Sequence[str] = MULTITENANT, new_only: bool = True) -> DataFrame:
+    """The kept candidate of each site in ``hits``, in the columns of LOG.
 
-def new_sites(hits: DataFrame, known: DataFrame, multitenant: Sequence[str] = MULTITENANT) -> DataFrame:
-    """(canonical_key, homepage_url, seq) of the sites of ``hits`` that ``known`` lacks."""
+    outcome is duplicate if ``seen`` has the site; else, if ``known`` has it, known (updated unless ``new_only``); else
+    new. ``seen`` and ``known`` have no canonical_key twice. ``hits`` may lack name and description.
+    """
     accepted, _ = split_candidates(hits, multitenant)
     kept = dedup_candidates(accepted).where("kept")
-    return kept.join(known.select("canonical_key"), "canonical_key", "left_anti").select("canonical_key", "homepage_url", "seq")
+    marked = kept.join(seen.select("canonical_key", F.lit(True).alias("_seen")), "canonical_key", "left").join(known.select("canonical_key", F.lit(True).alias("_known")), "canonical_key", "left")
+    outcome = F.when(F.col("_seen"), "duplicate").when(F.col("_known"), "known" if new_only else "updated").otherwise("new")
+    given = [F.col(c) if c in kept.columns else F.lit(None).cast("string").alias(c) for c in ("name", "description")]
+    return marked.select("canonical_key", *given, "homepage_url", "query_text", "url", "seq", outcome.alias("outcome"))
+
+
+def stored_log(spark: SparkSession, folder: str, before: int | None = None) -> DataFrame:
+    """Judged candidates of all batches, or of those before ``before``, whose directories alone are then read."""
+    d = spark.read.schema(f"{LOG}, batch int").option("ignoreMissingFiles", True).parquet(f"{folder}/log")
+    return d if before is None else d.where(F.col("batch") < before)
+
+
+def _taken(log: DataFrame) -> DataFrame:
+    return log.where(F.col("outcome").isin("new", "updated"))
+
+
+def stored_sites(spark: SparkSession, folder: str, websites: DataFrame | None = None) -> DataFrame:
+    """``websites`` with the new sites of the stream added and empty fields of updated ones filled."""
+    known = spark.createDataFrame([], SITES) if websites is None else websites
+    return upsert_websites(known, _taken(stored_log(spark, folder)))
 
 
-def stored_sites(spark: SparkSession, folder: str, before: int | None = None) -> DataFrame:
-    """Stored sites, those of batches before ``before`` if given."""
-    d = spark.read.schema(SITE_SCHEMA).option("ignoreMissingFiles", True).parquet(f"{folder}/sites")
-    return d if before is None else d.where(F.col("batch_id") < before)
+def stored_sources(spark: SparkSession, folder: str, sources: DataFrame | None = None) -> DataFrame:
+    """``sources`` and the hits through which the stream's sites were found, once for each site, query and URL."""
+    have = spark.createDataFrame([], SOURCES) if sources is None else sources
+    return insert_if_absent(have, _taken(stored_log(spark, folder)), ["canonical_key", "query_text", "url"])
 
 
-def discover_stream(hits: DataFrame, folder: str, multitenant: Sequence[str] = MULTITENANT) -> StreamingQuery:
-    """Run all available micro-batches of ``hits`` (query_seq, seq, url, query_text, position) into the sites table in ``folder``.
+def discover_stream(
+    hits: DataFrame, folder: str, multitenant: Sequence[str] = MULTITENANT, websites: DataFrame | None = None, new_only: bool = True
+) -> StreamingQuery:
+    """Run all available micro-batches of ``hits`` (seq, url, query_text, position; name and description if any) into the log in ``folder``.
 
-    A batch writes its own directory and looks only at earlier ones, so running it again after a failure gives the same rows.
+    ``websites`` are the sites known before the run. If batches come in the order of seq and hold whole queries, the
+    tables after the last batch are those of one batch with all hits. A batch writes its own directory and looks only at
+    earlier ones, each of which has a site at most once as other than a duplicate.
     """
     spark = hits.sparkSession
-    spark.createDataFrame([], SITE_SCHEMA).write.mode("ignore").parquet(f"{folder}/sites/batch=-1")
+    known = (spark.createDataFrame([], SITES) if websites is None else websites).select("canonical_key").distinct()
+    spark.createDataFrame([], LOG).write.mode("ignore").parquet(f"{folder}/log/batch=-1")
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        found = new_sites(batch, stored_sites(batch.sparkSession, folder, batch_id), multitenant)
-        found.withColumn("batch_id", F.lit(batch_id).cast("long")).write.mode("overwrite").parquet(f"{folder}/sites/batch={batch_id}")
+        seen = stored_log(batch.sparkSession, folder, batch_id).where("outcome <> 'duplicate'")
+        judged_candidates(batch, seen, known, multitenant, new_only).write.mode("overwrite").parquet(f"{folder}/log/batch={batch_id}")
 
     return hits.writeStream.foreachBatch(step).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()

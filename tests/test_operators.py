@@ -86,6 +86,32 @@ def test_stream_equals_batch(spark, tmp_path):
     assert sorted(r[0] for r in got) == sorted({f"s{i % 7}.com" for i in range(40)})
 
 
+@pytest.mark.parametrize("new_only", [True, False])
+def test_stream_tables_equal_batch(spark, tmp_path, new_only):
+    rows = [(i, i // 10, f"http{'s' if i % 3 else ''}://s{i * i % 11}.com/{i}", f"q{i // 10}", i % 4, f"n{i}" if i % 2 else "", None) for i in range(30)]
+    rows += [(30, 3, "ftp://bad.com/", "q3", 0, "bad", None), (31, 3, "https://x.facebook.com/", "q3", 1, "blocked", None)]
+    df = spark.createDataFrame(rows, HITS + ", name string, description string")
+    known = spark.createDataFrame([("s9.com", "", None, "http://s9.com/"), ("old.com", "Old", "d", "http://old.com/")], discover.SITES)
+    for k in range(4):
+        df.where(F.col("query_seq") == k).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    out = str(tmp_path / "out")
+    for _ in range(2):  # the second run finds nothing new
+        discover.discover_stream(stream, out, websites=known, new_only=new_only).awaitTermination()
+    assert discover.stored_log(spark, out).agg(F.max("batch")).first()[0] == 2  # all hits of the last query are rejected
+
+    accepted, _ = candidates.split_candidates(df)
+    own = candidates.dedup_across_queries(candidates.dedup_candidates(accepted).where("kept")).where("not duplicate")
+    found = candidates.skip_known(own, known, new_only)
+    sites = candidates.upsert_websites(known, found)
+    sources = candidates.insert_if_absent(spark.createDataFrame([], discover.SOURCES), found, ["canonical_key", "query_text", "url"])
+    plain = lambda d: sorted(map(tuple, d.collect()), key=str)
+    assert plain(discover.stored_sites(spark, out, known)) == plain(sites)
+    assert plain(discover.stored_sources(spark, out)) == plain(sources)
+    named = {r.canonical_key: r.name for r in sites.collect()}
+    assert named["old.com"] == "Old" and "s5.com" in named and named["s9.com"] == (None if new_only else "n3")
+
+
 def test_page_signals(spark):
     html = """<html lang="ja"><head><title> A  <b>B</b> </title><meta name="Description" content='d1'><meta property="og:site_name" content="S">
     <link rel="canonical" href="https://x.com/"><script type="application/ld+json">{"@graph": [{"@type": ["NewsArticle", 3], "datePublished": "2024-01-01"}]}</script>
