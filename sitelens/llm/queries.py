@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .alignment import align
+from .byte_bpe import bpe_decode, bpe_encode
 from .decontaminate import decontaminate
 from .licenses import scan_licenses
 from .mixing import mix, training_order
@@ -208,6 +210,27 @@ FROM y
 """
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    a, b = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    digest = lambda groups: F.when(groups == "", "").otherwise(F.sha2(groups, 256))
+    x = F.col("alignment")
+    numbers = [x.getField(n).alias(n) for n in ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")]
+    docs = table(spark, sf_dir, "documents")
+    return align(docs, a, b, carry=["doc_id"], groups=digest).select(F.col("doc_id").cast("long").alias("doc_id"), *numbers, x.getField("groups").alias("groups_sha256"))
+
+
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    encoded = bpe_encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, carry=["doc_id"])
+    x = F.col("tokens")
+    digests = F.sha2(x.getField("ids"), 256).alias("ids_sha256"), F.sha2(F.col("decoded"), 256).alias("decoded_sha256")
+    return bpe_decode(encoded, ranks).select("doc_id", x.getField("n_tokens").alias("n_tokens"), *digests)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_url_filters": op2_url_filters,
@@ -219,6 +242,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_near_dedup": op8_near_dedup,
     "op9_toxicity": op9_toxicity,
     "op10_mixing": op10_mixing,
+    "op11_alignment": op11_alignment,
+    "op13_byte_bpe": op13_byte_bpe,
 }
 
 ORACLES: dict[str, str] = {
