@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .alignment import align
 from .byte_bpe import bpe_decode, bpe_encode
+from .collocations import mine_phrases
 from .decontaminate import decontaminate
 from .licenses import scan_licenses
 from .mixing import mix, training_order
@@ -221,6 +222,29 @@ def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align(docs, a, b, carry=["doc_id"], groups=digest).select(F.col("doc_id").cast("long").alias("doc_id"), *numbers, x.getField("groups").alias("groups_sha256"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mine_phrases(table(spark, sf_dir, "documents")).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+
+
+OP12_SQL = r"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+p AS (SELECT lang, unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')) AS p FROM d),
+w AS (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM p),
+n AS (SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY lang),
+g AS (SELECT lang, g, count(*) AS a FROM (
+    SELECT lang, list_slice(w, i, i + k - 1) AS g FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, range(1, 6) t(k) WHERE len(w) >= k)) GROUP BY lang, g),
+c AS (SELECT * FROM g WHERE a >= 100 AND len(g) > 1),
+s AS (SELECT c.lang, c.g, c.a, k, x.a AS l, y.a AS r, (1000::HUGEINT * c.a * n // (x.a::HUGEINT * y.a))::BIGINT AS score, n
+  FROM c JOIN range(1, 5) t(k) ON k < len(c.g) JOIN n ON n.lang = c.lang JOIN g x ON x.lang = c.lang AND x.g = list_slice(c.g, 1, k) JOIN g y ON y.lang = c.lang AND y.g = list_slice(c.g, k + 1, len(c.g))),
+b AS (SELECT *, row_number() OVER (PARTITION BY lang, g ORDER BY score, k) AS nth FROM s),
+inner_ AS (SELECT DISTINCT b.lang, list_slice(b.g, i, i + k - 1) AS g, b.a FROM c b, range(1, 5) t(k), range(1, 5) u(i) WHERE k < len(b.g) AND i + k - 1 <= len(b.g)),
+held AS (SELECT lang, g, max(a) AS longer FROM inner_ GROUP BY lang, g),
+f AS (SELECT b.lang, array_to_string(b.g, ' ') AS phrase, b.a, l, r, n, score FROM b LEFT JOIN held h ON h.lang = b.lang AND h.g = b.g WHERE nth = 1 AND coalesce(100 * longer < 100 * b.a, true)),
+t AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM f)
+SELECT lang, rank, phrase, a, l, r, n, score FROM t WHERE rank <= 2000
+"""
+
+
 def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -243,6 +267,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_toxicity": op9_toxicity,
     "op10_mixing": op10_mixing,
     "op11_alignment": op11_alignment,
+    "op12_collocations": op12_collocations,
     "op13_byte_bpe": op13_byte_bpe,
 }
 
@@ -252,4 +277,5 @@ ORACLES: dict[str, str] = {
     "op4_quality": OP4_SQL,
     "op5_decontaminate": OP5_SQL,
     "op10_mixing": OP10_SQL,
+    "op12_collocations": OP12_SQL,
 }
