@@ -12,6 +12,7 @@ counts, the dictionaries are summed by pair and sent back to their blocks, which
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -103,7 +104,14 @@ def shared_cuts(a_ends, b_ends, first, last):
     return np.sort(np.concatenate(found)) if found else np.zeros(0, np.int64)
 
 
-def _aligner(tokenizers: Tokenizers) -> Callable:
+@lru_cache(maxsize=1)
+def _tokenizers(a: bytes, b: bytes) -> tuple[Tokenizers, Memory]:
+    """Kept between the tasks of a worker."""
+    both = Tokenizers(a, b)
+    return both, Memory(both.encode)
+
+
+def _aligner(tokenizers: Tokenizers, memory: Memory) -> Callable:
     """A function from a block of texts to their results; the first text's has the block's dictionary of pairs."""
     import uuid
 
@@ -113,7 +121,6 @@ def _aligner(tokenizers: Tokenizers) -> Callable:
     lengths = [np.array([len(t) for t in own], dtype=np.int64) for own in tokens]
     shift = max(map(len, tokens))
     marked = [b"%d%s" % (i, mark) for mark in (b",", b"|", b";", b"") for i in range(shift)]
-    memory = Memory(tokenizers.encode)
 
     def spans(n):
         ends = np.cumsum(n)
@@ -187,7 +194,7 @@ def align(docs: DataFrame, a_file: str, b_file: str, text_col: str = "text", out
     held = spark.sparkContext.broadcast(tuple(data))
 
     def make():
-        return _aligner(Tokenizers(*held.value))
+        return _aligner(*_tokenizers(*held.value))
 
     names = without(docs.select([col(c) for c in carry]) if carry is not None else docs, out)
     made = annotate(docs, make, ALIGNED, "__aligned", text_col, names, chunk_bytes=BLOCK_BYTES)

@@ -23,7 +23,7 @@ from .pieces import Memory, cut_pieces, gather
 #: Words of more bytes are cut where no token can lie across, and contracted at every place of the least rank at once.
 LONG_WORD = 64
 #: Bytes of words in one query, tokens in one decoding query, and rows that the turns of one query over long words leave.
-LEG_BYTES, LEG_TOKENS, LEG_ROWS = 200_000, 400_000, 4_000_000
+LEG_BYTES, LEG_TOKENS, LEG_ROWS = 400_000, 400_000, 4_000_000
 
 ENCODED = T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())])
 
@@ -70,31 +70,65 @@ def read_ranks(data: bytes) -> dict[bytes, int]:
     return {base64.b64decode(a): int(b) for a, b in (line.split() for line in data.splitlines() if line.strip())}
 
 
-class Merger:
-    """One task's database: the vocabulary, its merge table and the queries over them."""
+class Database:
+    """A task's database in memory; ``rows_in`` names the rows a query reads."""
 
-    def __init__(self, ranks: dict[bytes, int]):
+    def __init__(self):
         import duckdb
+
+        self.db = duckdb.connect(config={"threads": 1})
+
+    def _run(self, sql: str, rows, **values):
+        self.db.register("rows_in", rows)
+        return self.db.execute(sql, values or None)
+
+
+class Speller(Database):
+    """The vocabulary's bytes."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        import pyarrow as pa
+
+        super().__init__()
+        rows = pa.table([pa.array(list(ranks.values()), pa.int32()), pa.array([t.hex() for t in ranks])], names=["id", "hex"])
+        self._run("CREATE TABLE vocab AS SELECT * FROM rows_in", rows)
+
+    def decode(self, ids: Sequence):
+        """The bytes of each array of ids, by ordered aggregation."""
         import numpy as np
         import pyarrow as pa
 
+        n = np.array([len(x) for x in ids], dtype=np.int64)
+        flat = np.concatenate([np.zeros(0, np.int64), *ids])
+        owner = np.repeat(np.arange(len(ids)), n)
+        out: list[list[bytes]] = [[] for _ in ids]
+        for at in range(0, len(flat), LEG_TOKENS):
+            leg = slice(at, at + LEG_TOKENS)
+            place = np.arange(len(flat[leg]))
+            for i, raw in self._run(_DECODE, pa.table([owner[leg], place, flat[leg]], names=["owner", "place", "id"])).fetchall():
+                out[i].append(raw)
+        return [b"".join(x) for x in out]
+
+
+class Merger(Database):
+    """The vocabulary's merge table and the queries that contract words by it."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        import numpy as np
+        import pyarrow as pa
+
+        super().__init__()
         self.ranks = ranks
         self.bytes = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int32)
-        self.db = duckdb.connect(config={"threads": 1})
         pairs = [(ranks[t[:i]], ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
         ints = lambda v: pa.array(v, pa.int32())
         self._run("CREATE TABLE merges AS SELECT * FROM rows_in", pa.table([ints([p[i] for p in pairs]) for i in range(3)], names=["a", "b", "rank"]))
-        self._run("CREATE TABLE vocab AS SELECT * FROM rows_in", pa.table([ints(list(ranks.values())), pa.array([t.hex() for t in ranks])], names=["id", "hex"]))
         joint = np.zeros((256, 256), dtype=bool)
         for t in ranks:
             both = np.frombuffer(t, np.uint8)
             joint[both[:-1], both[1:]] = True
         self.joint = joint
 
-    def _run(self, sql: str, rows, **values):
-        self.db.register("rows_in", rows)
-        return self.db.execute(sql, values or None)
-
     def _rows(self, words: Sequence[bytes]):
         import numpy as np
         import pyarrow as pa
@@ -174,22 +208,6 @@ class Merger:
         out[np.repeat(known < 0, n_word)] = np.concatenate(flat)[index]
         return n_word, out
 
-    def decode(self, ids: Sequence):
-        """The bytes of each array of ids, by ordered aggregation."""
-        import numpy as np
-        import pyarrow as pa
-
-        n = np.array([len(x) for x in ids], dtype=np.int64)
-        flat = np.concatenate([np.zeros(0, np.int64), *ids])
-        owner = np.repeat(np.arange(len(ids)), n)
-        out: list[list[bytes]] = [[] for _ in ids]
-        for at in range(0, len(flat), LEG_TOKENS):
-            leg = slice(at, at + LEG_TOKENS)
-            place = np.arange(len(flat[leg]))
-            for i, raw in self._run(_DECODE, pa.table([owner[leg], place, flat[leg]], names=["owner", "place", "id"])).fetchall():
-                out[i].append(raw)
-        return [b"".join(x) for x in out]
-
 
 @lru_cache(maxsize=4)
 def check_vocabulary(data: bytes) -> bool:
@@ -205,6 +223,32 @@ def check_vocabulary(data: bytes) -> bool:
     return bool((n == 1).all()) and ids.tolist() == [r for t, r in ranks.items() if len(t) <= LONG_WORD] and all(merger._long(t).tolist() == [ranks[t]] for t in longer)
 
 
+@lru_cache(maxsize=1)
+def _encoder(data: bytes, pattern: str) -> Memory:
+    """Kept between the tasks of a worker."""
+    import numpy as np
+    import regex
+
+    merger, split = Merger(read_ranks(data)), regex.compile(pattern)
+
+    def encode(pieces: list[str]):
+        at: dict[str, int] = {}
+        words = [[at.setdefault(w, len(at)) for w in split.findall(p)] for p in pieces]
+        counts, ids = merger.contract([w.encode() for w in at])
+        starts = np.cumsum(counts) - counts
+        index, n = gather(starts, counts, np.array([w for own in words for w in own], dtype=np.int64))
+        ends = np.cumsum([len(own) for own in words], dtype=np.int64)
+        upto = np.concatenate(([0], np.cumsum(n)))[np.concatenate(([0], ends))]
+        return [(np.diff(upto), ids[index])]
+
+    return Memory(encode)
+
+
+@lru_cache(maxsize=1)
+def _speller(data: bytes) -> Speller:
+    return Speller(read_ranks(data))
+
+
 def bpe_encode(docs: DataFrame, tokenizer: str, pattern: str, text_col: str = "text", out: str = "tokens", carry: Sequence[str] | None = None) -> DataFrame:
     """``docs`` with the struct ``out``: n_tokens and ids, little-endian unsigned 32-bit integers, without special tokens.
 
@@ -222,21 +266,8 @@ def bpe_encode(docs: DataFrame, tokenizer: str, pattern: str, text_col: str = "t
 
     def make():
         import numpy as np
-        import regex
-
-        merger, split = Merger(read_ranks(held.value)), regex.compile(words_of)
-
-        def encode(pieces: list[str]):
-            at: dict[str, int] = {}
-            words = [[at.setdefault(w, len(at)) for w in split.findall(p)] for p in pieces]
-            counts, ids = merger.contract([w.encode() for w in at])
-            starts = np.cumsum(counts) - counts
-            index, n = gather(starts, counts, np.array([w for own in words for w in own], dtype=np.int64))
-            ends = np.cumsum([len(own) for own in words], dtype=np.int64)
-            upto = np.concatenate(([0], np.cumsum(n)))[np.concatenate(([0], ends))]
-            return [(np.diff(upto), ids[index])]
 
-        memory = Memory(encode)
+        memory = _encoder(held.value, words_of)
 
         def run(texts):
             ids, n = memory.look_up([cut_pieces((t or b"").decode()) for t in texts])[0]
@@ -265,10 +296,10 @@ def bpe_decode(encoded: DataFrame, tokenizer: str, ids: str = "tokens.ids", out:
         import numpy as np
         import pyarrow as pa
 
-        merger = Merger(read_ranks(held.value))
+        speller = _speller(held.value)
         for batch in batches:
             raw = batch.column(len(keep))
-            made = merger.decode([np.frombuffer(x.as_py() or b"", "<u4") for x in raw])
+            made = speller.decode([np.frombuffer(x.as_py() or b"", "<u4") for x in raw])
             texts = pa.array([m if ok else None for ok, m in zip(raw.is_valid().to_pylist(), made, strict=True)], pa.binary())
             yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(len(keep))], texts], names=[*keep, out])
 

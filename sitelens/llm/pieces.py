@@ -8,14 +8,14 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Sequence
+from itertools import chain
 
-_CUT = re.compile(r"(?<=\S) (?=\S)")
+_CUT = re.compile(r"(?<=\S)(?= \S)")
 
 
 def cut_pieces(text: str) -> list[str]:
-    """``text`` in pieces; all but the first begin with the blank they were cut at. An empty text is one empty piece."""
-    first, *rest = _CUT.split(text)
-    return [first, *[" " + x for x in rest]]
+    """``text`` in pieces, all but the first beginning with the blank they were cut before. An empty text is one empty piece."""
+    return _CUT.split(text)
 
 
 def gather(starts, counts, pick):
@@ -30,14 +30,11 @@ def gather(starts, counts, pick):
 class Memory:
     """Token ids of pieces. ``encode`` takes new pieces and returns one (counts, flat ids) for each kind of token.
 
-    Once more than ``most`` pieces are held, all are forgotten before the next texts.
+    Once more than ``most`` pieces are held, all but those of the latest texts are forgotten.
     """
 
     def __init__(self, encode: Callable[[list[str]], Sequence[tuple]], most: int = 300_000):
         self.encode, self.most = encode, most
-        self._forget()
-
-    def _forget(self) -> None:
         self.at: dict[str, int] = {}
         self.kinds: list | None = None
 
@@ -45,12 +42,15 @@ class Memory:
         """For each kind of token (ids of all texts in order, tokens of each text)."""
         import numpy as np
 
+        flat = list(chain.from_iterable(texts))
+        distinct = set(flat)
         if len(self.at) > self.most:
-            self._forget()
-        at, had = self.at, len(self.at)
-        pick = np.array([at.setdefault(p, len(at)) for pieces in texts for p in pieces], dtype=np.int64)
-        if len(at) > had or self.kinds is None:
-            self._add(list(at)[had:])
+            self._keep(distinct)
+        new = [p for p in distinct if p not in self.at]
+        self.at.update(zip(new, range(len(self.at), len(self.at) + len(new)), strict=True))
+        if new or self.kinds is None:
+            self._add(new)
+        pick = np.fromiter(map(self.at.__getitem__, flat), np.int64, len(flat))
         ends = np.cumsum([len(pieces) for pieces in texts], dtype=np.int64)
         out = []
         for starts, counts, ids in self.kinds:
@@ -59,6 +59,17 @@ class Memory:
             out.append((ids[index], np.diff(before[np.concatenate(([0], ends))])))
         return out
 
+    def _keep(self, pieces: set[str]) -> None:
+        import numpy as np
+
+        kept = [p for p in pieces if p in self.at]
+        pick = np.fromiter(map(self.at.__getitem__, kept), np.int64, len(kept))
+        held = []
+        for starts, counts, ids in self.kinds or []:
+            index, n = gather(starts, counts, pick)
+            held.append((np.cumsum(n) - n, n, ids[index]))
+        self.at, self.kinds = {p: i for i, p in enumerate(kept)}, held
+
     def _add(self, new: list[str]) -> None:
         import numpy as np
 
