@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -9,12 +11,33 @@ from pyspark.sql import types as T
 
 from ..functions.lists import clean_text, present
 
-MAX_CHARS, MAX_HEADINGS, MAX_NAV, MAX_FOOTER, MAX_ANCHORS, MAX_TIMES = 2_000_000, 100, 150, 50, 500, 100
-MAX_JSONLD, MAX_JSONLD_CHARS, MAX_JSONLD_DEPTH = 20, 50_000, 10
+
+@dataclass(frozen=True)
+class Limits:
+    """How much of a page is read; None reads all. The defaults are the values of the published rules."""
+
+    chars: int | None = 2_000_000
+    headings: int | None = 100
+    nav: int | None = 150
+    footer: int | None = 50
+    anchors: int | None = 500
+    times: int | None = 100
+    jsonld_blocks: int | None = 20
+    jsonld_chars: int | None = 50_000
+
+
+LIMITS = Limits()
+MAX_ANCHORS, MAX_JSONLD_DEPTH = LIMITS.anchors, 10
+#: Paths of articles and of authors.
 ARTICLE = r"(?i)/(news|reviews|guides|features|interviews|article|post)/"
 AUTHOR = r"(?i)/(author|writer|profile)/"
 
 
+def first_of(items: Column, most: int | None) -> Column:
+    """The first ``most`` items; all if it is None."""
+    return items if most is None else F.slice(items, 1, most)
+
+
 def all_of(html: Column, pattern: str, group: int = 1) -> Column:
     return F.regexp_extract_all(html, F.lit(pattern), group)
 
@@ -31,9 +54,9 @@ def inner_text(fragment: Column) -> Column:
     return clean_text(entities(F.regexp_replace(fragment, r"<[^>]*>", "")))
 
 
-def texts_of(fragments: Column, most: int) -> Column:
-    """Distinct texts in order of the first ``most`` fragments."""
-    return F.array_distinct(F.filter(F.transform(F.slice(fragments, 1, most), inner_text), lambda t: t.isNotNull()))
+def texts_of(fragments: Column, most: int | None = None) -> Column:
+    """Distinct texts in order of the first ``most`` fragments, or of all."""
+    return F.array_distinct(F.filter(F.transform(first_of(fragments, most), inner_text), lambda t: t.isNotNull()))
 
 
 def attribute(tag: Column, name: str) -> Column:
@@ -56,7 +79,7 @@ def anchors(html: Column, most: int | None = MAX_ANCHORS) -> Column:
         head = F.regexp_extract(t, r"(?is)^(<a[^>]*>)", 1)
         return F.struct(attribute(head, "href").alias("href"), attribute(head, "rel").alias("rel"), inner_text(t).alias("text"))
 
-    return F.transform(tags if most is None else F.slice(tags, 1, most), parts)
+    return F.transform(first_of(tags, most), parts)
 
 
 def first_title(html: Column) -> Column:
@@ -77,13 +100,20 @@ def parking_flags(title: Column) -> Column:
     return present(F.when(t.contains("domain for sale") | t.contains("parked domain"), "domain_parked_or_for_sale"))
 
 
-def page_signals(pages: DataFrame, html_col: str = "html") -> DataFrame:
+def with_flags(d: DataFrame) -> DataFrame:
+    """Adds what follows from the other signals: no categories, challenge and parking indicators of the title."""
+    title = F.col("page_title")
+    return d.select("*", F.array().cast("array<string>").alias("detected_categories"), challenge_flags(title).alias("challenge_indicators"), parking_flags(title).alias("parking_indicators"))
+
+
+def page_signals(pages: DataFrame, html_col: str = "html", limits: Limits = LIMITS) -> DataFrame:
     """All columns of ``pages`` but the html, and its signals. Null html gives null and empty signals."""
-    h = F.substring(F.coalesce(F.col(html_col), F.lit("")), 1, MAX_CHARS)
-    nav = F.flatten(F.transform(all_of(h, r"(?is)<nav[^>]*>(.*?)</nav>"), lambda n: F.slice(all_of(n, r"(?is)<(?:a|button)(?:\s[^>]*)?>(.*?)</(?:a|button)>"), 1, MAX_NAV)))
-    foot = F.flatten(F.transform(all_of(h, r"(?is)<footer[^>]*>(.*?)</footer>"), lambda n: F.slice(all_of(n, r"(?is)<(?:a|p|span)(?:\s[^>]*)?>(.*?)</(?:a|p|span)>"), 1, MAX_FOOTER)))
+    h = F.coalesce(F.col(html_col), F.lit(""))
+    h = h if limits.chars is None else F.substring(h, 1, limits.chars)
+    nav = F.flatten(F.transform(all_of(h, r"(?is)<nav(?:\s[^>]*)?>(.*?)</nav>"), lambda n: first_of(all_of(n, r"(?is)<(?:a|button)(?:\s[^>]*)?>(.*?)</(?:a|button)>"), limits.nav)))
+    foot = F.flatten(F.transform(all_of(h, r"(?is)<footer(?:\s[^>]*)?>(.*?)</footer>"), lambda n: first_of(all_of(n, r"(?is)<(?:a|p|span)(?:\s[^>]*)?>(.*?)</(?:a|p|span)>"), limits.footer)))
     times = F.transform(
-        F.slice(all_of(h, r"(?is)(<time(?:\s[^>]*)?>.*?</time>)"), 1, MAX_TIMES),
+        first_of(all_of(h, r"(?is)(<time(?:\s[^>]*)?>.*?</time>)"), limits.times),
         lambda t: F.coalesce(attribute(F.regexp_extract(t, r"(?is)^(<time[^>]*>)", 1), "datetime"), inner_text(t)),
     )
     published = F.transform(
@@ -96,60 +126,62 @@ def page_signals(pages: DataFrame, html_col: str = "html") -> DataFrame:
         *[meta_content(h, "property", f"og:{k}").alias(f"og_{k}") for k in ("title", "description", "site_name")],
         clean_text(attribute(F.regexp_extract(h, r"(?is)(<html[^>]*>)", 1), "lang")).alias("html_language"),
         clean_text(attribute(F.get(F.filter(all_of(h, r"(?is)(<link\s[^>]*>)"), lambda t: F.lower(attribute(t, "rel")) == "canonical"), F.lit(0)), "href")).alias("canonical_url"),
-        texts_of(all_of(h, r"(?is)<h[1-3](?:\s[^>]*)?>(.*?)</h[1-3]>"), MAX_HEADINGS).alias("headings"),
-        F.slice(texts_of(nav, 10 * MAX_NAV), 1, MAX_NAV).alias("navigation_labels"),
-        F.slice(texts_of(foot, 10 * MAX_FOOTER), 1, MAX_FOOTER).alias("footer_text"),
-        anchors(h).alias("_a"),
+        texts_of(all_of(h, r"(?is)<h[1-3](?:\s[^>]*)?>(.*?)</h[1-3]>"), limits.headings).alias("headings"),
+        first_of(texts_of(nav), limits.nav).alias("navigation_labels"),
+        first_of(texts_of(foot), limits.footer).alias("footer_text"),
+        anchors(h, limits.anchors).alias("_a"),
         F.array_compact(F.concat(times, published)).alias("_dates"),
-        F.when(h.contains("ld+json"), jsonld(h)).alias("_ld"),
+        F.when(h.contains("ld+json"), jsonld(h, limits)).alias("_ld"),
     )
     href = lambda keep: F.sort_array(F.array_distinct(F.transform(F.filter("_a", keep), lambda a: a.href)))
-    return d.select(
-        *[c for c in d.columns if not c.startswith("_")],
-        href(lambda a: a.href.rlike(ARTICLE)).alias("article_links"),
-        href(lambda a: a.href.rlike(AUTHOR) | F.coalesce(a.rel == "author", F.lit(False))).alias("author_links"),
-        F.coalesce(F.col("_ld.types"), F.array().cast("array<string>")).alias("json_ld_types"),
-        F.sort_array(F.array_distinct(F.concat("_dates", F.coalesce(F.col("_ld.dates"), F.array().cast("array<string>"))))).alias("detected_publication_dates"),
-        F.array().cast("array<string>").alias("detected_categories"),
-        challenge_flags(F.col("page_title")).alias("challenge_indicators"),
-        parking_flags(F.col("page_title")).alias("parking_indicators"),
+    return with_flags(
+        d.select(
+            *[c for c in d.columns if not c.startswith("_")],
+            href(lambda a: a.href.rlike(ARTICLE)).alias("article_links"),
+            href(lambda a: a.href.rlike(AUTHOR) | F.coalesce(a.rel == "author", F.lit(False))).alias("author_links"),
+            F.coalesce(F.col("_ld.types"), F.array().cast("array<string>")).alias("json_ld_types"),
+            F.sort_array(F.array_distinct(F.concat("_dates", F.coalesce(F.col("_ld.dates"), F.array().cast("array<string>"))))).alias("detected_publication_dates"),
+        )
     )
 
 
 _LD = T.StructType([T.StructField(n, T.ArrayType(T.StringType())) for n in ("types", "dates", "emails")])
 
 
-def jsonld(html: Column) -> Column:
-    """Struct (types, dates, emails), sorted and distinct, of the JSON-LD blocks; broken blocks are passed over."""
+def read_jsonld(blocks: list[str]) -> dict[str, list[str]]:
+    """Sorted and distinct types, dates and emails of JSON-LD blocks; those that are broken or nested too deep to be read are passed over."""
+    import json
+
+    found = {"types": set(), "dates": set(), "emails": set()}
+    for block in blocks:
+        try:
+            level = [json.loads(block)]
+        except (ValueError, RecursionError):
+            continue
+        for _ in range(MAX_JSONLD_DEPTH):
+            deeper = []
+            for x in level:
+                if isinstance(x, list):
+                    deeper += x
+                elif isinstance(x, dict):
+                    kinds = x.get("@type", [])
+                    found["types"].update(k for k in ([kinds] if isinstance(kinds, str) else kinds if isinstance(kinds, list) else []) if isinstance(k, str))
+                    found["dates"].update(x[k] for k in ("datePublished", "dateModified") if isinstance(x.get(k), str))
+                    found["emails"].update([x["email"]] if isinstance(x.get("email"), str) else [])
+                    deeper += x.values()
+            level = deeper
+    return {k: sorted(v) for k, v in found.items()}
+
+
+def jsonld(html: Column, limits: Limits = LIMITS) -> Column:
+    """Struct (types, dates, emails) of the JSON-LD blocks, as ``read_jsonld`` finds them."""
+
     @F.pandas_udf(_LD)
     def read(blocks: pd.Series) -> pd.DataFrame:
-        import json
+        return pd.DataFrame([read_jsonld([] if own is None else list(own)) for own in blocks], columns=["types", "dates", "emails"])
 
-        rows = []
-        for own in blocks:
-            found = {"types": set(), "dates": set(), "emails": set()}
-            for block in [] if own is None else own:
-                try:
-                    level = [json.loads(block)]
-                except ValueError:
-                    continue
-                for _ in range(MAX_JSONLD_DEPTH):
-                    deeper = []
-                    for x in level:
-                        if isinstance(x, list):
-                            deeper += x
-                        elif isinstance(x, dict):
-                            kinds = x.get("@type", [])
-                            found["types"].update(k for k in ([kinds] if isinstance(kinds, str) else kinds if isinstance(kinds, list) else []) if isinstance(k, str))
-                            found["dates"].update(x[k] for k in ("datePublished", "dateModified") if isinstance(x.get(k), str))
-                            found["emails"].update([x["email"]] if isinstance(x.get("email"), str) else [])
-                            deeper += x.values()
-                    level = deeper
-            rows.append({k: sorted(v) for k, v in found.items()})
-        return pd.DataFrame(rows, columns=["types", "dates", "emails"])
-
-    found = F.slice(all_of(html, r"""(?is)<script[^>]*type\s*=\s*["']application/ld\+json["'][^>]*>(.*?)</script>"""), 1, MAX_JSONLD)
-    return read(F.filter(found, lambda b: (F.trim(b) != "") & (F.length(b) <= MAX_JSONLD_CHARS)))
+    found = first_of(all_of(html, r"""(?is)<script[^>]*type\s*=\s*["']application/ld\+json["'][^>]*>(.*?)</script>"""), limits.jsonld_blocks)
+    return read(F.filter(found, lambda b: (F.trim(b) != "") & (F.lit(True) if limits.jsonld_chars is None else F.length(b) <= limits.jsonld_chars)))
 
 
 MAX_CONTACT_BLOCKS, MAX_CONTACT_DEPTH = 10, 8
