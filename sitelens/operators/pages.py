@@ -266,3 +266,24 @@ def assemble_site_pages(pages: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n_pages"),
         F.count_if("usable").alias("n_usable"),
     )
+
+
+def acquisition(pages: DataFrame, entries: DataFrame | None = None, least_entries: int = 2) -> DataFrame:
+    """Per site what was acquired: primary_seq, usable_primary, n_usable_supporting, n_valid_entries and usable_evidence.
+
+    ``pages``: site, page_seq, success, html. The primary page is the first success by page_seq, else the first failure;
+    pages with html are usable. ``entries``: site, title, link of feed entries; valid ones have both. There is usable
+    evidence if the primary page is usable, a supporting one is, or ``least_entries`` entries are valid. Sites with
+    entries alone have no primary page. Null and empty html is not usable; a null success is a failure.
+    """
+    ok = F.coalesce("success", F.lit(False))
+    usable = F.coalesce(F.length("html") > 0, F.lit(False))
+    order = F.struct((~ok).cast("int").alias("failed"), "page_seq")
+    d = pages.groupBy("site").agg(F.min_by("page_seq", order).alias("primary_seq"), F.min_by(usable, order).alias("usable_primary"), F.count_if(usable).alias("n_usable"))
+    d = d.withColumn("n_usable_supporting", F.col("n_usable") - F.col("usable_primary").cast("long")).drop("n_usable")
+    if entries is None:
+        d = d.withColumn("n_valid_entries", F.lit(0).cast("long"))
+    else:
+        n = entries.groupBy("site").agg(F.count_if(F.col("title").isNotNull() & F.col("link").isNotNull()).alias("n_valid_entries"))
+        d = d.join(n, "site", "full_outer").fillna(0, ["n_valid_entries", "n_usable_supporting"]).fillna(False, ["usable_primary"])
+    return d.withColumn("usable_evidence", F.col("usable_primary") | (F.col("n_usable_supporting") > 0) | (F.col("n_valid_entries") >= least_entries))

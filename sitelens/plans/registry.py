@@ -23,5 +23,5 @@ def query(sql: str | None = None) -> Callable:
     return add
 
 
-for _name in ("urls", "pages", "scores", "sites", "reports", "evaluation"):
+for _name in ("urls", "pages", "scores", "markup", "sites", "reports", "evaluation"):
     import_module(f"sitelens.plans.{_name}")

@@ -140,7 +140,7 @@ def _terms() -> str:
 
 
 NORM = "trim(regexp_replace(lower({}), '[^\\p{{L}}\\p{{N}}_]+', ' ', 'g'))"
-EVIDENCE = f"""{PAGES}, voc(kind, lang, term, n) AS (VALUES {_terms()}),
+_EVIDENCE = f""", voc(kind, lang, term, n) AS (VALUES {_terms()}),
 txt AS (SELECT site, page_seq, page_type, g, {NORM.format('x')} AS n FROM (
   SELECT site, page_seq, page_type, 'title' AS g, unnest(list_filter([title, og_site, og_title, meta], lambda x: x IS NOT NULL)) AS x FROM pg UNION ALL SELECT site, page_seq, page_type, 'nav', unnest(heads_c || nav_c) FROM pg
   UNION ALL SELECT site, page_seq, page_type, 'foot', unnest(foot_c) FROM pg UNION ALL SELECT site, page_seq, page_type, 'links', unnest(links) FROM pg UNION ALL SELECT site, page_seq, page_type, 'authors', unnest(authors) FROM pg)),
@@ -150,8 +150,9 @@ ev AS (SELECT DISTINCT site, page_seq, page_type, use.kind, term FROM txt JOIN u
   UNION ALL SELECT DISTINCT site, page_seq, page_type, 'article_link', unnest(links) FROM pg UNION ALL SELECT site, page_seq, page_type, 'category', unnest(cats) FROM pg UNION ALL SELECT site, page_seq, page_type, 'technical', 'parsed_html' FROM pg
   UNION ALL SELECT site, page_seq, page_type, 'technical', 'structured_data' FROM pg WHERE len(ld) > 0 UNION ALL SELECT site, page_seq, page_type, 'date', unnest(dates) FROM pg
   UNION ALL SELECT site, page_seq, page_type, 'market_language', 'language' FROM pg WHERE lang = 'fr-FR' UNION ALL SELECT site, page_seq, page_type, 'market_location', 'location' FROM pg WHERE list_contains(foot, 'Site in Paris'))"""
+EVIDENCE = PAGES + _EVIDENCE
 
-V2_SQL = f"""WITH {EVIDENCE},
+_V2 = f""",
 one AS (SELECT site, kind, term, arg_min(page_type, page_seq) AS page_type, count(*) AS n, bool_or(page_type <> 'primary') AS elsewhere FROM ev GROUP BY 1, 2, 3),
 agg AS (SELECT site, {', '.join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in ('gaming_identity', 'gaming_navigation', 'gaming_article', 'editorial_navigation', 'author', 'article_link', 'category', 'date', 'technical'))},
   {', '.join(f"list(term) FILTER (kind = '{k}') AS {k}, count(*) FILTER (kind = '{k}') AS n_{k}" for k in ('store', 'developer', 'hardware', 'casino'))},
@@ -170,6 +171,7 @@ sc AS (SELECT *, least(30, least(15, n_gaming_identity * 5) + least(10, n_gaming
 tot AS (SELECT *, CASE WHEN market_score >= 15 THEN 'confirmed' WHEN market_score > 0 THEN 'probable' ELSE 'unconfirmed' END AS market_status,
   greatest(0, least(100, gaming_score + media_score + market_score + activity_score + technical_score - deductions)) AS total_score FROM sc)
 """
+V2_SQL = "WITH " + EVIDENCE + _V2
 
 
 def evidence(spark, d):
