@@ -1,11 +1,12 @@
 """Phrase collocations from sorted count streams, after the external estimation of n-gram models.
 
 1. Texts are read once into blocks: a stream of word numbers, and the block's own vocabulary with counts.
-2. Vocabularies are summed. Words below the least count can be in no phrase, so they break the stream like a separator.
+2. Vocabularies are summed. Rare words can be in no phrase, so they break the stream like a separator.
 3. Each place of a stream gives one row, the words from there to the next break, five at most; blocks sum equal rows. No
    shorter phrase gets rows of its own.
-4. Rows are range-sorted in prefix order. The count of a phrase is the sum over the run of rows that begin with it, for
-   all lengths in one pass over the sorted stream; runs at a task's borders are summed once more.
+4. Rows are dealt out by their first word, or, where that is hot, by their words up to the first that isn't, and sorted
+   in prefix order. The count of a phrase is the sum over the run of rows that begin with it, for all lengths in one pass
+   over the sorted stream; phrases of hot words alone, whose rows lie in many tasks, are summed once more.
 5. The counts of the frequent phrases are kept in prefix order, where a phrase follows its own prefixes, and then in
    suffix order (words reversed), where it follows its suffixes. One merging pass over either gives the counts of all
    left or right parts and of the extensions by a word; nothing is looked up by hash.
@@ -24,6 +25,11 @@ from .common import col, cut, discard, ranked
 BLOCK_BYTES = 8 << 20
 #: Words that three 64-bit keys hold.
 MOST_WORDS = 6
+#: Words rarer than this are left out of the streams. Any value up to the phrases' least count gives the same phrases; at a
+#: low one the work per text does not depend on the corpus's size.
+RARE = 5
+#: A word with more than this part of all words is hot; so there are at most so many hot ones. The last bit of its id tells.
+MOST_HOT = 1000
 #: Bytes that end a piece; blanks between words are space and tab.
 _ENDS = b".,;:!?\n\x0b\x0c\r"
 #: No byte of UTF-8: stands for the end of a piece.
@@ -127,21 +133,25 @@ def _masks(k: int) -> list[int]:
 
 def _prefix_counts(grams: DataFrame, longest: int, least: int) -> DataFrame:
     """(k1, k2, k3, a): phrases of two words and more whose count ``a`` reaches ``least``."""
-    ordered = grams.repartitionByRange("k1", "k2", "k3").sortWithinPartitions("k1", "k2", "k3")
+    ids = _words(longest)
+    key = F.xxhash64(*ids)
+    for k in range(longest - 1, 0, -1):
+        key = F.when(ids[k - 1].bitwiseAND(F.lit(1)) == 0, F.xxhash64(*ids[:k])).otherwise(key)
+    ordered = grams.repartition(key).sortWithinPartitions("k1", "k2", "k3")
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
         orders = range(2, longest + 1)
-        pending: dict[int, tuple | None] = dict.fromkeys(orders)  # the run that may go on: (keys, count, whether it is the task's first)
+        pending: dict[int, tuple | None] = dict.fromkeys(orders)  # the run that may go on: (keys, count, whether other tasks may have more of it)
         batch_of = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in rows], names=["k1", "k2", "k3", "a"])
         for batch in batches:
             keys, n = [batch.column(i).to_numpy() for i in range(3)], batch.column(3).to_numpy()
             done = []
             for k in orders:
-                last_word = keys[(k - 1) // 2] & (0xFFFFFFFF if k % 2 == 0 else -1 << 32)
-                there = np.flatnonzero(last_word != 0)
+                words = [(keys[i // 2] >> 32) if i % 2 == 0 else keys[i // 2] & 0xFFFFFFFF for i in range(k)]
+                there = np.flatnonzero(words[-1] != 0)
                 if not len(there):
                     continue
                 own = [key[there] & mask for key, mask in zip(keys, _masks(k), strict=True)]
@@ -149,17 +159,14 @@ def _prefix_counts(grams: DataFrame, longest: int, least: int) -> DataFrame:
                 new[1:] = (own[0][1:] != own[0][:-1]) | (own[1][1:] != own[1][:-1]) | (own[2][1:] != own[2][:-1])
                 at = np.flatnonzero(new)
                 sums, own = np.add.reduceat(n[there], at), [x[at] for x in own]
-                first = np.zeros(len(at), dtype=bool)
-                before = pending[k]
-                if before is None:
-                    first[0] = True
-                elif all(x[0] == y for x, y in zip(own, before[0], strict=True)):
-                    sums[0] += before[1]
-                    first[0] = before[2]
-                elif before[1] >= least or before[2]:
-                    done.append([np.array([v]) for v in (*before[0], before[1])])
-                pending[k] = ([x[-1] for x in own], int(sums[-1]), bool(first[-1]))
-                out = np.flatnonzero((sums[:-1] >= least) | first[:-1])
+                hot = np.logical_and.reduce([w[there][at] & 1 == 1 for w in words])
+                if before := pending[k]:
+                    if all(x[0] == y for x, y in zip(own, before[0], strict=True)):
+                        sums[0] += before[1]
+                    elif before[1] >= least or before[2]:
+                        done.append([np.array([v]) for v in (*before[0], before[1])])
+                pending[k] = ([x[-1] for x in own], int(sums[-1]), bool(hot[-1]))
+                out = np.flatnonzero((sums[:-1] >= least) | hot[:-1])
                 done.append([*[x[out] for x in own], sums[out]])
             if done:
                 yield batch_of([np.concatenate([d[i] for d in done]) for i in range(4)])
@@ -233,14 +240,13 @@ def mine_phrases(
     each = blocks.select("block", F.posexplode("words").alias("number", "w")).select("block", (F.col("number") + 1).alias("number"), F.col("w.lang").alias("lang"), F.col("w.word").alias("word"), F.col("w.n").alias("n"))
     counts = cut(each.groupBy("lang", "word").agg(F.sum("n").alias("f")), "counts")
     totals = cut(counts.groupBy("lang").agg(F.sum("f").alias("n")), "totals")
-    frequent = counts.where(F.col("f") >= least).select(F.struct("lang", "word").alias("key"), "f")
-    numbered = ranked(cut(frequent, "frequent"), "key").select((F.col("rank") + 1).cast("int").alias("id"), "key.lang", "key.word", "f")
+    hot = F.col("f") > (totals.agg(F.sum("n")).first()[0] or 0) // MOST_HOT
+    frequent = counts.where(F.col("f") >= min(RARE, least)).select(F.struct("lang", "word").alias("key"), "f")
+    numbered = ranked(cut(frequent, "frequent"), "key").select(((F.col("rank") + 1) * 2 + hot.cast("int")).cast("int").alias("id"), "key.lang", "key.word", "f")
     words = cut(numbered.join(totals, "lang"), "words")
     known = each.drop("n").join(words.select("lang", "word", "id"), ["lang", "word"]).select(F.col("block").alias("home"), "number", "id")
-    grams = cut(_grams(blocks, known, longest), "grams")
+    phrases = cut(_prefix_counts(_grams(blocks, known, longest), longest, least), "phrases")
     discard(blocks, counts)
-    phrases = cut(_prefix_counts(grams, longest, least), "phrases")
-    discard(grams)
     total = phrases.count()
 
     names = [f"w{i + 1}" for i in range(longest)]
