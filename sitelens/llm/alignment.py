@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from functools import lru_cache
+from itertools import chain
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,8 +22,8 @@ from pyspark.sql import types as T
 from .common import annotate, col, cut, join_split, without
 from .pieces import Memory, cut_pieces
 
-#: Bytes of text in one block.
-BLOCK_BYTES = 4 << 20
+#: Bytes of text in one block; a task takes some hundred times as much memory.
+BLOCK_BYTES = 1 << 20
 
 _PAIRS = T.ArrayType(T.StructType([T.StructField("pair", T.LongType()), T.StructField("n", T.LongType())]))
 ALIGNED = T.StructType(
@@ -73,10 +74,15 @@ class Tokenizers:
             raise ValueError("every token must have bytes, and none may go on after a blank")
 
     def encode(self, pieces: list[str]):
+        """For A and for B (tokens of each piece, their ids); then one entry for each piece that one of them does not give back."""
         import numpy as np
 
         both = [e.ids for e in self.a.encode_batch_fast(pieces, add_special_tokens=False)], self.b.encode([p[1:] for p in pieces], num_threads=1)
-        return [([len(x) for x in ids], np.fromiter((i for x in ids for i in x), np.int32)) for ids in both]
+        raws = [p.encode() for p in pieces]
+        lost = np.zeros(len(pieces), dtype=np.int64)
+        for tokens, ids in zip(self.tokens, both, strict=True):
+            lost |= np.fromiter((b"".join(map(tokens.__getitem__, own)) != raw for own, raw in zip(ids, raws, strict=True)), dtype=np.int64, count=len(raws))
+        return [*[([len(x) for x in ids], np.fromiter(chain.from_iterable(ids), np.int32)) for ids in both], (lost, np.zeros(lost.sum(), np.int32))]
 
 
 def shared_cuts(a_ends, b_ends, first, last):
@@ -128,14 +134,12 @@ def _aligner(tokenizers: Tokenizers, memory: Memory) -> Callable:
 
     def run(texts):
         raws = [b" " + t if t else b"" for t in texts]
-        (a, n_a), (b, n_b) = memory.look_up([cut_pieces(r.decode()) if r else [] for r in raws])
-        own = [lists.tolist() for lists in (a, b)]
-        (fa, la), (fb, lb) = spans(n_a), spans(n_b)
-        whole = np.array([bool(r) and all(b"".join(map(t.__getitem__, ids[f[i] : e[i]])) == r for t, ids, f, e in zip(tokens, own, (fa, fb), (la, lb), strict=True)) for i, r in enumerate(raws)], dtype=bool)
+        (a, n_a), (b, n_b), (_, lost) = memory.look_up([cut_pieces(r.decode()) if r else [] for r in raws])
+        whole = lost == 0
         if not whole.all():
             a, b = a[np.repeat(whole, n_a)], b[np.repeat(whole, n_b)]
             n_a, n_b = n_a * whole, n_b * whole
-            (fa, la), (fb, lb) = spans(n_a), spans(n_b)
+        (fa, la), (fb, lb) = spans(n_a), spans(n_b)
         a_ends, b_ends = np.cumsum(lengths[0][a]), np.cumsum(lengths[1][b])
         ends = shared_cuts(a_ends, b_ends, fa[n_a > 0], la[n_a > 0])
         mates = np.searchsorted(b_ends, a_ends[ends])
@@ -149,7 +153,6 @@ def _aligner(tokenizers: Tokenizers, memory: Memory) -> Callable:
         kind_b[lb[n_b > 0] - 1] = 3
         order[np.arange(len(a)) + before_a[group_a]] = a + shift * kind_a
         order[np.arange(len(b)) + before_b[group_b]] = b + shift * kind_b
-        words = order.tolist()
         # links: the tokens that end at a cut
         code = (a[ends].astype(np.int64) << 32) | b[mates]
         pairs, link, n = np.unique(code, return_inverse=True, return_counts=True)
@@ -163,7 +166,7 @@ def _aligner(tokenizers: Tokenizers, memory: Memory) -> Callable:
         held = [{"pair": int(p), "n": int(k)} for p, k in zip(pairs[rank].tolist(), n[rank].tolist(), strict=True)]
         out = []
         for i in range(len(texts)):
-            groups = b"".join(map(marked.__getitem__, words[fa[i] + fb[i] : la[i] + lb[i]])).decode()
+            groups = b"".join(map(marked.__getitem__, order[fa[i] + fb[i] : la[i] + lb[i]].tolist())).decode()
             k = int(upto[i] - start[i])
             out.append((int(n_a[i]), int(n_b[i]), k, k, groups, raw[4 * start[i] : 4 * upto[i]], block, held if i == 0 else None))
         return out
