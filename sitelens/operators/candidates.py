@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.lists import MULTITENANT
+from ..functions.skew import HOT_ROWS, join_by_key
 from ..functions.urls import with_site
 
 #: Category terms and query templates.
@@ -99,19 +100,20 @@ def split_candidates(hits: DataFrame, multitenant: Sequence[str] = MULTITENANT,
     return d.where("reason is null").drop("reason"), d.where("reason is not null")
 
 
-def dedup_candidates(accepted: DataFrame) -> DataFrame:
+def dedup_candidates(accepted: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """``accepted`` with ``kept`` and ``kept_url``: one row of each canonical_key is kept.
 
     The first by seq is kept, unless it is http and a later row with its query_text and position is https, which then
     replaces it. kept_url is the URL that was kept when the row arrived. Rows are aggregated by key, query_text and
-    position, those by key, so a site with very many hits is reduced before it is dealt out; then rows are joined once.
+    position, those by key, so a site with very many hits is reduced before it is dealt out; then rows are joined once,
+    those of a site with more than ``hot_rows`` spread over parts.
     """
     row = F.struct("seq", "normalized_url")
     places = accepted.groupBy("canonical_key", "query_text", "position").agg(
-        F.min_by(row, "seq").alias("f"), F.min_by(row, F.when(F.col("normalized_url").startswith("https:"), F.col("seq"))).alias("o")
+        F.min_by(row, "seq").alias("f"), F.min_by(row, F.when(F.col("normalized_url").startswith("https:"), F.col("seq"))).alias("o"), F.count(F.lit(1)).alias("n")
     )
-    sites = places.groupBy("canonical_key").agg(F.min_by(F.struct("f", "o"), "f.seq").alias("s")).select("canonical_key", "s.f", F.when(F.col("s.f.normalized_url").startswith("http:"), F.col("s.o")).alias("o"))
-    d = accepted.join(sites, "canonical_key")
+    sites = places.groupBy("canonical_key").agg(F.min_by(F.struct("f", "o"), "f.seq").alias("s"), F.sum("n").alias("__rows")).select("canonical_key", "__rows", "s.f", F.when(F.col("s.f.normalized_url").startswith("http:"), F.col("s.o")).alias("o"))
+    d = join_by_key(accepted, sites, "canonical_key", "__rows", F.xxhash64("seq"), "inner", hot_rows)
     kept = F.col("seq") == F.coalesce("o.seq", "f.seq")
     at = F.when(F.col("o").isNotNull() & (F.col("seq") >= F.col("o.seq")), F.col("o.normalized_url")).otherwise(F.col("f.normalized_url"))
     return d.select(*accepted.columns, kept.alias("kept"), at.alias("kept_url"))
@@ -132,11 +134,11 @@ def skip_known(accepted: DataFrame, websites: DataFrame, new_only: bool = True)
     return accepted.join(websites.select("canonical_key"), "canonical_key", "left_anti") if new_only else accepted
 
 
-def dedup_across_queries(accepted: DataFrame) -> DataFrame:
-    """``accepted`` with ``duplicate``: false for the first row of a key by (query_seq, seq)."""
+def dedup_across_queries(accepted: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """``accepted`` with ``duplicate``: false for the first row of a key by (query_seq, seq). Keys of more than ``hot_rows`` rows are spread over parts."""
     order = F.struct("query_seq", "seq")
-    first = accepted.groupBy("canonical_key").agg(F.min(order).alias("first"))
-    return accepted.join(first, "canonical_key").select(*accepted.columns, (order != F.col("first")).alias("duplicate"))
+    first = accepted.groupBy("canonical_key").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("__rows"))
+    return join_by_key(accepted, first, "canonical_key", "__rows", F.xxhash64("seq"), "inner", hot_rows).select(*accepted.columns, (order != F.col("first")).alias("duplicate"))
 
 
 def upsert_websites(websites: DataFrame, found: DataFrame) -> DataFrame:

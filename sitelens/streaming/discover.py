@@ -1,7 +1,9 @@
 """Discovery as a stream: each micro-batch is filtered, de-duplicated and judged against known sites and earlier batches.
 
-The only thing a batch writes is its part of a log of judged candidates. The tables of sites and of sources are derived
-from the log by the batch operators, so a batch that runs again after a failure leaves nothing twice.
+Whether a site has been seen is keyed state: a batch looks up the sites of its own hits in the state store and reads no
+earlier batch. What it writes is its part of a log of judged candidates. The tables of sites and of sources are derived
+from the log by the batch operators. Spark goes back to the state before a batch that failed, and the batch overwrites
+its own part of the log, so running again leaves nothing twice.
 """
 
 from __future__ import annotations
@@ -11,6 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupStateTimeout
 
 from ..functions.lists import MULTITENANT
 from ..operators.candidates import dedup_candidates, insert_if_absent, split_candidates, upsert_websites
@@ -34,10 +37,39 @@ def judged_candidates(hits: DataFrame, seen: DataFrame, known: DataFrame, multit
     return marked.select("canonical_key", *given, "homepage_url", "query_text", "url", "seq", outcome.alias("outcome"))
 
 
-def stored_log(spark: SparkSession, folder: str, before: int | None = None) -> DataFrame:
-    """Judged candidates of all batches, or of those before ``before``, whose directories alone are then read."""
-    d = spark.read.schema(f"{LOG}, batch int").option("ignoreMissingFiles", True).parquet(f"{folder}/log")
-    return d if before is None else d.where(F.col("batch") < before)
+def _judge(new_only: bool):
+    """The function of one site's rows and state: the kept candidate of its hits in this batch, as ``judged_candidates`` has it."""
+
+    def judge(key, frames, state):
+        import pandas as pd
+
+        first, secure, known = None, {}, False
+        for rows in frames:
+            known = known or bool(rows["known"].iloc[0])
+            ordered = rows.sort_values("seq")
+            if first is None or ordered["seq"].iloc[0] < first["seq"]:
+                first = ordered.iloc[0]
+            # the first https row of each query and position; one of them may replace an http row
+            for row in ordered[ordered["normalized_url"].str.startswith("https:")].drop_duplicates(["query_text", "position"]).to_dict("records"):
+                place = (row["query_text"], row["position"])
+                if place not in secure or row["seq"] < secure[place]["seq"]:
+                    secure[place] = row
+        kept = dict(first)
+        if kept["normalized_url"].startswith("http:"):
+            kept = secure.get((kept["query_text"], kept["position"]), kept)
+        kept["outcome"] = "duplicate" if state.exists else ("known" if new_only else "updated") if known else "new"
+        state.update((True,))
+        yield pd.DataFrame([{c: kept[c] for c in _LOG_COLUMNS}])
+
+    return judge
+
+
+_LOG_COLUMNS = [c.split()[0] for c in LOG.split(", ")]
+
+
+def stored_log(spark: SparkSession, folder: str) -> DataFrame:
+    """Judged candidates of all batches."""
+    return spark.read.schema(f"{LOG}, batch int").option("ignoreMissingFiles", True).parquet(f"{folder}/log")
 
 
 def _taken(log: DataFrame) -> DataFrame:
@@ -62,15 +94,21 @@ def discover_stream(
     """Run all available micro-batches of ``hits`` (seq, url, query_text, position; name and description if any) into the log in ``folder``.
 
     ``websites`` are the sites known before the run. If batches come in the order of seq and hold whole queries, the
-    tables after the last batch are those of one batch with all hits. A batch writes its own directory and looks only at
-    earlier ones, each of which has a site at most once as other than a duplicate.
+    tables after the last batch are those of one batch with all hits. State grows by a flag a site; give
+    ``spark.sql.streaming.stateStore.providerClass`` a store on disk for very many. A site's hits of one batch are read
+    in frames, and what is held of them is a row for each query and position.
     """
     spark = hits.sparkSession
-    known = (spark.createDataFrame([], SITES) if websites is None else websites).select("canonical_key").distinct()
+    known = (spark.createDataFrame([], SITES) if websites is None else websites).select("canonical_key", F.lit(True).alias("known")).distinct()
     spark.createDataFrame([], LOG).write.mode("ignore").parquet(f"{folder}/log/batch=-1")
+    accepted, _ = split_candidates(hits, multitenant)
+    given = [F.col(c) if c in accepted.columns else F.lit(None).cast("string").alias(c) for c in ("name", "description")]
+    rows = accepted.join(known, "canonical_key", "left").select(
+        "canonical_key", *given, "homepage_url", "query_text", "url", "seq", "position", "normalized_url", F.coalesce("known", F.lit(False)).alias("known")
+    )
+    judged = rows.groupBy("canonical_key").applyInPandasWithState(_judge(new_only), LOG, "seen boolean", "append", GroupStateTimeout.NoTimeout)
 
-    def step(batch: DataFrame, batch_id: int) -> None:
-        seen = stored_log(batch.sparkSession, folder, batch_id).where("outcome <> 'duplicate'")
-        judged_candidates(batch, seen, known, multitenant, new_only).write.mode("overwrite").parquet(f"{folder}/log/batch={batch_id}")
+    def store(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/log/batch={batch_id}")
 
-    return hits.writeStream.foreachBatch(step).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+    return judged.writeStream.foreachBatch(store).outputMode("append").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
