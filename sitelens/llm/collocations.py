@@ -23,8 +23,8 @@ from .common import col, cut, discard, ranked
 
 #: Bytes of text in a block. A longer text is cut between pieces, which are independent.
 BLOCK_BYTES = 8 << 20
-#: Words that three 64-bit keys hold.
-MOST_WORDS = 6
+#: Words that three 64-bit keys hold, two each but for the last, whose lower half has a row's count.
+MOST_WORDS = 5
 #: Words rarer than this are left out of the streams. Any value up to the phrases' least count gives the same phrases; at a
 #: low one the work per text does not depend on the corpus's size.
 RARE = 5
@@ -94,7 +94,7 @@ def _blocks(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
 
 
 def _grams(blocks: DataFrame, known: DataFrame, longest: int) -> DataFrame:
-    """(k1, k2, k3, n): a row for each distinct run of known words, ``longest`` at most, that starts somewhere in a block; two words to a key."""
+    """(k1, k2, k3): a row for each distinct run of known words, ``longest`` at most, that starts somewhere in a block; how often it does is in k3."""
 
     def run(streams, ids):
         import numpy as np
@@ -112,17 +112,18 @@ def _grams(blocks: DataFrame, known: DataFrame, longest: int) -> DataFrame:
             for k in range(1, MOST_WORDS):
                 alive = alive & (words[first + min(k, longest - 1)] > 0) & (k < longest)
                 row.append(np.where(alive, words[first + min(k, longest - 1)], 0))
-            keys = [row[i] << 32 | row[i + 1] for i in (0, 2, 4)]
+            keys = [row[0] << 32 | row[1], row[2] << 32 | row[3], row[4] << 32]
             order = np.lexsort(keys[::-1])
             keys = [k[order] for k in keys]
             new = np.ones(len(order), dtype=bool)
             new[1:] = (keys[0][1:] != keys[0][:-1]) | (keys[1][1:] != keys[1][:-1]) | (keys[2][1:] != keys[2][:-1])
             at = np.flatnonzero(new)
-            out.append([*[k[at] for k in keys], np.diff(np.append(at, len(order)))])
-        columns = [np.concatenate([o[i] for o in out]) if out else np.zeros(0, np.int64) for i in range(4)]
-        return pa.table([pa.array(c, pa.int64()) for c in columns], names=["k1", "k2", "k3", "n"])
+            keys = [k[at] for k in keys]
+            out.append([keys[0], keys[1], keys[2] | np.diff(np.append(at, len(order)))])
+        columns = [np.concatenate([o[i] for o in out]) if out else np.zeros(0, np.int64) for i in range(3)]
+        return pa.table([pa.array(c, pa.int64()) for c in columns], names=["k1", "k2", "k3"])
 
-    return blocks.select("block", "stream").groupBy("block").cogroup(known.groupBy("home")).applyInArrow(run, "k1 long, k2 long, k3 long, n long")
+    return blocks.select("block", "stream").groupBy("block").cogroup(known.groupBy("home")).applyInArrow(run, "k1 long, k2 long, k3 long")
 
 
 def _masks(k: int) -> list[int]:
@@ -147,7 +148,8 @@ def _prefix_counts(grams: DataFrame, longest: int, least: int) -> DataFrame:
         pending: dict[int, tuple | None] = dict.fromkeys(orders)  # the run that may go on: (keys, count, whether other tasks may have more of it)
         batch_of = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in rows], names=["k1", "k2", "k3", "a"])
         for batch in batches:
-            keys, n = [batch.column(i).to_numpy() for i in range(3)], batch.column(3).to_numpy()
+            keys = [batch.column(i).to_numpy() for i in range(3)]
+            n, keys[2] = keys[2] & 0xFFFFFFFF, keys[2] >> 32 << 32
             done = []
             for k in orders:
                 words = [(keys[i // 2] >> 32) if i % 2 == 0 else keys[i // 2] & 0xFFFFFFFF for i in range(k)]
@@ -225,7 +227,7 @@ def mine_phrases(
     """(lang, rank, phrase, a, l, r, n, score, cut): each language's ``top`` phrases by score, then a, then the phrase.
 
     Texts are lower-cased (A-Z) and split at ``[.,;:!?]``, line feeds and their like into pieces, pieces at spaces and
-    tabs into words. Phrases have 2 to ``longest`` words (6 at most) of a piece; n counts a language's words, a a
+    tabs into words. Phrases have 2 to ``longest`` words (5 at most) of a piece; n counts a language's words, a a
     phrase's occurrences, overlaps included. A cut after the first ``cut`` words has l = count of the first part, r =
     count of the rest, score = floor(1000 * a * n / (l * r)), computed in 38 decimal digits; the lowest-scoring cut
     counts, of equal ones the first. Phrases below ``least`` are left out, and so are those inside a longer one that has
@@ -242,11 +244,13 @@ def mine_phrases(
     totals = cut(counts.groupBy("lang").agg(F.sum("f").alias("n")), "totals")
     hot = F.col("f") > (totals.agg(F.sum("n")).first()[0] or 0) // MOST_HOT
     frequent = counts.where(F.col("f") >= min(RARE, least)).select(F.struct("lang", "word").alias("key"), "f")
-    numbered = ranked(cut(frequent, "frequent"), "key").select(((F.col("rank") + 1) * 2 + hot.cast("int")).cast("int").alias("id"), "key.lang", "key.word", "f")
+    frequent = cut(frequent, "frequent")
+    discard(counts)
+    numbered = ranked(frequent, "key").select(((F.col("rank") + 1) * 2 + hot.cast("int")).cast("int").alias("id"), "key.lang", "key.word", "f")
     words = cut(numbered.join(totals, "lang"), "words")
     known = each.drop("n").join(words.select("lang", "word", "id"), ["lang", "word"]).select(F.col("block").alias("home"), "number", "id")
     phrases = cut(_prefix_counts(_grams(blocks, known, longest), longest, least), "phrases")
-    discard(blocks, counts)
+    discard(blocks, frequent)
     total = phrases.count()
 
     names = [f"w{i + 1}" for i in range(longest)]
