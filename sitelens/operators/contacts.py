@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.lists import let
+from ..functions.skew import MOST_HOT, join_by_key
 from ..functions.urls import absolute_url, registered_domain, url_parts
 from .pages import all_of, anchors, attribute, entities, inner_text, jsonld_contacts
 
@@ -235,14 +237,52 @@ def robots_rules(robots: DataFrame, agent: str) -> DataFrame:
     return rules.select("host", "seq", (F.col("k") == "allow").alias("allow"), F.col("v").alias("path"))
 
 
-def robots_filter(urls: DataFrame, robots: DataFrame, agent: str, on_error: bool = False) -> DataFrame:
+#: Paths of one host that a task probes together.
+ROBOTS_ROWS = 100_000
+
+
+def first_rules(keys: DataFrame, rules: DataFrame, part_rows: int = ROBOTS_ROWS) -> DataFrame:
+    """(host, path, allow): of each of ``keys`` (host, path: distinct) the first rule in file order that begins its path; paths without one are left out.
+
+    A host's rules are put by their paths into one table a task, which is probed with the beginnings of each URL's path in
+    the lengths that rules have; no row is made for a path and a rule. Paths of a host beyond ``part_rows`` are dealt to
+    parts, each with a copy of its rules. A host's rules are those of one robots file.
+    """
+    counts = keys.groupBy("host").agg(F.count(F.lit(1)).alias("n"))
+    parts = counts.select("host", F.greatest(F.ceil(F.col("n") / part_rows), F.lit(1)).cast("int").alias("parts"))
+    own = rules.where("path <> ''").join(parts, "host").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    many = F.broadcast(parts.where("parts > 1").orderBy(F.col("parts").desc(), "host").limit(MOST_HOT).withColumnRenamed("host", "__hot"))
+    dealt = keys.join(many, F.col("host") == F.col("__hot"), "left").withColumn("part", F.pmod(F.xxhash64("path"), F.coalesce("parts", F.lit(1))).cast("int"))
+
+    def probe(paths, table):
+        import pyarrow as pa
+
+        first: dict[str, tuple[int, bool]] = {}
+        for seq, allow, path in zip(*(table.column(c).to_pylist() for c in ("seq", "allow", "path")), strict=True):
+            if path not in first or seq < first[path][0]:
+                first[path] = (seq, allow)
+        lengths = sorted({len(p) for p in first})
+        verdicts = []
+        for path in paths.column("path").to_pylist():
+            hits = [first[path[:n]] for n in lengths if n <= len(path) and path[:n] in first] if path is not None else []
+            verdicts.append(min(hits)[1] if hits else None)
+        return pa.table([paths.column("host"), paths.column("path"), pa.array(verdicts, pa.bool_())], names=["host", "path", "allow"])
+
+    left = dealt.select("host", "path", "part")
+    right = own.select(F.col("host").alias("of"), F.col("part").alias("copy"), "seq", "allow", "path")
+    schema = T.StructType([T.StructField("host", T.StringType()), T.StructField("path", T.StringType()), T.StructField("allow", T.BooleanType())])
+    return left.groupBy("host", "part").cogroup(right.groupBy("of", "copy")).applyInArrow(probe, schema).where("allow is not null")
+
+
+def robots_filter(urls: DataFrame, robots: DataFrame, agent: str, on_error: bool = False, part_rows: int = ROBOTS_ROWS) -> DataFrame:
     """``urls`` (host, path, ...) with allowed. ``robots``: host, status_code, body. 404 and 410 allow, 401 and 403 deny, 429, 5xx and other failures are ``on_error``. A robots file that came from another host than it was asked of
     (``final_host``, if there is such a column) denies. The first rule in file order whose path begins the URL's decides; an empty Disallow allows."""
     rules = robots_rules(robots.where("status_code = 200"), agent)
-    keys = urls.select("host", "path").distinct()
-    first = keys.join(rules.withColumnRenamed("path", "rule"), "host").where("rule <> '' and startswith(path, rule)").groupBy("host", "path").agg(F.min_by("allow", "seq").alias("allow"))
+    first = first_rules(urls.select("host", "path").where("host is not null and path is not null").distinct(), rules, part_rows)
     moved = F.coalesce(F.lower("final_host") != F.lower("host"), F.lit(False)) if "final_host" in robots.columns else F.lit(False)
-    d = urls.join(robots.select("host", "status_code", moved.alias("_moved")), "host", "left").join(first, ["host", "path"], "left")
+    counts = urls.groupBy("host").agg(F.count(F.lit(1)).alias("__urls"))
+    answers = counts.join(robots.select("host", "status_code", moved.alias("_moved")), "host", "left")
+    d = join_by_key(urls, answers, "host", "__urls", F.xxhash64("path")).join(first, ["host", "path"], "left")
     s = F.col("status_code")
     verdict = F.when(s.isNull() | s.isin(404, 410), True).when(s.isin(401, 403) | ((s == 200) & F.col("_moved")), False).when(s == 200, F.coalesce("allow", F.lit(True))).otherwise(on_error)
     return d.select(*urls.columns, verdict.alias("allowed"))

@@ -113,6 +113,74 @@ def threshold_sweep(preds: DataFrame, grid: DataFrame, policy: str = "5C") -> Da
     )
 
 
+def _config(v: int, u: int, g: int, m: int, k: int, t: int, negative: bool = False) -> dict:
+    return {"verified_threshold": v, "uncertain_threshold": u, "gaming_minimum": g, "media_minimum": m, "market_minimum": k, "technical_minimum": t, "high_conf_neg": negative}
+
+
+#: The three published grids.
+GRIDS = {
+    "5": [_config(v, 50, g, m, k, t) for v in (70, 75, 80) for g in (18, 20, 22) for m in (14, 16, 18) for k in (8, 10) for t in (3, 4)],
+    "5B": [_config(v, 45, g, m, k, 3) for v in (65, 70, 75) for g in (16, 18) for m in (12, 14) for k in (4, 8)] + [_config(60, 35, 14, 10, 0, 2)],
+    "5C": [_config(v, u, 14, 10, 0, t, n) for v, u, t, n in ((60, 40, 2, False), (60, 40, 2, True), (60, 40, 0, True), (62, 40, 0, True), (58, 40, 0, True), (60, 40, 3, True), (58, 40, 2, True), (60, 38, 2, True), (62, 38, 2, True), (60, 38, 0, True))],
+}
+#: The score that each threshold is held against.
+_HELD = {"verified_threshold": "total_score", "uncertain_threshold": "total_score", "gaming_minimum": "gaming_score", "media_minimum": "media_score", "market_minimum": "market_score", "technical_minimum": "technical_score"}
+#: Fixed value: the rule that 5C judges by its confidence.
+IDENTITY_RULE = "high_confidence_negative_identity"
+
+
+def score_cells(preds: DataFrame, configs: Sequence[dict]) -> DataFrame:
+    """Predictions by label, flags and, for each threshold, how many of the grid's values their score reaches, with their number ``n``.
+
+    There are at most as many cells as combinations of these, whatever the number of predictions. Null scores reach
+    nothing, a null confidence is not 1.
+    """
+    c = F.col
+    reached = {name: sum((F.when(c(score) >= v, 1).otherwise(0) for v in sorted({x[name] for x in configs})), F.lit(0)).alias(name) for name, score in _HELD.items()}
+    strong = F.coalesce((c("hard_rejection_confidence") == 1.0) & (c("gaming_score") <= 20) & (c("media_score") <= 15), F.lit(False))
+    flags = c("hard_rule").isNotNull().alias("hard"), F.coalesce(c("hard_rule") != IDENTITY_RULE, F.lit(False)).alias("other"), strong.alias("strong")
+    return preds.groupBy("expected_label", *flags, *reached.values()).agg(F.count(F.lit(1)).alias("n"))
+
+
+def grid_sweep(preds: DataFrame, configs: Sequence[dict], policy: str) -> DataFrame:
+    """Metrics of every configuration (config_id from 1), from the cells of ``score_cells`` alone.
+
+    ``preds``: expected_label, hard_rule, hard_rejection_confidence and the scores. Policies 5 and 5B count every
+    prediction, abstentions and uncertain labels too, as TN or FN unless it is positive; positive is verified under 5, and
+    under 5B what reaches the thresholds without regard to the market. 5C leaves uncertain labels and abstentions out,
+    lets a rule of confident negative identity reject only if asked to, and ignores the market.
+    """
+    cells = score_cells(preds, configs)
+    steps = {name: {v: i + 1 for i, v in enumerate(sorted({x[name] for x in configs}))} for name in _HELD}
+    made = [F.struct(F.lit(i + 1).alias("config_id"), *[F.lit(steps[n][x[n]]).alias(n) for n in _HELD], F.lit(bool(x.get("high_conf_neg"))).alias("negative")) for i, x in enumerate(configs)]
+    d = cells.withColumn("x", F.explode(F.array(*made)))
+    c, at_least = F.col, lambda n: F.col(n) >= F.col(f"x.{n}")
+    scores = at_least("verified_threshold") & at_least("gaming_minimum") & at_least("media_minimum") & at_least("technical_minimum")
+    low = ~at_least("uncertain_threshold") & at_least("technical_minimum")
+    pos = c("expected_label") == POSITIVE
+    if policy == "5C":
+        rejected = c("other") | (c("x.negative") & c("strong"))
+        status = F.when(rejected, "rejected").when(scores, "verified").when(low, "rejected").otherwise("uncertain")
+        o = F.when(c("expected_label") == "uncertain", "IGNORE").when(status == "uncertain", "ABSTAIN").when(status == "verified", F.when(pos, "TP").otherwise("FP")).otherwise(F.when(pos, "FN").otherwise("TN"))
+        decided, eligible = o.isin("TP", "FP", "FN", "TN"), o != "IGNORE"
+    else:
+        verified = ~c("hard") & scores & at_least("market_minimum")
+        status = F.when(c("hard"), "rejected").when(at_least("verified_threshold"), F.when(verified, "verified").otherwise("uncertain")).when(low, "rejected").otherwise("uncertain")
+        hit = verified if policy == "5" else ~c("hard") & scores
+        o = F.when(pos & hit, "TP").when(hit, "FP").when(pos, "FN").otherwise("TN")
+        decided, eligible = status != "uncertain", F.lit(True)
+    total = lambda cond, name: F.coalesce(F.sum(F.when(cond, c("n"))), F.lit(0)).alias(name)
+    d = d.groupBy(c("x.config_id").alias("config_id")).agg(*[total(o == k, k.lower()) for k in ("TP", "FP", "FN", "TN")], total(decided, "decided"), total(eligible, "total"))
+    return d.select(
+        "config_id", "tp", "fp", "fn", "tn", (c("total") - c("decided")).alias("abstentions"),
+        _ratio(c("tp"), c("tp") + c("fp")).alias("precision"),
+        _ratio(c("tp"), c("tp") + c("fn")).alias("recall"),
+        _ratio(2 * c("tp"), 2 * c("tp") + c("fp") + c("fn")).alias("f1"),
+        _ratio(c("decided"), c("total")).alias("coverage"),
+        _ratio(c("tp") + c("tn"), c("total")).alias("accuracy"),
+    )
+
+
 def select_config(metrics: DataFrame, policy: str = "5", grid: DataFrame | None = None) -> DataFrame:
     """The best configuration under a policy, the lowest id on a tie.
 

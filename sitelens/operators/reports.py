@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.skew import join_by_key
 
@@ -49,6 +50,62 @@ def newest_rows(df: DataFrame, key: str, order: Sequence[Column], n: int = 20) -
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col("rank") <= n)
 
 
+def _field(name: str):
+    return lambda x: x[name]
+
+
+def website_detail(sites: DataFrame, histories: dict[str, tuple[DataFrame, Sequence[Column], int]], key: str = "site", parts: int = 64) -> DataFrame:
+    """``sites`` (``key``: distinct) with an array of rows for each of ``histories``, in order, each bounded.
+
+    ``histories`` maps a name to (rows, order, most): the first ``most`` rows of a site by ``order``, numbers of which the
+    lower comes first and null last; ties are broken by the row. All histories go through one ranking: first within
+    parts of a site, dealt by the row's hash, then among the parts' first ones, so a site with very many rows is never in
+    one task. A site without rows of a kind has an empty array; rows of other sites are left out.
+    """
+    names = list(histories)
+    width = max((len(order) for _, order, _ in histories.values()), default=1)
+    shapes = {name: rows.drop(key).schema for name, (rows, _, _) in histories.items()}
+    every = None
+    for i, (name, (rows, order, _)) in enumerate(histories.items()):
+        by = [F.coalesce(o.cast("double"), F.lit(float("inf"))) for o in order] + [F.lit(0.0)] * (width - len(order))
+        row = F.struct(*[F.col(f"`{f.name}`") for f in shapes[name].fields])
+        own = [(row if n == name else F.lit(None).cast(shapes[n])).alias(f"row_{n}") for n in names]
+        d = rows.select(F.col(key), F.lit(i).alias("kind"), F.struct(*[b.alias(f"o{j}") for j, b in enumerate(by)], F.xxhash64(row).alias("tie")).alias("o"), *own)
+        every = d if every is None else every.unionByName(d)
+    most = F.element_at(F.array(*[F.lit(n) for _, _, n in histories.values()]), F.col("kind") + 1)
+    rank = F.row_number()
+    some = every.withColumn("part", F.pmod(F.col("o.tie"), F.lit(parts)))
+    some = some.withColumn("rank", rank.over(Window.partitionBy(key, "kind", "part").orderBy("o"))).where(F.col("rank") <= most)
+    some = some.withColumn("rank", rank.over(Window.partitionBy(key, "kind").orderBy("o"))).where(F.col("rank") <= most)
+    lists = [F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == i, F.struct("rank", f"row_{n}")))), _field(f"row_{n}")).alias(n) for i, n in enumerate(names)]
+    return sites.join(some.groupBy(key).agg(*lists), key, "left").select(*sites.columns, *[F.coalesce(n, F.array().cast(T.ArrayType(shapes[n]))).alias(n) for n in names])
+
+
+def contact_order(types: Sequence[str]) -> list[Column]:
+    """Numbers by which contacts are ordered: place of their type, primary first, confidence, newest first."""
+    place = F.coalesce(F.nullif(F.array_position(F.array(*[F.lit(t) for t in types]), F.col("contact_type")), F.lit(0)), F.lit(99))
+    return [place, (~F.col("is_primary")).cast("int"), -F.coalesce("confidence", F.lit(0.0)), -F.unix_micros(F.col("discovered_at").cast("timestamp"))]
+
+
+def website_histories(
+    sites: DataFrame, verifications: DataFrame, traffic: DataFrame, sources: DataFrame, errors: DataFrame, contacts: DataFrame, contact_types: Sequence[str], most: int = 1000, most_errors: int = 20
+) -> DataFrame:
+    """Per site its verification_history (verified_at), traffic_history (retrieved_at), discovery_sources (discovered_at) and
+    recent_processing_errors (created_at), newest first, and its contacts by type, primary flag, confidence and recency
+    (contact_type, is_primary, confidence, discovered_at); ``most`` rows of each, ``most_errors`` of the errors."""
+    newest = lambda c: [-F.unix_micros(F.col(c).cast("timestamp"))]
+    return website_detail(
+        sites,
+        {
+            "verification_history": (verifications, newest("verified_at"), most),
+            "traffic_history": (traffic, newest("retrieved_at"), most),
+            "contacts": (contacts, contact_order(contact_types), most),
+            "discovery_sources": (sources, newest("discovered_at"), most),
+            "recent_processing_errors": (errors, newest("created_at"), most_errors),
+        },
+    )
+
+
 def _last_status(verifications: DataFrame) -> tuple[DataFrame, list[str]]:
     """(latest verification of each site, of each site and job if verifications name their job; its keys)."""
     keys = ["job_id", "site"] if "job_id" in verifications.columns else ["site"]

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import hashlib
 import unicodedata
+from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.lists import let, present
 
@@ -75,6 +78,61 @@ def match_terms(texts: Column, terms: list[str]) -> Column:
     return let(F.array_join(texts, "\n"), held)
 
 
+def match_kinds(fields: dict[str, Column], uses: dict[str, tuple[Sequence[str], Sequence[str]]], vocabulary: dict[str, dict[str, Sequence[str]]] | None = None) -> Column:
+    """Array of (kind, term): for each kind of ``uses`` (names of fields, kinds of the vocabulary) the terms that a text of one of its fields holds.
+
+    ``fields`` are arrays of normalised texts. One automaton over all terms runs once over each text, whatever the number
+    of terms and kinds, and the plan has no literal of a term. Terms come sorted and once a kind; null arrays and texts
+    hold nothing. The vocabulary travels with the function, so it should fit a task's memory (a million terms do).
+    """
+    vocabulary = VOCABULARY if vocabulary is None else vocabulary
+    names, wanted = list(fields), {kind: (list(f), set(v)) for kind, (f, v) in uses.items()}
+    terms: dict[str, list[tuple[str, str]]] = {}
+    for kind in sorted({k for _, own in wanted.values() for k in own}):
+        for term in sorted({t for by in vocabulary[kind].values() for t in by}):
+            terms.setdefault(normalize_term(term), []).append((kind, term))
+    terms.pop("", None)
+
+    @F.pandas_udf(T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("term", T.StringType())])))
+    def match(texts: pd.DataFrame) -> pd.Series:
+        automaton = _automaton(terms)
+
+        def of(row) -> list[dict]:
+            held: dict[str, set[tuple[str, str]]] = {}
+            for name, own in zip(names, row, strict=True):
+                found = held.setdefault(name, set())
+                for text in own if own is not None and automaton is not None else ():
+                    for _, entries in automaton.iter(text or ""):
+                        found.update(entries)
+            out = []
+            for kind, (where, kinds) in wanted.items():
+                hits = {term for name in where for k, term in held[name] if k in kinds}
+                out += [{"kind": kind, "term": t} for t in sorted(hits)]
+            return out
+
+        return pd.Series([of(row) for row in zip(*(texts[n] for n in names), strict=True)])
+
+    return match(F.struct(*[c.alias(n) for n, c in fields.items()]))
+
+
+def _automaton(terms: dict[str, list[tuple[str, str]]]):
+    """Automaton of normalised terms; kept by a worker for the batches of the same vocabulary."""
+    import ahocorasick
+
+    key = hash(frozenset((t, tuple(own)) for t, own in terms.items()))
+    if _HELD.get("key") != key:
+        made = ahocorasick.Automaton()
+        for text, own in terms.items():
+            made.add_word(text, own)
+        if terms:
+            made.make_automaton()
+        _HELD.update(key=key, automaton=made if terms else None)
+    return _HELD["automaton"]
+
+
+_HELD: dict = {}
+
+
 def site_evidence(signals: DataFrame, language: str | None = None, market: str | None = None) -> DataFrame:
     """Long evidence table of ``signals`` (page_signals with site, page_seq, page_type): one row per finding and page.
 
@@ -84,19 +142,22 @@ def site_evidence(signals: DataFrame, language: str | None = None, market: str |
     c = F.col
     title = present(c("page_title"), c("og_site_name"), c("og_title"), c("meta_description"), c("og_description"))
     nav, foot = F.concat("headings", "navigation_labels"), c("footer_text")
-    every = norm(F.concat(title, nav, foot))
+    fields = {"title": norm(title), "nav": norm(nav), "foot": norm(foot), "links": norm(c("article_links")), "authors": norm(c("author_links"))}
+    every = ("title", "nav", "foot")
+    uses = {
+        "gaming_identity": (("title",), ("identity",)),
+        "gaming_navigation": (("nav",), ("identity", "article")),
+        "gaming_article": (("links",), ("identity", "article")),
+        "editorial_navigation": (("nav",), ("editorial",)),
+        "author": (("authors", "foot", "title"), ("author",)),
+        **{k: (every, (k,)) for k in ("store", "developer", "hardware", "casino")},
+    }
     one = lambda cond, term: F.when(cond, F.array(F.lit(term))).otherwise(F.array().cast("array<string>"))
     found = {
-        "gaming_identity": match_terms(norm(title), terms_of("identity")),
-        "gaming_navigation": match_terms(norm(nav), terms_of("identity", "article")),
-        "gaming_article": match_terms(norm(c("article_links")), terms_of("identity", "article")),
-        "editorial_navigation": match_terms(norm(nav), terms_of("editorial")),
-        "author": match_terms(norm(F.concat("author_links", foot, title)), terms_of("author")),
         "article_link": F.array_distinct("article_links"),
         "category": c("detected_categories"),
         "technical": F.concat(one(c("canonical_url").isNotNull() | c("page_title").isNotNull(), "parsed_html"), one(F.size("json_ld_types") > 0, "structured_data")),
         "date": c("detected_publication_dates"),
-        **{k: match_terms(every, terms_of(k)) for k in ("store", "developer", "hardware", "casino")},
         "market_language": one(F.lower("html_language").contains(language.lower()), "language") if language else F.array().cast("array<string>"),
         "market_location": one(F.exists(foot, lambda t: F.lower(t).contains(market.lower())), "location") if market else F.array().cast("array<string>"),
     }
@@ -104,7 +165,7 @@ def site_evidence(signals: DataFrame, language: str | None = None, market: str |
     def named(kind: str, terms: Column) -> Column:
         return F.transform(terms, lambda t: F.struct(F.lit(kind).alias("kind"), t.alias("term")))
 
-    pairs = F.flatten(F.array(*[named(kind, terms) for kind, terms in found.items()]))
+    pairs = F.flatten(F.array(match_kinds(fields, uses), *[named(kind, terms) for kind, terms in found.items()]))
     return signals.select("site", "page_seq", "page_type", F.explode(pairs).alias("e")).select("site", "page_seq", "page_type", "e.kind", "e.term")
 
 

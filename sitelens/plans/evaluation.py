@@ -61,6 +61,49 @@ def j8_threshold_sweep(spark, d):
     return E.threshold_sweep(predictions(spark, d), grid(spark))
 
 
+def ruled(spark, d):
+    """Predictions with hard rules and confidences of negative identity."""
+    k = F.col("domain").cast("long")
+    rule = F.when(k % 19 == 0, "dominant_ecommerce_store").when(k % 7 == 0, E.IDENTITY_RULE)
+    return predictions(spark, d).withColumn("hard_rule", rule).withColumn("hard_rejection_confidence", F.when(k % 3 == 0, 1.0).otherwise(0.4))
+
+
+NAMES = ("verified_threshold", "uncertain_threshold", "gaming_minimum", "media_minimum", "market_minimum", "technical_minimum")
+
+
+def _sweep_sql(policy: str) -> str:
+    rows = ", ".join(f"({i + 1}, {', '.join(str(x[n]) for n in NAMES)}, {str(x['high_conf_neg']).lower()})" for i, x in enumerate(E.GRIDS[policy]))
+    reach = "total_score >= v AND gaming_score >= g AND media_score >= m AND technical_score >= t"
+    if policy == "5C":
+        status = f"CASE WHEN rule = 'dominant_ecommerce_store' OR (neg AND conf = 1.0 AND gaming_score <= 20 AND media_score <= 15) THEN 'rejected' WHEN {reach} THEN 'verified' WHEN total_score < u AND technical_score >= t THEN 'rejected' ELSE 'uncertain' END"
+        counts = """count(*) FILTER (s = 'verified' AND pos) AS tp, count(*) FILTER (s = 'verified' AND NOT pos) AS fp, count(*) FILTER (s = 'rejected' AND pos) AS fn, count(*) FILTER (s = 'rejected' AND NOT pos) AS tn,
+          count(*) FILTER (s <> 'uncertain') AS decided, count(*) AS total FROM st WHERE expected_label <> 'uncertain'"""
+    else:
+        status = f"CASE WHEN rule IS NOT NULL THEN 'rejected' WHEN total_score >= v THEN CASE WHEN {reach} AND market_score >= k THEN 'verified' ELSE 'uncertain' END WHEN total_score >= u OR technical_score < t THEN 'uncertain' ELSE 'rejected' END"
+        hit = "s = 'verified'" if policy == "5" else "hit"
+        counts = f"""count(*) FILTER (pos AND {hit}) AS tp, count(*) FILTER (NOT pos AND {hit}) AS fp, count(*) FILTER (pos AND NOT ({hit})) AS fn, count(*) FILTER (NOT pos AND NOT ({hit})) AS tn, count(*) FILTER (s <> 'uncertain') AS decided, count(*) AS total FROM st"""
+    ratio = {"precision": ("tp", "tp+fp"), "recall": ("tp", "tp+fn"), "f1": ("(2*tp)", "2*tp+fp+fn"), "coverage": ("decided", "total"), "accuracy": ("(tp+tn)", "total")}
+    return W + f""", grid(config_id, v, u, g, m, k, t, neg) AS (VALUES {rows}),
+p AS (SELECT *, domain::BIGINT AS id, CASE WHEN domain::BIGINT % 19 = 0 THEN 'dominant_ecommerce_store' WHEN domain::BIGINT % 7 = 0 THEN '{E.IDENTITY_RULE}' END AS rule, CASE WHEN domain::BIGINT % 3 = 0 THEN 1.0 ELSE 0.4 END AS conf, expected_label = 'gaming_media' AS pos FROM preds),
+st AS (SELECT *, {status} AS s, rule IS NULL AND {reach} AS hit FROM p CROSS JOIN grid), a AS (SELECT config_id, {counts} GROUP BY config_id)
+SELECT config_id, tp, fp, fn, tn, total - decided AS abstentions, {', '.join(f'{RATIO.format(*x)} AS {n}' for n, x in ratio.items())} FROM a"""
+
+
+@query(_sweep_sql("5"))
+def j8_sweep_5(spark, d):
+    return E.grid_sweep(ruled(spark, d), E.GRIDS["5"], "5")
+
+
+@query(_sweep_sql("5B"))
+def j8_sweep_5b(spark, d):
+    return E.grid_sweep(ruled(spark, d), E.GRIDS["5B"], "5B")
+
+
+@query(_sweep_sql("5C"))
+def j8_sweep_5c(spark, d):
+    return E.grid_sweep(ruled(spark, d), E.GRIDS["5C"], "5C")
+
+
 SUMS = "met.*, verified_threshold + gaming_minimum + media_minimum + technical_minimum AS s FROM met JOIN grid USING (config_id)"
 
 

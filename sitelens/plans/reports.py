@@ -48,6 +48,34 @@ def i5_newest_errors(spark, d):
     return R.newest_rows(e, "user_id", [F.col("ts").desc(), F.col("event_id")]).select("user_id", "event_id", "rank")
 
 
+#: Suppliers are sites. Lines are verifications by ship date, those that came back sources, the large ones contacts; events whose user number is a site's are its traffic and errors.
+DETAIL = """WITH s AS (SELECT s_suppkey AS site FROM supplier),
+v AS (SELECT l_suppkey AS site, l_orderkey * 10 + l_linenumber AS id, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_shipdate DESC, l_orderkey * 10 + l_linenumber) AS n FROM lineitem),
+c AS (SELECT l_suppkey AS site, l_orderkey * 10 + l_linenumber AS id, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_shipdate DESC, l_orderkey * 10 + l_linenumber) AS n FROM lineitem WHERE l_returnflag = 'R'),
+t AS (SELECT user_id AS site, event_id AS id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id) AS n FROM events WHERE event_type <> 'error'),
+e AS (SELECT user_id AS site, event_id AS id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id) AS n FROM events WHERE event_type = 'error'),
+k AS (SELECT l_suppkey AS site, l_orderkey * 10 + l_linenumber AS id, row_number() OVER (PARTITION BY l_suppkey ORDER BY CASE l_returnflag WHEN 'R' THEN 1 WHEN 'N' THEN 2 ELSE 99 END, l_linestatus <> 'F', -l_discount, l_shipdate DESC, l_orderkey * 10 + l_linenumber) AS n FROM lineitem WHERE l_quantity > 40)
+SELECT site, {} FROM s""".format(", ".join(f"coalesce((SELECT string_agg(id, ',' ORDER BY n) FROM {t} WHERE {t}.site = s.site AND n <= {n}), '') AS {name}" for t, n, name in (("v", 30, "verification_history"), ("t", 30, "traffic_history"), ("k", 30, "contacts"), ("c", 30, "discovery_sources"), ("e", 20, "recent_processing_errors"))))
+
+
+@query(DETAIL)
+def i5_website_histories(spark, d):
+    line = table(spark, d, "lineitem").withColumns({"site": F.col("l_suppkey"), "id": F.col("l_orderkey") * 10 + F.col("l_linenumber")})
+    event = table(spark, d, "events").withColumns({"site": F.col("user_id"), "id": F.col("event_id")})
+    histories = {
+        "verification_history": (line.select("site", "id", F.col("l_shipdate").alias("at")), 30),
+        "traffic_history": (event.where("event_type <> 'error'").select("site", "id", F.col("ts").alias("at")), 30),
+        "discovery_sources": (line.where("l_returnflag = 'R'").select("site", "id", F.col("l_shipdate").alias("at")), 30),
+        "recent_processing_errors": (event.where("event_type = 'error'").select("site", "id", F.col("ts").alias("at")), 20),
+    }
+    own = {name: (rows, [-F.unix_micros(F.col("at").cast("timestamp")), F.col("id")], most) for name, (rows, most) in histories.items()}
+    best = line.where("l_quantity > 40").select("site", "id", F.col("l_returnflag").alias("contact_type"), (F.col("l_linestatus") == "F").alias("is_primary"), F.col("l_discount").cast("double").alias("confidence"), F.col("l_shipdate").alias("discovered_at"))
+    own["contacts"] = (best, [*R.contact_order(("R", "N")), F.col("id")], 30)
+    sites = table(spark, d, "supplier").select(F.col("s_suppkey").alias("site"))
+    found = R.website_detail(sites, own)
+    return found.select("site", *[F.array_join(F.transform(n, lambda x: x["id"].cast("string")), ",").alias(n) for n in own])
+
+
 #: Every line is a source. Lines that came back or were accepted are verified too, those still under way are not.
 STATUS = "CASE WHEN l_returnflag = 'R' THEN 'rejected' WHEN l_quantity >= 25 THEN 'verified' WHEN l_quantity >= 5 THEN 'uncertain' ELSE 'fetch_failed' END"
 LINES = f"v AS (SELECT l_orderkey % 500 AS job_id, l_suppkey AS site, l_linenumber AS attempt, l_shipdate AS t, l_orderkey AS id, {STATUS} AS status FROM lineitem WHERE l_returnflag <> 'N')"

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import urls as U
+from ..functions.rules import with_blocks, with_suffixes
 from ..operators import candidates as C
 from ..sources import io
 from .inputs import HITS, TENANTS, hits, table
@@ -183,3 +184,32 @@ def a7_sitemap_candidates(spark, d):
     locs = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("page_id", "u"))), lambda s: F.concat(F.lit("<url><loc> "), s.u, F.lit(" </loc></url>"))), "\n")
     files = x.groupBy("domain", F.floor(F.col("page_id") / 1000).alias("file")).agg(locs.alias("xml"))
     return io.first_candidates(io.sitemap_candidates(files, keep=["file"]))
+
+
+#: Rules and blocked hosts as tables: made from the pages' own hosts, with a wildcard and an exception.
+RULE_TABLES = r"""
+h AS (SELECT page_id, lower(regexp_extract(url, '^[^:]*://([^/?#]*)', 1)) AS host FROM pages),
+n AS (SELECT *, string_split(host, '.') AS l FROM h),
+r AS (SELECT DISTINCT list_slice(l, len(l), len(l))[1] AS rule FROM n UNION SELECT DISTINCT '*.' || array_to_string(list_slice(l, len(l) - 1, len(l)), '.') FROM n WHERE l[-1] = 'net' UNION SELECT '!blog.example.net'),
+b AS (SELECT host, CASE WHEN min(page_id) % 2 = 0 THEN 'blocked_spam' ELSE 'blocked_domain' END AS reason FROM h WHERE page_id % 3 = 0 GROUP BY host)"""
+
+
+@query(f"""WITH {RULE_TABLES},
+x AS (SELECT page_id, host, l, CASE WHEN l[-1] = 'net' AND array_to_string(list_slice(l, len(l) - 2, len(l)), '.') = 'blog.example.net' THEN 2 WHEN l[-1] = 'net' AND len(l) > 2 THEN 3 ELSE 1 END AS suffix_labels FROM n)
+SELECT page_id, suffix_labels, CASE WHEN len(l) > suffix_labels THEN array_to_string(list_slice(l, len(l) - suffix_labels, len(l)), '.') END AS registered_domain FROM x""")
+def b3_suffix_table(spark, d):
+    """Registered domains by a table of suffix rules."""
+    pages, host = table(spark, d, "pages"), F.regexp_extract("url", r"^[^:]*://([^/?#]*)", 1)
+    last = lambda k: F.call_function("substring_index", F.lower(host), F.lit("."), F.lit(-k))
+    rules = pages.select(last(1).alias("rule")).union(pages.where(last(1) == "net").select(F.concat(F.lit("*."), last(2)))).union(pages.select(F.lit("!blog.example.net"))).distinct()
+    return with_suffixes(pages, host, rules).select("page_id", "suffix_labels", "registered_domain")
+
+
+@query(f"""WITH {RULE_TABLES}, e AS (SELECT page_id, host, array_to_string(list_slice(l, i, len(l)), '.') AS e, len(l) - i AS k FROM n, unnest(range(1, len(l) + 1)) u(i))
+SELECT page_id, arg_max(reason, k) AS block_reason FROM e LEFT JOIN b ON e.e = b.host GROUP BY page_id""")
+def b5_block_table(spark, d):
+    """Block reasons by a table of blocked hosts: those of every third page, and all below them."""
+    pages, host = table(spark, d, "pages"), F.regexp_extract("url", r"^[^:]*://([^/?#]*)", 1)
+    third = pages.where("page_id % 3 = 0").groupBy(F.lower(host).alias("host")).agg(F.min("page_id").alias("k"))
+    blocked = third.select("host", F.when(F.col("k") % 2 == 0, "blocked_spam").otherwise("blocked_domain").alias("reason"))
+    return with_blocks(pages, host, blocked).select("page_id", "block_reason")
