@@ -23,7 +23,9 @@ from .pieces import Memory, cut_pieces, gather
 #: Words of more bytes are cut where no token can lie across, and contracted at every place of the least rank at once.
 LONG_WORD = 64
 #: Bytes of words in one query, tokens in one decoding query, and rows that the turns of one query over long words leave.
-LEG_BYTES, LEG_TOKENS, LEG_ROWS = 400_000, 400_000, 4_000_000
+LEG_BYTES, LEG_TOKENS, LEG_ROWS = 200_000, 200_000, 2_000_000
+#: Bytes of texts that are encoded together.
+CHUNK_BYTES = 1 << 20
 
 ENCODED = T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())])
 
@@ -241,7 +243,7 @@ def _encoder(data: bytes, pattern: str) -> Memory:
         upto = np.concatenate(([0], np.cumsum(n)))[np.concatenate(([0], ends))]
         return [(np.diff(upto), ids[index])]
 
-    return Memory(encode)
+    return Memory(encode, most=200_000)
 
 
 @lru_cache(maxsize=1)
@@ -249,8 +251,9 @@ def _speller(data: bytes) -> Speller:
     return Speller(read_ranks(data))
 
 
-def bpe_encode(docs: DataFrame, tokenizer: str, pattern: str, text_col: str = "text", out: str = "tokens", carry: Sequence[str] | None = None) -> DataFrame:
-    """``docs`` with the struct ``out``: n_tokens and ids, little-endian unsigned 32-bit integers, without special tokens.
+def bpe_encode(docs: DataFrame, tokenizer: str, pattern: str, text_col: str = "text", out: str = "tokens", carry: Sequence[str] | None = None, decode: bool = False) -> DataFrame:
+    """``docs`` with the struct ``out``: n_tokens and ids, little-endian unsigned 32-bit integers, without special tokens; with
+    ``decode`` also decoded, the bytes of those ids as ``bpe_decode`` finds them, which saves a second pass of the rows.
 
     ``tokenizer`` names a rank file, read on the driver and broadcast (about one MB); ``pattern`` splits texts into
     words, its blanks being those of Unicode. Null and empty texts have no tokens. Texts are encoded whole; words longer
@@ -268,16 +271,19 @@ def bpe_encode(docs: DataFrame, tokenizer: str, pattern: str, text_col: str = "t
         import numpy as np
 
         memory = _encoder(held.value, words_of)
+        speller = _speller(held.value) if decode else None
 
         def run(texts):
             ids, n = memory.look_up([cut_pieces((t or b"").decode()) for t in texts])[0]
             ends = np.cumsum(n)
             raw = ids.astype("<u4").tobytes()
-            return [(int(k), raw[4 * (e - k) : 4 * e]) for k, e in zip(n.tolist(), ends.tolist(), strict=True)]
+            rows = [(int(k), raw[4 * (e - k) : 4 * e]) for k, e in zip(n.tolist(), ends.tolist(), strict=True)]
+            return [(*r, d) for r, d in zip(rows, speller.decode(np.split(ids, ends[:-1])), strict=True)] if decode else rows
 
         return run
 
-    return annotate(docs, make, ENCODED, out, text_col, carry, chunk_bytes=2 << 20)
+    result = T.StructType([*ENCODED.fields, T.StructField("decoded", T.BinaryType())]) if decode else ENCODED
+    return annotate(docs, make, result, out, text_col, carry, chunk_bytes=CHUNK_BYTES)
 
 
 def bpe_decode(encoded: DataFrame, tokenizer: str, ids: str = "tokens.ids", out: str = "decoded") -> DataFrame:

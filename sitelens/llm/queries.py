@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .alignment import align
-from .byte_bpe import bpe_decode, bpe_encode
+from .byte_bpe import bpe_encode
 from .collocations import mine_phrases
 from .decontaminate import decontaminate
 from .licenses import scan_licenses
@@ -176,11 +176,12 @@ def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
     model = train_toxicity(docs, table(spark, sf_dir, "labels").where(~held_out))
     scored = score_toxicity(docs, model, carry=["doc_id"])
     c = F.col("toxicity")
-    return scored.select("doc_id", held_out.alias("held_out"), c.score.alias("score"), (c.score >= 0.5).cast("int").alias("predicted"))
+    offsets = F.transform(c.getField("spans"), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))
+    return scored.select("doc_id", held_out.alias("held_out"), c.score.alias("score"), (c.score >= 0.5).cast("int").alias("predicted"), offsets.alias("offsets"))
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -249,10 +250,10 @@ def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    encoded = bpe_encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, carry=["doc_id"])
+    encoded = bpe_encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, carry=["doc_id"], decode=True)
     x = F.col("tokens")
-    digests = F.sha2(x.getField("ids"), 256).alias("ids_sha256"), F.sha2(F.col("decoded"), 256).alias("decoded_sha256")
-    return bpe_decode(encoded, ranks).select("doc_id", x.getField("n_tokens").alias("n_tokens"), *digests)
+    digests = F.sha2(x.getField("ids"), 256).alias("ids_sha256"), F.sha2(x.getField("decoded"), 256).alias("decoded_sha256")
+    return encoded.select("doc_id", x.getField("n_tokens").alias("n_tokens"), *digests)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
