@@ -111,6 +111,29 @@ def run_of(turn: Column, runs: Column) -> Column:
     return F.shiftright(F.conv(F.substring(turn, 1, 8), 16, 10).cast("long") * runs, 32).cast("int")
 
 
+def split_runs(counts: DataFrame, keys: Sequence[str]) -> DataFrame | None:
+    """Runs that hold far more rows than runs should, as where one id or none at all repeats: ``keys``, and ``pieces`` to cut them into.
+
+    ``counts``: keys and ``n``. At most a quarter of MOST_RUNS of them, which may be broadcast; None if there are none.
+    """
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    usual = max(RUN_ROWS, -(-total // MOST_RUNS))
+    large = cut(counts.where(F.col("n") > 4 * usual).select(*keys, F.ceil(F.col("n") / usual).cast("long").alias("pieces")), "large")
+    return None if large.isEmpty() else large
+
+
+def piece_of(rows: DataFrame, large: DataFrame | None, keys: Sequence[str], spread: Column) -> DataFrame:
+    """``rows`` with the ``piece`` of their run: a range of the hash ``spread`` in runs that ``split_runs`` found, else 0."""
+    if large is None:
+        return rows.withColumn("piece", F.lit(0))
+    named = large.select(*[F.col(k).alias(f"__{k}") for k in keys], "pieces")
+    on = F.col(keys[0]).eqNullSafe(F.col(f"__{keys[0]}"))
+    for k in keys[1:]:
+        on = on & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    part = F.pmod(spread, F.coalesce("pieces", F.lit(1))).cast("int")
+    return rows.join(F.broadcast(named), on, "left").withColumn("piece", part).drop("pieces", *[f"__{k}" for k in keys])
+
+
 def ranked(values: DataFrame, by: str, parts: int = 16) -> DataFrame:
     """``values`` with their ``rank`` from 0 in the order of ``by``, null last. Each task ranks a range; only the ranges' counts are summed in one place."""
     order = col(by).asc_nulls_last()

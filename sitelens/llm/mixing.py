@@ -6,7 +6,8 @@ its cumulative demand. A document's copy is needed when the demand reaches the w
 the demand gives the copy's training position, and a range sort by position gives the training order.
 
 Documents are dealt out within a source by a hash of their id. Sources are counted first; equal ranges of hashes cut a
-hot one into as many runs as its rows ask for, and runs are summed before anything is joined or ordered.
+hot one into as many runs as its rows ask for, and runs are summed before anything is joined or ordered. A run that is
+still too large, as one id or none at all repeats in it, is cut into pieces by a hash of id and text.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import col, cut, ranked, run_count, run_of
+from .common import col, cut, piece_of, ranked, run_count, run_of, split_runs
 
 #: Relative weight at training times 0, 1/2 and 1, by weight class: the first kind fades, the second stays, the third grows.
 SCHEDULES = ((1.5, 1.0, 0.5), (1.0, 1.0, 1.0), (0.5, 1.0, 1.5))
@@ -109,22 +110,30 @@ def _placed(docs: DataFrame, keep: Sequence[str], id_col: str, text_col: str, so
     total = counts.agg(F.sum("n")).first()[0] or 0
     # sources of one run are left out, so no more than MOST_RUNS are broadcast
     hot = counts.select(F.col("source").alias("hot"), run_count(F.col("n"), total).alias("runs")).where("runs > 1")
+    spread = F.xxhash64(F.col("turn"), F.col("text_hash"))
     inner = docs.select(
         F.struct(*[col(c).alias(c) for c in keep]).alias("row"),
         col(source_col).alias("source"),
         F.md5(F.coalesce(col(id_col).cast("string"), F.lit("")).cast("binary")).alias("turn"),
         word_count(col(text_col)).alias("size"),
+        F.xxhash64(col(text_col)).alias("text_hash"),
     ).join(F.broadcast(hot), F.col("source").eqNullSafe(F.col("hot")), "left")
     inner = inner.withColumn("sub", run_of(F.col("turn"), F.coalesce("runs", F.lit(1)))).drop("hot", "runs")
-    runs = cut(inner.groupBy("source", "sub").agg(F.sum("size").alias("run_size")), "runs")
+    runs = cut(inner.groupBy("source", "sub").agg(F.sum("size").alias("run_size"), F.count(F.lit(1)).alias("n")), "runs")
+    large = split_runs(runs, ["source", "sub"])
+    inner = piece_of(inner, large, ["source", "sub"], spread)
+    if large is not None:
+        runs = cut(inner.groupBy("source", "sub", "piece").agg(F.sum("size").alias("run_size")), "pieces")
+    else:
+        runs = runs.select("source", "sub", F.lit(0).alias("piece"), "run_size")
     sizes = runs.groupBy("source").agg(F.sum("run_size").alias("source_size"))
     sources = cut(with_targets(ranked(sizes, "source"), weights, share, most), "targets")
-    before = F.sum("run_size").over(Window.partitionBy("source").orderBy("sub").rowsBetween(Window.unboundedPreceding, -1))
+    before = F.sum("run_size").over(Window.partitionBy("source").orderBy("sub", "piece").rowsBetween(Window.unboundedPreceding, -1))
     runs = runs.withColumn("before", F.coalesce(before, F.lit(0)))
     named = sources.select(F.col("source").alias("s"), "source_size", "rank", "target")
-    runs = runs.join(named, F.col("source").eqNullSafe(F.col("s"))).select(F.col("source").alias("s"), F.col("sub").alias("b"), "before", "source_size", "rank", "target")
-    placed = inner.join(runs, F.col("source").eqNullSafe(F.col("s")) & (F.col("sub") == F.col("b")))
-    own = Window.partitionBy("source", "sub").orderBy("turn", "size").rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.join(named, F.col("source").eqNullSafe(F.col("s"))).select(F.col("source").alias("s"), F.col("sub").alias("b"), F.col("piece").alias("p"), "before", "source_size", "rank", "target")
+    placed = inner.join(runs, F.col("source").eqNullSafe(F.col("s")) & (F.col("sub") == F.col("b")) & (F.col("piece") == F.col("p")))
+    own = Window.partitionBy("source", "sub", "piece").orderBy("turn", "size", "text_hash").rowsBetween(Window.unboundedPreceding, -1)
     start = F.col("before") + F.coalesce(F.sum("size").over(own), F.lit(0))
     placed = placed.withColumn("start", start).withColumn("words", F.floor("target"))
     rounds = int(most) + (most > int(most))

@@ -5,7 +5,8 @@ the curve is cut into runs of equal row counts. Neighbours on the curve are clos
 spans a narrow range of all of them and readers can skip files by the minima and maxima of any.
 
 Rows are ordered by (curve index, MD5 of the id). Cells are counted first; equal ranges of MD5s cut a hot one into as
-many runs as its rows ask for. Only the counts of these runs are summed; rows are dealt out once, by run.
+many runs as its rows ask for. A run that is still too large, as one id or none at all repeats in it, is cut into pieces by
+a hash of id, text and size. Only the counts of these are summed; rows are dealt out once, by run and piece.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import col, cut, let, ranked, run_count, run_of
+from .common import col, cut, let, piece_of, ranked, run_count, run_of, split_runs
 
 BITS = 4
 
@@ -109,14 +110,24 @@ def hilbert_shards(
     total = cells.agg(F.sum("cell_n")).first()[0] or 0
     many = cells.select("cell", run_count(F.col("cell_n"), total).alias("runs")).where("runs > 1")
     dealt = lambda df: df.join(F.broadcast(many), F.col("curve") == F.col("cell"), "left").withColumn("sub", run_of(F.col("turn"), F.coalesce("runs", F.lit(1)))).drop("cell", "runs")
-    rows = dealt(docs.select(F.struct(*[col(c).alias(c) for c in keep]).alias("row"), size.alias("size"), F.crc32(raw.cast("binary")).alias("text_crc32"), curve.alias("curve"), turn.alias("turn")))
-    counts = cut(dealt(docs.select(curve.alias("curve"), turn.alias("turn"))).groupBy(F.col("curve").alias("c"), F.col("sub").alias("b")).agg(F.count(F.lit(1)).alias("n")), "runs")
-    in_cell = F.coalesce(F.sum("n").over(Window.partitionBy("c").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    crc = F.crc32(raw.cast("binary"))
+    spread = F.xxhash64(F.col("turn"), F.col("text_crc32"), F.col("size"))
+    rows = dealt(docs.select(F.struct(*[col(c).alias(c) for c in keep]).alias("row"), size.alias("size"), crc.alias("text_crc32"), curve.alias("curve"), turn.alias("turn")))
+    keys = docs.select(size.alias("size"), crc.alias("text_crc32"), curve.alias("curve"), turn.alias("turn"))
+    counts = cut(dealt(keys.select("curve", "turn")).groupBy("curve", "sub").agg(F.count(F.lit(1)).alias("n")), "runs")
+    large = split_runs(counts, ["curve", "sub"])
+    if large is not None:
+        counts = cut(piece_of(dealt(keys), large, ["curve", "sub"], spread).groupBy("curve", "sub", "piece").agg(F.count(F.lit(1)).alias("n")), "pieces")
+    else:
+        counts = counts.withColumn("piece", F.lit(0))
+    counts = counts.select(F.col("curve").alias("c"), F.col("sub").alias("b"), F.col("piece").alias("p"), "n")
+    in_cell = F.coalesce(F.sum("n").over(Window.partitionBy("c").orderBy("b", "p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     before = F.coalesce(F.sum("cell_n").over(Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     placed_cells = cells.select("cell", before.alias("cell_before"))
-    runs = counts.withColumn("in_cell", in_cell).join(placed_cells, F.col("c") == F.col("cell")).select("c", "b", (F.col("in_cell") + F.col("cell_before")).alias("before"))
-    own = F.row_number().over(Window.partitionBy("curve", "sub").orderBy("turn", "text_crc32", "size")) - 1
-    placed = rows.join(runs, (F.col("curve") == F.col("c")) & (F.col("sub") == F.col("b"))).withColumn("rank", (F.col("before") + own).cast("long"))
+    runs = counts.withColumn("in_cell", in_cell).join(placed_cells, F.col("c") == F.col("cell")).select("c", "b", "p", (F.col("in_cell") + F.col("cell_before")).alias("before"))
+    own = F.row_number().over(Window.partitionBy("curve", "sub", "piece").orderBy("turn", "text_crc32", "size")) - 1
+    rows = piece_of(rows, large, ["curve", "sub"], spread)
+    placed = rows.join(runs, (F.col("curve") == F.col("c")) & (F.col("sub") == F.col("b")) & (F.col("piece") == F.col("p"))).withColumn("rank", (F.col("before") + own).cast("long"))
     n = F.lit(max(total, 1))
     placed = placed.withColumn("shard", F.call_function("div", F.col("rank") * shards, n).cast("int"))
     first = F.call_function("div", F.col("shard") * n + (shards - 1), F.lit(shards))
@@ -125,10 +136,11 @@ def hilbert_shards(
     )
 
 
-def write_shards(sharded: DataFrame, path: str, shards: int) -> None:
-    """One directory a shard, its rows along the curve; each shard is written by one task of its own.
+def write_shards(sharded: DataFrame, path: str, shards: int, files: int = 1) -> None:
+    """One directory a shard, in it ``files`` files or so that follow each other along the curve.
 
-    Null, repeated and clashing columns are written as they are; shards without rows have no directory, and an empty
-    table writes none.
+    Rows are ranged by (shard, slot) into ``shards`` * ``files`` tasks of about equal counts, so a shard is written by as many
+    tasks as it has files; a border of ranges may fall into a shard, which then has one more. Null, repeated and
+    clashing columns are written as they are; shards without rows have no directory, and an empty table writes none.
     """
-    sharded.repartition(shards, "shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    sharded.repartitionByRange(shards * files, "shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)

@@ -318,9 +318,38 @@ def test_hot_runs(spark, monkeypatch):
         at[r.source] += r["size"]
 
 
+@pytest.mark.parametrize("hot", [None, 7])
+def test_repeated_ids_are_split(spark, monkeypatch, hot):
+    """Half of all rows have one id, or none; the largest run stays near the usual size, and the results are right."""
+    from sitelens.llm import common as C
+
+    monkeypatch.setattr(C, "RUN_ROWS", 50)
+    rows = [(hot if i % 2 else 1000 + i, f"w{i} " * (1 + i % 3), "en", "a") for i in range(4000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").cache()
+    for key, turn in (("curve", ["curve", "sub"]), ("source", ["source", "sub"])):
+        counts = docs.select(F.lit(1).alias("curve"), "source", F.when(F.col("doc_id").eqNullSafe(F.lit(hot)), 0).otherwise(F.col("doc_id") % 40).alias("sub"), F.xxhash64("text").alias("h"))
+        large = C.split_runs(counts.groupBy(*turn).agg(F.count(F.lit(1)).alias("n")), turn)
+        sizes = [r["count"] for r in C.piece_of(counts, large, turn, F.col("h")).groupBy(*turn, "piece").count().collect()]
+        assert max(sizes) < 250 and sum(sizes) == 4000
+    shards = S.hilbert_shards(docs, 7).collect()
+    assert sorted(r.text for r in shards) == sorted(r[1] for r in rows)
+    slots = collections.defaultdict(list)
+    for r in shards:
+        slots[r.shard].append(r.slot)
+    assert all(sorted(v) == list(range(len(v))) for v in slots.values()) and max(map(len, slots.values())) - min(map(len, slots.values())) <= 1
+    taken = M.mix(docs, share=1.2).collect()
+    assert sum(r.taken for r in taken) == math.floor(taken[0].target) and len(taken) == 4000 and max(r.taken - 2 * r["size"] for r in taken) <= 0
+    assert sorted(map(str, taken)) == sorted(map(str, M.mix(docs.repartition(5), share=1.2).collect()))
+
+
 def test_write_shards(spark, docs, tmp_path):
-    S.write_shards(S.hilbert_shards(docs, 3), "file://" + str(tmp_path / "s"), 3)
-    assert spark.read.parquet(str(tmp_path / "s")).count() == len(ROWS)
+    many = docs.select("*").union(docs.select("*")).union(docs)
+    S.write_shards(S.hilbert_shards(many, 3), "file://" + str(tmp_path / "s"), 3, files=2)
+    assert spark.read.parquet(str(tmp_path / "s")).count() == 3 * len(ROWS)
+    for i in range(3):
+        files = sorted((tmp_path / "s" / f"shard={i}").glob("*.parquet"))
+        own = [sorted(r.slot for r in spark.read.parquet(str(f)).collect()) for f in files]
+        assert 1 < len(files) <= 3 and all(x == list(range(x[0], x[-1] + 1)) for x in own) and sorted(s for x in own for s in x) == list(range(13))
 
 
 def test_licenses(docs, none):
