@@ -169,9 +169,9 @@ def j14_decision_audit(spark, d):
     return E.decision_audit(predictions(spark, d))
 
 
-@query("SELECT count(*) AS n, sum(('0x' || left(md5(concat_ws('|', coalesce(doc_id::VARCHAR, '~'), coalesce(lang, '~'), coalesce(source, '~'))), 12))::BIGINT)::VARCHAR AS content FROM documents")
+@query("SELECT count(*) AS n, sum(('0x' || left(md5(concat_ws('|', coalesce(doc_id::VARCHAR, '~'), coalesce(text, '~'), coalesce(lang, '~'), coalesce(source, '~'), coalesce(n_chars::VARCHAR, '~'))), 12))::BIGINT)::VARCHAR AS content FROM documents")
 def j15_table_fingerprint(spark, d):
-    f = E.table_fingerprint(table(spark, d, "documents").select("doc_id", "lang", "source"))
+    f = E.table_fingerprint(table(spark, d, "documents").select("doc_id", "text", "lang", "source", "n_chars"))
     return f.withColumn("content", F.col("content").cast("string"))
 
 

@@ -101,7 +101,7 @@ def d12_usable_evidence(spark, d):
   WHEN length(html) <= 100 THEN 'too_short' END AS category FROM pages""")
 def d12_failure_category(spark, d):
     k = F.col("page_id")
-    html = F.when(k % 7 == 0, "").when(k % 7 == 1, F.concat(F.lit("<title>Just a moment...</title>"), "html")).when(k % 7 == 2, "<p>Please enable JavaScript</p>").when(k % 7 == 3, "<p>short</p>").otherwise(F.col("html"))
+    html = F.when(k % 7 == 0, "").when(k % 7 == 1, F.concat(F.lit("<title>Just a moment...</title>"), "html")).when(k % 7 == 2, F.concat(F.substring("html", 1, 900), F.lit("<p>Please enable JavaScript</p>"))).when(k % 7 == 3, F.substring("html", 1, 100)).otherwise(F.col("html"))
     return table(spark, d, "pages").select("page_id", P.failure_category(k % 5 != 0, F.when(k % 10 == 0, "timeout"), html).alias("category"))
 
 

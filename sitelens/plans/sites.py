@@ -20,13 +20,13 @@ MAIL = f"{LOCAL} || '@' || 'Site' || doc_id % 9 || '.ORG'"
 
 
 def mailed(spark, d):
-    """Documents with an address, a written-out address and a mailto anchor made from their ids."""
+    """Documents' own texts, followed by an address, a written-out address and a mailto anchor made from their ids."""
     k = F.col("doc_id")
     mail = F.concat(letters(k), F.lit("@Site"), (k % 9).cast("string"), F.lit(".ORG"))
-    t = table(spark, d, "documents").select("doc_id", "source", mail.alias("mail"))
-    return t.withColumn("text", F.concat(F.lit("write to ("), F.lit(" "), "mail", F.lit(", or name@domain.com and x@y "), letters(k + 1), F.lit(" [at] site [dot] net."))).withColumn(
+    t = table(spark, d, "documents").select("doc_id", "source", "text", mail.alias("mail"))
+    return t.withColumn("own", F.coalesce("text", F.lit(""))).withColumn("text", F.concat("own", F.lit(" \nwrite to ("), F.lit(" "), "mail", F.lit(", or name@domain.com and x@y "), letters(k + 1), F.lit(" [at] site [dot] net."))).withColumn(
         "html", F.concat(F.lit('<p>x</p><a class="b" href="mailto:'), "mail", F.lit('?subject=hi">Write <b>us</b></a><a href="/contact-us">Contact</a><a href="https://linkedin.com/in/'), k.cast("string"), F.lit('">in</a><img src="a@b.png">'))
-    )
+    ).withColumn("page", F.concat("own", "html"))
 
 
 ROLE = f"{LOCAL} IN ('info', 'ads', 'press')"
@@ -39,17 +39,21 @@ def g1_validate_email(spark, d):
 
 @query(f"SELECT doc_id, 'Write us' AS nearby_text, {LOCAL} || '@site' || doc_id % 9 || '.org' AS normalized_email FROM documents")
 def g2_emails_mailto(spark, d):
-    return C.emails_mailto(mailed(spark, d), F.col("html"), "doc_id").select("doc_id", "nearby_text", "normalized_email")
+    return C.emails_mailto(mailed(spark, d), F.col("page"), "doc_id").select("doc_id", "nearby_text", "normalized_email")
 
 
-@query(f"SELECT doc_id, {LOCAL} || '@site' || doc_id % 9 || '.org' AS normalized_email, {ROLE} AS is_role FROM documents")
+DOCUMENT_MAIL = r"""t AS (SELECT doc_id, unnest(string_split_regex(text, '[\t\n\x0b\f\r ]+')) AS w FROM documents),
+c AS (SELECT doc_id, regexp_replace(regexp_replace(w, '^[ \t\n\r"''.,:;]+', ''), '[ \t\n\r"''.,:;]+$', '') AS e FROM t WHERE contains(w, '@')),
+own AS (SELECT doc_id, split_part(e, '@', 1) || '@' || lower(split_part(e, '@', 2)) AS normalized_email FROM c WHERE regexp_full_match(e, '[a-zA-Z0-9._%+-]{1,64}@[a-zA-Z0-9.-]+[.][a-zA-Z]{2,}') AND NOT regexp_matches(e, '(?i)^(example|email|name|yourname)@(example|domain)[.](com|org|net)$'))"""
+
+
+@query(f"""WITH {DOCUMENT_MAIL}, every AS (SELECT * FROM own UNION ALL SELECT doc_id, {LOCAL} || '@site' || doc_id % 9 || '.org' FROM documents)
+SELECT doc_id, normalized_email, regexp_full_match(split_part(normalized_email, '@', 1), '{C.ROLE}') AS is_role FROM every""")
 def g3_emails_visible_text(spark, d):
     return C.emails_in_text(mailed(spark, d), F.col("text"), "doc_id").select("doc_id", "normalized_email", "is_role")
 
 
-@query(r"""WITH t AS (SELECT doc_id, unnest(string_split_regex(text, '[\t\n\x0b\f\r ]+')) AS w FROM documents),
-c AS (SELECT doc_id, regexp_replace(regexp_replace(w, '^[ \t\n\r"''.,:;]+', ''), '[ \t\n\r"''.,:;]+$', '') AS e FROM t WHERE contains(w, '@'))
-SELECT doc_id, split_part(e, '@', 1) || '@' || lower(split_part(e, '@', 2)) AS normalized_email FROM c WHERE regexp_full_match(e, '[a-zA-Z0-9._%+-]{1,64}@[a-zA-Z0-9.-]+[.][a-zA-Z]{2,}') AND NOT regexp_matches(e, '(?i)^(example|email|name|yourname)@(example|domain)[.](com|org|net)$')""")
+@query(f"WITH {DOCUMENT_MAIL} SELECT * FROM own")
 def g3_emails_documents(spark, d):
     return C.emails_in_text(table(spark, d, "documents"), F.col("text"), "doc_id").select("doc_id", "normalized_email")
 
@@ -79,7 +83,7 @@ def g5_emails_jsonld(spark, d):
 
 @query("SELECT doc_id, ['info', 'ann', 'ads', 'test', 'press', 'bob'][(doc_id + 1) % 6 + 1] || '@site.net' AS normalized_email FROM documents")
 def g4_emails_deobfuscated(spark, d):
-    return C.emails_deobfuscated(mailed(spark, d), F.col("text"), "doc_id").where("endswith(normalized_email, '.net')").select("doc_id", "normalized_email")
+    return C.emails_deobfuscated(mailed(spark, d), F.col("text"), "doc_id").where("endswith(normalized_email, '@site.net')").select("doc_id", "normalized_email")
 
 
 @query(f"""SELECT doc_id, CASE WHEN {LOCAL} = 'ads' THEN {MAIL} END AS advertising, CASE WHEN {LOCAL} = 'ads' THEN 'ads@Site' || doc_id % 9 || '.ORG' ELSE {MAIL} END AS contact FROM documents""")
@@ -133,7 +137,7 @@ def g10_best_contact(spark, d):
 def forms(spark, d):
     k = F.col("page_id")
     body = F.when(k % 3 == 0, '<textarea name="Message"></textarea><input type="hidden" name="h"><input name=email>').when(k % 3 == 1, '<input type="password" name="p"><input name="email">').otherwise('<input name="q">')
-    html = F.concat(F.lit("<form action='/send"), (k % 2).cast("string"), F.lit("' method='POST'><label>Your inquiry</label>"), body, F.lit("</form>"), F.lit("<form action='https://forms.gle/x'>Contact</form>"))
+    html = F.concat("html", F.lit("<form action='/send"), (k % 2).cast("string"), F.lit("' method='POST'><label>Your inquiry</label>"), body, F.lit("</form>"), F.lit("<form action='https://forms.gle/x'>Contact</form>"))
     p = table(spark, d, "pages").select("page_id", "url", F.regexp_extract("url", r"^[^:]*://([^/?#]*)", 1).alias("site"), html.alias("html"))
     return C.detect_forms(p, F.col("html"), F.col("url"), "page_id", "site")
 
@@ -155,7 +159,7 @@ def g12_dedup_forms(spark, d):
 def contact_links(spark, d):
     k = F.col("page_id")
     n = (k % 4).cast("string")
-    html = F.concat(F.lit('<a href="/contact/'), n, F.lit('">Contact us</a><a href="/ads">Advertise</a><a href="/about/team">Team</a><a href="/login">Login</a><a href="https://other.com/contact">Contact</a><a href="/help">Help</a><a href="/masthead">Masthead</a>'))
+    html = F.concat(F.lit('<a href="/contact/'), n, F.lit('">Contact us</a><a href="/ads">Advertise</a><a href="/about/team">Team</a><a href="/login">Login</a><a href="https://other.com/contact">Contact</a><a href="/help">Help</a><a href="/masthead">Masthead</a>'), F.col("html"))
     host = F.regexp_extract("url", r"^[^:]*://([^/?#]*)", 1)
     p = table(spark, d, "pages").select(host.alias("site"), F.concat(F.lit("https://"), host, F.lit("/")).alias("base"), "page_id", html.alias("html"))
     return C.contact_page_links(p, F.col("html"), F.col("base"), "site")
@@ -236,12 +240,13 @@ def h1_estimated_pageviews(spark, d):
     return table(spark, d, "events").select("event_id", H.estimated_pageviews(v, (F.col("event_id") % 50 / 8).cast("decimal(10,4)")).cast("double").alias("pageviews"))
 
 
-@query("""SELECT event_id, CASE WHEN event_type = 'view' AND event_id % 3 = 0 THEN 'visits_required' ELSE '' END || CASE WHEN event_id % 7 = 0 THEN ';confidence_out_of_range' ELSE '' END AS codes FROM events WHERE event_type IN ('view', 'click')""")
+@query("""SELECT event_id, CASE WHEN event_type IN ('view', 'purchase') AND event_id % 3 = 0 THEN 'visits_required' ELSE '' END || CASE WHEN event_id % 7 = 0 THEN ';confidence_out_of_range' ELSE '' END AS codes FROM events""")
 def h2_metric_violations(spark, d):
     k = F.col("event_id")
-    t = table(spark, d, "events").where("event_type in ('view', 'click')")
-    visits = F.when((F.col("event_type") == "view") & (k % 3 == 0), F.lit(None)).otherwise(F.lit(5.0)).cast("double")
-    codes = H.metric_violations(F.when(F.col("event_type") == "view", "monthly_visits").otherwise("monthly_pageviews"), visits, F.lit(None).cast("double"), F.lit(3.0), F.when(k % 7 == 0, 1.5).otherwise(0.5))
+    t = table(spark, d, "events")
+    monthly = F.col("event_type").isin("view", "purchase")
+    visits = F.when(monthly & (k % 3 == 0), F.lit(None)).otherwise(F.lit(5.0)).cast("double")
+    codes = H.metric_violations(F.when(monthly, "monthly_visits").otherwise("monthly_pageviews"), visits, F.lit(None).cast("double"), F.lit(3.0), F.when(k % 7 == 0, 1.5).otherwise(0.5))
     return t.select("event_id", F.concat(F.when(F.array_contains(codes, "visits_required"), "visits_required").otherwise(""), F.when(F.array_contains(codes, "confidence_out_of_range"), ";confidence_out_of_range").otherwise("")).alias("codes"))
 
 
