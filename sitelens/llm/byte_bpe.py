@@ -23,9 +23,11 @@ from .pieces import Memory, cut_pieces, gather
 #: Words of more bytes are cut where no token can lie across, and contracted at every place of the least rank at once.
 LONG_WORD = 64
 #: Bytes of words in one query, tokens in one decoding query, and rows that the turns of one query over long words leave.
-LEG_BYTES, LEG_TOKENS, LEG_ROWS = 200_000, 200_000, 2_000_000
+LEG_BYTES, LEG_TOKENS, LEG_ROWS = 400_000, 200_000, 2_000_000
 #: Bytes of texts that are encoded together.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 2 << 20
+#: Distinct pieces whose ids a worker remembers, some 200 bytes each.
+MOST_PIECES = 800_000
 
 ENCODED = T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())])
 
@@ -243,7 +245,7 @@ def _encoder(data: bytes, pattern: str) -> Memory:
         upto = np.concatenate(([0], np.cumsum(n)))[np.concatenate(([0], ends))]
         return [(np.diff(upto), ids[index])]
 
-    return Memory(encode, most=200_000)
+    return Memory(encode, most=MOST_PIECES)
 
 
 @lru_cache(maxsize=1)
