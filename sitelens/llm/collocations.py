@@ -243,7 +243,7 @@ def mine_phrases(
     counts = cut(each.groupBy("lang", "word").agg(F.sum("n").alias("f")), "counts")
     totals = cut(counts.groupBy("lang").agg(F.sum("f").alias("n")), "totals")
     hot = F.col("f") > (totals.agg(F.sum("n")).first()[0] or 0) // MOST_HOT
-    frequent = counts.where(F.col("f") >= min(RARE, least)).select(F.struct("lang", "word").alias("key"), "f")
+    frequent = counts.where(F.col("f") >= min(RARE, least)).select(F.struct((-F.col("f")).alias("turn"), "lang", "word").alias("key"), "f")  # frequent words get small ids, which take less room
     frequent = cut(frequent, "frequent")
     discard(counts)
     numbered = ranked(frequent, "key").select(((F.col("rank") + 1) * 2 + hot.cast("int")).cast("int").alias("id"), "key.lang", "key.word", "f")
