@@ -26,6 +26,8 @@ COMMON = 0.1
 #: Words a template may be shifted by insertions, least score.
 SLACK, LEAST = 3, 0.5
 BASE_SCORE = 0.5
+#: Places of a text at which notices are looked for together.
+SEGMENT = 20_000
 
 
 @dataclass(frozen=True)
@@ -130,30 +132,43 @@ class Scanner:
         return starts, labels
 
     def notices_in(self, words: list[bytes]) -> dict[str, float]:
-        """label -> best score."""
+        """label -> best score. Places are taken SEGMENT by SEGMENT, each with the words that a notice there can reach, so memory does not follow the text."""
+        found: dict[str, float] = {}
         if self.rare.isdisjoint(words):
-            return {}
+            return found
+        reach = max(len(model) for _, model, _ in self.notices)
+        for first in range(-reach, len(words), SEGMENT):
+            last = first + SEGMENT
+            a, b = max(0, first - SLACK), min(len(words), last + reach + 2 * SLACK)
+            if not self.rare.isdisjoint(words[a:b]):
+                self._in_segment(words, a, b, first, last, found)
+        return found
+
+    def _in_segment(self, words: list[bytes], a: int, b: int, first: int, last: int, found: dict[str, float]) -> None:
+        """Adds the scores of notices that begin at a place from ``first`` to ``last`` (exclusive), seen in the words ``a`` to ``b``."""
+        flat = b" " + b" ".join(words[a:b]) + b" "
+        open_ = {t for t, (_, _, keys) in enumerate(self.notices) if all(b" " + b" ".join(k) + b" " in flat for k in keys)}
         votes: dict[int, dict[int, set[bytes]]] = defaultdict(lambda: defaultdict(set))
-        for i, w in enumerate(words):
-            if w in self.rare:
+        for i in range(a, b):
+            if (w := words[i]) in self.rare:
                 for t, pos in self.postings[w]:
-                    votes[t][i - pos].add(w)
-        found: dict[str, float] = {}
+                    if t in open_:
+                        votes[t][i - pos].add(w)
         for t, shifts in votes.items():
             label, model, keys = self.notices[t]
             need = min(2, len({w for w in model if w in self.rare}))
             for shift, voters in shifts.items():
+                if not first <= shift < last:
+                    continue
                 if len(voters) < need and len(set().union(*(shifts.get(shift + d, set()) for d in range(-SLACK, SLACK + 1)))) < need:
                     continue
-                a, b = max(0, shift - SLACK), min(len(words), shift + len(model) + SLACK)
-                near = words[a:b]
+                near = words[max(0, shift - SLACK) : min(len(words), shift + len(model) + SLACK)]
                 if not all(_holds(near, k) for k in keys):
                     continue
                 got = sum(self.idf[w] for j, w in enumerate(model) if w in words[max(0, shift + j - SLACK) : max(0, shift + j + SLACK + 1)])
                 score = min(1.0, got / self.weight[t])
                 if score >= LEAST:
                     found[label] = max(found.get(label, 0.0), score)
-        return found
 
     def __call__(self, text: bytes | None) -> tuple:
         words = _words(text)

@@ -398,6 +398,31 @@ def components(rows, k):
     return sorted((str(i), len(s), str(least.get(find(a)))) for a, (i, s) in enumerate(sets))
 
 
+def test_licenses_by_segments(monkeypatch):
+    """Notices at every place, cut by segments or not; and a long text of licence words in bounded memory."""
+    import random
+    import tracemalloc
+
+    r = random.Random(2)
+    scan = L.Scanner(L.NOTICES, {}, 10)
+    notices = [L._words(n.text) for n in L.NOTICES]
+    junk = sorted({w for n in notices for w in n})
+    for size in (5, 64, 1000):
+        words = [w for _ in range(6) for w in (*r.choices(junk, k=r.randrange(30)), *r.choice(notices)[: r.choice([20, 1000])])]
+        monkeypatch.setattr(L, "SEGMENT", 10**9)
+        whole = scan.notices_in(words)
+        monkeypatch.setattr(L, "SEGMENT", size)
+        assert scan.notices_in(words) == whole
+    assert whole
+    monkeypatch.setattr(L, "SEGMENT", 2000)
+    text = b" ".join(r.choices([b"license", b"software", b"copyright", b"permission"], k=200_000))
+    tracemalloc.start()
+    got = scan(text)
+    held = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got[0] == 200_000 and got[5] == [] and held < 40 << 20
+
+
 def test_near_duplicates(spark, docs, none):
     for k in (1, 4, 5):
         got = sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in N.near_duplicates(docs, shingle=k).collect())
@@ -530,14 +555,20 @@ def test_mixed_copies_have_their_own_position(spark):
         assert [i for x, i in got if x == s] == turn + turn
 
 
+def test_pipeline_of_an_empty_table(spark, tmp_path):
+    for name, schema in (("documents", "doc_id long, text string, lang string, source string, n_chars int"), ("labels", "doc_id long, quality int, toxic int"), ("benchmark", "item_id long, text string")):
+        spark.createDataFrame([], schema).write.parquet(str(tmp_path / f"{name}.parquet"))
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert out.count() == 0 and out.columns == ["doc_id", "text", "lang", "source", "n_chars", "shard", "slot"]
+
+
 def test_pipeline_stages_and_empty_table(spark, docs, tmp_path):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near_dedup", "decontamination", "mixing", "sharding"]
     d = docs.drop("Toxicity")
     spark.createDataFrame([(1, 0)], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     spark.createDataFrame([(1, "w1 w2 w3")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     for df, n in ((d, len(ROWS)), (d.where("false"), 0)):
-        for name, stage in corpus_pipeline.STAGES[:-1]:
-            if name != "mixing":
-                out = stage(spark, df, str(tmp_path))
-                assert out.columns == d.columns and out.count() <= n
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, df, str(tmp_path))
+            assert out.columns == [*d.columns, *(["shard", "slot"] if name == "sharding" else [])] and out.count() <= n * (2 if name == "mixing" else 1)
     assert hashlib.sha256(b"").hexdigest() == D.decontaminate(d, d.where("false").withColumnRenamed("doc_id", "item_id"), carry=["doc_id"]).select(F.sha2(F.concat_ws(",", "contamination.items"), 256)).first()[0]
