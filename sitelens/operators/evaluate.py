@@ -268,7 +268,8 @@ def decision_audit(preds: DataFrame) -> DataFrame:
 def table_fingerprint(df: DataFrame) -> DataFrame:
     """Rows and an order-insensitive content sum; md5 parts keep it equal across engines. Strings stand for values."""
     row = F.md5(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in df.columns]).cast("binary"))
-    return df.agg(F.count(F.lit(1)).alias("n"), F.sum(F.conv(F.substring(row, 1, 12), 16, 10).cast("bigint")).cast("decimal(38,0)").alias("content"))
+    part = F.conv(F.substring(row, 1, 12), 16, 10).cast("decimal(18,0)")  # 48 bits: a sum of longs is full after some 65,000 rows
+    return df.agg(F.count(F.lit(1)).alias("n"), F.sum(part).cast("decimal(38,0)").alias("content"))
 
 
 def compare_runs(a: DataFrame, b: DataFrame, key: str, metrics: Sequence[str]) -> DataFrame:

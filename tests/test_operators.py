@@ -1,6 +1,7 @@
 """Operators on inline rows with values worked out by hand."""
 
 import datetime
+import hashlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -170,3 +171,12 @@ def test_sources(spark, tmp_path):
     df = spark.createDataFrame([(1, "q", "en", body)], "response_id int, query_text string, language string, body string")
     r = io.search_hits_web(df).collect()
     assert len(r) == 1 and r[0].language == "en" and r[0].published_at.year == 2024
+
+
+def test_fingerprint_of_many_rows(spark):
+    """100,000 parts of 48 bits do not fit a long."""
+    t = spark.range(100_000).select("id", F.lit("x").alias("t"))
+    want = sum(int(hashlib.md5(f"{i}|x".encode()).hexdigest()[:12], 16) for i in range(100_000))
+    row = evaluate.table_fingerprint(t).first()
+    assert want > 2**63 and (row.n, int(row.content)) == (100_000, want)
+    assert evaluate.table_fingerprint(t.limit(0)).first().content is None
