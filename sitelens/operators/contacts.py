@@ -62,11 +62,12 @@ def emails_in_text(df: DataFrame, text: Column, *keep: str) -> DataFrame:
 
 
 def emails_deobfuscated(df: DataFrame, text: Column, *keep: str) -> DataFrame:
-    """Addresses written with [at] and [dot] or the like, put together again."""
-    parts = F.arrays_zip(*[F.regexp_extract_all(text, F.lit(OBFUSCATED), i).alias(n) for i, n in ((1, "l"), (2, "d"), (3, "t"))])
-    d = df.select(*keep, F.posexplode(parts).alias("pos", "x"))
-    d = d.select(*keep, "pos", validate_email(F.concat(F.col("x.l"), F.lit("@"), F.col("x.d"), F.lit("."), F.col("x.t"))).alias("e"))
-    return d.where("e is not null").select(*keep, "pos", "e.*")
+    """Addresses written with [at] and [dot] or the like, put together again; ``written_out`` is false for those that stand as plain addresses."""
+    local, domain, tld = (F.regexp_extract("m", OBFUSCATED, i) for i in (1, 2, 3))
+    d = df.select(*keep, F.posexplode(F.regexp_extract_all(text, F.lit(OBFUSCATED), F.lit(0))).alias("pos", "m"))
+    d = d.select(*keep, "pos", "m", F.concat(local, F.lit("@"), domain, F.lit("."), tld).alias("raw"))
+    d = d.select(*keep, "pos", (~F.endswith("m", "raw")).alias("written_out"), validate_email(F.col("raw")).alias("e"))
+    return d.where("e is not null").select(*keep, "pos", "written_out", "e.*")
 
 
 def emails_mailto(pages: DataFrame, html: Column, *keep: str) -> DataFrame:
@@ -80,14 +81,17 @@ def emails_mailto(pages: DataFrame, html: Column, *keep: str) -> DataFrame:
 def emails_in_elements(pages: DataFrame, html: Column, *keep: str) -> DataFrame:
     """Addresses in the text of p, div, span, li and td elements, plain and written out; elements without an at sign are passed over.
 
-    An element's text ends where the next of these elements begins or ends, so nested texts are read once.
+    An element's text ends where the next of these elements begins or ends, so nested texts are read once. An element's
+    address comes once; ``written_out`` is false if it stands there as a plain address too.
     """
     bare = F.regexp_replace(F.coalesce(html, F.lit("")), r"(?is)<(script|style)(?:\s[^>]*)?>.*?</\1>|<!--.*?-->", " ")
     parts = F.split(bare, r"(?i)</?(?:p|div|span|li|td)(?:\s[^>]*)?>")
     texts = F.filter(F.transform(parts, lambda x: F.trim(F.regexp_replace(entities(F.regexp_replace(x, r"<[^>]*>", " ")), r"\s+", " "))), lambda t: F.lower(t).rlike(r"@|\[at\]|\(at\)"))
     d = pages.select(*keep, F.posexplode(texts).alias("element", "_text"))
-    both = emails_in_text(d, F.col("_text"), *keep, "element").unionByName(emails_deobfuscated(d, F.col("_text"), *keep, "element"))
-    return both.dropDuplicates([*keep, "element", "normalized_email"]).drop("pos")
+    plain = emails_in_text(d, F.col("_text"), *keep, "element").withColumn("written_out", F.lit(False))
+    both = plain.unionByName(emails_deobfuscated(d, F.col("_text"), *keep, "element"))
+    first = F.min(F.struct("written_out", "email")).alias("f")
+    return both.groupBy(*keep, "element", "normalized_email", "is_role", "is_placeholder").agg(first).select(*keep, "element", "f.email", "normalized_email", "is_role", "is_placeholder", "f.written_out")
 
 
 def emails_jsonld(pages: DataFrame, html: Column, *keep: str) -> DataFrame:

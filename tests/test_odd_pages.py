@@ -3,7 +3,9 @@
 import duckdb
 import pytest
 from oracle import same
+from pyspark.sql import functions as F
 
+from sitelens.operators import contacts as C
 from sitelens.plans.registry import ORACLES, QUERIES
 
 ENTITIES = (
@@ -34,3 +36,12 @@ def test_entities(spark, tmp_path, name):
 def test_more_labels_than_the_rules_read(spark, tmp_path, name):
     many = "".join(f"<h2>h{i}</h2>" for i in range(120)) + "<nav>" + "".join(f'<a href="/{i}">n{i}</a>' for i in range(170)) + "</nav>"
     check(spark, tmp_path, name, [(1, "https://a.org/", many)])
+
+
+def test_words_that_read_as_an_address(spark, tmp_path):
+    """The operator puts them together as the rules say; the query keeps what its SQL has."""
+    html = ["<p>He is at home. Then write to ann@x.org", "<div>so [at] the [dot] end, me@y.org.</div>", "<p>ann [at] z.org and ann@z.org", "<p>none"]
+    check(spark, tmp_path, "g3_emails_in_elements", [(i, f"https://WWW.s{i}.org/x", h) for i, h in enumerate(html)])
+    pages = spark.read.parquet(f"{tmp_path}/pages.parquet")
+    got = {(r.page_id, r.normalized_email, r.written_out) for r in C.emails_in_elements(pages, F.col("html"), "page_id").collect()}
+    assert got == {(0, "is@home.then", True), (0, "ann@x.org", False), (1, "so@the.end", True), (1, "me@y.org", False), (2, "ann@z.org", False)}
