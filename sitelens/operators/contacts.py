@@ -16,7 +16,12 @@ EMAIL = r"^[a-zA-Z0-9._%+-]{1,64}@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}$"
 HARD_REJECT = r"(?i)^(example|email|name|yourname)@(example|domain)\.(com|org|net)$"
 PLACEHOLDER = r"(?i)^(test|admin|user)@"
 ROLE = r"(?i)^(info|contact|hello|support|press|media|pr|ads?|advertising|sponsors?|partners?|partnerships?|editor|editorial|news|tips?|submissions?|business|sales|inquiries|enquiries)$"
-OBFUSCATED = r"(?i)([a-zA-Z0-9._%+-]{1,64})\s*(?:\[at\]|\(at\)|\sAT\s|@)\s*([a-zA-Z0-9.-]+)\s*(?:\[dot\]|\(dot\)|\sDOT\s|\.)\s*([a-zA-Z]{2,})"
+#: An address written out: up to 64 characters before a sign for at, a domain, a sign for dot, letters. Looked for once a run of such characters, not from
+#: each of them: a match can only begin at a run's start, where the last one ended, or 64 before a run's end, and a run is passed over unless a sign follows.
+OBFUSCATED = (
+    r"(?i)(?:\G|(?<![a-zA-Z0-9._%+-]))(?=[a-zA-Z0-9._%+-]++\s*+(?:\[at\]|\(at\)|@|(?<=\s)AT\s))(?>[a-zA-Z0-9._%+-]*?([a-zA-Z0-9._%+-]{1,64}+)\s*+(?:\[at\]|\(at\)|@|(?<=\s)AT\s))"
+    r"\s*([a-zA-Z0-9.-]+)\s*(?:\[dot\]|\(dot\)|\sDOT\s|\.)\s*([a-zA-Z]{2,})"
+)
 CATEGORIES = (
     ("tips", r"(?i)\b(tips?|scoops?|leaks?)\b"),
     ("submissions", r"(?i)\b(submissions?|pitches|pitch|contribute)\b"),
