@@ -7,7 +7,7 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.lists import MULTITENANT
+from ..functions.lists import MULTITENANT, let
 from ..functions.skew import HOT_ROWS, join_by_key
 from ..functions.urls import with_site
 
@@ -62,35 +62,48 @@ def clean_list(items: Column, most: int = 100) -> Column:
 def generate_queries(jobs: DataFrame) -> DataFrame:
     """(job_id, seq, query_text, category, template_name, page) from ``jobs`` (job_id, market, language, categories, keywords, maximum_queries).
 
-    Templates are literals of the plan; each job explodes its own categories. Page 1 of every distinct text comes before page 2.
+    Templates are literals of the plan. Each row makes its own texts as an array, so only the rows of ``jobs`` are dealt out
+    and sorted; texts are so for ids that several rows have, which make one job. Page 1 of every distinct text comes before page 2.
     """
     jp = (F.upper(F.trim("market")) == "JP") | (F.lower(F.trim("language")) == "ja")
-    ja = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in JA_TERMS.items() for x in kv]), F.lower(F.trim("category"))), F.lit(JA_DEFAULT))
-
-    def texts(names: Sequence[str]) -> Column:
-        made = []
-        for name in names:
-            for i, t in enumerate(TEMPLATES[name]):
-                text = F.replace(F.replace(F.replace(F.lit(t), F.lit("{category}"), F.col("category")), F.lit("{category_ja}"), ja), F.lit("{market}"), F.col("market"))
-                made.append(F.struct(text.alias("text"), F.lit(f"{name}_{i}").alias("template")))
-        return F.array(*made)
-
-    base = jobs.select("*", F.posexplode("categories").alias("c", "category"))
-    made = F.when(jp, texts(["jp_en_template", "jp_ja_template"])).otherwise(texts(["non_jp_template"]))
-    by_category = base.select("job_id", "maximum_queries", F.lit(0).alias("kind"), "c", "category", F.posexplode(made).alias("t", "q")).select(
-        "job_id", "maximum_queries", "kind", "c", "t", "category", F.col("q.text").alias("text"), F.col("q.template").alias("template")
-    )
-    by_keyword = jobs.select("job_id", "maximum_queries", F.lit(1).alias("kind"), F.lit(0).alias("c"), F.posexplode("keywords").alias("t", "text"), F.lit("custom").alias("category"), F.lit("keyword").alias("template"))
-    rows = by_category.unionByName(by_keyword.select(by_category.columns))
-    rows = rows.withColumn("text", F.trim(F.regexp_replace("text", r"(?U)\s+", " "))).where(F.length("text") <= 500)
+    terms = F.create_map(*[F.lit(x) for kv in JA_TERMS.items() for x in kv])
     order = ("kind", "c", "t")
-    first = Window.partitionBy("job_id", F.lower("text")).orderBy(*order)
-    rows = rows.withColumn("n", F.row_number().over(first)).where("n = 1").drop("n")
+
+    def made(text: Column, category: Column, template: str, *place: Column) -> Column:
+        text = F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
+        return F.struct(F.lower(text).alias("k"), *[x.alias(n) for n, x in zip(order, place)], text.alias("text"), category.alias("category"), F.lit(template).alias("template"))
+
+    def texts(names: Sequence[str], category: Column, c: Column) -> Column:
+        ja = F.coalesce(F.try_element_at(terms, F.lower(F.trim(category))), F.lit(JA_DEFAULT))
+        fill = lambda t: F.replace(F.replace(F.replace(F.lit(t), F.lit("{category}"), category), F.lit("{category_ja}"), ja), F.lit("{market}"), F.col("market"))
+        each = [(f"{name}_{i}", t) for name in names for i, t in enumerate(TEMPLATES[name])]
+        return F.array(*[made(fill(t), category, name, F.lit(0), c, F.lit(i)) for i, (name, t) in enumerate(each)])
+
+    def own(name: str) -> Column:
+        return F.coalesce(F.col(name), F.array().cast("array<string>"))
+
+    def firsts(every: Column) -> Column:
+        """The first of each text but for case, in order, with its place and how many there are."""
+        by_text = F.sort_array(F.filter(every, lambda x: F.length(x.text) <= 500))
+        once = let(by_text, lambda s: F.filter(s, lambda x, i: F.coalesce(F.get(s, i - 1).k != x.k, F.lit(True))))
+        in_order = F.sort_array(F.transform(once, lambda x: F.struct(*[x[n].alias(n) for n in order], x.alias("q"))))
+        return let(in_order, lambda s: F.transform(s, lambda x, i: F.struct((i + 1).alias("pos"), F.size(s).alias("total"), x.q.alias("q"))))
+
+    by_category = F.flatten(F.transform(own("categories"), lambda x, c: F.when(jp, texts(["jp_en_template", "jp_ja_template"], x, c)).otherwise(texts(["non_jp_template"], x, c))))
+    by_keyword = F.transform(own("keywords"), lambda x, t: made(x, F.lit("custom"), "keyword", F.lit(1), F.lit(0), t))
     job = Window.partitionBy("job_id")
-    rows = rows.withColumn("pos", F.row_number().over(job.orderBy(*order))).withColumn("total", F.count(F.lit(1)).over(job))
-    rows = rows.withColumn("most", F.coalesce("maximum_queries", "total"))
+    lean = jobs.select("job_id", "market", "language", "categories", "keywords", "maximum_queries").withColumn("same", F.count(F.lit(1)).over(job))
+
+    def rows(these: Column) -> DataFrame:
+        d = lean.where(these).select("job_id", "maximum_queries", F.explode(firsts(F.concat(by_category, by_keyword))).alias("x"))
+        return d.select("job_id", "maximum_queries", "x.pos", "x.total", "x.q.*")
+
+    several = rows(F.col("same") > 1).drop("pos", "total")
+    several = several.withColumn("n", F.row_number().over(Window.partitionBy("job_id", "k").orderBy(*order, "text"))).where("n = 1").drop("n")
+    several = several.withColumn("pos", F.row_number().over(job.orderBy(*order, "text"))).withColumn("total", F.count(F.lit(1)).over(job).cast("int"))
+    d = rows(F.col("same") == 1).unionByName(several).withColumn("most", F.coalesce("maximum_queries", "total"))
     pages = F.sequence(F.lit(1), F.ceil(F.col("most") / F.col("total")).cast("int"))
-    paged = rows.where("most > 0").withColumn("page", F.explode(pages)).withColumn("seq", (F.col("page") - 1) * F.col("total") + F.col("pos"))
+    paged = d.where("most > 0").withColumn("page", F.explode(pages)).withColumn("seq", (F.col("page") - 1) * F.col("total") + F.col("pos"))
     return paged.where("seq <= most").select("job_id", F.col("seq").cast("long").alias("seq"), F.col("text").alias("query_text"), "category", F.col("template").alias("template_name"), "page")
 
 
